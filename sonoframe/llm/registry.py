@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .near_dedup import op7_near_dedup
 from .sentencepiece_bpe import op4_sentencepiece
 
 
 def queries() -> dict:
-    return {"op4_sentencepiece": op4_sentencepiece}
+    return {"op4_sentencepiece": op4_sentencepiece, "op7_near_dedup": op7_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
