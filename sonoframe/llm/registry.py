@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_decontamination
 from .fingerprints import op8_fingerprints
 from .near_dedup import op7_near_dedup
 from .secret_scan import op3_secret_scan
@@ -10,7 +11,7 @@ from .substring_dedup import op10_substring_dedup
 
 
 def queries() -> dict:
-    return {"op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op10_substring_dedup": op10_substring_dedup}
+    return {"op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
