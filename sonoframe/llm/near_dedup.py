@@ -7,8 +7,10 @@ the joint maximum-likelihood estimate of their similarity drops pairs that are f
 rest are verified on full shingle sets. A pair at 0.8 misses all 32 bands with probability 1e-10.
 
 Equal sets are one class before any pair is formed. In a band's bucket each class is linked to the bucket's first
-class only; then pairs of a bucket that verified links haven't joined are verified too, so no link between
-components is lost, while groups of thousands never become all pairs.
+class only. Classes in buckets that verified links haven't joined may still be linked, so those of a group meet
+again, chunk by chunk, on full sets: no link between components is lost and no pair but links becomes a row. One
+count of shingles spares most of them that: two sets share at most what either has in common with any other set, so
+heavily edited copies, whose shingles are largely their own, can't be linked with anything.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows
 without an id are kept and unlinked; rows that repeat an id are one document. Only id and text columns are read.
@@ -29,6 +31,8 @@ from .graph import components
 
 REGISTERS, BAND = 96, 3
 BASE, RATE = 1.001, 20.0
+#: Sets of one chunk of a group: two chunks meet in a task.
+CHUNK = 256
 #: How far under the threshold an estimate may fall before its pair is dropped: 5 standard errors.
 MARGIN = 0.205
 _rng = np.random.default_rng(96)
@@ -111,11 +115,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(work, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that full sets link. Texts are shuffled once; only sets of documents in pairs go on."""
+def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that full sets link."""
     pairs = materialise(_likely(pairs, classes, percent), "likely")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(sketch(docs.join(needed, "doc_id").select("doc_id", "text"), k, keep_sets=True).select("doc_id", "hashes"), "sets")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +133,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long").distinct()
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """Of sets (doc_id, hashes): how many of a set's shingles no other set has, where there are any (doc_id, own)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                each = [np.frombuffer(x.as_py(), "<i8") for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in each])), pa.array(np.concatenate(each))], ["doc_id", "hash"])
+
+    once = sets.select("doc_id", "hashes").mapInArrow(work, "doc_id long, hash long").groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return once.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of one group, from rows (rep, component, group).
+
+    A group is dealt into chunks of about CHUNK sets, and each two chunks meet in a task of their own, which counts
+    all their common shingles by products of bounded matrices: only links leave it.
+    """
+    size = rows.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).alias("m"))
+    rows = rows.join(size, "group").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("m")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    rows = rows.select("rep", "component", "i", "group", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def meet(table: pa.Table) -> pa.Table:
+        rep, component, chunk = (table.column(c).to_numpy() for c in ("rep", "component", "i"))
+        each = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
+        n = np.array([len(x) for x in each])
+        values, column, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(each)), n)
+        shared = count[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((len(each), len(each)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column.max(initial=-1)) + 1, 4096):
+            lo, hi = np.searchsorted(column, [first, first + 4096])
+            part = np.zeros((len(each), 4096), dtype=np.float32)
+            part[row[lo:hi], column[lo:hi] - first] = 1
+            both += part @ part.T
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        near &= component[:, None] != component[None, :]
+        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+            near &= chunk[:, None] != chunk[None, :]
+        a, b = np.nonzero(np.triu(near))
+        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+
+    return rows.groupBy("group", "lo", "hi").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class of every row; near duplicates share a component."""
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
@@ -143,20 +197,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     bands = classes.select("rep", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").drop("n")
     members = materialise(bands.join(shared, "key"), "members")
+    needed = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = sketch(docs.join(needed, "doc_id").select("doc_id", "text"), k, keep_sets=True).select("doc_id", "hashes")
+    sets = materialise(sets, "sets")  # the only shuffle of texts
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = materialise(star, "star")
-    links = materialise(_verified(star, docs, classes, k, percent), "links")
+    links = materialise(_verified(star, sets, classes, percent), "links")
     joined = components(links)
     # pairs of a bucket whose classes aren't joined yet
     named = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_ = materialise(named.join(mixed, "key"), "open")
-    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-    rest = open_.withColumnRenamed("rep", "a").join(right, "key").where("component <> other and a < b").select("a", "b").distinct()
-    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    own = _own(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    sizes = classes.select("rep", "n_shingles").join(own.withColumnRenamed("doc_id", "rep"), "rep", "left").select("rep", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    # |x & y| is at most either's shingles that others have, and links need sizes within the threshold of each other
+    able = open_.join(sizes.where(f"100 * common * 100 >= {percent} * (n * {percent} + (n - common) * 100)"), "rep")
+    able = able.groupBy("rep").agg(F.first("component").alias("component"))
+    rest = materialise(_blocks(able.join(components(star).select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep"), sets, percent), "rest")
     if rest.limit(1).count():
-        links = links.union(_verified(rest, docs, classes, k, percent))
-        joined = components(links)
+        joined = components(links.union(rest))
     label = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(label, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
