@@ -6,6 +6,8 @@ from .decontamination import op5_decontamination
 from .fingerprints import op8_fingerprints
 from .language_id import langid_pages, op6_language_id
 from .near_dedup import op7_near_dedup
+from .pii import op2_pii
+from .quality import op1_quality
 from .secret_scan import op3_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
 from .substring_dedup import op10_substring_dedup
@@ -13,7 +15,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {"op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "langid_pages": langid_pages}
+    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "langid_pages": langid_pages}
 
 
 def oracle_sql() -> dict[str, str]:
