@@ -1 +1,207 @@
-"""Registered below."""
+"""Queries that apply the scalar rules to columns of the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import text as T
+from ..registry import query
+from ..views import FILES, files, table
+
+c = F.col
+
+
+def _e(x, scale: float = 1e6):
+    """A double as a rounded whole number, so that both engines' last bits don't matter."""
+    return F.round(x * scale).cast("long")
+
+
+@query("parse_length", """select o_orderkey, txt, case o_orderkey % 6 when 0 then k when 1 then k // 60 * 60.0 + k % 60 when 2 then 60.0 * k when 3 then 3600 * (k + 0.5) when 4 then k end::double as seconds
+ from (select o_orderkey, (o_orderkey % 300)::bigint k, case o_orderkey % 6 when 0 then k::varchar when 1 then (k // 60) || ':' || lpad((k % 60)::varchar, 2, '0') when 2 then k || ' m' when 3 then k || ',5 h' when 4 then k || 's' else 'long' end txt from (select o_orderkey, o_orderkey % 300 k from orders))""")
+def parse_length(spark: SparkSession, sf: str) -> DataFrame:
+    k = (c("o_orderkey") % 300).cast("string")
+    n = c("o_orderkey") % 300
+    txt = F.when(c("o_orderkey") % 6 == 0, k).when(c("o_orderkey") % 6 == 1, F.concat(F.floor(n / 60).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))).when(c("o_orderkey") % 6 == 2, F.concat(k, F.lit(" m"))).when(c("o_orderkey") % 6 == 3, F.concat(k, F.lit(",5 h"))).when(c("o_orderkey") % 6 == 4, F.concat(k, F.lit("s"))).otherwise("long")
+    return table(spark, sf, "orders").select("o_orderkey", txt.alias("txt")).withColumn("seconds", T.parse_length(c("txt")))
+
+
+@query("parse_hz", "select p_partkey, case p_partkey % 4 when 0 then p_size when 1 then 1000.0 * p_size when 2 then 1000 * (p_size + 0.5) end::double hz from part")
+def parse_hz(spark: SparkSession, sf: str) -> DataFrame:
+    s = c("p_size").cast("string")
+    txt = F.when(c("p_partkey") % 4 == 0, F.concat(s, F.lit(" Hz"))).when(c("p_partkey") % 4 == 1, F.concat(s, F.lit("k"))).when(c("p_partkey") % 4 == 2, F.concat(s, F.lit(",5 kHz"))).otherwise("-3")
+    return table(spark, sf, "part").select("p_partkey", T.parse_hz(txt).alias("hz"))
+
+
+@query("hz_text", "select s_suppkey, case when s_suppkey % 3 = 0 then (s_suppkey + 20)::varchar when s_suppkey % 3 = 1 then regexp_replace(((s_suppkey + 20) * 0.25)::decimal(18,3)::varchar, '[.]?0+$', '') || 'k' else regexp_replace(((s_suppkey + 20) * 0.25)::decimal(18,3)::varchar, '[.]?0+$', '') || 'M' end label from supplier where s_suppkey % 3 = 0 and (s_suppkey + 20) % 10 <> 0 or s_suppkey % 3 > 0")
+def hz_text(spark: SparkSession, sf: str) -> DataFrame:
+    k = c("s_suppkey") + 20
+    hz = F.when(c("s_suppkey") % 3 == 0, k.cast("double")).when(c("s_suppkey") % 3 == 1, k * 250.0).otherwise(k * 250000.0)
+    return table(spark, sf, "supplier").where("s_suppkey % 3 > 0 or (s_suppkey + 20) % 10 <> 0").select("s_suppkey", N.hz_text(hz).alias("label"))
+
+
+@query("parse_speed", "select p_partkey, case p_partkey % 3 when 0 then p_size when 1 then 1 / p_size::double end::double speed from part")
+def parse_speed(spark: SparkSession, sf: str) -> DataFrame:
+    s = c("p_size").cast("string")
+    txt = F.when(c("p_partkey") % 3 == 0, F.concat(s, F.lit("x"))).when(c("p_partkey") % 3 == 1, F.concat(F.lit("1/"), s)).otherwise("fast")
+    return table(spark, sf, "part").select("p_partkey", N.parse_speed(txt).alias("speed"))
+
+
+@query("clock", "select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad((s // 60 % 60)::varchar, 2, '0') else (s // 60)::varchar end || ':' || lpad((s % 60)::varchar, 2, '0') elapsed from (select event_id, floor(value * 50)::bigint s from events)")
+def clock(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", N.clock(F.floor(c("value") * 50)).alias("elapsed"))
+
+
+@query("wall", "select event_id, strftime(timestamp '2024-01-01' + to_seconds(s % 86400), '%H:%M:%S') at_time from (select event_id, floor(value * 500)::bigint s from events)")
+def wall(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", N.wall(F.floor(c("value") * 500)).alias("at_time"))
+
+
+@query("time_of_day", "select l_orderkey, l_linenumber, lpad((ms // 3600000)::varchar, 2, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') shown from (select *, floor(l_extendedprice * 10)::bigint * 1000 // 48000 ms from lineitem)")
+def time_of_day(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.sample_time(F.floor(c("l_extendedprice") * 10), F.lit(48000)).alias("shown"))
+
+
+@query("clock_seconds", "select event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) as seconds from events")
+def clock_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    form = F.when(c("event_id") % 2 == 0, F.date_format("ts", "HH:mm:ss")).otherwise(F.date_format("ts", "HH-mm.ss"))
+    return table(spark, sf, "events").select("event_id", N.clock_seconds(form).alias("seconds"))
+
+
+@query("db", "select event_id, round(greatest(20 * log10(value / 400), -100) * 1e6)::bigint amplitude, round(greatest(10 * log10(value), -200) * 1e6)::bigint as power from events where value > 0")
+def db(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where("value > 0").select("event_id", _e(N.amplitude_db(c("value") / 400)).alias("amplitude"), _e(N.power_db(c("value"))).alias("power"))
+
+
+@query("lift_gain", "select event_id, round(case when value < 50 then -200 else value - 200 + 6 end * 1e6)::bigint as level from events")
+def lift_gain(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", _e(N.lifted(F.when(c("value") < 50, -200.0).otherwise(c("value") - 200), F.lit(6.0))).alias("level"))
+
+
+@query("frequency_axis", "select p_partkey, round((p_retailprice - 20) / 19980 * 1e6)::bigint as linear, round(ln(p_retailprice / 20) / ln(1000) * 1e6)::bigint as logarithmic, round(20 * pow(1000, (p_retailprice - 20) / 19980) * 1e6)::bigint back from part")
+def frequency_axis(spark: SparkSession, sf: str) -> DataFrame:
+    hz = c("p_retailprice")
+    place = N.frequency_place(hz, 20.0, 20000.0, False)
+    return table(spark, sf, "part").select("p_partkey", _e(place).alias("linear"), _e(N.frequency_place(hz, 20.0, 20000.0, True)).alias("logarithmic"), _e(N.frequency_at(place, 20.0, 20000.0, True)).alias("back"))
+
+
+@query("gain_linear", "select event_id, round(pow(10, (value / 10 - 20) / 20) * 1e6)::bigint gain, round(pow(2, (value / 10 - 20) / 12) * 1e6)::bigint pitch, round(greatest(0, least(1, (value / 10 - 20 + 60) / 60)) * 1e6)::bigint meter from events")
+def gain_linear(spark: SparkSession, sf: str) -> DataFrame:
+    x = c("value") / 10 - 20
+    return table(spark, sf, "events").select("event_id", _e(N.gain(x)).alias("gain"), _e(N.hz_scale(x)).alias("pitch"), _e(N.meter_position(x)).alias("meter"))
+
+
+@query("ns_timestamp", "select o_orderkey, ((o_orderkey::hugeint * 7919 * 1000000000 + 44099) // 44100)::bigint ns, (o_orderkey::hugeint * 7919 * 48000 // 44100)::bigint as rescaled from orders")
+def ns_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    frame = c("o_orderkey") * 7919
+    return table(spark, sf, "orders").select("o_orderkey", N.nanoseconds(frame, F.lit(44100)).alias("ns"), N.rescaled(frame, F.lit(44100), F.lit(48000)).alias("rescaled"))
+
+
+@query("legal_rates", """with recursive r as (select p_partkey, (p_size * 12345)::bigint rate from part), h as (select p_partkey, rate from r union all select p_partkey, rate // 2 from h where rate > 200000)
+ select r.p_partkey, coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= r.rate)), 48000)::bigint mp3, min(h.rate)::bigint vorbis, regexp_replace((r.rate / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz' label from r join h using (p_partkey) group by all""")
+def legal_rates(spark: SparkSession, sf: str) -> DataFrame:
+    rate = (c("p_size") * 12345).cast("long")
+    return table(spark, sf, "part").select("p_partkey", N.mp3_rate(rate).cast("long").alias("mp3"), N.vorbis_rate(rate).alias("vorbis"), N.khz_text(rate).alias("label"))
+
+
+@query("split_ext", f"with {FILES} select rec_id, regexp_extract(name, '^(.+)[.]([^.]*)$', 1) stem, regexp_extract(name, '^(.+)[.]([^.]*)$', 2) ext from files")
+def split_ext(spark: SparkSession, sf: str) -> DataFrame:
+    return files(spark, sf).select("rec_id", T.stem(c("name")).alias("stem"), T.extension(c("name")).alias("ext"))
+
+
+@query("numerals", """select p_partkey, case when k = 0 then '' when k <= 26 then chr(96 + k::int) else chr((96 + (k - 1) // 26)::int) || chr((97 + (k - 1) % 26)::int) end letters,
+ case when k = 0 then '' else repeat('C', (k // 100)::int) || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][k // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][k % 10 + 1] end roman,
+ case when p_partkey % 2 = 1 then '-' else '' end || case when k < 100 then lpad(k::varchar, 3, '0') else k::varchar end padded from (select p_partkey, p_partkey % 300 k from part)""")
+def numerals(spark: SparkSession, sf: str) -> DataFrame:
+    k = c("p_partkey") % 300
+    minus = F.when(c("p_partkey") % 2 == 1, -k).otherwise(k)
+    sign = F.when((k == 0) & (c("p_partkey") % 2 == 1), "-").otherwise("")
+    return table(spark, sf, "part").select("p_partkey", T.letters(k).alias("letters"), T.roman(k).alias("roman"), F.concat(sign, T.padded(minus, 3)).alias("padded"))
+
+
+@query("title_words", "select p_partkey, array_to_string(list_transform(regexp_extract_all(upper(p_name) || ' o''neil-' || p_type, '[A-Za-z0-9'']+|[^A-Za-z0-9'']+'), lambda x: upper(x[1]) || lower(x[2:])), '') title from part")
+def title_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", T.title_words(F.concat(F.upper("p_name"), F.lit(" o'neil-"), "p_type")).alias("title"))
+
+
+@query("insert_text", "select p_partkey, left(p_name, least(p_size, length(p_name) + 1) - 1) || '-' || substr(p_name, least(p_size, length(p_name) + 1)) put, case when p_size % 2 = 0 then p_name || '_' || p_brand else p_name end beside from part")
+def insert_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", T.inserted(c("p_name"), F.lit("-"), c("p_size")).alias("put"), T.beside(c("p_name"), F.when(c("p_size") % 2 == 0, c("p_brand")).otherwise(""), "_").alias("beside"))
+
+
+@query("valid_name", "select p_partkey, case p_partkey % 6 when 0 then 'empty' when 1 then 'edge space' when 2 then 'leading dot' when 3 then 'reserved' when 4 then case when strlen(p_name) * 30 > 255 then 'too long' end end problem from part")
+def valid_name(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = c("p_partkey") % 6, c("p_name")
+    name = F.when(k == 0, "  ").when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, F.concat(F.lit("."), n)).when(k == 3, F.concat(n, F.lit(":x"))).when(k == 4, F.repeat(F.replace(n, F.lit(" "), F.lit("_")), F.lit(30))).otherwise(n)
+    return table(spark, sf, "part").select("p_partkey", T.name_problem(name).alias("problem"))
+
+
+@query("size_text", "select o_orderkey, case when b >= 100000000 then round(b::decimal(20,0) / 1000000)::bigint || ' MB' else (b // 100000 // 10) || '.' || (b // 100000 % 10) || ' MB' end as shown from (select o_orderkey, floor(o_totalprice)::bigint * 1000 // 100000 * 100000 b from orders) where b % 1000000 <> 500000 or b < 100000000")
+def size_text(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.expr("floor(o_totalprice) * 1000 div 100000 * 100000")
+    return table(spark, sf, "orders").select("o_orderkey", b.alias("b")).where("b % 1000000 <> 500000 or b < 100000000").select("o_orderkey", N.size_text(c("b")).alias("shown"))
+
+
+@query("chapter_key", "select o_orderkey, case when o_orderkey % 4 < 3 then o_orderkey % 100 end::bigint n, case o_orderkey % 4 when 0 then '' when 1 then 'NAME' when 2 then 'END' end part from orders")
+def chapter_key(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.lpad((c("o_orderkey") % 100).cast("string"), 3, "0")
+    key = F.when(c("o_orderkey") % 4 == 0, F.concat(F.lit("CHAPTER"), k)).when(c("o_orderkey") % 4 == 1, F.concat(F.lit("chapter"), k, F.lit("name"))).when(c("o_orderkey") % 4 == 2, F.concat(F.lit("Chapter"), k, F.lit("End"))).otherwise("TITLE")
+    n, part = T.chapter_key(key)
+    return table(spark, sf, "orders").select("o_orderkey", n.alias("n"), part.alias("part"))
+
+
+@query("comment_key", "select doc_id, regexp_replace(left(text, 40), '[^ -<>-}]', '_', 'g') as key from documents")
+def comment_key(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.comment_key(F.substring("text", 1, 40)).alias("key"))
+
+
+@query("number_split", "select p_partkey, p_size::varchar number, case when p_partkey % 2 = 0 then (p_size + 3)::varchar end total from part")
+def number_split(spark: SparkSession, sf: str) -> DataFrame:
+    s = c("p_size").cast("string")
+    txt = F.when(c("p_partkey") % 2 == 0, F.concat(s, F.lit(" / "), (c("p_size") + 3).cast("string"))).otherwise(s)
+    n, total = T.number_split(txt)
+    return table(spark, sf, "part").select("p_partkey", n.alias("number"), total.alias("total"))
+
+
+@query("nice_step", "select o_orderkey, round(p * case when x <= 1.000000001 then 1 when x <= 2.000000002 then 2 when x <= 2.5000000025 then 2.5 when x <= 5.000000005 then 5 else 10 end * 1e6)::bigint step from (select o_orderkey, pow(10, floor(log10(o_totalprice / 12))) p, o_totalprice / 12 / p x from orders)")
+def nice_step(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", _e(N.nice_step(c("o_totalprice"), F.lit(12))).alias("step"))
+
+
+@query("animal_change", "select p_partkey, round(greatest(0, least(1, case when hz > 20000 then ln(hz / 20000) / ln(5) when hz < 20 then log2(20 / hz) else 0 end)) * 1e6)::bigint change from (select p_partkey, case when p_partkey % 2 = 0 then p_size * 2500.0 else p_size::double end hz from part)")
+def animal_change(spark: SparkSession, sf: str) -> DataFrame:
+    hz = F.when(c("p_partkey") % 2 == 0, c("p_size") * 2500.0).otherwise(c("p_size").cast("double"))
+    return table(spark, sf, "part").select("p_partkey", _e(N.animal_change(hz)).alias("change"))
+
+
+@query("nearest_bin", "select o_orderkey, case when hz <= 23.4375 * 1024.5 then least(round(hz / 23.4375), 1024)::bigint end bin from (select o_orderkey, o_totalprice / 10 hz from orders)")
+def nearest_bin(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", N.nearest_bin(c("o_totalprice") / 10, F.lit(23.4375), 1025).alias("bin"))
+
+
+@query("pack_position", "select l_orderkey, l_linenumber, (l_linenumber::bigint << 48) | l_partkey packed from lineitem")
+def pack_position(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.packed(c("l_linenumber"), c("l_partkey")).alias("packed"))
+
+
+@query("clamp_view", "select l_orderkey, l_linenumber, greatest(0, least(s, 10000 - n))::bigint as start, n::bigint as length from (select l_orderkey, l_linenumber, l_partkey * 40 - 500 s, least(greatest((l_quantity * 3)::bigint, 64), 10000) n from lineitem)")
+def clamp_view(spark: SparkSession, sf: str) -> DataFrame:
+    start, length = N.view(c("l_partkey") * 40 - 500, (c("l_quantity") * 3).cast("long"), F.lit(10000).cast("long"), 48000)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start"), length.alias("length"))
+
+
+@query("summary", "select p_partkey, array_to_string(list_filter([p_brand, case when p_size % 2 = 0 then p_type end, p_size || ' s'], lambda x: x is not null), ' · ') line from part")
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.concat_ws(" · ", "p_brand", F.when(c("p_size") % 2 == 0, c("p_type")), F.concat(c("p_size").cast("string"), F.lit(" s"))).alias("line"))
+
+
+@query("recorder_date", "select o_orderkey, case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%d') || ' 21:30:00' end as found from orders")
+def recorder_date(spark: SparkSession, sf: str) -> DataFrame:
+    comment = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("Recorded at 21:30:00 "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" (UTC+1) by a recorder"))).otherwise("none")
+    return table(spark, sf, "orders").select("o_orderkey", T.recorder_date(comment).alias("found"))
+
+
+@query("speed_limits", "select p_partkey, round(4.8 / p_size * 1e9)::bigint slowest, round(1e7 / p_size * 1e3)::bigint fastest from part")
+def speed_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", _e(4.8 / c("p_size"), 1e9).alias("slowest"), _e(1e7 / c("p_size"), 1e3).alias("fastest"))
