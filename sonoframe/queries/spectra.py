@@ -1 +1,57 @@
-"""Registered below."""
+"""Queries over spectra: `embeddings` as recordings of 64 frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import spectral as P
+from ..registry import query
+from ..views import signal, table
+
+c = F.col
+_DFT = """(select vec_id rec_id, k, pow(list_sum(list_transform(generate_series(0, {n} - 1), lambda i: x[i + 1] * w[i + 1] * cos(2 * pi() / {n} * k * i))), 2) + pow(list_sum(list_transform(generate_series(0, {n} - 1), lambda i: x[i + 1] * w[i + 1] * sin(2 * pi() / {n} * k * i))), 2) p
+ from (select vec_id, {x} x, list_transform(generate_series(0, {n} - 1), lambda i: 0.5 - 0.5 * cos(2 * pi() * i / {n})) w, unnest(generate_series(0, {n} // 2)) k from embeddings))"""
+_MILLI = "round(greatest(10 * log10({p}), -200) * 1e3)::bigint"
+
+
+def _arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), c("embedding").cast("array<double>").alias("samples"))
+
+
+@query("spectrum_dft", f"select rec_id, k::bigint bin, round(p * pow(2 / 32.0, 2) * 1e9)::bigint as power from {_DFT.format(n=64, x='embedding::double[]')}")
+def spectrum_dft(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _arrays(spark, sf).select("rec_id", F.posexplode(P.dft_power(c("samples"), 64)).alias("bin", "p"))
+    return rows.select("rec_id", c("bin").cast("long").alias("bin"), F.round(c("p") * 1e9).cast("long").alias("power"))
+
+
+@query("spectrum_avg", f"select rec_id, k::bigint bin, {_MILLI.format(p='sum(p) * pow(2 / 8.0, 2) / 8')} as level from (" + " union all ".join("select * from " + _DFT.format(n=16, x=f"embedding[{1 + w * 8}:{16 + w * 8}]::double[] || [0.0::double, 0, 0, 0, 0, 0, 0, 0]") for w in range(8)) + ") group by rec_id, k")
+def spectrum_avg(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.average_spectrum(_arrays(spark, sf).withColumn("centre", F.lit(28)), 16)
+    return rows.select("rec_id", F.posexplode("levels").alias("bin", "level")).select("rec_id", c("bin").cast("long").alias("bin"), F.round(c("level") * 1e3).cast("long").alias("level"))
+
+
+@query("spectrogram_max", f"select rec_id, (w // 4)::bigint as \"column\", k::bigint bin, {_MILLI.format(p='max(p) * pow(2 / 8.0, 2)')} as level from (" + " union all ".join(f"select *, {w} w from " + _DFT.format(n=16, x=(f"embedding[{4 * (2 * w + 1) // 1 - 8 + 1}:{4 * (2 * w + 1) + 8}]::double[]" if w else "[0.0::double, 0, 0, 0] || embedding[1:12]::double[]") + (" || [0.0::double, 0, 0, 0]" if w == 7 else "")) for w in range(8)) + ") group by rec_id, w // 4, k")
+def spectrogram_max(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signal(spark, sf)
+    lengths = rows.groupBy("rec_id").agg((F.max("frame") + 1).alias("frames"))
+    out = P.spectrogram(P.blocks(rows, 32), lengths, 2, 16, group=1)
+    return out.select("rec_id", "column", F.posexplode("levels").alias("bin", "level")).withColumn("bin", c("bin").cast("long")).withColumn("level", F.round(c("level") * 1e3).cast("long"))
+
+
+@query("band_keep", "select p_partkey, round(case when o >= 1 then 0 else 0.5 + 0.5 * cos(o * pi()) end * 1e6)::bigint keep from (select p_partkey, greatest(1000 - p_retailprice, p_retailprice - 1300, 0) / 100 o from part)")
+def band_keep(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.round(P.band_kept(c("p_retailprice"), 1000.0, 1300.0, 50.0) * 1e6).cast("long").alias("keep"))
+
+
+@query("floor_gate", "select event_id, case when value - 200 <= -60 then 0 else 1 end::bigint hard, round(t * t * (3 - 2 * t) * 1e6)::bigint soft from (select event_id, value, greatest(0, least(1, (value - 200 + 60) / 6)) t from events)")
+def floor_gate(spark: SparkSession, sf: str) -> DataFrame:
+    level = c("value") - 200
+    return table(spark, sf, "events").select("event_id", P.gated(level, F.lit(-60.0), False).cast("long").alias("hard"), F.round(P.gated(level, F.lit(-60.0), True) * 1e6).cast("long").alias("soft"))
+
+
+@query("stft_filter", "select vec_id rec_id, unnest(generate_series(0, 63))::bigint frame, round(unnest(embedding)::double * 1e6)::bigint x from embeddings")
+def stft_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """All bins let through: what comes out is what went in."""
+    rows = P.stft_filter(_arrays(spark, sf), [1.0] * 17)
+    return rows.select("rec_id", F.posexplode("samples").alias("frame", "x")).select("rec_id", c("frame").cast("long").alias("frame"), F.round(c("x") * 1e6).cast("long").alias("x"))
