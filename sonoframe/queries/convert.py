@@ -1 +1,114 @@
-"""Registered below."""
+"""Queries over the conversion planner: `part` as files in every shape, `lineitem` as their markers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..plans import convert as V
+from ..registry import query
+from ..views import FILES, files, table
+
+c = F.col
+FORMATS, RATES, CODINGS, DEPTHS = ("wav", "flac", "m4a", "mp3", "ogg", "caf"), (8000, 44100, 48000, 96000, 705600), ("int", "float", "lossy"), ("as file", "16", "24", "float")
+
+
+def _pick(values: tuple, by: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.expr(by) % len(values)).cast("int") + 1)
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select(
+        "p_partkey", _pick(FORMATS, "p_partkey").alias("format"), _pick(RATES, "p_partkey div 6").cast("long").alias("rate"), (c("p_size") % 10 + 1).cast("long").alias("channels"),
+        _pick(CODINGS, "p_partkey div 30").alias("coding"), _pick((8, 16, 20, 24, 32), "p_size").cast("long").alias("bits"),
+        F.when(c("p_partkey") % 7 == 0, F.lit(96000)).cast("long").alias("wanted_rate"), _pick(DEPTHS, "p_size div 5").alias("wanted_depth"),
+    )
+    return V.shape(rows)
+
+
+_SHAPES = """src as (select p_partkey, ['wav','flac','m4a','mp3','ogg','caf'][p_partkey % 6 + 1] format, [8000,44100,48000,96000,705600][p_partkey // 6 % 5 + 1]::bigint rate, p_size % 10 + 1 channels,
+ ['int','float','lossy'][p_partkey // 30 % 3 + 1] coding, [8,16,20,24,32][p_size % 5 + 1]::bigint bits, case when p_partkey % 7 = 0 then 96000 end wanted_rate, ['as file','16','24','float'][p_size // 5 % 4 + 1] wanted from part),
+ a as (select *, coalesce(wanted_rate, rate) asked, format in ('wav', 'caf') can_float from src),
+ b as (select *, case format when 'mp3' then coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= asked)), 48000) when 'ogg' then case when asked > 400000 then asked // 4 when asked > 200000 then asked // 2 else asked end else asked end::bigint to_rate,
+ case wanted when '16' then 16 when '24' then 24 when 'float' then case when can_float then 32 else 24 end else case coding when 'int' then bits when 'float' then case when can_float then 32 else 24 end else 16 end end depth,
+ can_float and (wanted = 'float' or wanted = 'as file' and coding = 'float') is_float from a),
+ shapes as (select *, case when format in ('mp3', 'ogg') or is_float then null when format = 'm4a' then case when depth <= 16 then 16 when depth <= 20 then 20 when depth <= 24 then 24 else 32 end when format = 'flac' then greatest(4, least(depth, 32)) else least(greatest(ceil(depth / 8) * 8, 8), 32) end::bigint to_bits,
+ format in ('mp3', 'ogg') or is_float to_float, case when channels > case format when 'flac' then 8 when 'm4a' then 8 when 'mp3' then 2 when 'ogg' then 255 else 65535 end then 'too many channels' when format = 'flac' and to_rate > 655350 then 'rate too high' end error from b)"""
+_KHZ = "regexp_replace(({x} / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz'"
+
+
+@query("plan_shape", f"with {_SHAPES} select p_partkey, to_rate, to_bits, to_float, error, array_to_string(list_filter([case when to_rate <> rate then {_KHZ.format(x='to_rate')} || ' from ' || {_KHZ.format(x='rate')} end, case when coding = 'int' and to_bits <> bits then to_bits || ' bits from ' || bits end, case when format in ('mp3', 'ogg') and coding = 'lossy' then 'encoded again' end], lambda x: x is not null), '; ') changes from shapes")
+def plan_shape(spark: SparkSession, sf: str) -> DataFrame:
+    return _shapes(spark, sf).select("p_partkey", "to_rate", "to_bits", "to_float", "error", F.array_join("changes", "; ").alias("changes"))
+
+
+@query("needs_peak", f"with {_SHAPES} select p_partkey, not to_float and (coding <> 'int' or to_rate <> rate) needed from shapes")
+def needs_peak(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _shapes(spark, sf)
+    return rows.select("p_partkey", V.needs_peak(rows).alias("needed"))
+
+
+@query("lost_features", "select p_partkey, array_to_string(list_filter(case when p_partkey % 2 = 0 then ['lengths', 'notes', 'pictures'] else ['notes'] end, lambda x: list_contains(case p_partkey % 6 when 0 then ['pictures'] when 1 then []::varchar[] when 2 then ['lengths', 'notes'] when 3 then ['lengths', 'notes'] when 4 then ['lengths'] else ['notes', 'pictures'] end, x)), ',') lost from part")
+def lost_features(spark: SparkSession, sf: str) -> DataFrame:
+    has = F.when(c("p_partkey") % 2 == 0, F.array(F.lit("lengths"), F.lit("notes"), F.lit("pictures"))).otherwise(F.array(F.lit("notes")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(V.lost(_pick(FORMATS, "p_partkey"), has), ",").alias("lost"))
+
+
+@query("rescale_positions", "select l_orderkey, l_linenumber, (l_partkey::hugeint * 12345678 * 48000 // 44100)::bigint frame, ((l_quantity * 1000)::bigint::hugeint * 48000 // 44100)::bigint length from lineitem")
+def rescale_positions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (c("l_partkey") * 12345678).alias("frame"), (c("l_quantity") * 1000).cast("long").alias("length"), F.lit(44100).alias("rate"), F.lit(48000).alias("to"))
+    return V.carried(rows, "rate", "to").drop("rate", "to")
+
+
+_MARKS = "marks as (select l_orderkey rec_id, 'm' || l_linenumber label, (l_quantity * 1000)::bigint frame from lineitem)"
+
+
+@query("carry_check", f"with {_MARKS}, out as (select rec_id, label, frame + case when frame % 3000 = 0 then 60 when frame % 2000 = 0 then 44 else 0 end frame from marks) select rec_id, label, frame from marks b where not exists (select 1 from out a where a.rec_id = b.rec_id and a.label = b.label and abs(a.frame - b.frame) * 1000 <= 48000)")
+def carry_check(spark: SparkSession, sf: str) -> DataFrame:
+    before = table(spark, sf, "lineitem").select(c("l_orderkey").alias("rec_id"), F.concat(F.lit("m"), c("l_linenumber").cast("string")).alias("label"), (c("l_quantity") * 1000).cast("long").alias("frame"))
+    after = before.withColumn("frame", c("frame") + F.when(c("frame") % 3000 == 0, 60).when(c("frame") % 2000 == 0, 44).otherwise(0))
+    return V.lost_markers(before, after, 48000)
+
+
+@query("next_free_name", f"with {FILES}, w as (select folder, rec_id place, lower(split_part(name, ' ', 1)) stem from files), n as (select *, row_number() over (partition by folder, stem order by place) k from w) select folder, place, case when k = 1 then stem else stem || ' ' || k end || '.flac' as name from n")
+def next_free_name(spark: SparkSession, sf: str) -> DataFrame:
+    rows = files(spark, sf)
+    wanted = rows.select("folder", c("rec_id").alias("place"), F.lower(F.split("name", " ")[0]).alias("stem"), F.lit("flac").alias("ext"))
+    return V.free_names(wanted, rows.select("folder", "name"))
+
+
+def _arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), c("embedding").cast("array<double>").alias("samples"))
+
+
+@query("sample_hash")
+def sample_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return V.sample_hash(_arrays(spark, sf))
+
+
+@query("resample_length", "select vec_id rec_id, (64 * 48000 // 44100)::int frames from embeddings")
+def resample_length(spark: SparkSession, sf: str) -> DataFrame:
+    return V.converted(_arrays(spark, sf), 44100, 48000, 16).select("rec_id", F.size("samples").alias("frames"))
+
+
+@query("nearest_preset", "select p_partkey, arg_min(speed, abs(ln(speed) - ln(p_size / 10))) speed from part, (select unnest([0.125, 0.25, 0.5, 1, 2, 4])::double speed) group by p_partkey, p_size")
+def nearest_preset(spark: SparkSession, sf: str) -> DataFrame:
+    presets = F.array(*map(F.lit, (0.125, 0.25, 0.5, 1.0, 2.0, 4.0)))
+    near = F.array_min(F.transform(presets, lambda x: F.struct(F.abs(F.ln(x) - F.ln(c("p_size") / 10)).alias("off"), x.alias("speed"))))
+    return table(spark, sf, "part").select("p_partkey", near["speed"].alias("speed"))
+
+
+@query("first_markers", "select l_orderkey, frame, row_number() over (partition by l_orderkey order by frame, l_linenumber, l_partkey)::bigint id from (select *, (l_quantity * 100)::bigint frame from lineitem) qualify id <= 3")
+def first_markers(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("frame", "l_linenumber", "l_partkey")
+    rows = table(spark, sf, "lineitem").withColumn("frame", (c("l_quantity") * 100).cast("long"))
+    return rows.select("l_orderkey", "frame", F.row_number().over(order).cast("long").alias("id")).where("id <= 3")
+
+
+@query("next_marker_id", "select o_orderkey, coalesce(max(l_linenumber), 0)::bigint + 1 next_id from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+def next_marker_id(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey"), "left")
+    return rows.groupBy("o_orderkey").agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + F.lit(1).cast("long")).alias("next_id"))
