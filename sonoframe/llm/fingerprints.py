@@ -96,7 +96,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * BLOCK // max(n, 1))
+    width = min(max(1, ((hi or 0) - (lo or 0) + 1) * BLOCK // max(n, 1)), 2**62)
     block = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(2**63)))
     docs = docs.withColumn("block", block)
     next_block = _next_block(docs.groupBy("block").agg(F.count("*").alias("n")))

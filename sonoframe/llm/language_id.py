@@ -150,9 +150,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs whose language is identified, with that language as lang; rows without an id stay as they are."""
-    found = identify(document_evidence(docs)).select("doc_id", F.when(F.col("accepted"), F.col("lang")).alias("found")).dropDuplicates(["doc_id"])
-    out = docs.join(found.where("doc_id is not null"), "doc_id", "left").where("doc_id is null or found is not null")
-    return out.withColumn("lang", F.coalesce("found", "lang")).select(*docs.columns)
+    found = identify(document_evidence(docs)).select("doc_id", F.when(F.col("accepted"), F.col("lang")).alias("_found_lang")).dropDuplicates(["doc_id"])
+    out = docs.join(found.where("doc_id is not null"), "doc_id", "left").where("doc_id is null or _found_lang is not null")
+    return out.withColumn("lang", F.coalesce("_found_lang", "lang")).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,8 @@ def labelled_samples(ordinary: DataFrame, text_col: str = "text", n_random: int
     return random.unionByName(base.select(F.explode(tokens).alias("token"), F.lit(False).alias("random")))
 
 
-def with_spans(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 10.0) -> DataFrame:
-    """docs with `spans`, sorted (start, kind, end); least: the log-likelihood ratio that a token has to pass."""
+def with_spans(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 10.0, out: str = "spans") -> DataFrame:
+    """docs with a column of spans, sorted (start, kind, end); least: the log-likelihood ratio that a token has to pass."""
     k = len(ALPHABET)
     low, t = F.lower(F.col(text)), F.col(text)
     named = F.lit(False)
@@ -118,7 +118,7 @@ def with_spans(docs: DataFrame, ratios: list[float], text: str = "text", least:
     docs = docs.withColumn("_random", F.transform("_tokens", lambda x: ratio(x) >= least))
     docs = docs.withColumn("_found", F.when(F.exists("_random", lambda x: x), _spans(t, TOKEN, 3, F.col("_random"))).otherwise(none))
     apart = F.filter("_found", lambda x: ~F.exists("_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return docs.withColumn("spans", F.array_sort(F.concat("_base", apart))).drop("_assign", "_access", "_hex", "_tokens", "_random", "_found", "_base")
+    return docs.withColumn(out, F.array_sort(F.concat("_base", apart))).drop("_assign", "_access", "_hex", "_tokens", "_random", "_found", "_base")
 
 
 def written(spans: Column) -> Column:
@@ -138,19 +138,19 @@ def scan(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col:
 def redact(docs: DataFrame, samples: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret in `text` replaced by a mark, overlapping ones by one; n_chars follows."""
     columns = docs.columns
-    docs = with_spans(docs, train(samples))
+    docs = with_spans(docs, train(samples), out="_secrets")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
+    text, any_ = F.col("text"), F.size("_secrets") > 0
 
     def cut(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    docs = docs.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+    clean = F.aggregate("_secrets", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    docs = docs.withColumn("text", F.when(any_, clean).otherwise(text))
     if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        docs = docs.withColumn("n_chars", F.when(any_, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.select(*columns)
 
 
