@@ -2,8 +2,8 @@
 
 The corpus is read twice without shuffling a text. The first pass counts, over all documents, the 3-grams that a
 fixed-size bit table of the benchmark's 3-grams lets through. An item's seeds are its grams that are rare in the
-corpus (a hundred-thousandth of the words at most) or not much more common than the item's median gram: an item that
-leaked into many documents keeps its seeds. The second pass lets the seeds' bit table choose passages around hits; a
+corpus (a hundred-thousandth of the words at most, or a few) or not much more common than the median of the item's
+grams that occur: an item that leaked into many documents keeps its seeds. The second pass lets the seeds' bit table choose passages around hits; a
 join of seed hashes then says which item each passage may hold, and local alignment of words (match 2, mismatch and
 gap -1) scores it. An item counts as leaked if the score reaches half of what its whole text would score. Two shared
 seeds are asked for, one if any item has fewer than eight: a copy edited so often that fewer are left scores 0.5 at most.
@@ -28,6 +28,8 @@ from .common import Words, materialise, read_table, signed, slices, text_column
 
 GRAM = 3
 RARE = 1e-5
+#: Occurrences that are rare in a corpus of any size.
+FEW = 16.0
 SHORT = 8
 BITS = 22
 SCORE = 0.5
@@ -133,9 +135,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: s
     grams = items.select("item_id", F.explode("grams").alias("gram")).distinct()
     counts = materialise(gram_counts(docs, grams.select("gram")), "counts")
     counted = counts.where("gram is null").agg(F.sum("n")).first()[0] or 0
-    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = grams.join(counts, "gram")
     median = F.percentile_approx("n", 0.5).over(Window.partitionBy("item_id"))
-    rare = F.greatest(F.lit(RARE * counted), 4 * F.col("median"))
+    rare = F.greatest(F.lit(RARE * counted), F.lit(FEW), 4 * F.col("median"))
     seeds = materialise(known.withColumn("median", median).where(F.col("n") <= rare).select("item_id", "gram"), "seeds")
     least = 1 if seeds.groupBy("item_id").count().where(f"count < {SHORT}").limit(1).count() else 2
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
