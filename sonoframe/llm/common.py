@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled by numpy at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of one Arrow batch.
+BATCH_ROWS = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -44,7 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_column(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with nulls in the text column taken as empty."""
+    """df with nulls in the text column taken as empty. Arrow batches, if the session has their default size, get fewer rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # rows are whole texts or sets here, not numbers
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 

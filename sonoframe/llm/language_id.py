@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, slices
+from .common import materialise, read_table, slices, text_column
 
 BINS = 1 << 15
 #: Expected declared rows that the trigram models are fitted on.
@@ -100,8 +100,7 @@ def _best(scores: str | Column, langs: list[str]) -> Column:
 
 def identify(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, text, declared, host, suffix): doc_id, lang, confidence, accepted, text_lang."""
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
+    rows = text_column(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
     declared = rows.where("declared is not null")
     every = max(1, declared.count() // SAMPLE)
     langs, model = fit(declared.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, slices
+from .common import materialise, read_table, slices, text_column
 
 CLASSES = 64
 BEGIN = CLASSES - 1
@@ -137,7 +137,7 @@ def _scored(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and keep of every row of (doc_id, text, lang); trusted: (doc_id)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
     model = fit(docs.where("lang is not null").join(trusted, "doc_id", "left_semi"))
     if len(model) > LANGUAGES:
