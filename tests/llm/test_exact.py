@@ -1,0 +1,235 @@
+"""Operators with exact contracts against brute force on whole small tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from sonoframe.llm import fingerprints, near_dedup, pii, secret_scan, sentencepiece_bpe, substring_dedup
+
+from .conftest import frame, prose
+
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
+def pii_base(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_pii_patterns_on_random_strings():
+    rng = random.Random(3)
+    bits = ["1", "22", "255", "300", ".", "@", "a", "b.c", "-", " ", "+", "(", ")", "4111111111111111", "x@y.zz", "é", "\n", "+1 (977) 555-0277", "1.2.3.4", "%"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == pii_base(t), t
+
+
+def test_pii(documents, texts):
+    found = pii.spans(documents).collect()
+    for r in found:
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii_base(texts[r["doc_id"]])]
+        assert r["base_sha256"] == sha(",".join(base)) and set(base) <= set(r["spans"].split(",")) | {""}
+        assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len(base)
+    assert sum(r["n_model"] for r in found) <= 0.1 * sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in found)
+
+
+def test_pii_gradient():
+    import numpy as np
+
+    rng, net = np.random.default_rng(0), pii.Tagger()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    code, tags = rng.integers(0, 99, (3, 10)), rng.integers(0, pii.TAGS, (3, 10))
+    _, grads = net.gradients(code, tags)
+    for k, v in net.p.items():
+        at = tuple(rng.integers(0, n) for n in v.shape) if k != "embed" else (int(code[0, 0]), 3)
+        old, loss = v[at], []
+        for e in (1e-2, -1e-2):
+            v[at] = old + e
+            loss.append(net.gradients(code, tags)[0])
+        v[at] = old
+        assert abs((loss[0] - loss[1]) / 2e-2 - grads[k][at]) < 1e-3
+
+
+def test_pii_model_learns_forms_that_patterns_miss(spark):
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        phone = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        mail = f"{rng.choice('abcdef')}{rng.choice('xyz')}{rng.choice('mno')}.{rng.randint(1, 99)}@mail{rng.randint(0, 9)}.example.com"
+        rows.append((i, f"{prose(i, 12)} {phone if i % 2 else mail} {prose(i + 999, 12)}"))
+    tagger = pii.Tagger()
+    tagger.train(*pii.samples(frame(spark, rows)))
+    docs = frame(spark, [(1000, "call us on (415) 555-2671 at dawn"), (1001, "version 2.0 of 1999, 12 birds")])
+    found = {r["doc_id"]: r for r in pii.spans(docs, tagger).collect()}
+    assert found[1000]["n_phone"] == 0 and found[1000]["spans"] == "phone:11:25" and found[1001]["spans"] == ""
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def check_secrets(rows, texts):
+    for r in rows:
+        base = [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in secrets(texts[r["doc_id"]] or "")]
+        assert r["base_sha256"] == sha(",".join(base)), texts[r["doc_id"]][:200]
+        assert set(base) <= set(r["spans"].split(",")) | {""}
+
+
+def test_secrets(spark, sf, documents, texts):
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    check_secrets(secret_scan.scan(documents, samples).collect(), texts)
+    rng = random.Random(4)
+    bits = ["token", "Secret", "api_key", "APIKEY", "passwd", '"', "'", " ", ":", "=", "abcdef", "xy", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef0123456789", "é", ".", "-", "日", "\n"]
+    made = {i: "".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for i in range(1500)}
+    check_secrets(secret_scan.scan(frame(spark, list(made.items())), samples).collect(), made)
+
+
+def test_secrets_by_model_and_redaction(spark, sf):
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    docs = frame(spark, [(1, "key zX9kQ2mLp0Vt7RwYb4Ns8Fh3 in thetionandheredingtionation and my_variable_name_for_words x"), (2, "é token = 'abcdefg1' end")])
+    assert [r["spans"] for r in secret_scan.scan(docs, samples).orderBy("doc_id").collect()] == ["markov:4:28", "assign:2:19"]
+    assert [r["text"] for r in secret_scan.redact(docs, samples).orderBy("doc_id").collect()] == ["key [secret] in thetionandheredingtionation and my_variable_name_for_words x", "é [secret]' end"]
+
+
+def test_pieces(documents, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_bpe.model_bytes())
+    for r in sentencepiece_bpe.encode_documents(documents).collect():
+        ids = sp.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == sha(sp.decode(ids))
+
+
+def test_pieces_on_random_strings():
+    import sentencepiece
+
+    proto = sentencepiece_bpe.model_bytes()
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_proto=proto), sentencepiece_bpe.Codec(proto), random.Random(5)
+    bits = [" ", " ", "  ", "▁", "a", "b", "th", "e", "ing", "é", "ß", "①", "日", "\n", "\t", "\x00", "0", "1", "<s>", "<0x0A>", "ﬁ", "́", "😀", "==", "--", "0000"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        ids = codec.encode(t)
+        assert ids == sp.encode(t, add_bos=True, add_eos=True) and codec.decode(ids) == codec.decode_segments(codec.segments(t)) == sp.decode(ids), t
+    for _ in range(2000):
+        ids = [rng.randrange(32000) if rng.random() < 0.6 else rng.randrange(3, 259) for _ in range(rng.randint(0, 12))]
+        assert codec.decode(ids) == sp.decode(ids), ids
+
+
+def components_by_force(texts, k):
+    low = {d: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()) for d, w in low.items()}
+    parent, where = {d: d for d in sets}, defaultdict(list)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d in sorted(sets):
+        both = Counter(e for s in sets[d] for e in where[s])
+        for e, n in both.items():
+            if 100 * n >= 80 * (len(sets[d]) + len(sets[e]) - n):
+                a, b = root(d), root(e)
+                parent[max(a, b)] = min(a, b)
+        for s in sets[d]:
+            where[s].append(d)
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def near_copies(n):
+    """A base text and copies with ever more words changed, so that links form chains across the threshold."""
+    rng, base, out = random.Random(9), prose(50, 120).split(), {}
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(len(copy))] = rng.choice(("alpha", "beta", "gamma"))
+        out[i] = " ".join(copy)
+    return out
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates(spark, documents, texts, k):
+    every = texts | {10_000 + i: t for i, t in near_copies(300).items()}
+    found = near_dedup.near_duplicates(frame(spark, list(every.items())), k).collect()
+    expected = components_by_force(every, k)
+    for r in found:
+        assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_blocks_find_what_stars_miss(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    every = near_copies(200)
+    expected = components_by_force(every, 4)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, list(every.items())), 4).collect()} == {d: c for d, (_, c) in expected.items()}
+
+
+def test_estimates():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for j in (0.3, 0.6, 0.9):
+        n, both, found = 600, int(2 * 600 * j / (1 + j)), []
+        for _ in range(30):
+            values = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            a, b = near_dedup.registers([np.unique(values[:n]), np.unique(values[n - both :])])
+            found.append(near_dedup.estimate(a[None], b[None], np.array([n]), np.array([n]))[0])
+        assert abs(np.mean(found) - j) < 0.03 and np.std(found) < 0.07
+
+
+def test_fingerprints(documents, texts):
+    ids = sorted(texts, reverse=True)
+    shingles = lambda t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} if (w := words(t)) else set()
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    off = []
+    rows = {r["doc_id"]: r for r in fingerprints.edited_likeness(documents).collect()}
+    prints = {}
+    for i, d in enumerate(ids):
+        t, after, r = texts[d], texts[ids[(i + 1) % len(ids)]], rows[d]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == sha(edited) and prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        off += [abs(r["near_edited"] - like(shingles(t), shingles(edited))), abs(r["near_next"] - like(shingles(t), shingles(after)))]
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.03
+
+
+def test_fingerprints_of_blocks_and_one_document(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    made = {i * i * 7919: prose(i, 30) for i in range(50)}
+    ids = sorted(made, reverse=True)
+    for r in fingerprints.edited_likeness(frame(spark, list(made.items()))).collect():
+        t, after = made[r["doc_id"]], made[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        assert r["edited_sha256"] == sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+    assert fingerprints.edited_likeness(frame(spark, [(1, "abcd")])).first()["edited_sha256"] == sha("abab")
+
+
+@pytest.mark.parametrize("shuffled", [1, 5])
+def test_repeated_passages(spark, documents, texts, shuffled):
+    rng = random.Random(6)
+    shared, extra = [prose(70 + i, rng.randint(20, 90)) for i in range(12)], {}
+    for i in range(60):
+        extra[20_000 + i] = " ".join(x for j in range(3) for x in (prose(900 + 3 * i + j, rng.randint(0, 30)), rng.choice(shared)))
+    extra |= {30_000: "a " * 80, 30_001: " b".join(["a"] * 90), 30_002: "a b " * 60}
+    every = texts | extra
+    seen = Counter(tuple(w[i : i + 35]) for t in every.values() for w in [words(t)] for i in range(len(w) - 34))
+    for r in substring_dedup.repeated_passages(frame(spark, list(every.items())).repartition(shuffled)).collect():
+        w = words(every[r["doc_id"]])
+        gone = {i + j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), sha(kept)), r["doc_id"]
+        assert r["kept_text"] is None or r["kept_text"] == kept
