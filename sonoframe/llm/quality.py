@@ -139,13 +139,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     """doc_id, lang, n_bytes, perplexity, threshold and keep of every row of (doc_id, text, lang); trusted: (doc_id)."""
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
-    model = fit(docs.where("lang is not null").join(trusted, "doc_id", "left_semi"))
+    # the ids grow with the corpus: they are never broadcast, so that the plan is the same at every size
+    model = fit(docs.where("lang is not null").join(trusted.hint("merge"), "doc_id", "left_semi"))
     if len(model) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages; their tables are too large to give to every task")
     if not model:
         return docs.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     rows = materialise(_scored(docs, model), "scores")
-    known = rows.join(trusted, "doc_id", "left_semi")
+    known = rows.join(trusted.hint("merge"), "doc_id", "left_semi")
     means = known.where("n > 0").groupBy("model_lang").agg((F.sum("logp") / F.sum("n")).alias("mean"))
     perplexity = F.exp(-(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
     means = F.broadcast(means)  # LANGUAGES rows at most
