@@ -28,8 +28,8 @@ from .common import materialise, read_table, slices, text_column
 BINS = 1 << 15
 #: Expected declared rows that the trigram models are fitted on.
 SAMPLE = 4000
-#: Declarations that a language needs among them to count as one.
-LEAST = 20
+#: The share of them that has to declare a language for it to count as one.
+LEAST = 0.005
 #: Overlapping trigrams repeat each other's evidence: each counts for a third.
 TEMPER = 1 / 3
 #: Pseudo-counts with which a host leans on its suffix, and a suffix on the corpus.
@@ -68,7 +68,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = rows.select("text", "declared").mapInArrow(work, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = counts.toPandas()  # at most 32,769 rows a language, of a bounded sample
     docs = table[table.bin < 0].set_index("lang").n
-    langs = sorted(docs[docs >= LEAST].index)
+    langs = sorted(docs[docs >= LEAST * docs.sum()].index)
     ratio = np.full((len(langs), BINS), 0.5)
     for i, name in enumerate(langs):
         own = table[(table.lang == name) & (table.bin >= 0)]
