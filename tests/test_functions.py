@@ -69,3 +69,25 @@ def test_xml():
     xml = "<A><B>1 &lt; 2</B><C><D>x<E>y</C></Z><F><![CDATA[<raw>]]></F><G/>"
     assert M.leaves(xml) == [("A / B", "1 < 2"), ("A / C / D / E", "y"), ("A / F", "<raw>")]
     assert M.unescape("&#65;&#x42;&nope;&amp") == "AB&nope;&amp"
+
+
+def test_checksums_and_prediction(spark):
+    import numpy as np
+
+    from sonoframe.operators import fields as D
+
+    row = D.checksums(spark.createDataFrame([(1, bytearray(b"123456789"))], "k long, b binary"), "k", "b").first()
+    assert (row["crc8"], row["crc16"]) == (0xF4, 0xFEE8)
+    x = np.zeros(4000)
+    x[:2] = 1, 0.5
+    noise = np.random.default_rng(1).normal(size=4000)
+    for i in range(2, 4000):
+        x[i] = 1.2 * x[i - 1] - 0.5 * x[i - 2] + 0.1 * noise[i]
+    assert np.allclose(D.linear_prediction(x, 2), [1.2, -0.5], atol=0.05)
+
+
+def test_timeline(spark):
+    from sonoframe.operators import fields as D
+
+    packets = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 150, 100), (1, 2, 200, 100), (1, 3, 99999, 10), (1, 4, 5, 10)], "rec_id long, ord long, at long, frames long")
+    assert [(r["placed"], r["skipped"]) for r in D.timeline(packets, 480).orderBy("ord").collect()] == [(0, 0), (150, 0), (250, 50), (300, 0), (310, 10)]
