@@ -229,4 +229,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4).drop("class_id")

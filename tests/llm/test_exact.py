@@ -233,3 +233,18 @@ def test_repeated_passages(spark, documents, texts, shuffled):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), sha(kept)), r["doc_id"]
         assert r["kept_text"] is None or r["kept_text"] == kept
+
+
+@pytest.mark.parametrize("name", ["op7_near_dedup", "op10_substring_dedup"])
+def test_sql_gives_the_same_rows(spark, sf, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    answer, found = con.sql(entry.oracle_sql()[name]), entry.queries()[name](spark, sf)
+    columns = sorted(found.columns)
+    assert columns == sorted(answer.columns)
+    at = [answer.columns.index(c) for c in columns]
+    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(tuple(r[i] for i in at) for r in answer.fetchall())
