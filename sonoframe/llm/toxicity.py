@@ -22,7 +22,7 @@ from .common import Words, mix, read_table, slices, text_column
 
 BITS = 18
 BEGINNINGS = (4, 5, 6)
-SAMPLE = 10000
+SAMPLE = 5000
 FOLDS = 3
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +51,7 @@ class Linear:
 
     def __init__(self, bins: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3):
         n = np.diff(first)
-        row = np.repeat(np.arange(len(y)), n)
+        row = np.repeat(np.arange(len(y), dtype=np.int32), n)
         count = lambda w: np.bincount(bins, weights=w[row], minlength=1 << BITS)
         pos, neg = count(y), count(1 - y)
         ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
@@ -87,6 +87,9 @@ def _rows(bins: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.nda
 def fit_chain(bins: np.ndarray, first: np.ndarray, labels: np.ndarray) -> tuple[list[Linear], list[float]]:
     """A model for each column of labels, and for each the threshold on log-odds whose F-0.5 is best out of fold."""
     n = len(labels)
+    common = np.bincount(bins, minlength=1 << BITS)[bins] >= 3  # no model learns from rarer ones
+    first = np.concatenate([[0], np.cumsum(common)])[first]
+    bins = bins[common]
     fold = np.arange(n) % FOLDS
     extra, models, thresholds = np.zeros((n, 0)), [], []
     for y in labels.T.astype(float):
@@ -127,7 +130,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", *categories)  # few: SAMPLE small rows at most
     rows = rows.mapInArrow(gather, "doc_id long, bins array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
     lists = list(rows.bins)
-    bins = np.concatenate([*lists, []]).astype(np.int64)
+    bins = np.concatenate([*lists, np.zeros(0, dtype=np.int32)]).astype(np.int32)
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     models, thresholds = fit_chain(bins, first, rows[categories].to_numpy())
     packed = spark.sparkContext.broadcast([None if m is None else (m.w.astype(np.float32), m.extra, m.bias) for m in models])
