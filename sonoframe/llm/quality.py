@@ -1,19 +1,27 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a trigram model of 64 character classes (letters by case, digits, white space, kinds of punctuation,
-bytes beyond ASCII), one for each language, counted over all trusted documents. Grouping gives the counts and
-continuation counts, and joins sharded on language and context give each n-gram's discounted share and each
-context's weight for the next lower order. What they give is at most 64^3 numbers (1 MB) a language, so every task
-gets it as one table and scores whole texts with it. A document is kept if its perplexity is at most its language's
-quantile among trusted documents; short texts lean on their language's mean, as if PRIOR more characters had it.
+The model is a 5-gram model of bytes (digits alike) for each language, with every n-gram that trusted text holds.
+Both sides of the join are sharded on language and the third and fourth byte of a 5-gram: a shard has all that a
+5-gram's probability takes down to the third order, so its counts, continuation counts and contexts meet the n-grams
+of the documents in one place. Orders one and two are at most 256^2 numbers a language and are broadcast. Documents
+send each distinct 5-gram of a slice of text once, with no text, get its log-probability back, and are summed where
+the slice's text (compressed) meets its answers. Rows of a shard stream by, the counts first, so no shard's documents
+need fit in memory; a shard's counts are at most 256^3.
+
+One trusted document in HELD isn't counted; the others' perplexities are raised by the mean difference, so that the
+thresholds aren't those of text the model has seen. A document is kept if its perplexity is at most SLACK times its
+language's quantile among trusted documents (trusted text is a sample: other clean text is a little further from the
+model, junk many times further); short texts lean on their language's mean, as if PRIOR more bytes had it.
 
 Defined results: null and empty texts have no perplexity of their own, get their language's mean and are kept;
 rows with no or an unknown language take the model that likes them best; languages without trusted text have no
-model. Without any trusted text all rows are kept and have no perplexity. Every row gives one row.
+model. Without any trusted text all rows are kept and have no perplexity. Every row gives one row. The documents are
+read twice and must come in the same order both times, as from files; where they don't, the job fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,135 +31,248 @@ from pyspark.sql import functions as F
 
 from .common import materialise, read_table, slices, text_column
 
-CLASSES = 64
-BEGIN = CLASSES - 1
+BEGIN = 2
 PRIOR = 40
 QUANTILE = 0.995
+SLACK = 1.25
+HELD = 5
 LANGUAGES = 64
+#: Text bytes whose distinct n-grams are asked for together.
+SLICE = 8 << 20
+#: Each shard's documents are dealt to so many tasks, each with the shard's counts.
+SALTS = 4
+_FOLD = np.arange(256, dtype=np.int64)
+_FOLD[48:58] = 48
+_FOLD[[9, 11, 12, 13]] = 32
 
 
-def _classes() -> np.ndarray:
-    table = np.full(256, 60, dtype=np.int64)  # rarer punctuation
-    for c in range(26):
-        table[97 + c], table[65 + c] = c, 26 + c
-    table[48:58], table[32], table[10], table[[9, 11, 12, 13]] = 52, 53, 54, 55
-    for kind, marks in ((56, ".,"), (57, "'\"-"), (58, ";:?()"), (59, "!")):
-        table[[ord(x) for x in marks]] = kind
-    table[128:192], table[192:] = 61, 62
-    return table
-
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte e, the 5-gram abcde that it ends, as c, d, a, b, e from the highest byte; texts begin with BEGIN."""
+    e = _FOLD[data]
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    ends = offsets[1:][np.diff(offsets) > 0]
+    key = e.copy()
+    for back, shift in ((1, 24), (2, 32), (3, 8), (4, 16)):
+        x = np.full_like(e, BEGIN)
+        x[back:] = e[:-back]
+        for i in range(back):
+            x[(starts + i)[starts + i < ends]] = BEGIN
+        key |= x << shift
+    return key
 
-_CLASS = _classes()
 
-
-def _trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte, its trigram's index in a table of 64^3; texts begin with two begin marks."""
-    c = _CLASS[data]
-    b, a = np.empty_like(c), np.empty_like(c)
-    b[1:], a[2:], b[:1], a[:2] = c[:-1], c[:-2], BEGIN, BEGIN
-    starts = offsets[:-1][offsets[:-1] < len(c)]
-    b[starts] = a[starts] = BEGIN
-    second = starts[starts + 1 < len(c)] + 1
-    a[second] = BEGIN
-    return (a * CLASSES + b) * CLASSES + c
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of SLICE bytes, over the ends of Arrow batches."""
+    held, size = [], 0
+    for batch in batches:
+        for part, _, offsets in slices(batch, "text", SLICE):
+            n = int(offsets[-1])
+            if held and size + n > SLICE:
+                yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "text", 1 << 62)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "text", 1 << 62)
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """Trigram counts (lang, a, b, c, n) of rows (text, lang)."""
+    """5-gram counts (lang, mid, low, n) of rows (text, lang)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                index, names = _trigrams(data, offsets), part.column(1).to_pylist()
-                name_of = np.repeat(np.unique(names, return_inverse=True)[1], np.diff(offsets))
-                for i, name in enumerate(sorted(set(names))):
-                    n = np.bincount(index[name_of == i], minlength=CLASSES**3)
-                    seen = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), *[pa.array(x.astype(np.int32)) for x in (seen >> 12, seen >> 6 & 63, seen & 63)], pa.array(n[seen])], ["lang", "a", "b", "c", "n"])
-
-    rows = rows.select("text", "lang").mapInArrow(work, "lang string, a int, b int, c int, n long")
-    return rows.groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
-
-
-def _level(grams: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of grams (lang, *context, c, n): each one's discounted share, and each context's weight for the lower order."""
-    times = lambda k: F.count_if(F.col("n") == k)
-    of = grams.groupBy("lang").agg(*[times(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
+        for part, data, offsets in _pieces(batches):
+            keys, names = grams(data, offsets), np.array(part.column(1).to_pylist(), dtype=object)
+            for name in sorted(set(names)):
+                found, n = np.unique(keys[np.repeat(names == name, np.diff(offsets))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array((found >> 24).astype(np.int32)), pa.array((found & 0xFFFFFF).astype(np.int32)), pa.array(n)], ["lang", "mid", "low", "n"])
+
+    return rows.select("text", "lang").mapInArrow(work, "lang string, mid int, low int, n long").groupBy("lang", "mid", "low").agg(F.sum("n").alias("n"))
+
+
+def _discounts(n: list) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, from how many grams have counts 1 to 4."""
+    y = n[0] / max(n[0] + 2 * n[1], 1)
     # with too few grams the closed form leaves its range: a discount stays between 0.1 and its count less 0.1
-    discount = lambda k: F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1)), F.lit(0.1)), F.lit(k - 0.1))
-    of = of.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
-    keys = ["lang", *context]
-    contexts = grams.groupBy(*keys).agg(F.sum("n").alias("total"), times(1).alias("t1"), times(2).alias("t2"), F.count_if(F.col("n") > 2).alias("t3"))
-    contexts = contexts.join(of, "lang").withColumn("weight", (F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")) / F.col("total"))
-    share = (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    return grams.join(contexts, keys).select(*keys, "c", share.alias("share")), contexts.select(*keys, "weight")
-
-
-def fit(rows: DataFrame) -> dict[str, np.ndarray]:
-    """By language, the log-probability of each trigram's last class, 64^3 of them."""
-    three = materialise(counts(rows), "trigrams")
-    two = three.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))  # how many classes come before
-    one = two.groupBy("lang", "c").agg(F.count("*").alias("n"))
-    model: dict[str, np.ndarray] = {}
-    lower: dict[str, np.ndarray] = {}
-    for grams, context in ((one, []), (two, ["b"]), (three, ["a", "b"])):
-        shares, weights = (x.toPandas() for x in _level(grams, context))  # at most 64^3 rows a language
-        for name in sorted(set(weights.lang)):
-            s, w = shares[shares.lang == name], weights[weights.lang == name]
-            weight = np.ones((CLASSES,) * len(context))
-            weight[tuple(w[x].to_numpy() for x in context)] = w.weight.to_numpy() if context else w.weight.iloc[0]
-            p = weight[..., None] * lower.get(name, np.full(CLASSES, 1 / CLASSES))
-            np.add.at(p, tuple(s[x].to_numpy() for x in [*context, "c"]), s.share.to_numpy())
-            model[name] = p
-        lower = dict(model)
-    return {k: np.log(v).ravel().astype(np.float32) for k, v in model.items()}
-
-
-def _scored(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """rows (doc_id, text, lang, ...) with model_lang, n (bytes) and logp in place of text and lang."""
-    names = sorted(model)
-    table = rows.sparkSession.sparkContext.broadcast(np.concatenate([model[x] for x in names]))
-    rest = [c for c in rows.columns if c not in ("doc_id", "text", "lang")]
+    return np.array([0.0, *[min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.1), k - 0.1) for k in (1, 2, 3)]])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, place = table.value, {x: i for i, x in enumerate(names)}
+
+def _order(n: np.ndarray, discounts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities by (context, last byte) of counts n, interpolated with the next lower order's."""
+    cut = discounts[np.minimum(n, 3)]
+    total = n.sum(-1, keepdims=True)
+    weight = np.where(total > 0, cut.sum(-1, keepdims=True) / np.maximum(total, 1), 1.0)
+    return (n - cut) / np.maximum(total, 1) + weight * lower
+
+
+class Shard:
+    """The counts of one language's 5-grams with the same third and fourth byte."""
+
+    def __init__(self, low: np.ndarray, n: np.ndarray, discounts: dict[int, np.ndarray], second: np.ndarray):
+        four = np.bincount(low & 0xFFFF, minlength=1 << 16).reshape(256, 256)  # how many bytes come before bcde
+        three = (four > 0).sum(0)
+        self.lower = _order(four, discounts[4], _order(three, discounts[3], second)).ravel()
+        cut = discounts[5][np.minimum(n, 3)]
+        total = np.bincount(low >> 8, weights=n, minlength=1 << 16)
+        self.weight = np.where(total > 0, np.bincount(low >> 8, weights=cut, minlength=1 << 16) / np.maximum(total, 1), 1.0)
+        self.low, self.share = low, (n - cut) / np.maximum(total, 1)[low >> 8]
+
+    def logs(self, asked: np.ndarray) -> np.ndarray:
+        p = self.weight[asked >> 8] * self.lower[asked & 0xFFFF]
+        if len(self.low):
+            at = np.minimum(np.searchsorted(self.low, asked), len(self.low) - 1)
+            p = p + np.where(self.low[at] == asked, self.share[at], 0.0)
+        return np.log(p)
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """The counts of rows (text, lang), and by language the discounts of each order and the second order's table."""
+    five = materialise(counts(rows), "five-grams")
+    four = five.groupBy("lang", "mid", F.col("low").bitwiseAND(0xFFFF).alias("low")).agg(F.count("*").alias("n"))
+    three = four.groupBy("lang", "mid", F.col("low").bitwiseAND(0xFF).alias("low")).agg(F.count("*").alias("n"))
+    two = three.groupBy("lang", F.col("mid").bitwiseAND(0xFF).alias("d"), "low").agg(F.count("*").alias("n"))
+    small: dict = {}
+    for order, table in ((5, five), (4, four), (3, three)):
+        for r in table.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).limit(LANGUAGES + 1).collect():
+            small.setdefault(r["lang"], {})[order] = _discounts(list(r[1:]))
+    if len(small) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; their second orders are too large to give to every task")
+    pairs = two.toPandas()  # at most 256^2 rows a language
+    for name, model in small.items():
+        own, n = pairs[pairs.lang == name], np.zeros((256, 256), dtype=np.int64)
+        n[own.d.to_numpy(), own.low.to_numpy()] = own.n.to_numpy()
+        of = lambda x: _discounts([int((x == k).sum()) for k in (1, 2, 3, 4)])
+        one = (n > 0).sum(0)
+        model[2] = _order(n, of(n), _order(one, of(one), np.full(256, 1 / 256)))
+    return five, small
+
+
+def _asked(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, names: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each model: the rows of a slice (doc_id, text, lang) that take it, all their 5-grams, and the distinct ones."""
+    keys, place = grams(data, offsets), {x: i for i, x in enumerate(names)}
+    lang = np.array([place.get(x, -1) for x in part.column(2).to_pylist()])
+    for i, name in enumerate(names):
+        takes = (lang < 0) | (lang == i)
+        own = keys[np.repeat(takes, np.diff(offsets))]
+        if takes.any():
+            yield name, takes, own, np.unique(own)
+
+
+def _slice_id(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> int:
+    h = hashlib.blake2b(data.tobytes(), digest_size=8)
+    h.update(offsets.tobytes() + repr(part.column(0).to_pylist()).encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _blobs(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+
+
+def _answers(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
+    """(slice, lang, mid, body): the log-probabilities of a slice's distinct 5-grams of that shard, in order, as float16."""
+    names, spark = sorted(small), docs.sparkSession
+    model = spark.sparkContext.broadcast(small)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _pieces(batches):
+            key = _slice_id(part, data, offsets)
+            for name, _, _, found in _asked(part, data, offsets, names):
+                mids, first = np.unique(found >> 24, return_index=True)
+                low = np.ascontiguousarray(found.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :3]
+                n = len(mids)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(mids.astype(np.int32)), pa.array(np.full(n, key % SALTS, dtype=np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), _blobs(low, np.append(first, len(found)))], ["lang", "mid", "salt", "low", "n", "slice", "body"])
+
+    schema = "lang string, mid int, salt int, low int, n long, slice long, body binary"
+    known = five.select("lang", "mid", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), "low", "n", F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("body"))
+    both = docs.mapInArrow(ask, schema).unionByName(known).repartition("lang", "mid", "salt").sortWithinPartitions("lang", "mid", "salt", F.col("low").asc_nulls_last())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard, low, n = None, None, [], []
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                index = _trigrams(data, offsets)
-                lang = np.array([place.get(x, -1) for x in part.column(2).to_pylist()])
+            langs, mids, salts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = [0, *[i for i in range(1, len(langs)) if (langs[i], mids[i], salts[i]) != (langs[i - 1], mids[i - 1], salts[i - 1])], len(langs)]
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for a, b in zip(edges[:-1], edges[1:]):
+                if (langs[a], mids[a], salts[a]) != at:
+                    at, shard, low, n = (langs[a], mids[a], salts[a]), None, [], []
+                part = batch.slice(a, b - a)
+                counted = part.num_rows - part.column(3).null_count  # a shard's counts come before its questions
+                low.append(part.column(3).slice(0, counted).to_numpy())
+                n.append(part.column(4).slice(0, counted).to_numpy())
+                for i in range(counted, part.num_rows):
+                    if shard is None:
+                        of = model.value[at[0]]
+                        shard = Shard(np.concatenate(low).astype(np.int64), np.concatenate(n).astype(np.int64), of, of[2][int(at[1]) & 255])
+                    asked = np.frombuffer(part.column(6)[i].as_py(), dtype=np.uint8).reshape(-1, 3).astype(np.int64)
+                    logs = shard.logs(asked[:, 0] | asked[:, 1] << 8 | asked[:, 2] << 16)
+                    for x, y in zip(out, (part.column(5)[i].as_py(), at[0], int(at[1]), logs.astype("<f2").tobytes())):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], ["slice", "lang", "mid", "body"])
+
+    return both.mapInArrow(answer, "slice long, lang string, mid int, body binary")
+
 
-                def total(which: np.ndarray) -> np.ndarray:
-                    sums = np.concatenate([[0.0], np.cumsum(logs[index + np.repeat(which, np.diff(offsets)) * CLASSES**3], dtype=np.float64)])
-                    return sums[offsets[1:]] - sums[offsets[:-1]]
+def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
+    """(doc_id, model_lang, n, logp) of every row of (doc_id, text, lang); n: bytes."""
+    names = sorted(small)
 
-                if (lang < 0).any():  # unknown: the language that likes the text best
-                    every = np.stack([total(np.full(len(lang), i)) for i in range(len(names))])
-                    lang = np.where(lang < 0, every.argmax(0), lang)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[i] for i in lang]), pa.array(np.diff(offsets)), pa.array(total(lang)), *part.columns[3:]], out)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _pieces(batches):
+            body = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+            rows = [[_slice_id(part, data, offsets)], [None], [None], [body], [part.column(0).to_pylist()], [np.diff(offsets).tolist()], [part.column(2).to_pylist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())))], ["slice", "lang", "mid", "body", "ids", "sizes", "langs"])
+
+    texts = docs.mapInArrow(pack, "slice long, lang string, mid int, body binary, ids array<long>, sizes array<long>, langs array<string>")
+    both = texts.unionByName(_answers(docs, five, small), allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", F.col("mid").asc_nulls_last())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, answers = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (key := batch.column(0)[i].as_py()) != at:
+                    at, answers = key, {}
+                if batch.column(4)[i].as_py() is None:
+                    answers.setdefault(batch.column(1)[i].as_py(), {})[batch.column(2)[i].as_py()] = batch.column(3)[i].as_py()
+                    continue
+                ids, sizes, langs = (batch.column(c)[i].as_py() for c in (4, 5, 6))
+                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+                data = np.frombuffer(pa.decompress(batch.column(3)[i].as_py(), decompressed_size=int(offsets[-1]), codec="zstd", asbytes=True), dtype=np.uint8)
+                part = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string()), pa.array(langs, pa.string())], ["doc_id", "text", "lang"])
+                best, name_of = np.full(len(ids), -np.inf), np.full(len(ids), None, dtype=object)
+                for name, takes, own, found in _asked(part, data, offsets, names):
+                    of = answers.get(name, {})
+                    logs = np.frombuffer(b"".join(of[m] for m in sorted(of)), dtype="<f2").astype(np.float64)
+                    if len(logs) != len(found):
+                        raise RuntimeError("the documents came in another order when they were read again; write them to a table first")
+                    sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(found, own)])]) if len(found) else np.zeros(1)
+                    edges = np.concatenate([[0], np.cumsum(np.diff(offsets)[takes])])
+                    total = np.full(len(ids), -np.inf)
+                    total[takes] = sums[edges[1:]] - sums[edges[:-1]]
+                    better = total > best
+                    best[better], name_of[better] = total[better], name
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name_of.tolist(), pa.string()), pa.array(np.diff(offsets)), pa.array(best)], ["doc_id", "model_lang", "n", "logp"])
 
-    out = ["doc_id", "model_lang", "n", "logp", *rest]
-    kinds = dict(rows.dtypes)
-    return rows.select("doc_id", "text", "lang", *rest).mapInArrow(work, "doc_id long, model_lang string, n long, logp double" + "".join(f", {c} {kinds[c]}" for c in rest))
+    return both.mapInArrow(work, "doc_id long, model_lang string, n long, logp double")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and keep of every row of (doc_id, text, lang); trusted: (doc_id)."""
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
-    trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
+    trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("held", F.xxhash64("doc_id") % HELD == 0)
     # the ids grow with the corpus: they are never broadcast, so that the plan is the same at every size
-    model = fit(docs.where("lang is not null").join(trusted.hint("merge"), "doc_id", "left_semi"))
-    if len(model) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; their tables are too large to give to every task")
-    if not model:
+    five, small = fit(docs.where("lang is not null").join(trusted.where("not held").hint("merge"), "doc_id", "left_semi"))
+    if not small:
         return docs.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    rows = materialise(_scored(docs, model), "scores")
-    known = rows.join(trusted.hint("merge"), "doc_id", "left_semi")
-    means = known.where("n > 0").groupBy("model_lang").agg((F.sum("logp") / F.sum("n")).alias("mean"))
-    perplexity = F.exp(-(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
+    rows = materialise(_scored(docs, five, small), "scores")
+    known = rows.where("n > 0").join(trusted.hint("merge"), "doc_id")
+    mean = lambda which: F.sum(F.when(which, F.col("logp"))) / F.sum(F.when(which, F.col("n")))
+    means = known.groupBy("model_lang").agg(mean(F.lit(True)).alias("every"), mean(F.col("held")).alias("unseen"), mean(~F.col("held")).alias("seen"))
+    means = means.select("model_lang", F.coalesce("unseen", "every").alias("mean"), F.greatest(F.coalesce(F.col("seen") - F.col("unseen"), F.lit(0.0)), F.lit(0.0)).alias("gap"))
     means = F.broadcast(means)  # LANGUAGES rows at most
-    level = known.join(means, "model_lang").groupBy("model_lang").agg(F.percentile_approx(perplexity, quantile, 10000).alias("threshold"))
-    rows = rows.join(means, "model_lang", "left").join(F.broadcast(level), "model_lang", "left").withColumn("perplexity", perplexity)
+    logs = -(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
+    # seen texts would have had the mean difference more, as far as they don't lean on the mean
+    fair = F.exp(logs + F.when(F.col("held"), 0.0).otherwise(F.col("gap") * F.col("n") / (F.col("n") + PRIOR)))
+    level = known.join(means, "model_lang").groupBy("model_lang").agg((F.percentile_approx(fair, quantile, 10000) * slack).alias("threshold"))
+    rows = rows.join(means, "model_lang", "left").join(F.broadcast(level), "model_lang", "left").withColumn("perplexity", F.exp(logs))
     keep = (F.col("n") == 0) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return rows.select("doc_id", F.col("model_lang").alias("lang"), F.col("n").alias("n_bytes"), "perplexity", "threshold", keep.alias("keep"))
 

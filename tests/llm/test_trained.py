@@ -20,10 +20,46 @@ def test_registered():
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "sentencepiece"]
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = spark.createDataFrame([("the heron at dawn, the reed in the wind", "en"), ("der Wind im Schilf", "de")], "text string, lang string")
-    for table in quality.fit(rows).values():
-        assert np.allclose(np.exp(table.astype(float)).reshape(-1, quality.CLASSES).sum(1), 1, atol=1e-4)
+def kneser_ney(texts):
+    """P(last byte of a 5-gram), by plain dictionaries and recursion."""
+    counts = [None, *[{} for _ in range(5)]]
+    for t in texts:
+        data = [quality.BEGIN] * 4 + [int(quality._FOLD[x]) for x in t.encode()]
+        for i in range(4, len(data)):
+            g = tuple(data[i - 4 : i + 1])
+            counts[5][g] = counts[5].get(g, 0) + 1
+    for k in (4, 3, 2, 1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    cuts = [None, *[quality._discounts([sum(n == j for n in c.values()) for j in (1, 2, 3, 4)]) for c in counts[1:]]]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        own = {h: n for h, n in counts[len(g)].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        cut, total = cuts[len(g)], sum(own.values())
+        n = own.get(g, 0)
+        return (n - cut[min(n, 3)]) / total + sum(cut[min(x, 3)] for x in own.values()) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Log-likelihoods are those of plain recursion (answers have 11 bits), and each context's probabilities sum to one."""
+    trusted = ["the heron at dawn, the reed in the wind", "the herd at 10 and 25, then the other reed", prose(1, 60)]
+    docs = ["the heron in the reed", "then 99 other words", "Zürich", prose(2, 40), "x"]
+    p = kneser_ney(trusted)
+    for context in ((116, 104, 101, 32), (2, 2, 2, 2), (200, 201, 116, 104), (1, 1, 1, 1)):
+        assert abs(sum(p((*context, e)) for e in range(256)) - 1) < 1e-9
+    five, small = quality.fit(spark.createDataFrame([(t, "en") for t in trusted], "text string, lang string"))
+    rows = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(docs)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["logp"] for r in quality._scored(rows, five, small).collect()}
+    for i, t in enumerate(docs):
+        data = [quality.BEGIN] * 4 + [int(quality._FOLD[x]) for x in t.encode()]
+        real = sum(np.log(p(tuple(data[j - 4 : j + 1]))) for j in range(4, len(data)))
+        assert abs(found[i] - real) < 1e-3 * abs(real)
 
 
 def test_quality(spark, sf):
