@@ -71,3 +71,21 @@ def test_shapes(spark):
 def test_hash_depends_on_order(spark):
     rows = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.2, 0.1])], "rec_id long, samples array<double>")
     assert V.sample_hash(rows).select(F.count_distinct("digest")).first()[0] == 2
+
+
+def test_markers_and_regions(spark):
+    from pyspark.sql import functions as F
+
+    from sonoframe.operators import markers as M
+
+    rows = spark.createDataFrame([(1, 10, 30, 5), (2, None, None, 7), (3, None, None, None), (4, 30, 10, 5)], "id int, start long, end long, cursor long")
+    frame, length = M.marker_from_selection(F.col("start"), F.col("end"), F.col("cursor"))
+    assert [tuple(r) for r in rows.orderBy("id").select(frame, length).collect()] == [(10, 20), (7, 0), (0, 0), (30, 0)]
+    drawn = M.drawn_region(*[F.lit(x) for x in (90, 9000.0, 10, 100.0)], F.lit(8000.0), F.lit(False))
+    assert tuple(spark.range(1).select(*drawn).first()) == (10, 90, 100.0, 8000.0)
+    tracks = spark.createDataFrame([(1, 1, 1, "left"), (1, 2, 1, " Boom "), (1, 3, 1, "  "), (1, 4, 9, "far"), (1, 5, None, "none"), (1, 6, 2, None)], "rec_id int, ord int, channel_index int, name string")
+    channels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "rec_id int, channel int")
+    assert sorted((tuple(r) for r in M.track_names(tracks, channels).collect()), key=str) == [(1, 0, "Boom"), (1, 1, None), (2, 0, None)]
+    jobs = spark.createDataFrame([(1, True, None), (1, False, 0.5), (1, False, None), (1, True, 0.25)], "batch_id int, finished boolean, partial double")
+    assert tuple(M.batch_progress(jobs).first()) == (1, 2, 4, 0.625)
+    assert M.batch_progress(jobs.limit(0)).count() == 0
