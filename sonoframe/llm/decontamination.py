@@ -1,17 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-The corpus is read twice without shuffling a text. The first pass counts, over all documents, the 3-grams that a
-fixed-size bit table of the benchmark's 3-grams lets through. An item's seeds are its grams that are rare in the
-corpus (a hundred-thousandth of the words at most, or a few) or not much more common than the median of the item's
-grams that occur: an item that leaked into many documents keeps its seeds. The second pass lets the seeds' bit table choose passages around hits; a
-join of seed hashes then says which item each passage may hold, and local alignment of words (match 2, mismatch and
-gap -1) scores it. An item counts as leaked if the score reaches half of what its whole text would score. Two shared
-seeds are asked for, one if any item has fewer than eight: a copy edited so often that fewer are left scores 0.5 at most.
+An item counts as leaked if local alignment of words (match 2, mismatch and gap -1) reaches half of what its whole
+text would score. Seeds lose no such document. A seed is a pair of words that stand one or two apart. An alignment of m
+matches at cost c scores 2m - c, and between two matches in a row either both texts skip a word at most (then the pair
+that begins at the first of the two is in both) or the cost is 2 at least. A score of s times 2L for L words so needs
+k = sL - 1 of the item's L - 1 places with such a pair, and one of any L - k places is among them: each item is looked
+for by the pairs of its L - k rarest places, however common its copies make these, whatever the corpus's size.
+
+The corpus is read twice; only passages around seeds are shuffled. The first pass counts, over all documents, the pairs that a
+fixed-size bit table of the benchmark's pairs lets through; the counts only say which places are the rarest. The second
+pass lets the seeds' bit table choose passages around hits; a join of seed hashes then says which items each passage
+may hold, passages with pairs of fewer than k places are left out, and alignment scores the others.
 
 The bit tables have 2^22 bits whatever the benchmark's size; a fuller table lets more through, and the join decides.
 
 Words are runs of letters, digits and anything beyond ASCII, A-Z as a-z. Defined results: null and empty texts, and
-texts and items of fewer than three words, never match; a document that repeats is reported once per id and item.
+texts and items of fewer than three words, never match (nor any item at a score that one match reaches); a document that repeats is reported once per id and item.
 Only the id and text columns of both tables are read.
 """
 
@@ -24,30 +28,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, read_table, signed, slices, text_column
+from .common import Words, materialise, mix, read_table, signed, slices, text_column
 
-GRAM = 3
-RARE = 1e-5
-#: Occurrences that are rare in a corpus of any size.
-FEW = 16.0
-SHORT = 8
+#: Words of the shortest text or item that matches.
+LEAST = 3
+#: How far apart the words of a pair stand.
+APART = (1, 2)
 BITS = 22
 SCORE = 0.5
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two words of one text that stand one or two apart: the index of the first word, in order, and the hash."""
+    n = np.arange(len(hashes))
+    end = np.repeat(first[1:], np.diff(first))
+    at = [n[n + d < end] for d in APART]
+    grams = [mix(hashes[i] * _ODD + hashes[i + d]) for i, d in zip(at, APART)]
+    order = np.argsort(at := np.concatenate(at), kind="stable")
+    return at[order], np.concatenate(grams)[order]
+
+
+def _needed(n_words, score: float):
+    """Of how many of an item's places pairs stand in any text that holds the item."""
+    return np.maximum(np.ceil(n_words * score - 1e-9).astype(np.int64) - 1, 1)
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, its word hashes and its gram hashes."""
+def _reach(n_words: int, score: float) -> int:
+    """The most words that an alignment of an item spans: its matches and as many gaps as the score allows."""
+    return int(np.ceil(max(1.0, 3 - 2 * score) * n_words))
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str, score: float) -> DataFrame:
+    """item_id, its word hashes, the places and hashes of its pairs, and how many places are needed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 words = Words(data, offsets, fold=True, plain=False)
-                at, grams = words.windows(GRAM)
-                lists = [pa.ListArray.from_arrays(pa.array(i.astype(np.int32)), signed(v)) for i, v in ((words.first, words.hashes), (np.searchsorted(at, words.first), grams))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["item_id", "words", "grams"])
+                at, grams = _pairs(words.hashes, words.first)
+                own = np.searchsorted(at, words.first)
+                place = at - np.repeat(words.first[:-1], np.diff(own))
+                lists = [pa.ListArray.from_arrays(pa.array(i.astype(np.int32)), v) for i, v in ((words.first, signed(words.hashes)), (own, pa.array(place)), (own, signed(grams)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(_needed(words.counts(), score))], ["item_id", "words", "places", "grams", "needed"])
 
     kind = dict(benchmark.dtypes)[id_col]
-    return text_column(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))).mapInArrow(work, f"item_id {kind}, words array<long>, grams array<long>")
+    return text_column(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))).mapInArrow(work, f"item_id {kind}, words array<long>, places array<long>, grams array<long>, needed long")
 
 
 def _bit_table(hashes: DataFrame) -> np.ndarray:
@@ -65,30 +91,31 @@ def _through(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """How often each of `grams` (gram) occurs in all of docs: (gram, n), without those that never do; null: of all grams."""
+    """How often each of `grams` (gram) occurs in all of docs: (gram, n), without those that never do."""
     table = docs.sparkSession.sparkContext.broadcast(np.packbits(_bit_table(grams)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table.value)
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                _, found = Words(data, offsets, fold=True, plain=False).windows(GRAM)
+                words = Words(data, offsets, fold=True, plain=False)
+                _, found = _pairs(words.hashes, words.first)
                 values, n = np.unique(found[_through(bits, found)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([signed(values), pa.nulls(1, pa.int64())]), pa.array([*n, len(found)], pa.int64())], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([signed(values), pa.array(n, pa.int64())], ["gram", "n"])
 
     counts = docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return counts.join(grams.distinct().union(grams.sparkSession.sql("select cast(null as bigint)")), counts["gram"].eqNullSafe(grams["gram"]), "left_semi")
+    return counts.join(grams.distinct(), "gram", "left_semi")
 
 
-def _passages(docs: DataFrame, table, reach: int, least: int) -> DataFrame:
-    """Runs of words around seeds, those within `reach` of each other together, with `least` seeds: doc_id, first word, word hashes, seeds."""
+def _passages(docs: DataFrame, table, reach: int) -> DataFrame:
+    """Runs of words around seeds, those within `reach` of each other together: doc_id, first word, word hashes, seeds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table.value)
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 words = Words(data, offsets, fold=True, plain=False)
-                at, grams = words.windows(GRAM)
+                at, grams = _pairs(words.hashes, words.first)
                 hits = _through(bits, grams)
                 if not len(hits):
                     continue
@@ -96,11 +123,9 @@ def _passages(docs: DataFrame, table, reach: int, least: int) -> DataFrame:
                 doc = np.searchsorted(words.first, places, "right") - 1
                 edge = np.flatnonzero((np.diff(places) > reach) | (np.diff(doc) != 0)) + 1
                 begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(hits)]])
-                full = np.array([len(np.unique(grams[a:b])) >= least for a, b in zip(begin, end)])
-                begin, end = begin[full], end[full]
                 own = doc[begin]
                 lo = np.maximum(places[begin] - reach, words.first[own])
-                hi = np.minimum(places[end - 1] + GRAM + reach, words.first[own + 1])
+                hi = np.minimum(places[end - 1] + max(APART) + 1 + reach, words.first[own + 1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(own)),
@@ -127,34 +152,44 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, where
 
 
+def held(item: np.ndarray, passage: np.ndarray, score: float) -> tuple[int, int]:
+    """align(), over the part of the passage that the item's pairs reach; 0 where too few of its places are in it for the score."""
+    places, own = _pairs(item.view(np.uint64), np.array([0, len(item)]))
+    at, grams = _pairs(passage.view(np.uint64), np.array([0, len(passage)]))
+    if len(np.unique(places[np.isin(own, grams)])) < _needed(len(item), score):
+        return 0, 0
+    at, reach = at[np.isin(grams, own)], _reach(len(item), score)
+    lo = max(int(at[0]) - reach, 0)
+    best, end = align(item, passage[lo : at[-1] + max(APART) + 1 + reach])
+    return best, lo + end
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, score (0 to 1) and the word the alignment ends before, for each document that holds an item."""
     spark = docs.sparkSession
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    items = materialise(_items(benchmark, item_col, text_col), "items").where("size(grams) > 0")
-    grams = items.select("item_id", F.explode("grams").alias("gram")).distinct()
+    items = materialise(_items(benchmark, item_col, text_col, score).withColumn("item", F.monotonically_increasing_id()), "items").where(F.size("words") >= LEAST)
+    grams = items.select("item", (F.size("words") - F.col("needed")).alias("few"), F.explode(F.arrays_zip("places", "grams")).alias("x")).select("item", "few", "x.places", F.col("x.grams").alias("gram")).distinct()
     counts = materialise(gram_counts(docs, grams.select("gram")), "counts")
-    counted = counts.where("gram is null").agg(F.sum("n")).first()[0] or 0
-    known = grams.join(counts, "gram")
-    median = F.percentile_approx("n", 0.5).over(Window.partitionBy("item_id"))
-    rare = F.greatest(F.lit(RARE * counted), F.lit(FEW), 4 * F.col("median"))
-    seeds = materialise(known.withColumn("median", median).where(F.col("n") <= rare).select("item_id", "gram"), "seeds")
-    least = 1 if seeds.groupBy("item_id").count().where(f"count < {SHORT}").limit(1).count() else 2
+    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    occur = known.groupBy("item", "places", "few").agg(F.sum("n").alias("occur"), F.collect_list(F.when(F.col("n") > 0, F.col("gram"))).alias("grams"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("occur", "places"))
+    seeds = materialise(occur.withColumn("rank", rank).where("rank <= few").select("item", F.explode("grams").alias("gram")).distinct(), "seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     table = spark.sparkContext.broadcast(np.packbits(_bit_table(seeds)))
-    passages = materialise(_passages(docs, table, longest, least).withColumn("place", F.monotonically_increasing_id()), "passages")
-    pairs = passages.select("place", F.explode("seeds").alias("gram")).join(seeds, "gram").groupBy("place", "item_id").count().where(F.col("count") >= least)
-    pairs = pairs.join(passages.select("place", "doc_id", "first_word", "passage"), "place").join(items.select("item_id", "words"), "item_id")
+    passages = materialise(_passages(docs, table, _reach(longest, score)).withColumn("place", F.monotonically_increasing_id()), "passages")
+    pairs = passages.select("place", F.explode("seeds").alias("gram")).join(seeds, "gram").select("place", "item").distinct()
+    pairs = pairs.join(passages.select("place", "doc_id", "first_word", "passage"), "place").join(items.select("item", "item_id", "words"), "item")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, ends = [], []
             for first, passage, item in zip(batch.column(2), batch.column(3), batch.column(4)):
-                item = item.values.to_numpy()
-                best, end = align(item, passage.values.to_numpy())
+                item, passage = item.values.to_numpy(), passage.values.to_numpy()
+                best, end = held(item, passage, score)
                 scores.append(best / (2 * len(item)))
                 ends.append(first.as_py() + end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 
     kind = dict(items.dtypes)["item_id"]
     scored = pairs.select("doc_id", "item_id", "first_word", "passage", "words").mapInArrow(work, f"doc_id long, item_id {kind}, score double, end_word long")

@@ -93,6 +93,16 @@ def test_leaks(spark, rate):
     assert found == expected and len(expected) >= 228
 
 
+def test_leaks_of_a_hot_edited_copy(spark):
+    """Many identically edited copies don't cost themselves their seeds where one exact copy stands elsewhere."""
+    item = [f"w{i}" for i in range(12)]
+    hot = " ".join("x" if i in (3, 7) else w for i, w in enumerate(item))
+    docs = [(i, f"{prose(i, 20)} {hot} {prose(i + 500, 20)}") for i in range(60)] + [(100, f"{prose(100, 20)} {' '.join(item)}"), (101, prose(101, 50))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert found == {i: 0.75 for i in range(60)} | {100: 1.0}
+
+
 def test_alignment():
     def plain(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
