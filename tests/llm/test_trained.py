@@ -103,6 +103,21 @@ def test_leaks_of_a_hot_edited_copy(spark):
     assert found == {i: 0.75 for i in range(60)} | {100: 1.0}
 
 
+def test_leaks_of_dense_edits(spark):
+    """Copies without a common run of three words are found beside exact ones; only the alignment decides."""
+    item = [f"w{i}" for i in range(12)]
+    put = lambda *at: [w for i, w in enumerate(item) for w in ((f"x{i}",) if i in at else (w,))]
+    spread = lambda k: [w for i, w in enumerate(item) for w in ((w, f"x{i}") if i % k == k - 1 else (w,))]
+    cut = [w for i, w in enumerate(item) if i % 3 != 1]
+    edits = {1: item, 2: put(2, 5, 8), 3: spread(2), 4: spread(1), 5: cut, 6: item[:6], 7: item[:5], 8: put(*range(1, 12, 2))}
+    docs = [(i, f"{prose(i, 30)} {' '.join(e)} {prose(i + 50, 30)}") for i, e in edits.items()]
+    expected = {i for i, e in edits.items() if aligned(" ".join(item), " ".join(e)) >= len(item)}
+    for others in ([], [(2, "one other short item")]):
+        bench = spark.createDataFrame([(1, " ".join(item)), *others], "item_id long, text string")
+        found = {r["doc_id"] for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+        assert found == expected and {1, 2, 3, 4, 6} <= found and not {7, 8} & found
+
+
 def test_alignment():
     def plain(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
