@@ -6,8 +6,10 @@ and that towards the whole corpus's. The declared language's and the priors' tab
 languages that texts alone show, over all rows; hot hosts are pre-aggregated, and only small rows without text are
 joined with them.
 
-The trigram models are fitted on about SAMPLE declared rows, taken by a hash of the id. A row is accepted if it
-has text and its best language's posterior is at least 0.6.
+The trigram models are fitted on SAMPLE to 2 SAMPLE expected declared rows of each language (all, where it has
+fewer), taken by a hash of the id. A language is what LEAST rows of all declare, or LEAST_SHARE of them in a small
+table. A row is accepted if it has text, its best language's posterior is at least 0.6, and that language's model
+explains the text better than equally likely trigrams do: a text in a language without a model is rejected.
 
 Defined results: null texts count as empty; empty texts have no language of their own, get the one the other
 evidence names and are rejected; null or unknown declarations are evidence for nothing; null hosts share one prior.
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table, slices, text_column
 
 BINS = 1 << 15
-#: Expected declared rows that the trigram models are fitted on.
-SAMPLE = 4000
-#: The share of them that has to declare a language for it to count as one.
-LEAST = 0.005
+#: Expected declared rows, at least, that a language's trigram model is fitted on if it has as many.
+SAMPLE = 1000
+#: How many rows of all have to declare a language for it to count as one, or which share of them if that is less.
+LEAST, LEAST_SHARE = 5, 0.005
 #: Overlapping trigrams repeat each other's evidence: each counts for a third.
 TEMPER = 1 / 3
 #: Pseudo-counts with which a host leans on its suffix, and a suffix on the corpus.
@@ -67,8 +69,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counts = rows.select("text", "declared").mapInArrow(work, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = counts.toPandas()  # at most 32,769 rows a language, of a bounded sample
-    docs = table[table.bin < 0].set_index("lang").n
-    langs = sorted(docs[docs >= LEAST * docs.sum()].index)
+    langs = sorted(table.lang.unique())
     ratio = np.full((len(langs), BINS), 0.5)
     for i, name in enumerate(langs):
         own = table[(table.lang == name) & (table.bin >= 0)]
@@ -102,11 +103,13 @@ def identify(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, text, declared, host, suffix): doc_id, lang, confidence, accepted, text_lang."""
     rows = text_column(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
     declared = rows.where("declared is not null")
-    every = max(1, declared.count() // SAMPLE)
-    langs, model = fit(declared.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
+    told = declared.groupBy("declared").agg(F.count("*").alias("of_lang")).where(F.col("of_lang") >= min(LEAST, LEAST_SHARE * declared.count()))
+    every = F.greatest(F.lit(1), F.floor(F.col("of_lang") / SAMPLE))
+    langs, model = fit(declared.join(F.broadcast(told), "declared").where(F.pmod(F.xxhash64("doc_id"), every) == 0))
     if not langs:
         return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang"))
     seen = _likelihoods(rows, model)
+    chance = F.col("n_grams") * float(-np.log(BINS))  # of the text, were all trigrams equally likely
     shown = F.when(F.col("n_grams") > 0, _best("likelihoods", langs))
     seen = materialise(seen.withColumn("text_lang", shown), "likelihoods")
     # one small table of counts by (suffix, host, declared, language shown) gives every prior
@@ -121,17 +124,16 @@ def identify(rows: DataFrame) -> DataFrame:
     told = counts.where(F.col("declared").isin(langs)).groupBy("declared", "text_lang").agg(F.sum("count").alias("n")).collect()  # a number for each pair of languages
     n = {(r["declared"], r["text_lang"]): r["n"] for r in told}
     given = {d: [np.log((n.get((d, x), 0) + 1) / (sum(n.get((e, x), 0) for e in langs) + len(langs))) for x in langs] for d in langs}
-    none = F.array(*[F.lit(0.0)] * len(langs))
-    said = none
-    for d, logs in given.items():
-        said = F.when(F.col("declared") == d, F.array(*[F.lit(float(x)) for x in logs])).otherwise(said)
+    said = F.coalesce("said", F.array(*[F.lit(0.0)] * len(langs)))
     out = seen.join(hosts, ["suffix", "host"], "left")
+    out = out.join(F.broadcast(rows.sparkSession.createDataFrame([(d, [float(x) for x in logs]) for d, logs in given.items()], "declared string, said array<double>")), "declared", "left")
     prior = F.transform(F.coalesce("prior", F.array(*map(F.lit, base))), lambda p: F.log(p))
     score = F.zip_with(F.zip_with("likelihoods", said, lambda a, b: a * TEMPER + b), prior, lambda a, b: a + b)
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     confidence = 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     out = out.withColumn("confidence", confidence).withColumn("lang", _best("score", langs))
-    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0)).alias("accepted"), "text_lang")
+    explained = F.element_at("likelihoods", F.array_position("score", F.col("top")).cast("int")) >= chance
+    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0) & explained).alias("accepted"), "text_lang")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

@@ -150,6 +150,17 @@ def test_language_from_other_evidence(spark):
     assert (found[500], found[501], found[502], found[503]) == ("de", "en", "en", "de") and de
 
 
+def test_small_languages(spark):
+    """A language of a few rows in a large table is one; a text of a language without a model is rejected, not relabelled."""
+    small, other = ("kuid", "haigur", "roos", "tuul", "koit", "soo"), ("żółw", "trzcina", "świt", "wiatr", "błoto", "łąka")
+    rows = [(i, prose(i, 30), "en", "h") for i in range(3000)] + [(5000 + i, prose(i, 60, small), "et", "h") for i in range(10)] + [(6000 + i, " ".join(other[i:] + other) + " ", "pl", "h") for i in range(2)]
+    docs = frame(spark, rows)
+    found = {r["doc_id"]: (r["lang"], r["accepted"]) for r in language_id.identify(language_id.document_evidence(docs)).collect()}
+    assert all(found[5000 + i] == ("et", True) for i in range(10)) and not any(found[6000 + i][1] for i in range(2))
+    assert sum(found[i] == ("en", True) for i in range(3000)) == 3000
+    assert language_id.keep_identified(docs).where("doc_id >= 5000").select("lang").distinct().collect() == [("et",)]
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     found = language_id.langid_pages(spark, sf).join(pages.select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("real")), "page_id")
