@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right on keys, with hot keys of left dealt over many tasks by the column `by`.
+
+    A key is hot if over 1,000 rows and over a thousandth of all have it, so at most 1,000 are; their rows of right are
+    repeated once for each part. Rows without a key are dealt likewise. left is counted first, so it should be a
+    written table.
+    """
+    most = max(1000, left.count() // 1000)
+    hot = left.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > most)
+    hot = F.broadcast(hot.withColumn("_parts", F.ceil(F.col("_parts") / most)))  # 1,000 rows at most
+    missing = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    parts = F.when(missing, 1000).otherwise(F.coalesce("_parts", F.lit(1)))
+    left = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def text_column(df: DataFrame, text: str = "text") -> DataFrame:
     """df with nulls in the text column taken as empty. Arrow batches, if the session has their default size, get fewer rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

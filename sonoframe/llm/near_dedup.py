@@ -6,14 +6,15 @@ spaced truncated minima, which merge by maximum. Documents that share three regi
 the joint maximum-likelihood estimate of their similarity drops pairs that are far below the threshold, and the
 rest are verified on full shingle sets. A pair at 0.8 misses all 32 bands with probability 1e-10.
 
-Equal sets are one class before any pair is formed. In a band's bucket each class is linked to the bucket's first
-class only. Classes in buckets that verified links haven't joined may still be linked, so those of a group meet
-again, chunk by chunk, on full sets: no link between components is lost and no pair but links becomes a row. One
-count of shingles spares most of them that: two sets share at most what either has in common with any other set, so
-heavily edited copies, whose shingles are largely their own, can't be linked with anything.
+Equal sets are one class before any pair is formed. One count of shingles spares most classes any comparison: two
+sets share at most what either has in common with all others, so copies of which a fifth is their own can't be linked.
+In a band's bucket the other classes meet one pivot, if sizes allow a link. Verified links are contracted; in buckets
+whose other classes are still several components, those meet chunk by chunk on full sets, in groups of buckets: no
+link between components is lost, and no pair but links becomes a row.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows
-without an id are kept and unlinked; rows that repeat an id are one document. Only id and text columns are read.
+without an id are kept and unlinked; rows that repeat an id are one document with the links of all its texts, and
+share its fate. Only id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, read_table, runs, signed, slices, text_column
+from .common import Words, materialise, read_table, runs, slices, spread_join, text_column
 from .graph import components
 
 REGISTERS, BAND = 96, 3
 BASE, RATE = 1.001, 20.0
 #: Sets of one chunk of a group: two chunks meet in a task.
-CHUNK = 256
+CHUNK = 128
 #: How far under the threshold an estimate may fall before its pair is dropped: 5 standard errors.
 MARGIN = 0.205
 _rng = np.random.default_rng(96)
@@ -99,10 +100,10 @@ def sketch(docs: DataFrame, k: int, keep_sets: bool = False) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, class binary, sketch binary" + (", hashes binary" if keep_sets else ""))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate isn't far below the threshold."""
+def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that full sets link; sets are fetched only where the estimate isn't far below the threshold."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 get = lambda c: np.stack([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()])
@@ -110,16 +111,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 near = estimate(get(2), get(3), size(4), size(5)) >= percent / 100 - MARGIN
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
-    return pairs.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(work, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that full sets link."""
-    pairs = materialise(_likely(pairs, classes, percent), "likely")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -128,9 +120,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"set_{side}")), side)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long").distinct()
+    def of(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        named = lambda side: table.toDF(side, *[f"{c}_{side}" for c in columns])
+        return spread_join(pairs, named("a"), ["a"], "b").join(named("b"), "b")  # a pivot has many pairs, another class one a band
+
+    some = of(pairs, classes.select("rep", "sketch", "n_shingles"), ["s", "n"])
+    pairs = materialise(some.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(likely, "a long, b long"), "likely")
+    some = of(pairs, sets.select("doc_id", "hashes"), ["set"])
+    return materialise(some.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
 def _own(sets: DataFrame) -> DataFrame:
@@ -185,6 +182,12 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("group", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
+def _unjoined(members: DataFrame) -> DataFrame:
+    """Members (key, rep, n, component) of buckets that hold two components or more."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return members.join(mixed, "key", "left_semi").select("key", "rep", "n", "component")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class of every row; near duplicates share a component."""
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
@@ -194,30 +197,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = materialise(classes.select("class", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sketch"), "classes")
     width = 2 * BAND
     keys = F.array(*[F.xxhash64(F.substring("sketch", 1 + width * i, width), F.lit(i)) for i in range(REGISTERS // BAND)])
-    bands = classes.select("rep", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").drop("n")
-    members = materialise(bands.join(shared, "key"), "members")
+    bands = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members = materialise(bands.join(shared, "key", "left_semi"), "members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sketch(docs.join(needed, "doc_id").select("doc_id", "text"), k, keep_sets=True).select("doc_id", "hashes")
+    # what is needed grows with the corpus: never broadcast, so that the plan is the same at every size
+    sets = sketch(docs.join(needed.hint("merge"), "doc_id").select("doc_id", "text"), k, keep_sets=True).select("doc_id", "hashes")
     sets = materialise(sets, "sets")  # the only shuffle of texts
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = materialise(star, "star")
-    links = materialise(_verified(star, sets, classes, percent), "links")
+    # a link needs so many common shingles: what has fewer in common with all others together is linked with nothing
+    alone = _own(sets).join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id").where(f"100 * (n_shingles - own) < {percent} * n_shingles")
+    left = members.join(alone.select(F.col("doc_id").alias("rep")), "rep", "left_anti").withColumn("component", F.col("rep"))
+    left = materialise(_unjoined(left), "left")
+    pivots = left.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"))
+    met = left.join(pivots, "key").where("rep <> pivot.rep")
+    star = met.where(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)").select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"))
+    links = _links(materialise(star.distinct(), "star"), classes, sets, percent)
     joined = components(links)
-    # pairs of a bucket whose classes aren't joined yet
-    named = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = materialise(named.join(mixed, "key"), "open")
-    own = _own(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-    sizes = classes.select("rep", "n_shingles").join(own.withColumnRenamed("doc_id", "rep"), "rep", "left").select("rep", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
-    # |x & y| is at most either's shingles that others have, and links need sizes within the threshold of each other
-    able = open_.join(sizes.where(f"100 * common * 100 >= {percent} * (n * {percent} + (n - common) * 100)"), "rep")
-    able = able.groupBy("rep").agg(F.first("component").alias("component"))
-    rest = materialise(_blocks(able.join(components(star).select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep"), sets, percent), "rest")
+    left = met.select("key", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    left = materialise(_unjoined(left), "left")
+    least = left.groupBy("key").agg(F.min("rep").alias("a"))
+    groups = components(left.join(least, "key").select("a", F.col("rep").alias("b")))
+    left = left.groupBy("rep").agg(F.first("component").alias("component")).join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+    rest = materialise(_blocks(left, sets, percent), "rest")
     if rest.limit(1).count():
         joined = components(links.union(rest))
     label = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(label, "class", "left")
+    out = spread_join(rows, label, ["class"], "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.hex("class").alias("class_id"))
 
