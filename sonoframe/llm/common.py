@@ -29,10 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none, as in tests."""
+    """The folder of spark.checkpoint.dir; a local one is set only where a local session has none, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sonoframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/sonoframe-{sc.applicationId}"
@@ -63,11 +65,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def text_column(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with nulls in the text column taken as empty. Arrow batches, if the session has their default size, get fewer rows."""
+def small_batches(spark: SparkSession) -> None:
+    """For where a query begins: Arrow batches of a session that has their default size get fewer rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":  # rows are whole texts or sets here, not numbers
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if spark.conf.get(name) == "10000":  # rows are whole texts or sets here, not numbers
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def text_column(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with nulls in the text column taken as empty."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 

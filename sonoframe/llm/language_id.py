@@ -3,8 +3,9 @@
 The posterior of a language adds up three kinds of evidence: the text's likelihood under byte-trigram models, the
 declared language's likelihood given the true one, and a prior from the host, smoothed towards its address suffix's
 and that towards the whole corpus's. The declared language's and the priors' tables are grouped counts of the
-languages that texts alone show, over all rows; hot hosts are pre-aggregated, and only small rows without text are
-joined with them.
+languages that texts alone show, over all rows but the one judged: its text speaks once. All but the likelihood is
+the same for rows with the same host, declaration and shown language, so it is computed once for each such group,
+and only small rows without text are joined with it, hot hosts dealt to many tasks.
 
 The trigram models are fitted on SAMPLE to 2 SAMPLE expected declared rows of each language (all, where it has
 fewer), taken by a hash of the id. A language is what LEAST rows of all declare, or LEAST_SHARE of them in a small
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, slices, text_column
+from .common import materialise, read_table, slices, spread_join, text_column
 
 BINS = 1 << 15
 #: Expected declared rows, at least, that a language's trigram model is fitted on if it has as many.
@@ -37,6 +38,7 @@ TEMPER = 1 / 3
 #: Pseudo-counts with which a host leans on its suffix, and a suffix on the corpus.
 LEAN = 10.0
 ACCEPT = 0.6
+EVIDENCE = ["suffix", "host", "declared", "text_lang"]
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def _best(scores: str | Column, langs: list[str]) -> Column:
 def identify(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, text, declared, host, suffix): doc_id, lang, confidence, accepted, text_lang."""
     rows = text_column(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    declared = rows.where("declared is not null")
+    declared = rows.where("declared <> ''")
     told = declared.groupBy("declared").agg(F.count("*").alias("of_lang")).where(F.col("of_lang") >= min(LEAST, LEAST_SHARE * declared.count()))
     every = F.greatest(F.lit(1), F.floor(F.col("of_lang") / SAMPLE))
     langs, model = fit(declared.join(F.broadcast(told), "declared").where(F.pmod(F.xxhash64("doc_id"), every) == 0))
@@ -110,30 +112,39 @@ def identify(rows: DataFrame) -> DataFrame:
         return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang"))
     seen = _likelihoods(rows, model)
     chance = F.col("n_grams") * float(-np.log(BINS))  # of the text, were all trigrams equally likely
-    shown = F.when(F.col("n_grams") > 0, _best("likelihoods", langs))
-    seen = materialise(seen.withColumn("text_lang", shown), "likelihoods")
-    # one small table of counts by (suffix, host, declared, language shown) gives every prior
-    counts = materialise(seen.where("text_lang is not null").groupBy("suffix", "host", "declared", "text_lang").count(), "counts")
-    by = lambda *keys: counts.groupBy(*keys).pivot("text_lang", langs).agg(F.sum("count")).select(*keys, F.array(*[F.coalesce(F.col(f"`{x}`"), F.lit(0)).cast("double") for x in langs]).alias("n"))
+    shown = F.when(F.col("n_grams") > 0, _best("likelihoods", langs)).otherwise("")
+    known = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise("")
+    seen = materialise(seen.withColumn("text_lang", shown).withColumn("declared", known), "likelihoods")
+    # one small table of counts by (suffix, host, declared, language shown) gives all other evidence
+    combos = materialise(seen.groupBy(*EVIDENCE).count(), "counts")
+    known = combos.where("text_lang <> ''")
+    array = F.array(*[F.coalesce(F.col(f"`{x}`"), F.lit(0)).cast("double") for x in langs])
+    by = lambda name, *keys: known.groupBy(*keys).pivot("text_lang", langs).agg(F.sum("count")).select(*keys, array.alias(name))
+    whole = by("n").first()
+    whole = list(whole["n"]) if whole else [0.0] * len(langs)
+    told = {r["declared"]: r["n"] for r in by("n", "declared").where(F.col("declared").isin(langs)).collect()}  # a row for each language
+    said = [(d, list(told.get(d, [0.0] * len(langs)))) for d in langs]
+    said = F.broadcast(rows.sparkSession.createDataFrame(said, "declared string, of_declared array<double>"))
+    every = F.array(*[F.lit(float(sum(n[i] for n in told.values()))) for i in range(len(langs))])
+    combos = combos.join(by("of_suffix", "suffix"), "suffix", "left").join(by("of_host", "suffix", "host"), ["suffix", "host"], "left").join(said, "declared", "left")
+    own = F.transform(F.array(*map(F.lit, langs)), lambda x: (x == F.col("text_lang")).cast("double"))
+    combos = combos.withColumn("own", own)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    whole = by().first()
-    base = [(x + 1) / (sum(whole["n"]) + len(langs)) for x in whole["n"]] if whole and whole["n"] else [1 / len(langs)] * len(langs)
+    others = lambda n: F.zip_with(F.coalesce(n, F.array(*[F.lit(0.0)] * len(langs))), "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     lean = lambda n, prior: F.zip_with(n, prior, lambda x, p: (x + LEAN * p) / (total(n) + LEAN))
-    suffixes = by("suffix").select("suffix", lean(F.col("n"), F.array(*map(F.lit, base))).alias("of_suffix"))
-    hosts = by("suffix", "host").join(suffixes, "suffix").select("suffix", "host", lean(F.col("n"), F.col("of_suffix")).alias("prior"))
-    told = counts.where(F.col("declared").isin(langs)).groupBy("declared", "text_lang").agg(F.sum("count").alias("n")).collect()  # a number for each pair of languages
-    n = {(r["declared"], r["text_lang"]): r["n"] for r in told}
-    given = {d: [np.log((n.get((d, x), 0) + 1) / (sum(n.get((e, x), 0) for e in langs) + len(langs))) for x in langs] for d in langs}
-    said = F.coalesce("said", F.array(*[F.lit(0.0)] * len(langs)))
-    out = seen.join(hosts, ["suffix", "host"], "left")
-    out = out.join(F.broadcast(rows.sparkSession.createDataFrame([(d, [float(x) for x in logs]) for d, logs in given.items()], "declared string, said array<double>")), "declared", "left")
-    prior = F.transform(F.coalesce("prior", F.array(*map(F.lit, base))), lambda p: F.log(p))
-    score = F.zip_with(F.zip_with("likelihoods", said, lambda a, b: a * TEMPER + b), prior, lambda a, b: a + b)
+    combos = combos.withColumn("base", others(F.array(*map(F.lit, whole)))).withColumn("base", F.transform("base", lambda x: (x + 1) / (total(F.col("base")) + len(langs))))
+    combos = combos.withColumn("of_suffix", others(F.col("of_suffix"))).withColumn("of_host", others(F.col("of_host")))
+    combos = combos.withColumn("of_suffix", lean(F.col("of_suffix"), F.col("base"))).withColumn("prior", lean(F.col("of_host"), F.col("of_suffix")))
+    given = F.zip_with(others(F.col("of_declared")), others(every), lambda x, n: F.log((x + 1) / (n + len(langs))))
+    given = F.when(F.col("of_declared").isNotNull(), given).otherwise(F.array(*[F.lit(0.0)] * len(langs)))
+    combos = combos.select(*EVIDENCE, F.zip_with(given, "prior", lambda x, p: x + F.log(p)).alias("evidence"))
+    out = spread_join(seen, combos, EVIDENCE, "doc_id")  # a host of many rows is dealt to many tasks
+    score = F.zip_with("likelihoods", "evidence", lambda a, b: a * TEMPER + b)
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     confidence = 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     out = out.withColumn("confidence", confidence).withColumn("lang", _best("score", langs))
     explained = F.element_at("likelihoods", F.array_position("score", F.col("top")).cast("int")) >= chance
-    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0) & explained).alias("accepted"), "text_lang")
+    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0) & explained).alias("accepted"), F.nullif("text_lang", F.lit("")).alias("text_lang"))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -150,8 +161,12 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs whose language is identified, with that language as lang; rows without an id stay as they are."""
-    found = identify(document_evidence(docs)).select("doc_id", F.when(F.col("accepted"), F.col("lang")).alias("_found_lang")).dropDuplicates(["doc_id"])
+    """docs whose language is identified, with that language as lang; rows without an id stay as they are.
+
+    Rows that repeat an id share one verdict, that of the most confident accepted row (ties: the last language).
+    """
+    found = identify(document_evidence(docs)).groupBy("doc_id").agg(F.max(F.struct("accepted", "confidence", "lang")).alias("x"))
+    found = found.select("doc_id", F.when(F.col("x.accepted"), F.col("x.lang")).alias("_found_lang"))
     out = docs.join(found.where("doc_id is not null"), "doc_id", "left").where("doc_id is null or _found_lang is not null")
     return out.withColumn("lang", F.coalesce("_found_lang", "lang")).select(*docs.columns)
 

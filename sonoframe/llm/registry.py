@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from .common import small_batches
 from .decontamination import op5_decontamination
 from .fingerprints import op8_fingerprints
 from .language_id import langid_pages, op6_language_id
@@ -14,8 +17,18 @@ from .substring_dedup import op10_substring_dedup
 from .toxicity import op9_toxicity
 
 
+def _begun(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "langid_pages": langid_pages}
+    every = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "langid_pages": langid_pages}
+    return {name: _begun(query) for name, query in every.items()}
 
 
 _WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

@@ -25,18 +25,23 @@ from pyspark.sql import functions as F
 from .common import read_table, text_column
 
 SPACE = "▁"
-#: Entries that a generation of a worker's memo may hold.
-MEMO = 200_000
+#: Entries that a generation of a worker's memo may hold, and the characters or ids of the longest.
+MEMO, LONGEST = 200_000, 64
 
 
 class _Memo(dict):
-    """A memo of two generations: when the newer is full, it becomes the older and what it doesn't hold goes."""
+    """A memo of two generations: when the newer is full, it becomes the older and what it doesn't hold goes.
 
-    def __init__(self, make, limit: int = MEMO):
+    Long keys aren't kept, so that text without spaces takes no more memory than words do.
+    """
+
+    def __init__(self, make, limit: int = MEMO, longest: int = LONGEST):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
     def __missing__(self, key):
+        if not isinstance(key, int) and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -71,7 +76,7 @@ class Codec:
         self.widths = [1 if i == self.unknown else len(p) for i, p in enumerate(self.pieces)]
         self.compatible = _Memo(self._compatible, 2 * MEMO)
         self.segment = _Memo(self._segment)
-        self.text = _Memo(self._text)
+        self.text = _Memo(self._text, longest=4 * LONGEST)
         self.lines = not any("\n" in p for p in self.rank)
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
@@ -144,10 +149,25 @@ class Codec:
 
 def _utf8(raw: bytes) -> str:
     """As the library does: each byte that begins no valid character becomes U+FFFD."""
+    out, at = [], 0
+    while at < len(raw):
+        try:
+            out.append(raw[at : at + 65536].decode())
+            at += 65536
+        except UnicodeDecodeError as e:
+            out.append(raw[at : at + e.start].decode())
+            at += e.start
+            whole = next((n for n in (2, 3, 4) if _valid(raw[at : at + n])), 0)  # a character over the end of a piece
+            out.append(raw[at : at + whole].decode() if whole else "�")
+            at += whole or 1
+    return "".join(out)
+
+
+def _valid(raw: bytes) -> bool:
     try:
-        return raw.decode()
-    except UnicodeDecodeError as e:
-        return raw[: e.start].decode() + "�" + _utf8(raw[e.start + 1 :])
+        return len(raw.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 _codecs: dict[int, Codec] = {}

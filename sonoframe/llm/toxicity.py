@@ -3,7 +3,8 @@
 Categories are predicted in order. Each has a logistic model over hashed words and word beginnings (inflected forms
 share them), weighted by their log-count ratios, and over the earlier categories' log-odds; those are out-of-fold predictions when the model is fitted, so that a
 later model never learns from an earlier one's fit to the same rows. Models are fitted with numpy on at most SAMPLE
-labelled rows, the first by a hash of their id; every document is scored in whole.
+labelled rows (and SAMPLE_BINS bins: 16 MB reach the driver), the first by a hash of their id; every document is
+scored in whole.
 
 Defined results: null and empty texts have no words and get the models' base rates; labels with null categories or
 ids are not learned from; a category without two labelled rows of each kind is never predicted; every row gives one row.
@@ -15,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, read_table, slices, text_column
+from .common import Words, materialise, mix, read_table, slices, text_column
 
 BITS = 18
 BEGINNINGS = (4, 5, 6)
 SAMPLE = 5000
+#: Distinct bins that those rows may have together; the first rows by hash that keep within it are taken.
+SAMPLE_BINS = 4_000_000
 FOLDS = 3
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +131,12 @@ def score(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bins.astype(np.int32))), *part.columns[2:]], ["doc_id", "bins", *categories])
 
     rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", *categories)  # few: SAMPLE small rows at most
-    rows = rows.mapInArrow(gather, "doc_id long, bins array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    rows = rows.mapInArrow(gather, "doc_id long, bins array<int>, " + ", ".join(f"{c} int" for c in categories))
+    rows = materialise(rows.groupBy("doc_id").agg(F.min("bins").alias("bins"), *[F.min(c).alias(c) for c in categories]), "labelled")
+    # a running total over SAMPLE numbers says which rows keep within the bound
+    total = F.sum(F.size("bins")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", total.alias("total")).where(F.col("total") <= SAMPLE_BINS).select("doc_id")
+    rows = rows.join(F.broadcast(within), "doc_id").toPandas().sort_values("doc_id")
     lists = list(rows.bins)
     bins = np.concatenate([*lists, np.zeros(0, dtype=np.int32)]).astype(np.int32)
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)

@@ -184,3 +184,45 @@ def test_toxicity_of_inflected_words(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0), int(i % 2)) for i in range(0, 800) if i % 4 > 0], "doc_id long, toxic int, other int")
     rows = [r for r in toxicity.score(docs, labels, ["other", "toxic"]).collect() if r["doc_id"] % 4 == 0]
     assert sum(r["toxic"] == (r["doc_id"] % 5 == 0) for r in rows) >= 0.98 * len(rows)
+
+
+def test_language_by_brute_force(spark):
+    """Confidence and language are those of plain arithmetic on each row's evidence without the row itself."""
+    import math
+
+    words = {"en": ("heron", "dawn", "reed"), "de": ("reiher", "schilf", "morgen"), "fr": ("roseau", "aube", "marais")}
+    rng, rows = random.Random(5), []
+    for i in range(240):
+        lang = rng.choice(("en", "en", "en", "de", "fr"))
+        text = prose(i, rng.choice((1, 2, 30)), words[lang]) if i % 11 else rng.choice(("", "12", "??? 7", None))
+        rows.append((i, text, rng.choice((lang, lang, None, "xx", "en")), rng.choice((lang, "mixed", None)), rng.choice(("a", None))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    found = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    told = {d: n for d in ("en", "de", "fr", "xx") if (n := sum(r[2] == d for r in rows)) >= min(language_id.LEAST, language_id.LEAST_SHARE * sum(r[2] is not None for r in rows))}
+    langs, model = language_id.fit(docs.where(F.col("declared").isin(list(told))).withColumn("text", F.coalesce("text", F.lit(""))))
+    like = {}
+    for i, text, *_ in rows:
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        bins, _ = language_id._trigrams(data, np.array([0, len(data)]))
+        like[i] = [float(model[k][bins].sum(dtype=np.float64)) for k in range(len(langs))], len(bins)
+    shown = {i: langs[int(np.argmax(x))] if n else None for i, (x, n) in like.items()}
+    for i, _, declared, host, suffix in rows:
+        others = [(j, *r) for j, _, *r in rows if j != i and shown[j]]
+        count = lambda test: [sum(shown[o[0]] == x and test(o) for o in others) for x in langs]
+        every, of_suffix, of_host = count(lambda o: True), count(lambda o: (o[3] or "") == (suffix or "")), count(lambda o: (o[3] or "", o[2] or "") == (suffix or "", host or ""))
+        lean = lambda n, p: [(x + language_id.LEAN * q) / (sum(n) + language_id.LEAN) for x, q in zip(n, p)]
+        prior = lean(of_host, lean(of_suffix, [(x + 1) / (sum(every) + len(langs)) for x in every]))
+        logs = [a * language_id.TEMPER + math.log(p) for a, p in zip(like[i][0], prior)]
+        if declared in langs:
+            own, known = count(lambda o: o[1] == declared), count(lambda o: o[1] in langs)
+            logs = [x + math.log((a + 1) / (n + len(langs))) for x, a, n in zip(logs, own, known)]
+        best = max(logs)
+        confidence = 1 / sum(math.exp(x - best) for x in logs)
+        assert abs(found[i]["confidence"] - confidence) < 1e-4, (i, found[i], confidence)
+        assert confidence < 0.501 or found[i]["lang"] == langs[logs.index(best)]
+
+
+def test_rows_that_repeat_an_id_share_a_verdict(spark):
+    rows = [(i, prose(i, 60), "en", "h") for i in range(40)] + [(7, "?", "en", "h")]
+    kept = language_id.keep_identified(frame(spark, rows)).where("doc_id = 7")
+    assert kept.count() == 2
