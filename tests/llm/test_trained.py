@@ -226,3 +226,18 @@ def test_rows_that_repeat_an_id_share_a_verdict(spark):
     rows = [(i, prose(i, 60), "en", "h") for i in range(40)] + [(7, "?", "en", "h")]
     kept = language_id.keep_identified(frame(spark, rows)).where("doc_id = 7")
     assert kept.count() == 2
+
+
+def test_secret_models_on_held_out_tokens(spark, sf):
+    """Tokens of other random bytes and of other documents' words: nine tenths are found, nearly no word is."""
+    import base64
+
+    from sonoframe.llm import secret_scan
+
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    rng = random.Random(8)
+    keys = [base64.urlsafe_b64encode(rng.randbytes(24)).decode() for _ in range(500)]
+    names = [rng.choice("_-/").join(prose(9000 + i, 4).split()) for i in range(500)]
+    docs = frame(spark, list(enumerate(f"see {x} there" for x in keys + names)))
+    found = {r["doc_id"]: r["n_markov"] for r in secret_scan.scan(docs, samples).collect()}
+    assert sum(found[i] for i in range(500)) >= 450 and sum(found[500 + i] for i in range(500)) <= 5
