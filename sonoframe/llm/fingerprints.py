@@ -23,6 +23,8 @@ BINS = 1 << BIN_BITS
 SHINGLE = 5
 #: Documents that one block of neighbours holds, about.
 BLOCK = 1024
+#: How many blocks there are at most, about; beyond, blocks grow.
+SPLITS = 1 << 16
 _SHIFT = 64 - BIN_BITS
 _FULL = (1 << _SHIFT) - 1
 
@@ -57,6 +59,32 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when((F.col(a) == "") | (F.col(b) == ""), 0.0).otherwise(share)
 
 
+def _block(docs: DataFrame) -> Column:
+    """The block of each row of (doc_id, text): BLOCK neighbours or fewer, later blocks first; null ids come last.
+
+    Ids are ranked in a shuffle of their own, and every BLOCK-th one of a partition begins a block: at most SPLITS and
+    one for each partition reach the driver, however the ids lie. Rows without an id are dealt by the hash of their
+    text, which orders them.
+    """
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    size = max(BLOCK, -(-known // SPLITS))
+    ids = docs.where("doc_id is not null").select("doc_id").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
+    splits = sorted({r["doc_id"] for r in ids.withColumn("rank", rank).where(F.col("rank") % size == 0).select("doc_id").collect()})
+    table = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>")
+
+    def halve(acc: Column, _: Column) -> Column:  # bisection: how many blocks begin at the id or before
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        after = F.coalesce(F.get(table, middle) <= F.col("doc_id"), F.lit(False))
+        return F.struct(F.when(after, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(after, acc["hi"]).otherwise(middle).alias("hi"))
+
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi"))
+    of_id = F.aggregate(F.sequence(F.lit(1), F.lit(len(splits).bit_length() + 1)), ends, halve, lambda acc: acc["lo"].cast("long")) if splits else F.lit(0)
+    bits = min(max(0, (n - known) // BLOCK).bit_length(), 16)
+    of_text = F.shiftright(F.xxhash64("text"), 63 - bits) if bits else F.lit(0)  # signed: -2^bits to 2^bits - 1
+    return F.when(F.col("doc_id").isNotNull(), of_id).otherwise(-1 - (1 << bits) - of_text)
+
+
 def _next_block(blocks: DataFrame) -> DataFrame:
     """Of blocks (block, top): the block that comes next in descending order, the first after the last.
 
@@ -90,15 +118,11 @@ def _edited(df: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's fingerprint against that of its text with the last half replaced by the next row's first, descending id.
 
-    Texts are shuffled once, into blocks of neighbouring ids; a block's last row meets the next block's first in a
+    Texts are shuffled once, into counted blocks of neighbouring ids; a block's last row meets the next block's first in a
     join of one row a block.
     """
-    spark = docs.sparkSession
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = min(max(1, ((hi or 0) - (lo or 0) + 1) * BLOCK // max(n, 1)), 2**62)
-    block = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(2**63)))
-    docs = docs.withColumn("block", block)
+    docs = docs.withColumn("block", _block(docs))
     next_block = _next_block(docs.groupBy("block").agg(F.count("*").alias("n")))
     rows = with_fingerprint(docs, "text", "fingerprint")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sonoframe.llm import fingerprints, near_dedup, pii, secret_scan, sentencepiece_bpe, substring_dedup
 
@@ -291,3 +292,47 @@ def test_pieces_of_long_segments():
     for raw in (bytes(rng.choice((0xC3, 0xA9, 0xE6, 0x97, 0xA5, 0xF0, 0x9F, 0x98, 0x80, 0x41, 0xFF)) for _ in range(3000)), ("é" * 32767 + "日" + "a" * 70_000).encode(), b"a" + "é".encode() * 40_000, b"\xff" * 100_000):
         ids = [codec.bytes[b] for b in raw]
         assert codec.decode(ids) == sp.decode(ids)
+
+
+def bins_by_force(text):
+    """One-permutation MinHash by its definition, from the engine's own 64-bit hash."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.getActiveSession()
+    hash_ = lambda rows, schema: [r[0] for r in spark.createDataFrame(rows, schema).select(F.xxhash64("*")).collect()]
+    w = hash_([(x,) for x in words(text)], "a string") if words(text) else []
+    if not w:
+        return ""
+    shingles = hash_([tuple(w[i : i + 5]) for i in range(len(w) - 4)], "a long, b long, c long, d long, e long") if len(w) >= 5 else hash_([(w,)], "a array<long>")
+    bins = {}
+    for h in shingles:
+        if h & fingerprints._FULL != fingerprints._FULL:
+            bins[h >> 57] = min(h, bins.get(h >> 57, 2**63))
+    asked = [(i, b) for i in range(128) if i - 64 not in bins for b in bins]
+    order = dict(zip(asked, hash_(asked, "i int, b long"))) if asked else {}
+    value = lambda i: bins[i - 64] if i - 64 in bins else min((order[i, b], v) for b, v in bins.items())[1]
+    return "".join(f"{value(i) & 255:02x}" for i in range(128))
+
+
+def test_fingerprints_by_brute_force(spark):
+    made = {1: "", 2: "one", 3: "three short words", 4: prose(1, 9), 5: prose(2, 60), 6: prose(3, 900)}
+    for r in fingerprints.fingerprints(frame(spark, list(made.items()))).collect():
+        assert r["fingerprint"] == bins_by_force(made[r["doc_id"]]), r["doc_id"]
+
+
+def test_blocks_are_counted(spark, monkeypatch):
+    """Dense ids beside far ones, and rows without an id: no block holds more than a few times its share."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 32)
+    made = [(i, prose(i, 12)) for i in range(1500)] + [(2**60, "far one"), (-(2**61), "far two")] + [(None, prose(10_000 + i, 12)) for i in range(1500)]
+    docs = frame(spark, made).repartition(5)
+    blocks = docs.withColumn("block", fingerprints._block(docs)).groupBy("block").agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
+    assert max(r["n"] for r in blocks if r["known"]) <= 32 and max(r["n"] for r in blocks) <= 3 * 32 and all(r["known"] in (0, r["n"]) for r in blocks)
+    known = sorted((r["block"], r["lo"], r["hi"]) for r in blocks if r["known"])
+    assert all(a[2] < b[1] for a, b in zip(known, known[1:])) and known[0][0] > max(r["block"] for r in blocks if not r["known"])
+    rows = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect() if r["doc_id"] is not None}
+    ids = sorted(rows, reverse=True)
+    texts = dict(made)
+    for d, after in zip(ids, ids[1:]):
+        t = texts[d]
+        assert rows[d]["edited_sha256"] == sha(t[: len(t) - len(t) // 2] + texts[after][: len(t) // 2])
