@@ -48,6 +48,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by keys to so many tasks, where the session's own number is smaller: tasks stay small as the input grows."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
     """left joined with right on keys, with hot keys of left dealt over many tasks by the column `by`.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, text_column
+from .common import in_tasks, materialise, read_table, text_column
 
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
@@ -124,6 +124,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     docs = docs.withColumn("block", _block(docs))
     next_block = _next_block(docs.groupBy("block").agg(F.count("*").alias("n")))
+    docs = in_tasks(docs, docs.count() // (16 * BLOCK), "block")
     rows = with_fingerprint(docs, "text", "fingerprint")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))

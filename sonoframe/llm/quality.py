@@ -13,10 +13,13 @@ thresholds aren't those of text the model has seen. A document is kept if its pe
 language's quantile among trusted documents (trusted text is a sample: other clean text is a little further from the
 model, junk many times further); short texts lean on their language's mean, as if PRIOR more bytes had it.
 
+Languages of little trusted text share one model, so any number of languages has one. Shards' questions are salted by
+the number of slices, so no task grows with the input.
+
 Defined results: null and empty texts have no perplexity of their own, get their language's mean and are kept;
-rows with no or an unknown language take the model that likes them best; languages without trusted text have no
-model. Without any trusted text all rows are kept and have no perplexity. Every row gives one row. The documents are
-read twice and must come in the same order both times, as from files; where they don't, the job fails.
+rows without a language take the model that likes them best; rows of a language without any trusted text aren't
+judged: kept, without perplexity. So are all where there is no trusted text. Every row gives one row. The documents are
+read more than once and must come in the same order both times, as from files; where they don't, the job fails.
 """
 
 from __future__ import annotations
@@ -29,18 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, slices, text_column
+from .common import in_tasks, materialise, read_table, slices, text_column
 
 BEGIN = 2
 PRIOR = 40
 QUANTILE = 0.995
 SLACK = 1.25
+#: Language tags of trusted rows that are told apart, those of most text; no world has more languages.
+TAGS = 10_000
 HELD = 5
-LANGUAGES = 64
+#: Languages with a model of their own: those of most trusted text, FEW trusted documents at least. Others share one.
+LANGUAGES, FEW, SHARED = 64, 20, "*"
 #: Text bytes whose distinct n-grams are asked for together.
 SLICE = 8 << 20
-#: Each shard's documents are dealt to so many tasks, each with the shard's counts.
-SALTS = 4
+#: A shard's questions from so many slices, about, meet in one task with the shard's counts.
+SLICES = 64
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[48:58] = 48
 _FOLD[[9, 11, 12, 13]] = 32
@@ -132,10 +138,8 @@ def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
     two = three.groupBy("lang", F.col("mid").bitwiseAND(0xFF).alias("d"), "low").agg(F.count("*").alias("n"))
     small: dict = {}
     for order, table in ((5, five), (4, four), (3, three)):
-        for r in table.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).limit(LANGUAGES + 1).collect():
+        for r in table.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect():
             small.setdefault(r["lang"], {})[order] = _discounts(list(r[1:]))
-    if len(small) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; their second orders are too large to give to every task")
     pairs = two.toPandas()  # at most 256^2 rows a language
     for name, model in small.items():
         own, n = pairs[pairs.lang == name], np.zeros((256, 256), dtype=np.int64)
@@ -148,10 +152,10 @@ def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
 
 def _asked(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, names: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """For each model: the rows of a slice (doc_id, text, lang) that take it, all their 5-grams, and the distinct ones."""
-    keys, place = grams(data, offsets), {x: i for i, x in enumerate(names)}
-    lang = np.array([place.get(x, -1) for x in part.column(2).to_pylist()])
+    keys, place = grams(data, offsets), {x: i for i, x in enumerate(names)} | {None: -1}
+    lang = np.array([place.get(x, -2) for x in part.column(2).to_pylist()])
     for i, name in enumerate(names):
-        takes = (lang < 0) | (lang == i)
+        takes = (lang == -1) | (lang == i)
         own = keys[np.repeat(takes, np.diff(offsets))]
         if takes.any():
             yield name, takes, own, np.unique(own)
@@ -178,9 +182,9 @@ def _blobs(x: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
 
 
-def _answers(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
+def _answers(docs: DataFrame, five: DataFrame, small: dict, n_bytes: int) -> DataFrame:
     """(slice, lang, mid, body): the log-probabilities of a slice's distinct 5-grams of that shard, in order, as float16."""
-    names, spark = sorted(small), docs.sparkSession
+    names, spark, salts = sorted(small), docs.sparkSession, max(1, -(-n_bytes // (SLICES * SLICE)))
     model = spark.sparkContext.broadcast(small)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +194,11 @@ def _answers(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
                 mids, first = np.unique(found >> 24, return_index=True)
                 low = np.ascontiguousarray(found.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :3]
                 n = len(mids)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(mids.astype(np.int32)), pa.array(np.full(n, key % SALTS, dtype=np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), _blobs(low, np.append(first, len(found)))], ["lang", "mid", "salt", "low", "n", "slice", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(mids.astype(np.int32)), pa.array(np.full(n, key % salts, dtype=np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), _blobs(low, np.append(first, len(found)))], ["lang", "mid", "salt", "low", "n", "slice", "body"])
 
     schema = "lang string, mid int, salt int, low int, n long, slice long, body binary"
-    known = five.select("lang", "mid", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), "low", "n", F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("body"))
-    both = docs.mapInArrow(ask, schema).unionByName(known).repartition("lang", "mid", "salt").sortWithinPartitions("lang", "mid", "salt", F.col("low").asc_nulls_last())
+    known = five.select("lang", "mid", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "low", "n", F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("body"))
+    both = in_tasks(docs.mapInArrow(ask, schema).unionByName(known), n_bytes // (16 * SLICE), "lang", "mid", "salt").sortWithinPartitions("lang", "mid", "salt", F.col("low").asc_nulls_last())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard, low, n = None, None, [], []
@@ -225,6 +229,7 @@ def _answers(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
 def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
     """(doc_id, model_lang, n, logp) of every row of (doc_id, text, lang); n: bytes."""
     names = sorted(small)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _pieces(batches):
@@ -233,7 +238,8 @@ def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())))], ["slice", "lang", "mid", "body", "ids", "sizes", "langs"])
 
     texts = docs.mapInArrow(pack, "slice long, lang string, mid int, body binary, ids array<long>, sizes array<long>, langs array<string>")
-    both = texts.unionByName(_answers(docs, five, small), allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", F.col("mid").asc_nulls_last())
+    both = texts.unionByName(_answers(docs, five, small, n_bytes), allowMissingColumns=True)
+    both = in_tasks(both, n_bytes // (16 * SLICE), "slice").sortWithinPartitions("slice", F.col("mid").asc_nulls_last())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, answers = None, {}
@@ -260,25 +266,32 @@ def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
                     total[takes] = sums[edges[1:]] - sums[edges[:-1]]
                     better = total > best
                     best[better], name_of[better] = total[better], name
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name_of.tolist(), pa.string()), pa.array(np.diff(offsets)), pa.array(best)], ["doc_id", "model_lang", "n", "logp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name_of.tolist(), pa.string()), pa.array(np.diff(offsets)), pa.array(best, mask=np.isinf(best))], ["doc_id", "model_lang", "n", "logp"])
 
     return both.mapInArrow(work, "doc_id long, model_lang string, n long, logp double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and keep of every row of (doc_id, text, lang); trusted: (doc_id)."""
-    docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("said")))
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("held", F.xxhash64("doc_id") % HELD == 0)
     # the ids grow with the corpus: they are never broadcast, so that the plan is the same at every size
-    five, small = fit(docs.where("lang is not null").join(trusted.where("not held").hint("merge"), "doc_id", "left_semi"))
+    told = docs.where("said is not null").select("doc_id", "said", F.octet_length("text").alias("size")).join(trusted.hint("merge"), "doc_id", "left_semi").groupBy("said").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    told = [(r["said"], r["n"]) for r in told.orderBy(F.desc("size"), "said").limit(TAGS).collect()]
+    own = [name for name, n in told if n >= FEW][:LANGUAGES]
+    shared = F.col("said").isin([name for name, _ in told if name not in own])
+    docs = docs.select("doc_id", "text", F.when(shared, F.lit(SHARED)).otherwise(F.col("said")).alias("lang"))
+    five, small = fit(docs.where(F.col("lang").isin([*own, SHARED])).join(trusted.where("not held").hint("merge"), "doc_id", "left_semi"))
     if not small:
-        return docs.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        return docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     rows = materialise(_scored(docs, five, small), "scores")
     known = rows.where("n > 0").join(trusted.hint("merge"), "doc_id")
     mean = lambda which: F.sum(F.when(which, F.col("logp"))) / F.sum(F.when(which, F.col("n")))
     means = known.groupBy("model_lang").agg(mean(F.lit(True)).alias("every"), mean(F.col("held")).alias("unseen"), mean(~F.col("held")).alias("seen"))
-    means = means.select("model_lang", F.coalesce("unseen", "every").alias("mean"), F.greatest(F.coalesce(F.col("seen") - F.col("unseen"), F.lit(0.0)), F.lit(0.0)).alias("gap"))
-    means = F.broadcast(means)  # LANGUAGES rows at most
+    # a language none of whose trusted documents was held out takes the gap of all
+    pooled = known.agg(F.greatest(mean(~F.col("held")) - mean(F.col("held")), F.lit(0.0)).alias("gap")).first()["gap"] or 0.0
+    means = means.select("model_lang", F.coalesce("unseen", F.col("every") - pooled).alias("mean"), F.greatest(F.coalesce(F.col("seen") - F.col("unseen"), F.lit(pooled)), F.lit(0.0)).alias("gap"))
+    means = F.broadcast(means)  # LANGUAGES rows and one at most
     logs = -(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     # seen texts would have had the mean difference more, as far as they don't lean on the mean
     fair = F.exp(logs + F.when(F.col("held"), 0.0).otherwise(F.col("gap") * F.col("n") / (F.col("n") + PRIOR)))

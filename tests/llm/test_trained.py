@@ -241,3 +241,23 @@ def test_secret_models_on_held_out_tokens(spark, sf):
     docs = frame(spark, list(enumerate(f"see {x} there" for x in keys + names)))
     found = {r["doc_id"]: r["n_markov"] for r in secret_scan.scan(docs, samples).collect()}
     assert sum(found[i] for i in range(500)) >= 450 and sum(found[500 + i] for i in range(500)) <= 5
+
+
+def test_quality_of_many_languages(spark):
+    """Seventy small languages share a model; a language without trusted text isn't judged; junk is refused in large ones."""
+    rows, trusted = [], []
+    for i in range(400):
+        rows.append((i, prose(i, 80), "en", "h"))
+        trusted += [i] if i % 2 else []
+    for k in range(70):
+        for j in range(4):
+            rows.append((1000 + 10 * k + j, prose(5000 + 10 * k + j, 80), f"l{k}", "h"))
+        trusted += [1000 + 10 * k, 1001 + 10 * k]
+    rows += [(3000 + i, prose(7000 + i, 40, ("zq", "xj", "kv", "wq")), "none", "h") for i in range(5)]
+    rows += [(4000 + i, "".join(random.Random(i).choice("qxzj#$%0") for _ in range(300)), "en", "h") for i in range(20)]
+    found = {r["doc_id"]: r for r in quality.perplexities(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    assert len(found) == len(rows) and {r["lang"] for r in found.values()} == {"en", quality.SHARED, None}
+    assert all(found[3000 + i]["keep"] and found[3000 + i]["perplexity"] is None for i in range(5))
+    assert not any(found[4000 + i]["keep"] for i in range(20))
+    clean = [r["keep"] for i, r in found.items() if i < 3000]
+    assert sum(clean) >= 0.97 * len(clean)
