@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The model is trained here, in numpy on the driver, from windows of at most SAMPLE labelled ones: their labels are the
-base patterns' spans, and some are rewritten into forms that the patterns don't know (phone numbers without a
-country code, addresses with spaces). Every kind has a digit or an at sign, so text away from both needs no model:
+base patterns' spans, half of them rewritten into forms that the patterns don't know (phone numbers without a
+country code; signs and dots of addresses apart or in brackets; cards in other groups). Every kind has a digit or an at sign, so text away from both needs no model:
 windows of 64 characters, half overlapping, cover the surroundings of those characters in every whole text. Where
 windows overlap their emissions are averaged, and one Viterbi pass decodes the whole region, so that a span across
 windows is found once. A span of the model's counts if it has what its kind must have and touches no base span.
@@ -29,14 +29,19 @@ TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 WINDOW, STRIDE = 64, 32
 #: Labelled windows that the model is trained on, at most; documents that they come from, about.
 SAMPLE, SAMPLE_DOCS = 3000, 4000
-EMBED, HIDDEN, STEPS, BATCH = 12, 16, 220, 48
+#: Forms in which a sampled text with personal data is shown.
+VARIANTS = 8
+EMBED, HIDDEN, STEPS, BATCH = 12, 16, 400, 48
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGITS = re.compile("[^0-9]+")
+_DIGITS, _DIGIT, _WORD = re.compile("[^0-9]+"), re.compile("[0-9]"), re.compile("[a-z]{2,10}")
+#: What the model's addresses must be: an at sign or a dot may stand apart or in brackets.
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+[\x20\[(]*@[\x20\])]*[A-Za-z0-9-]+(?:[\x20\[(]*\.[\x20\])]*[A-Za-z0-9-]+)+")
+_PARTS = re.compile(r"([0-9]+)" + r"[\x20\[(]*\.[\x20\])]*([0-9]+)" * 3)
 
 
 def luhn(digits: str) -> bool:
@@ -71,8 +76,10 @@ def regions(code: np.ndarray) -> list[tuple[int, int]]:
     at = np.flatnonzero(((code >= 17) & (code <= 26)) | (code == 33))
     if not len(at):
         return []
-    edge = np.flatnonzero(np.diff(at) > WINDOW) + 1
-    lo, hi = at[np.concatenate([[0], edge])] - STRIDE // 2, at[np.concatenate([edge - 1, [len(at) - 1]])] + STRIDE // 2
+    room = np.where(code[at] == 33, WINDOW, STRIDE // 2)  # local parts and domains are long and may have no digit
+    lo, hi = np.minimum.accumulate((at - room)[::-1])[::-1], np.maximum.accumulate(at + room)
+    edge = np.flatnonzero(lo[1:] - hi[:-1] > STRIDE) + 1
+    lo, hi = lo[np.concatenate([[0], edge])], hi[np.concatenate([edge - 1, [len(at) - 1]])]
     return [(int(a), max(1, -(-int(b - a - STRIDE) // STRIDE))) for a, b in zip(lo, hi)]
 
 
@@ -239,9 +246,13 @@ def tagged(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _plausible(kind: int, text: str) -> bool:
+    """Whether a span of the model's has what its kind must have."""
+    if kind == 0:
+        return _MAIL.fullmatch(text) is not None
+    if kind == 1:
+        return (m := _PARTS.fullmatch(text)) is not None and all(len(p := x.lstrip("0")) < 4 and int(p or 0) <= 255 for x in m.groups())
     digits = _DIGITS.sub("", text)
-    n = len(digits)
-    return ("@" in text and "." in text, text.count(".") == 3 and _IP.search(text) is not None and all(int(x[-4:]) <= 255 for x in _DIGITS.split(text) if x), 13 <= n <= 19 and luhn(digits), 7 <= n <= 15)[kind]
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
 def rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
@@ -251,12 +262,32 @@ def rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
         a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
         return (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}")[rng.integers(3)]
     if kind == 0:
-        return text.replace("@", " @ ", 1)
+        return text.replace("@", (" @ ", " [@] ", "(@)", "@ ")[rng.integers(4)], 1)
+    if kind == 1:
+        return text.replace(".", ("[.]", " . ", "(.)", ". ")[rng.integers(4)])
+    if kind == 2:
+        mark = (".", "/", "_", "  ")[rng.integers(4)]
+        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     return text
 
 
+def another(kind: int, text: str, words: list[str], rng: np.random.Generator) -> str:
+    """A datum of the same kind with other letters and digits; an address is made of the document's words."""
+    if kind == 0:
+        word = lambda: words[rng.integers(len(words))] if words else "x"
+        local = "".join((word(), ("", ".", "_", "-")[rng.integers(4)], word() if rng.random() < 0.4 else "", str(rng.integers(1000)) if rng.random() < 0.4 else ""))
+        return f"{local}@{word()}{('', '-', '.')[rng.integers(3)]}{word()}.{('com', 'org', 'net', 'co.uk', 'example', 'de')[rng.integers(6)]}"
+    if kind == 1:
+        return ".".join(map(str, rng.integers(0, 256, 4)))
+    return _DIGIT.sub(lambda _: str(rng.integers(10)), text)
+
+
 def samples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of at most SAMPLE windows around digits and at signs, a third of the spans in them rewritten."""
+    """Codes and tags of at most SAMPLE windows around digits and at signs, VARIANTS of each text with personal data.
+
+    In the first variant the spans are as they are; in the others they have other letters and digits, and half of
+    them stand in other forms, some between brackets.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,20 +295,24 @@ def samples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 rng, spans = np.random.default_rng(abs(doc or 0)), sorted(base_spans(text), key=lambda x: x[1])
-                made, tags, at = [], [], 0
-                for kind, a, b in spans:
-                    if a >= at:
-                        new = rewritten(kind, text[a:b], rng) if rng.random() < 0.33 else text[a:b]
-                        made += [text[at:a], new]
-                        tags += [np.zeros(a - at, np.int8), np.full(len(new), 2 + 2 * kind, np.int8)]
-                        tags[-1][0] = 1 + 2 * kind
-                        at = b
-                code = codes("".join([*made, text[at:]]))
-                tag = np.concatenate([*tags, np.zeros(len(text) - at, np.int8)])
-                for start, n in regions(code):
-                    begin = start + STRIDE * int(rng.integers(n)) + int(rng.integers(-16, 17))
-                    ids.append(doc)
-                    parts.append(cut(code, begin, WINDOW).tobytes() + cut(tag.astype(np.uint8), begin, WINDOW).tobytes())
+                words = _WORD.findall(text) if spans else []
+                for variant in range(VARIANTS if spans else 1):
+                    made, tags, at = [], [], 0
+                    for kind, a, b in spans:
+                        if a >= at:
+                            new = another(kind, text[a:b], words, rng) if variant else text[a:b]
+                            new = rewritten(kind, new, rng) if variant and rng.random() < 0.6 else new
+                            left, right = (("(", ")"), ("", ","), (" ", "\n"), ("", ""))[rng.integers(4)] if variant else ("", "")
+                            made += [text[at:a], left, new, right]
+                            tags += [np.zeros(a - at + len(left), np.int8), np.full(len(new), 2 + 2 * kind, np.int8), np.zeros(len(right), np.int8)]
+                            tags[-2][0] = 1 + 2 * kind
+                            at = b
+                    code = codes("".join([*made, text[at:]]))
+                    tag = np.concatenate([*tags, np.zeros(len(text) - at, np.int8)])
+                    for start, n in regions(code):
+                        begin = start + STRIDE * int(rng.integers(n)) + int(rng.integers(-16, 17))
+                        ids.append(doc)
+                        parts.append(cut(code, begin, WINDOW).tobytes() + cut(tag.astype(np.uint8), begin, WINDOW).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "window"])
 
     n = docs.count()
