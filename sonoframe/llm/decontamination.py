@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, mix, read_table, signed, slices, text_column
+from .common import Words, materialise, mix, read_table, signed, slices, spread_join, text_column
 
 #: Words of the shortest text or item that matches.
 LEAST = 3
@@ -178,8 +178,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: s
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     table = spark.sparkContext.broadcast(np.packbits(_bit_table(seeds)))
     passages = materialise(_passages(docs, table, _reach(longest, score)).withColumn("place", F.monotonically_increasing_id()), "passages")
-    pairs = passages.select("place", F.explode("seeds").alias("gram")).join(seeds, "gram").select("place", "item").distinct()
-    pairs = pairs.join(passages.select("place", "doc_id", "first_word", "passage"), "place").join(items.select("item", "item_id", "words"), "item")
+    pairs = materialise(passages.select("place", F.explode("seeds").alias("gram")).join(seeds, "gram").select("place", "item").distinct(), "pairs")
+    pairs = spread_join(pairs, items.select("item", "item_id", "words"), ["item"], "place")  # an item that many hold is dealt to many tasks
+    pairs = pairs.join(passages.select("place", "doc_id", "first_word", "passage"), "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

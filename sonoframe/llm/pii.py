@@ -302,7 +302,7 @@ def samples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                         if a >= at:
                             new = another(kind, text[a:b], words, rng) if variant else text[a:b]
                             new = rewritten(kind, new, rng) if variant and rng.random() < 0.6 else new
-                            left, right = (("(", ")"), ("", ","), (" ", "\n"), ("", ""))[rng.integers(4)] if variant else ("", "")
+                            left, right = (("(", ")"), ("", ","), (" ", "\n"), ("", ""))[rng.integers(4)] if variant and new[0] != "(" else ("", "")
                             made += [text[at:a], left, new, right]
                             tags += [np.zeros(a - at + len(left), np.int8), np.full(len(new), 2 + 2 * kind, np.int8), np.zeros(len(right), np.int8)]
                             tags[-2][0] = 1 + 2 * kind
