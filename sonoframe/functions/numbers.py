@@ -25,8 +25,8 @@ def gain(db: Column) -> Column:
 
 
 def lifted(level: Column, gain_db: Column) -> Column:
-    """A level with a gain; silence stays silent."""
-    return F.when(level <= SILENT, F.lit(SILENT)).otherwise(level + gain_db)
+    """A level with a gain, -100 at least; silence stays silent."""
+    return F.when(level > QUIET, F.greatest(level + gain_db, F.lit(QUIET))).otherwise(F.lit(QUIET))
 
 
 def meter_position(db: Column) -> Column:
@@ -49,9 +49,17 @@ def frequency_at(place: Column, lo: float, hi: float, logarithmic: bool) -> Colu
 
 
 def hz_text(hz: Column) -> Column:
-    """`440`, `2.5k`, `192k`, `1M`, `1.25M`: no more decimals than needed, three at most."""
-    short = lambda x: F.regexp_replace(F.round(x.cast("decimal(18,6)"), 3).cast("string"), r"\.?0+$", "")
-    return F.when(hz >= 1e6, F.concat(short(hz / 1e6), F.lit("M"))).when(hz >= 1e3, F.concat(short(hz / 1e3), F.lit("k"))).otherwise(short(hz.cast("double")))
+    """`440`, `2.5k`, `192k`, `1.25M`: whole below 1 kHz, one decimal at most for k, two for M."""
+    fixed = lambda x, n: F.bround(x, n).cast(f"decimal(18,{n})").cast("string")
+    k = hz / 1e3
+    mega = F.concat(F.regexp_replace(fixed(hz / 1e6, 2), r"\.?0+$", ""), F.lit("M"))
+    whole = F.abs(k - F.round(k)) < 0.05
+    return F.when(hz < 1e3, fixed(hz, 0)).when(hz >= 1e6, mega).when(whole, F.concat(fixed(k, 0), F.lit("k"))).otherwise(F.concat(fixed(k, 1), F.lit("k")))
+
+
+def hz_field(hz: Column) -> Column:
+    """hz_text with a unit: `440 Hz`, `12.3 kHz`, `1 MHz`."""
+    return F.regexp_replace(hz_text(hz), r"^([0-9.]+)([kM]?)$", "$1 $2Hz")
 
 
 def clock(seconds: Column) -> Column:
@@ -76,10 +84,10 @@ def sample_time(samples: Column, rate: Column) -> Column:
 
 
 def clock_seconds(text: Column) -> Column:
-    """Seconds since midnight of `hh:mm:ss`, also with - or . between; null for anything else."""
-    p = r"^\s*([0-9]{1,2})[:\-.]([0-9]{1,2})[:\-.]([0-9]{1,2})\s*$"
-    n = lambda i: F.regexp_extract(text, p, i).try_cast("long")
-    return F.when(text.rlike(p), n(1) * 3600 + n(2) * 60 + n(3))
+    """Seconds since midnight of `hh:mm:ss`, also with - or . between; more parts don't matter. Null for anything else."""
+    part = lambda i: F.regexp_extract(F.trim(F.get(F.split(text, "[:.-]"), F.lit(i))), r"^\+?([0-9]+)$", 1).try_cast("long")
+    h, m, s = part(0), part(1), part(2)
+    return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
 
 def parse_speed(text: Column) -> Column:
@@ -107,8 +115,9 @@ MP3_RATES = (8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000)
 
 
 def mp3_rate(rate: Column) -> Column:
-    """The least rate of MP3 that isn't under a rate, its highest for rates beyond."""
-    return F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, MP3_RATES)), lambda r: r >= rate)), F.lit(MP3_RATES[-1]))
+    """The least rate of MP3 that isn't under a rate; beyond its highest, the one of 44.1 and 48 kHz of whose family a rate is."""
+    least = F.array_min(F.filter(F.array(*map(F.lit, MP3_RATES)), lambda r: r >= rate))
+    return F.when((rate > MP3_RATES[-1]) & (rate % 11025 == 0), F.lit(44100)).otherwise(F.coalesce(least, F.lit(MP3_RATES[-1])))
 
 
 def vorbis_rate(rate: Column) -> Column:

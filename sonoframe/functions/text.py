@@ -45,13 +45,13 @@ def stamp_text(start: Column, end: Column) -> Column:
 
 
 def parse_length(text: Column) -> Column:
-    """Seconds of `90`, `1:30`, `1:02:03`, `2 m`, `2min`, `1,5 h`, `45s`; null for anything else."""
+    """Seconds of `90`, `1:30`, `1:30.5`, `1:02:03`, `2 m`, `2min`, `1,5 h`, `45s`; null for anything else."""
     s = F.replace(F.lower(F.trim(text)), F.lit(","), F.lit("."))
-    clock = F.aggregate(F.split(s, ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.try_cast("double"))
-    number = r"^([0-9]+\.?[0-9]*)\s*(h|hours?|m|min|minutes?|s|sec|seconds?)?$"
-    unit = F.regexp_extract(s, number, 2)
-    times = F.when(unit.startswith("h"), 3600.0).when(unit.startswith("m"), 60.0).otherwise(1.0)
-    return F.when(s.rlike(r"^[0-9]+(:[0-9]{1,2}){1,2}$"), clock).when(s.rlike(number), F.regexp_extract(s, number, 1).try_cast("double") * times)
+    number = r"\+?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?"
+    clock = F.aggregate(F.split(s, ":"), F.lit(0.0), lambda acc, x: acc * 60 + F.when(F.trim(x).rlike(f"^{number}$"), F.trim(x).try_cast("double")))
+    unit = F.regexp_extract(s, f"^{number}\\s*(min|s|m|h)?$", 3)
+    value = F.regexp_extract(s, f"^({number})\\s*(min|s|m|h)?$", 1).try_cast("double")
+    return F.when(s.contains(":"), clock).otherwise(value * F.when(unit == "h", 3600.0).when(unit.startswith("m"), 60.0).otherwise(1.0))
 
 
 def parse_hz(text: Column) -> Column:
@@ -64,7 +64,7 @@ def parse_hz(text: Column) -> Column:
 
 def human_text(text: Column) -> Column:
     """Lines without those a machine wrote (`sNAME=...`), trimmed and joined by spaces; null if none is left."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, "[\r\n]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.nullif(F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike("^[a-z][A-Z0-9_]{1,15}=")), " "), F.lit(""))
 
 

@@ -13,8 +13,8 @@ from ..functions.text import query_words
 
 #: The extensions that count as audio, by the format that the filter names.
 FORMATS = {
-    "wav": ("wav", "wave", "w64", "rf64", "bwf"), "aiff": ("aif", "aiff", "aifc"), "caf": ("caf",), "flac": ("flac",),
-    "mp3": ("mp3",), "m4a": ("m4a", "mp4", "aac"), "ogg": ("ogg", "oga"), "mka": ("mka", "webm"),
+    "wav": ("wav", "wave", "bwf", "rf64"), "aiff": ("aif", "aiff", "aifc"), "caf": ("caf",), "flac": ("flac",),
+    "mp3": ("mp3",), "m4a": ("m4a", "aac"), "ogg": ("ogg", "oga"), "mka": ("mka", "webm"),
 }
 AUDIO = tuple(x for group in FORMATS.values() for x in group)
 

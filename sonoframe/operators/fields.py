@@ -47,7 +47,7 @@ def wall_start(time_reference: Column, rate: Column, clock: Column, date: Column
     from ..functions.numbers import clock_seconds
 
     seconds = F.when(time_reference > 0, time_reference / rate).otherwise(clock_seconds(clock))
-    day = F.translate(date, ":/. _", "-----")
+    day = F.translate(F.trim(date), ":/.", "---")
     return seconds, F.when(F.length(day) == 10, day)
 
 

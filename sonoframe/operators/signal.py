@@ -125,3 +125,9 @@ def speaker_gains(channels: int, muted: set[int], both: bool) -> list[tuple[int,
 def colour_index(level: Column, brightness: float, contrast: float) -> Column:
     """The place of a level in a table of 256 colours."""
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (level + brightness) / contrast + 1)) * 255).cast("long")
+
+
+def pcm_md5(samples: Column, bits: int) -> Column:
+    """The MD5 of whole samples as little-endian signed numbers of as many bytes as `bits` take."""
+    byte = lambda x, i: F.substring(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) + F.lit(256)), 2, 2)
+    return F.md5(F.unhex(F.array_join(F.transform(samples, lambda x: F.concat(*[byte(x.cast("long"), i) for i in range(-(-bits // 8))])), "")))

@@ -14,8 +14,11 @@ from ..functions import numbers as N
 #: The most channels that a format holds.
 MOST_CHANNELS = {"wav": 65535, "aiff": 65535, "caf": 65535, "flac": 8, "m4a": 8, "mka": 8, "mp3": 2, "ogg": 255, "webm": 255}
 LOSSY = ("mp3", "ogg", "webm")
-#: What a format can't hold.
-LACKS = {"mp3": ("lengths", "notes"), "ogg": ("lengths",), "m4a": ("lengths", "notes"), "webm": ("pictures",), "flac": (), "wav": ("pictures",), "aiff": ("lengths", "pictures"), "caf": ("notes", "pictures"), "mka": ()}
+#: The names of formats, and what a format can't hold.
+NAMES = {"wav": "WAV", "aiff": "AIFF", "caf": "CAF", "flac": "FLAC", "m4a": "M4A (ALAC)", "mka": "MKA (FLAC)", "mp3": "MP3", "ogg": "Ogg Vorbis", "webm": "WebM (Vorbis)"}
+LACKS = {"m4a": ("lengths", "notes"), "caf": ("lengths", "notes", "pictures"), "mka": ("notes",), "webm": ("notes", "pictures")}
+#: The highest rate of FLAC, and how many markers M4A keeps.
+FLAC_MOST, M4A_MARKERS = 655350, 255
 
 
 def _by(format_: Column, values: dict) -> Column:
@@ -28,24 +31,40 @@ def _by(format_: Column, values: dict) -> Column:
 def shape(files: DataFrame) -> DataFrame:
     """Of files (format, rate, channels, coding, bits; wanted_rate, wanted_depth): the new rate and bits, or an error.
 
-    coding is int, float or lossy; wanted_depth is as file, 16, 24 or float. changes lists what differs, in order.
+    coding is int, float or lossy; wanted_depth is as file, 16, 24 or float. changes says what differs, in order; columns
+    features (array of lengths, notes, pictures) and markers (how many), where files has them, add what gets lost.
     """
-    f = F.col("format")
-    lossy = f.isin(*LOSSY)
+    f, name = F.col("format"), _by(F.col("format"), NAMES)
+    lossy, vorbis = f.isin(*LOSSY), f.isin("ogg", "webm")
     asked = F.coalesce("wanted_rate", "rate")
-    rate = F.when(f == "mp3", N.mp3_rate(asked)).when(f == "ogg", N.vorbis_rate(asked)).when(f == "webm", F.lit(48000)).otherwise(asked)
+    rate = F.when(f == "mp3", N.mp3_rate(asked)).when(vorbis, N.vorbis_rate(asked)).otherwise(asked)
     float_ = f.isin("wav", "aiff", "caf")
     own = F.when(F.col("coding") == "int", F.col("bits")).when(F.col("coding") == "float", F.when(float_, 32).otherwise(24)).otherwise(16)
     depth = F.when(F.col("wanted_depth") == "16", 16).when(F.col("wanted_depth") == "24", 24).when(F.col("wanted_depth") == "float", F.when(float_, 32).otherwise(24)).otherwise(own)
     is_float = float_ & ((F.col("wanted_depth") == "float") | ((F.col("wanted_depth") == "as file") & (F.col("coding") == "float")))
     steps = F.when(depth <= 16, 16).when(depth <= 20, 20).when(depth <= 24, 24).otherwise(32)
-    bits = F.when(lossy | is_float, F.lit(None)).when(f == "m4a", steps).when(f.isin("flac", "mka"), F.greatest(F.lit(4), F.least(depth, F.lit(32)))).otherwise(F.least(F.greatest(F.ceil(depth / 8) * 8, F.lit(8)), F.lit(32)))
-    error = F.when(F.col("channels") > _by(f, MOST_CHANNELS), "too many channels").when((f == "flac") & (rate > 655350), "rate too high")
+    whole = F.least(F.greatest(F.ceil(depth / 8) * 8, F.when(f == "caf", 16).otherwise(8)), F.lit(32))
+    bits = F.when(lossy | is_float, F.lit(None)).when(f == "m4a", steps).when(f.isin("flac", "mka"), F.greatest(F.lit(4), F.least(depth, F.lit(32)))).otherwise(whole)
+    most = _by(f, MOST_CHANNELS)
+    crowded = F.concat(name, F.lit(" holds at most "), most.cast("string"), F.lit(" channels; this file has "), F.col("channels").cast("string"))
+    fast = F.concat(F.lit("FLAC keeps rates up to 655.35 kHz; this file is "), N.khz_text(asked), F.lit(": pick a lower rate, or WAV, CAF or M4A keep it"))
+    error = F.when(F.col("channels") > most, crowded).when(f.isin("flac", "mka") & (asked > FLAC_MOST), fast)
     rows = files.withColumn("to_rate", rate.cast("long")).withColumn("to_bits", bits.cast("long")).withColumn("to_float", lossy | is_float).withColumn("error", error)
-    said = F.when(F.col("to_rate") != F.col("rate"), F.concat(N.khz_text(F.col("to_rate")), F.lit(" from "), N.khz_text(F.col("rate"))))
-    fewer = F.when((F.col("coding") == "int") & (F.col("to_bits") != F.col("bits")), F.concat(F.col("to_bits").cast("string"), F.lit(" bits from "), F.col("bits").cast("string")))
-    again = F.when(lossy & (F.col("coding") == "lossy"), "encoded again")
-    return rows.withColumn("changes", F.array_compact(F.array(said, fewer, again)))
+    why = F.when(F.col("to_rate") == asked, "").when(f == "mp3", " (MP3 keeps 8 to 48 kHz, in steps)").when(vorbis, " (Vorbis keeps up to 200 kHz)").otherwise("")
+    said = F.when(F.col("to_rate") != F.col("rate"), F.concat(N.khz_text(F.col("to_rate")), F.lit(" from "), N.khz_text(F.col("rate")), why))
+    was = F.when(F.col("coding") == "int", F.concat(F.col("bits").cast("string"), F.lit("-bit"))).when(F.col("coding") == "float", "32-bit float")
+    now = F.when(F.col("to_float"), "32-bit float").otherwise(F.concat(F.col("to_bits").cast("string"), F.lit("-bit")))
+    deep = F.when(~lossy, F.when(was.isNull(), now).when(was != now, F.concat(now, F.lit(" from "), was)))
+    again = F.when(lossy & (F.col("coding") == "lossy"), "encoded again from a lossy file")
+    changes = [said, deep, again]
+    if "features" in files.columns:
+        gone = lost(f, F.col("features"))
+        marks = F.filter(F.array(F.lit("lengths"), F.lit("notes")), lambda x: F.array_contains(gone, x))
+        changes.append(F.when(F.array_contains(gone, "pictures"), F.concat(name, F.lit(" has no place for its pictures"))))
+        changes.append(F.when(F.size(marks) > 0, F.concat(F.lit("its markers' "), F.array_join(marks, " and "), F.lit(" have no place in "), name)))
+    if "markers" in files.columns:
+        changes.append(F.when((f == "m4a") & (F.col("markers") > M4A_MARKERS), f"M4A keeps its first {M4A_MARKERS} markers"))
+    return rows.withColumn("changes", F.array_compact(F.array(*changes)))
 
 
 def needs_peak(shaped: DataFrame) -> Column:

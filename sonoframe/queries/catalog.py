@@ -139,9 +139,9 @@ def stamp_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rec_id", T.stamp_text(F.col("x.start"), F.col("x.end")).alias("shown"))
 
 
-@query("human_text", "select doc_id, nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '^[a-z][A-Z0-9_]{1,15}=')), ' '), '') human from documents")
+@query("human_text", "select doc_id, nullif(array_to_string(list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(13) || chr(9)), '[\r\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^[a-z][A-Z0-9_]{1,15}=')), ' '), '') human from documents")
 def human_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.human_text(F.col("text")).alias("human"))
+    return table(spark, sf, "documents").select("doc_id", T.human_text(F.replace("text", F.lit(". "), F.lit(".\r\t"))).alias("human"))
 
 
 @query("xml_escape", "select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) escaped from pages")
@@ -149,6 +149,6 @@ def xml_escape(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(T.xml_escape(F.col("html"))).alias("escaped"))
 
 
-@query("crlf", "select doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) as lines from documents where not contains(text, chr(13))")
+@query("crlf", "select doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) as lines from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') text from (select doc_id, replace(text, '. ', '.' || chr(13)) text from documents))")
 def crlf(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(~F.col("text").contains("\r")).select("doc_id", F.md5(T.crlf(F.col("text"))).alias("lines"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.crlf(F.replace("text", F.lit(". "), F.lit(".\r")))).alias("lines"))

@@ -11,7 +11,8 @@ from ..registry import query
 from ..views import FILES, files, table
 
 c = F.col
-FORMATS, RATES, CODINGS, DEPTHS = ("wav", "flac", "m4a", "mp3", "ogg", "caf"), (8000, 44100, 48000, 96000, 705600), ("int", "float", "lossy"), ("as file", "16", "24", "float")
+FORMATS, RATES = ("wav", "flac", "m4a", "mp3", "ogg", "caf", "mka", "webm", "aiff"), (8000, 44100, 48000, 88200, 705600)
+CODINGS, DEPTHS = ("int", "float", "lossy"), ("as file", "16", "24", "float")
 
 
 def _pick(values: tuple, by: str):
@@ -19,26 +20,35 @@ def _pick(values: tuple, by: str):
 
 
 def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    has = lambda by, what: F.when(F.expr(by), F.lit(what))
     rows = table(spark, sf, "part").select(
-        "p_partkey", _pick(FORMATS, "p_partkey").alias("format"), _pick(RATES, "p_partkey div 6").cast("long").alias("rate"), (c("p_size") % 10 + 1).cast("long").alias("channels"),
-        _pick(CODINGS, "p_partkey div 30").alias("coding"), _pick((8, 16, 20, 24, 32), "p_size").cast("long").alias("bits"),
+        "p_partkey", _pick(FORMATS, "p_partkey").alias("format"), _pick(RATES, "p_partkey div 9").cast("long").alias("rate"), (c("p_size") % 10 + 1).cast("long").alias("channels"),
+        _pick(CODINGS, "p_partkey div 45").alias("coding"), _pick((8, 16, 20, 24, 32), "p_size").cast("long").alias("bits"),
         F.when(c("p_partkey") % 7 == 0, F.lit(96000)).cast("long").alias("wanted_rate"), _pick(DEPTHS, "p_size div 5").alias("wanted_depth"),
+        F.array_compact(F.array(has("p_partkey % 2 = 0", "lengths"), has("p_partkey % 3 = 0", "notes"), has("p_size % 3 = 0", "pictures"))).alias("features"), (c("p_size") * 8).alias("markers"),
     )
     return V.shape(rows)
 
 
-_SHAPES = """src as (select p_partkey, ['wav','flac','m4a','mp3','ogg','caf'][p_partkey % 6 + 1] format, [8000,44100,48000,96000,705600][p_partkey // 6 % 5 + 1]::bigint rate, p_size % 10 + 1 channels,
- ['int','float','lossy'][p_partkey // 30 % 3 + 1] coding, [8,16,20,24,32][p_size % 5 + 1]::bigint bits, case when p_partkey % 7 = 0 then 96000 end wanted_rate, ['as file','16','24','float'][p_size // 5 % 4 + 1] wanted from part),
- a as (select *, coalesce(wanted_rate, rate) asked, format in ('wav', 'caf') can_float from src),
- b as (select *, case format when 'mp3' then coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= asked)), 48000) when 'ogg' then case when asked > 400000 then asked // 4 when asked > 200000 then asked // 2 else asked end else asked end::bigint to_rate,
+_NAME = "case format when 'wav' then 'WAV' when 'flac' then 'FLAC' when 'm4a' then 'M4A (ALAC)' when 'mp3' then 'MP3' when 'ogg' then 'Ogg Vorbis' when 'caf' then 'CAF' when 'mka' then 'MKA (FLAC)' when 'webm' then 'WebM (Vorbis)' else 'AIFF' end"
+_KHZ = "regexp_replace(({x} / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz'"
+_SHAPES = f"""src as (select p_partkey, ['wav','flac','m4a','mp3','ogg','caf','mka','webm','aiff'][p_partkey % 9 + 1] format, [8000,44100,48000,88200,705600][p_partkey // 9 % 5 + 1]::bigint rate, p_size % 10 + 1 channels,
+ ['int','float','lossy'][p_partkey // 45 % 3 + 1] coding, [8,16,20,24,32][p_size % 5 + 1]::bigint bits, case when p_partkey % 7 = 0 then 96000 end wanted_rate, ['as file','16','24','float'][p_size // 5 % 4 + 1] wanted,
+ p_partkey % 2 = 0 lengths, p_partkey % 3 = 0 notes, p_size % 3 = 0 pictures, p_size * 8 markers from part),
+ a as (select *, {_NAME} as name, coalesce(wanted_rate, rate) asked, format in ('wav', 'aiff', 'caf') can_float, format in ('mp3', 'ogg', 'webm') lossy, case format when 'flac' then 8 when 'm4a' then 8 when 'mka' then 8 when 'mp3' then 2 when 'ogg' then 255 when 'webm' then 255 else 65535 end most from src),
+ b as (select *, case when format = 'mp3' then case when asked > 48000 and asked % 11025 = 0 then 44100 else coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= asked)), 48000) end when format in ('ogg', 'webm') then case when asked > 400000 then asked // 4 when asked > 200000 then asked // 2 else asked end else asked end::bigint to_rate,
  case wanted when '16' then 16 when '24' then 24 when 'float' then case when can_float then 32 else 24 end else case coding when 'int' then bits when 'float' then case when can_float then 32 else 24 end else 16 end end depth,
  can_float and (wanted = 'float' or wanted = 'as file' and coding = 'float') is_float from a),
- shapes as (select *, case when format in ('mp3', 'ogg') or is_float then null when format = 'm4a' then case when depth <= 16 then 16 when depth <= 20 then 20 when depth <= 24 then 24 else 32 end when format = 'flac' then greatest(4, least(depth, 32)) else least(greatest(ceil(depth / 8) * 8, 8), 32) end::bigint to_bits,
- format in ('mp3', 'ogg') or is_float to_float, case when channels > case format when 'flac' then 8 when 'm4a' then 8 when 'mp3' then 2 when 'ogg' then 255 else 65535 end then 'too many channels' when format = 'flac' and to_rate > 655350 then 'rate too high' end error from b)"""
-_KHZ = "regexp_replace(({x} / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz'"
+ shapes as (select *, case when lossy or is_float then null when format = 'm4a' then case when depth <= 16 then 16 when depth <= 20 then 20 when depth <= 24 then 24 else 32 end when format in ('flac', 'mka') then greatest(4, least(depth, 32)) else least(greatest(ceil(depth / 8) * 8, case when format = 'caf' then 16 else 8 end), 32) end::bigint to_bits, lossy or is_float to_float,
+ case when channels > most then name || ' holds at most ' || most || ' channels; this file has ' || channels when format in ('flac', 'mka') and asked > 655350 then 'FLAC keeps rates up to 655.35 kHz; this file is ' || {_KHZ.format(x="asked")} || ': pick a lower rate, or WAV, CAF or M4A keep it' end error from b),
+ said as (select *, case when to_float then '32-bit float' else to_bits || '-bit' end now_, case coding when 'int' then bits || '-bit' when 'float' then '32-bit float' end was,
+ list_filter([case when lengths and format in ('m4a', 'caf') then 'lengths' end, case when notes and format in ('m4a', 'caf', 'mka', 'webm') then 'notes' end], lambda x: x is not null) gone from shapes)"""
 
 
-@query("plan_shape", f"with {_SHAPES} select p_partkey, to_rate, to_bits, to_float, error, array_to_string(list_filter([case when to_rate <> rate then {_KHZ.format(x='to_rate')} || ' from ' || {_KHZ.format(x='rate')} end, case when coding = 'int' and to_bits <> bits then to_bits || ' bits from ' || bits end, case when format in ('mp3', 'ogg') and coding = 'lossy' then 'encoded again' end], lambda x: x is not null), '; ') changes from shapes")
+@query("plan_shape", f"""with {_SHAPES} select p_partkey, to_rate, to_bits, to_float, error, array_to_string(list_filter([
+ case when to_rate <> rate then {_KHZ.format(x='to_rate')} || ' from ' || {_KHZ.format(x='rate')} || case when to_rate = asked then '' when format = 'mp3' then ' (MP3 keeps 8 to 48 kHz, in steps)' else ' (Vorbis keeps up to 200 kHz)' end end,
+ case when lossy then null when was is null then now_ when was <> now_ then now_ || ' from ' || was end, case when lossy and coding = 'lossy' then 'encoded again from a lossy file' end, case when pictures and format in ('caf', 'webm') then name || ' has no place for its pictures' end,
+ case when len(gone) > 0 then 'its markers'' ' || array_to_string(gone, ' and ') || ' have no place in ' || name end, case when format = 'm4a' and markers > 255 then 'M4A keeps its first 255 markers' end], lambda x: x is not null), '; ') changes from said""")
 def plan_shape(spark: SparkSession, sf: str) -> DataFrame:
     return _shapes(spark, sf).select("p_partkey", "to_rate", "to_bits", "to_float", "error", F.array_join("changes", "; ").alias("changes"))
 
@@ -49,7 +59,7 @@ def needs_peak(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", V.needs_peak(rows).alias("needed"))
 
 
-@query("lost_features", "select p_partkey, array_to_string(list_filter(case when p_partkey % 2 = 0 then ['lengths', 'notes', 'pictures'] else ['notes'] end, lambda x: list_contains(case p_partkey % 6 when 0 then ['pictures'] when 1 then []::varchar[] when 2 then ['lengths', 'notes'] when 3 then ['lengths', 'notes'] when 4 then ['lengths'] else ['notes', 'pictures'] end, x)), ',') lost from part")
+@query("lost_features", "select p_partkey, array_to_string(list_filter(case when p_partkey % 2 = 0 then ['lengths', 'notes', 'pictures'] else ['notes'] end, lambda x: list_contains(case p_partkey % 9 when 2 then ['lengths', 'notes'] when 5 then ['lengths', 'notes', 'pictures'] when 6 then ['notes'] when 7 then ['notes', 'pictures'] else []::varchar[] end, x)), ',') lost from part")
 def lost_features(spark: SparkSession, sf: str) -> DataFrame:
     has = F.when(c("p_partkey") % 2 == 0, F.array(F.lit("lengths"), F.lit("notes"), F.lit("pictures"))).otherwise(F.array(F.lit("notes")))
     return table(spark, sf, "part").select("p_partkey", F.array_join(V.lost(_pick(FORMATS, "p_partkey"), has), ",").alias("lost"))

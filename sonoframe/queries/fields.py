@@ -33,9 +33,9 @@ def description(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", D.description(note, comment).alias("said"))
 
 
-@query("wall_start", "select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey > 0 then round(o_custkey * 1000 / 48000.0, 3) else 77405 end::double as seconds, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+@query("wall_start", "select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey > 0 then round(o_custkey * 1000 / 48000.0, 3) else 77405 end::double as seconds, case when o_orderkey % 3 = 2 then strftime(o_orderdate, '%Y_%m_%d') else strftime(o_orderdate, '%Y-%m-%d') end as day from orders")
 def wall_start(spark: SparkSession, sf: str) -> DataFrame:
-    seconds, day = D.wall_start(F.when(c("o_orderkey") % 2 == 0, c("o_custkey") * 1000).otherwise(0), F.lit(48000), F.lit("21:30:05"), F.date_format("o_orderdate", "yyyy:MM:dd"))
+    seconds, day = D.wall_start(F.when(c("o_orderkey") % 2 == 0, c("o_custkey") * 1000).otherwise(0), F.lit(48000), F.lit("21:30:05.5"), F.when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy:MM:dd")).when(c("o_orderkey") % 3 == 1, F.date_format("o_orderdate", " yyyy/MM/dd ")).otherwise(F.date_format("o_orderdate", "yyyy_MM_dd")))
     return table(spark, sf, "orders").select("o_orderkey", F.round(seconds.cast("double"), 3).alias("seconds"), day.alias("day"))
 
 

@@ -78,7 +78,11 @@ def level_windows(spark: SparkSession, sf: str) -> DataFrame:
     return L.level_windows(rows, "1 hour", "1 hour").select("user_id", c("start").cast("timestamp_ntz").alias("start"), F.round(c("peak") * 1e6).cast("long").alias("peak"), "n")
 
 
-@query("peak_hold")
+@query("peak_hold", """with recursive e as (select user_id as key, epoch_us(ts) / 6e8 t, value / 4 - 100 as level from events), n as (select *, row_number() over (partition by key order by t, level) i from e),
+ h as (select key, i, t, greatest(level, -100) shown, case when level >= -100 then t else 'infinity'::double end since from n where i = 1
+ union all select n.key, n.i, n.t, case when n.level >= h.shown then n.level when n.t - h.since > 1.5 then greatest(h.shown - 15 * greatest(n.t - h.t, 0), -100) else h.shown end, case when n.level >= h.shown then n.t else h.since end from h join n on n.key = h.key and n.i = h.i + 1)
+ select key, round(t * 1e6)::bigint as at, round(shown * 1e6)::bigint shown from h""")
 def peak_hold(spark: SparkSession, sf: str) -> DataFrame:
     at = F.unix_micros(c("ts").cast("timestamp")) / 6e8
-    return L.peak_hold_batch(table(spark, sf, "events").select("user_id", at.alias("at"), (c("value") / 4 - 100).alias("level")))
+    rows = L.peak_hold_batch(table(spark, sf, "events").select("user_id", at.alias("at"), (c("value") / 4 - 100).alias("level")))
+    return rows.select("key", F.round(c("at") * 1e6).cast("long").alias("at"), F.round(c("shown") * 1e6).cast("long").alias("shown"))

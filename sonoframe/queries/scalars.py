@@ -18,13 +18,13 @@ def _e(x, scale: float = 1e6):
     return F.round(x * scale).cast("long")
 
 
-@query("parse_length", """select o_orderkey, txt, case o_orderkey % 6 when 0 then k when 1 then k // 60 * 60.0 + k % 60 when 2 then 60.0 * k when 3 then 3600 * (k + 0.5) when 4 then k end::double as seconds
- from (select o_orderkey, (o_orderkey % 300)::bigint k, case o_orderkey % 6 when 0 then k::varchar when 1 then (k // 60) || ':' || lpad((k % 60)::varchar, 2, '0') when 2 then k || ' m' when 3 then k || ',5 h' when 4 then k || 's' else 'long' end txt from (select o_orderkey, o_orderkey % 300 k from orders))""")
+@query("parse_length", """select o_orderkey, txt, case o_orderkey % 7 when 0 then k when 1 then k // 60 * 60.0 + k % 60 when 2 then 60.0 * k when 3 then 3600 * (k + 0.5) when 4 then k when 5 then 60.0 * k + 30.5 end::double as seconds
+ from (select o_orderkey, k, case o_orderkey % 7 when 0 then k::varchar when 1 then (k // 60) || ':' || lpad((k % 60)::varchar, 2, '0') when 2 then k || ' m' when 3 then k || ',5 h' when 4 then k || 's' when 5 then k || ':30.5' else k || ' hours' end txt from (select o_orderkey, (o_orderkey % 300)::bigint k from orders))""")
 def parse_length(spark: SparkSession, sf: str) -> DataFrame:
-    k = (c("o_orderkey") % 300).cast("string")
     n = c("o_orderkey") % 300
-    txt = F.when(c("o_orderkey") % 6 == 0, k).when(c("o_orderkey") % 6 == 1, F.concat(F.floor(n / 60).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))).when(c("o_orderkey") % 6 == 2, F.concat(k, F.lit(" m"))).when(c("o_orderkey") % 6 == 3, F.concat(k, F.lit(",5 h"))).when(c("o_orderkey") % 6 == 4, F.concat(k, F.lit("s"))).otherwise("long")
-    return table(spark, sf, "orders").select("o_orderkey", txt.alias("txt")).withColumn("seconds", T.parse_length(c("txt")))
+    k = n.cast("string")
+    forms = (k, F.concat(F.floor(n / 60).cast("string"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0")), F.concat(k, F.lit(" m")), F.concat(k, F.lit(",5 h")), F.concat(k, F.lit("s")), F.concat(k, F.lit(":30.5")), F.concat(k, F.lit(" hours")))
+    return table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*forms), (c("o_orderkey") % 7).cast("int") + 1).alias("txt")).withColumn("seconds", T.parse_length(c("txt")))
 
 
 @query("parse_hz", "select p_partkey, case p_partkey % 4 when 0 then p_size when 1 then 1000.0 * p_size when 2 then 1000 * (p_size + 0.5) end::double hz from part")
@@ -34,11 +34,15 @@ def parse_hz(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.parse_hz(txt).alias("hz"))
 
 
-@query("hz_text", "select s_suppkey, case when s_suppkey % 3 = 0 then (s_suppkey + 20)::varchar when s_suppkey % 3 = 1 then regexp_replace(((s_suppkey + 20) * 0.25)::decimal(18,3)::varchar, '[.]?0+$', '') || 'k' else regexp_replace(((s_suppkey + 20) * 0.25)::decimal(18,3)::varchar, '[.]?0+$', '') || 'M' end label from supplier where s_suppkey % 3 = 0 and (s_suppkey + 20) % 10 <> 0 or s_suppkey % 3 > 0")
+_HZ = """case when hz < 1000 then round_even(hz, 0)::bigint::varchar when hz >= 1000000 then regexp_replace(round_even(hz / 1000000, 2)::decimal(18,2)::varchar, '[.]?0+$', '') || 'M'
+ when abs(hz / 1000 - round(hz / 1000)) < 0.05 then round_even(hz / 1000, 0)::bigint || 'k' else round_even(hz / 1000, 1)::decimal(18,1) || 'k' end"""
+
+
+@query("hz_text", f"""select l_orderkey, l_linenumber, label, regexp_extract(label, '^[0-9.]+') || ' ' || regexp_extract(label, '[kM]?$') || 'Hz' field
+ from (select l_orderkey, l_linenumber, {_HZ} as label from (select *, (l_partkey * case l_linenumber % 3 when 0 then 0.5 when 1 then 37.0 else 4321.0 end)::double hz from lineitem))""")
 def hz_text(spark: SparkSession, sf: str) -> DataFrame:
-    k = c("s_suppkey") + 20
-    hz = F.when(c("s_suppkey") % 3 == 0, k.cast("double")).when(c("s_suppkey") % 3 == 1, k * 250.0).otherwise(k * 250000.0)
-    return table(spark, sf, "supplier").where("s_suppkey % 3 > 0 or (s_suppkey + 20) % 10 <> 0").select("s_suppkey", N.hz_text(hz).alias("label"))
+    hz = c("l_partkey") * F.when(c("l_linenumber") % 3 == 0, 0.5).when(c("l_linenumber") % 3 == 1, 37.0).otherwise(4321.0)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.hz_text(hz).alias("label"), N.hz_field(hz).alias("field"))
 
 
 @query("parse_speed", "select p_partkey, case p_partkey % 3 when 0 then p_size when 1 then 1 / p_size::double end::double speed from part")
@@ -63,20 +67,22 @@ def time_of_day(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.sample_time(F.floor(c("l_extendedprice") * 10), F.lit(48000)).alias("shown"))
 
 
-@query("clock_seconds", "select event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) as seconds from events")
+@query("clock_seconds", "select event_id, case when event_id % 5 < 4 then hour(ts) * 3600 + minute(ts) * 60 + second(ts) end as seconds from events")
 def clock_seconds(spark: SparkSession, sf: str) -> DataFrame:
-    form = F.when(c("event_id") % 2 == 0, F.date_format("ts", "HH:mm:ss")).otherwise(F.date_format("ts", "HH-mm.ss"))
+    k, of = c("event_id") % 5, lambda p: F.date_format("ts", p)
+    form = F.when(k == 0, of("HH:mm:ss")).when(k == 1, of("HH-mm.ss")).when(k == 2, F.concat(of("HH:mm:ss"), F.lit(".5"))).when(k == 3, of(" H : m : s ")).when(c("event_id") % 2 == 0, "25:61:99").otherwise(of("HH:mm"))
     return table(spark, sf, "events").select("event_id", N.clock_seconds(form).alias("seconds"))
 
 
-@query("db", "select event_id, round(greatest(20 * log10(value / 400), -100) * 1e6)::bigint amplitude, round(greatest(10 * log10(value), -200) * 1e6)::bigint as power from events where value > 0")
+@query("db", "select event_id, case when x > 0 then round(greatest(20 * log10(x / 400), -100) * 1e6) else -100e6 end::bigint amplitude, case when x > 0 then round(greatest(10 * log10(x), -200) * 1e6) else -200e6 end::bigint as power from (select event_id, case when event_id % 7 = 0 then 0 when event_id % 7 = 1 then value * 1e-25 else value end x from events)")
 def db(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").where("value > 0").select("event_id", _e(N.amplitude_db(c("value") / 400)).alias("amplitude"), _e(N.power_db(c("value"))).alias("power"))
+    x = F.when(c("event_id") % 7 == 0, 0.0).when(c("event_id") % 7 == 1, c("value") * 1e-25).otherwise(c("value"))
+    return table(spark, sf, "events").select("event_id", _e(N.amplitude_db(x / 400)).alias("amplitude"), _e(N.power_db(x)).alias("power"))
 
 
-@query("lift_gain", "select event_id, round(case when value < 50 then -200 else value - 200 + 6 end * 1e6)::bigint as level from events")
+@query("lift_gain", "select event_id, round(case when x > -100 then greatest(x + g, -100) else -100 end * 1e6)::bigint as level from (select event_id, value / 2 - 150 x, case when event_id % 2 = 0 then 6 else -20 end g from events)")
 def lift_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", _e(N.lifted(F.when(c("value") < 50, -200.0).otherwise(c("value") - 200), F.lit(6.0))).alias("level"))
+    return table(spark, sf, "events").select("event_id", _e(N.lifted(c("value") / 2 - 150, F.when(c("event_id") % 2 == 0, 6.0).otherwise(-20.0))).alias("level"))
 
 
 @query("frequency_axis", "select p_partkey, round((p_retailprice - 20) / 19980 * 1e6)::bigint as linear, round(ln(p_retailprice / 20) / ln(1000) * 1e6)::bigint as logarithmic, round(20 * pow(1000, (p_retailprice - 20) / 19980) * 1e6)::bigint back from part")
@@ -98,10 +104,10 @@ def ns_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", N.nanoseconds(frame, F.lit(44100)).alias("ns"), N.rescaled(frame, F.lit(44100), F.lit(48000)).alias("rescaled"))
 
 
-@query("legal_rates", """with recursive r as (select p_partkey, (p_size * 12345)::bigint rate from part), h as (select p_partkey, rate from r union all select p_partkey, rate // 2 from h where rate > 200000)
- select r.p_partkey, coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= r.rate)), 48000)::bigint mp3, min(h.rate)::bigint vorbis, regexp_replace((r.rate / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz' label from r join h using (p_partkey) group by all""")
+@query("legal_rates", """with recursive r as (select p_partkey, (p_size * case when p_partkey % 3 = 0 then 11025 else 12345 end)::bigint rate from part), h as (select p_partkey, rate from r union all select p_partkey, rate // 2 from h where rate > 200000)
+ select r.p_partkey, case when r.rate > 48000 and r.rate % 11025 = 0 then 44100 else coalesce(list_min(list_filter([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000], lambda x: x >= r.rate)), 48000) end::bigint mp3, min(h.rate)::bigint vorbis, regexp_replace((r.rate / 1000)::decimal(12,3)::varchar, '[.]?0+$', '') || ' kHz' label from r join h using (p_partkey) group by all""")
 def legal_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rate = (c("p_size") * 12345).cast("long")
+    rate = (c("p_size") * F.when(c("p_partkey") % 3 == 0, 11025).otherwise(12345)).cast("long")
     return table(spark, sf, "part").select("p_partkey", N.mp3_rate(rate).cast("long").alias("mp3"), N.vorbis_rate(rate).alias("vorbis"), N.khz_text(rate).alias("label"))
 
 
@@ -151,9 +157,9 @@ def chapter_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", n.alias("n"), part.alias("part"))
 
 
-@query("comment_key", "select doc_id, regexp_replace(left(text, 40), '[^ -<>-}]', '_', 'g') as key from documents")
+@query("comment_key", "select doc_id, case when text = '' then '_' else regexp_replace(text, '[^ -<>-}]', '_', 'g') end as key from documents")
 def comment_key(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.comment_key(F.substring("text", 1, 40)).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", T.comment_key(c("text")).alias("key"))
 
 
 @query("number_split", "select p_partkey, p_size::varchar number, case when p_partkey % 2 = 0 then (p_size + 3)::varchar end total from part")

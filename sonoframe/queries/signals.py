@@ -109,10 +109,14 @@ def level_interp(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), _r(a(10) + (a(11) - a(10)) * 0.25).alias("x"))
 
 
-@query("md5_pcm", "select vec_id rec_id, md5(array_to_string(list_transform(embedding, lambda x: lpad(greatest(-32768, least(32767, round(x::double * 32768)))::bigint::varchar, 6, '_')), ',')) digest from embeddings")
+_PCM = "md5(unhex(array_to_string(list_transform(embedding, lambda x: {bytes}), '')))"
+_BYTES = lambda bits: " || ".join(f"printf('%02x', (greatest(-{2 ** (bits - 1)}, least({2 ** (bits - 1) - 1}, round(x::double * {2 ** (bits - 1)})))::bigint >> {8 * i}) & 255)" for i in range(bits // 8))
+
+
+@query("md5_pcm", f"select vec_id rec_id, {_PCM.format(bytes=_BYTES(16))} as digest, {_PCM.format(bytes=_BYTES(24))} as digest_24 from embeddings")
 def md5_pcm(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.transform("embedding", lambda x: F.lpad(S.quantised(x.cast("double"), 16).cast("string"), 6, "_"))
-    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), F.md5(F.array_join(text, ",")).alias("digest"))
+    of = lambda bits: S.pcm_md5(F.transform("embedding", lambda x: S.quantised(x.cast("double"), bits)), bits)
+    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), of(16).alias("digest"), of(24).alias("digest_24"))
 
 
 _MERGED = """r as (select rec_id, greatest(lo - 64, 0) lo, least(hi + 64, 6000) hi from intervals where greatest(lo - 64, 0) < least(hi + 64, 6000)),

@@ -19,14 +19,13 @@ def level_windows(samples: DataFrame, window: str, late: str, key: str = "user_i
 
 
 def held(levels: list[tuple[float, float]], state: tuple[float, float, float] | None = None) -> tuple[list[float], tuple[float, float, float]]:
-    """Peaks (seconds, dB) to what a meter shows: the highest for 1.5 s, then falling 15 dB a second."""
-    out, (value, since, last) = [], state or (FLOOR, 0.0, 0.0)
+    """Peaks (seconds, dB) to what a meter shows: the highest, and once that is 1.5 s old, 15 dB a second less than before."""
+    out, (value, since, last) = [], state or (FLOOR, float("inf"), 0.0)
     for at, level in levels:
-        now = max(FLOOR, value - FALL_PER_SECOND * max(0.0, at - max(since + HOLD_SECONDS, last)))
-        if level >= now:
+        if level >= value:
             value, since = level, at
-        else:
-            value = now
+        elif at - since > HOLD_SECONDS:
+            value = max(value - FALL_PER_SECOND * max(at - last, 0.0), FLOOR)
         last = at
         out.append(value)
     return out, (value, since, last)
@@ -46,14 +45,19 @@ def peak_hold(levels: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def peak_hold_batch(levels: DataFrame, key: str = "user_id") -> DataFrame:
-    """The same over a finished table."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        return pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "shown": held(list(zip(pdf["at"], pdf["level"])))[0]})
-
-    rows = levels.select(F.col(key).cast("long").alias("key"), "at", "level")
-    return rows.groupBy("key").applyInPandas(work, "key long, at double, shown double")
+    """The same over a finished table: keys' rows stream by in order, so only three numbers of one key are held at a time."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whose, state = None, None
+        for pdf in batches:
+            for k, part in pdf.groupby("key", sort=False):
+                state = state if k == whose else None
+                shown, state = held(list(zip(part["at"], part["level"])), state)
+                whose = k
+                yield pd.DataFrame({"key": part["key"], "at": part["at"], "shown": shown})
+
+    rows = levels.select(F.col(key).cast("long").alias("key"), "at", "level").where("key is not null and at is not null and level is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "level").mapInPandas(work, "key long, at double, shown double")
 
 
 def refreshed(target: str, condition: Callable[[], object]) -> Callable[[DataFrame, int], None]:

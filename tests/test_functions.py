@@ -35,6 +35,12 @@ def test_lengths_and_frequencies(spark):
     assert many(spark, T.parse_length, ["90", "1:30", "1:02:03", "2 m", "2min", "1,5 h", "45s", "long", "-3", "", None]) == [90, 90, 3723, 120, 120, 5400, 45, None, None, None, None]
     assert many(spark, T.parse_hz, ["12000", "12k", " 12.5 kHz ", "440 Hz", "1,5k", "1 MHz", "0.5m", "loud", "-3"]) == [12000, 12000, 12500, 440, 1500, 1e6, 5e5, None, None]
     assert many(spark, N.hz_text, [440.0, 2500.0, 192000.0, 1e6, 1.25e6], "double") == ["440", "2.5k", "192k", "1M", "1.25M"]
+    assert many(spark, N.hz_field, [12345.0, 440.0, 1e6, 999.6, 2960.0, None], "double") == ["12.3 kHz", "440 Hz", "1 MHz", "1000 Hz", "3 kHz", None]
+    assert many(spark, T.parse_length, ["1:30.5", "2 hours", "3 sec", "1:-2", "1::2", ".5h", "1e2", " 1 : 2 ", "min"]) == [90.5, None, None, None, None, 1800, 100, 62, None]
+    assert many(spark, N.clock_seconds, ["25:61:99", "21:30:05.5", "21-30.05", " 1 : 2 : 3 ", "21:30", "", None]) == [None, 77405, 77405, 3723, None, None, None]
+    assert many(spark, N.mp3_rate, [88200, 176400, 96000, 44100, 5000, 48001], "long") == [44100, 44100, 48000, 44100, 8000, 48000]
+    assert many(spark, lambda x: N.lifted(x, F.lit(6.0)), [-100.0, -103.0, -99.0, -20.0, -200.0], "double") == [-100, -100, -93, -14, -100]
+    assert many(spark, T.human_text, ["sA=1\r one\t\n\u2003two ", "zTRK1=x", "\r\n", None]) == ["one two", None, None, None]
     assert many(spark, N.clock, [364, 3725], "long") == ["6:04", "1:02:05"]
     assert one(spark, N.wall, 61454 + 86400, "long") == "17:04:14"
 

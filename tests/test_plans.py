@@ -65,7 +65,16 @@ def test_free_names_meet_other_stems(spark):
 def test_shapes(spark):
     rows = spark.createDataFrame([("flac", 44100, 2, "int", 16, 48000, "as file"), ("mp3", 96000, 2, "int", 16, 96000, "as file"), ("flac", 705600, 1, "int", 16, None, "as file")], "format string, rate long, channels long, coding string, bits long, wanted_rate long, wanted_depth string")
     a, b, e = V.shape(rows).collect()
-    assert a["changes"] == ["48 kHz from 44.1 kHz"] and b["to_rate"] == 48000 and e["error"] == "rate too high"
+    assert a["changes"] == ["48 kHz from 44.1 kHz"] and b["to_rate"] == 48000
+    assert e["error"] == "FLAC keeps rates up to 655.35 kHz; this file is 705.6 kHz: pick a lower rate, or WAV, CAF or M4A keep it"
+    schema = "format string, rate long, channels long, coding string, bits long, wanted_rate long, wanted_depth string, features array<string>, markers int"
+    rows = spark.createDataFrame([("mp3", 44100, 2, "int", 24, 96000, "as file", [], 0), ("mka", 705600, 1, "int", 16, None, "as file", [], 0), ("webm", 192000, 2, "lossy", None, None, "16", ["notes", "pictures"], 3), ("m4a", 48000, 2, "float", 32, None, "as file", ["lengths", "notes"], 300), ("mp3", 8000, 6, "int", 16, None, "16", [], 0), ("caf", 8000, 1, "int", 8, 16000, "as file", ["lengths"], 1), ("flac", 88200, 2, "lossy", None, 88200, "as file", ["pictures"], 0)], schema)
+    found = [(r["to_rate"], r["to_bits"], r["error"], r["changes"]) for r in V.shape(rows).collect()]
+    assert found[0][0] == 48000 and found[0][3] == ["48 kHz from 44.1 kHz (MP3 keeps 8 to 48 kHz, in steps)"]
+    assert "pick a lower rate" in found[1][2] and found[4][2] == "MP3 holds at most 2 channels; this file has 6"
+    assert found[2] == (192000, None, None, ["encoded again from a lossy file", "WebM (Vorbis) has no place for its pictures", "its markers' notes have no place in WebM (Vorbis)"])
+    assert found[3] == (48000, 24, None, ["24-bit from 32-bit float", "its markers' lengths and notes have no place in M4A (ALAC)", "M4A keeps its first 255 markers"])
+    assert found[5] == (16000, 16, None, ["16 kHz from 8 kHz", "16-bit from 8-bit", "its markers' lengths have no place in CAF"]) and found[6] == (88200, 16, None, ["16-bit"])
 
 
 def test_hash_depends_on_order(spark):

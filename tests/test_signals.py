@@ -83,7 +83,7 @@ def test_peak_hold_state_carries_over():
     whole, _ = L.held(levels)
     a, state = L.held(levels[:2])
     b, _ = L.held(levels[2:], state)
-    assert whole == a + b == [-10.0, -10.0, -17.5, -32.5]
+    assert whole == a + b == [-10.0, -10.0, -25.0, -40.0]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -103,4 +103,4 @@ def test_held_peaks_stream(spark, tmp_path):
     q = live.writeStream.outputMode("append").format("memory").queryName("held").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r["shown"] for r in spark.table("held").collect()) == [-17.5, -10.0, -10.0]
+    assert sorted(r["shown"] for r in spark.table("held").collect()) == [-25.0, -10.0, -10.0]
