@@ -16,12 +16,17 @@ def parse_stamp(text: Column) -> Column:
     """A date and time as typed to the half-open interval it names, as a struct (start, end): a year, month, day,
     hour, minute or second. Its fields are null for what isn't a date. A zone is ignored, fractions of a second drop.
     """
-    year_first, day_first = DATE_FIRST + TIME, DAY_FIRST + TIME
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # computed once, however often it is used
+    mark = "\u0001"  # before the parts of what matched, in one order
 
     def fields(s: Column) -> Column:
-        pattern = F.when(s.rlike(year_first), F.lit(1)).when(s.rlike(day_first), F.lit(2))
-        pick = lambda i, j: F.when(pattern == 1, F.regexp_extract(s, year_first, i)).when(pattern == 2, F.regexp_extract(s, day_first, j)).try_cast("int")
-        return F.struct(*[pick(i, j).alias(n) for n, i, j in (("y", 1, 3), ("m", 2, 2), ("d", 3, 1), ("h", 4, 4), ("n", 5, 5), ("s", 6, 6))])
+        parts = F.split(F.substring(s, 2, 100), r"\|", -1)
+        of = lambda p: F.struct(*[F.get(p, F.lit(i)).try_cast("int").alias(n) for i, n in enumerate("ymdhns")])
+        return F.when(s.startswith(mark), let(parts, of))
+
+    def matched(s: Column) -> Column:
+        day_first = F.regexp_replace(s, DAY_FIRST + TIME, f"{mark}$3|$2|$1|$4|$5|$6")
+        return let(F.regexp_replace(s, DATE_FIRST + TIME, f"{mark}$1|$2|$3|$4|$5|$6"), lambda x: F.when(x.startswith(mark), x).otherwise(day_first))
 
     def interval(f: Column) -> Column:
         zero = lambda x: F.coalesce(f[x], F.lit(0))
@@ -33,7 +38,8 @@ def parse_stamp(text: Column) -> Column:
         end = F.when(f["m"].isNull(), plus("year")).when(f["d"].isNull(), plus("month")).when(f["h"].isNull(), plus("day")).when(f["n"].isNull(), plus("hour")).when(f["s"].isNull(), plus("minute")).otherwise(plus("second"))
         return F.struct(start.alias("start"), end.alias("end"))
 
-    return F.transform(F.array(fields(F.trim(text))), interval)[0]  # bound once: the fields are used often
+    typed = F.trim(text)
+    return let(let(matched(F.when(~typed.startswith(mark), typed)), fields), interval)
 
 
 def stamp_text(start: Column, end: Column) -> Column:

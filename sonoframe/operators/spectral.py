@@ -6,6 +6,7 @@ group that its frames reach (its own, and a halo), so no recording has to fit in
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,12 +42,19 @@ def layout(frames: int, columns: int, fft: int, bins_held: int = 1 << 26, target
 
 def blocks(signal: DataFrame, size: int) -> DataFrame:
     """Long rows (rec_id, frame, x) as blocks (rec_id, first_frame, samples); missing frames of a block are zero."""
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for first, frames, xs in zip(pdf["first_frame"], pdf["frames"], pdf["xs"]):
+                made.append(np.zeros(size))
+                made[-1][np.asarray(frames) - first] = xs
+            yield pd.DataFrame({"rec_id": pdf.rec_id, "first_frame": pdf.first_frame, "samples": made})
+
     at = F.floor(F.col("frame") / size)
-    rows = signal.groupBy("rec_id", at.alias("block")).agg(F.collect_list(F.struct("frame", "x")).alias("s"))  # size rows at most
-    first = F.col("block") * size
-    dense = F.map_from_entries(F.transform("s", lambda v: F.struct(v["frame"], v["x"])))
-    samples = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(dense, first + i), F.lit(0.0)))
-    return rows.select("rec_id", first.alias("first_frame"), samples.alias("samples"))
+    known = signal.where("rec_id is not null and frame is not null and x is not null")
+    rows = known.groupBy("rec_id", at.alias("block")).agg(F.collect_list(F.struct("frame", "x")).alias("s"))  # size rows at most
+    rows = rows.select("rec_id", (F.col("block") * size).alias("first_frame"), F.col("s.frame").alias("frames"), F.col("s.x").alias("xs"))
+    return rows.mapInPandas(dense, f"rec_id {dict(signal.dtypes)['rec_id']}, first_frame long, samples array<double>")
 
 
 def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: int, group: int = 64) -> DataFrame:
@@ -64,24 +72,42 @@ def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: in
     last = F.floor((n - 1) / group)
     rows = rows.withColumn("part", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(F.least(high, last), F.lit(0)))))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames, part = int(pdf.frames.iloc[0]), int(pdf.part.iloc[0])
+    def levels(part: int, frames: int, held: list) -> tuple[np.ndarray, list]:
+        """A group's columns, and their levels from its blocks (first_frame, samples)."""
         count, per, windows = layout(frames, columns, fft)
         own = np.arange(part * group, min((part + 1) * group, count))
         if not len(own):
-            return pd.DataFrame({"rec_id": [], "column": [], "levels": []})
+            return own, []
         centres = ((own[:, None] + (np.arange(windows)[None, :] + 0.5) / windows) * per).astype(np.int64)
         start, stop = int(centres.min()) - fft // 2, int(centres.max()) + fft // 2
         signal = np.zeros(stop - start)
-        for first, samples in zip(pdf.first_frame, pdf.samples):
+        for first, samples in held:
             a, b = max(first, start, 0), min(first + len(samples), stop, frames)
             if b > a:
                 signal[a - start : b - start] = samples[a - first : b - first]
         at = centres.ravel()[:, None] - fft // 2 - start + np.arange(fft)
-        levels = db(power(signal[at]).reshape(len(own), windows, -1).max(1))
-        return pd.DataFrame({"rec_id": pdf.rec_id.iloc[0], "column": own, "levels": list(levels)})
+        return own, list(db(power(signal[at]).reshape(len(own), windows, -1).max(1)))
 
-    return rows.groupBy("rec_id", "part").applyInPandas(work, "rec_id long, column long, levels array<double>")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups stream by, their rows together: only one group's blocks are held."""
+        key, frames, held = None, 0, []
+        last = pd.DataFrame({"rec_id": [-1], "part": [-1], "frames": [0], "first_frame": [0], "samples": [()]})  # ends the last group
+        for pdf in itertools.chain(batches, [last]):
+            out: dict[str, list] = {"rec_id": [], "column": [], "levels": []}
+            for rec, part, n, first, samples in zip(pdf.rec_id, pdf.part, pdf.frames, pdf.first_frame, pdf.samples):
+                if (rec, part) != key:
+                    if held:
+                        own, made = levels(int(key[1]), frames, held)
+                        out["rec_id"] += [key[0]] * len(own)
+                        out["column"] += own.tolist()
+                        out["levels"] += made
+                    key, frames, held = (rec, part), int(n), []
+                held.append((first, samples))
+            yield pd.DataFrame(out)
+
+    rows = rows.where("rec_id is not null").select("rec_id", "part", "frames", "first_frame", "samples")
+    rows = rows.repartition("rec_id", "part").sortWithinPartitions("rec_id", "part", "first_frame")
+    return rows.mapInPandas(work, "rec_id long, column long, levels array<double>")
 
 
 def average_spectrum(recordings: DataFrame, fft: int, windows: int = 8) -> DataFrame:
