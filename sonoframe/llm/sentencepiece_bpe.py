@@ -26,7 +26,7 @@ from .common import read_table, text_column
 
 SPACE = "▁"
 #: Entries that a generation of a worker's memo may hold, and the characters or ids of the longest.
-MEMO, LONGEST = 200_000, 64
+MEMO, LONGEST = 400_000, 64
 
 
 class _Memo(dict):
@@ -74,9 +74,8 @@ class Codec:
         self.automaton.make_automaton()
         self.size = len(self.pieces)
         self.widths = [1 if i == self.unknown else len(p) for i, p in enumerate(self.pieces)]
-        self.compatible = _Memo(self._compatible, 2 * MEMO)
-        self.segment = _Memo(self._segment)
-        self.text = _Memo(self._text, longest=4 * LONGEST)
+        self.compatible = _Memo(self._compatible, MEMO)
+        self.segment = _Memo(self._both)
         self.lines = not any("\n" in p for p in self.rank)
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
@@ -113,7 +112,12 @@ class Codec:
             at -= widths[token]
         return array("I", ids[::-1]).tobytes()
 
-    def segments(self, text: str) -> list[bytes]:
+    def _both(self, segment: str) -> tuple[bytes, str]:
+        ids = self._segment(segment)
+        return ids, self._text(ids)
+
+    def segments(self, text: str) -> list[tuple[bytes, str]]:
+        """The ids of each segment of a text, and what they decode to."""
         if not text:
             return []
         if self.lines and "  " not in text and SPACE not in text and text[0] != " ":  # no run of spaces: plain splits do
@@ -123,7 +127,7 @@ class Codec:
         return [*map(self.segment.__getitem__, parts)]
 
     def encode(self, text: str) -> list[int]:
-        return [self.begin, *array("I", b"".join(self.segments(text))), self.end]
+        return [self.begin, *array("I", b"".join(ids for ids, _ in self.segments(text))), self.end]
 
     def _text(self, ids: bytes) -> str:
         out, held = [], bytearray()
@@ -142,9 +146,9 @@ class Codec:
         text = self._text(array("I", ids).tobytes())
         return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
 
-    def decode_segments(self, segments: list[bytes]) -> str:
+    def decode_segments(self, segments: list[tuple[bytes, str]]) -> str:
         """decode() of the ids of whole segments: as no character's bytes cross a border, each is decoded alone."""
-        return "".join(map(self.text.__getitem__, segments))[1:]
+        return "".join([text for _, text in segments])[1:]
 
 
 def _utf8(raw: bytes) -> str:
@@ -205,7 +209,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
                 n, all_ids, sha, back = [], [], [], []
                 for text in part.column(1):
                     segments = codec.segments(text.as_py())
-                    raw = b"".join((head, *segments, tail))
+                    raw = b"".join((head, *[own for own, _ in segments], tail))
                     n.append(len(raw) // 4)
                     sha.append(hashlib.sha256(raw).hexdigest())
                     back.append(hashlib.sha256(codec.decode_segments(segments).encode()).hexdigest())
