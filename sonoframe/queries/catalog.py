@@ -139,7 +139,7 @@ def stamp_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rec_id", T.stamp_text(F.col("x.start"), F.col("x.end")).alias("shown"))
 
 
-@query("human_text", "select doc_id, nullif(array_to_string(list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(13) || chr(9)), '[\r\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^[a-z][A-Z0-9_]{1,15}=')), ' '), '') human from documents")
+@query("human_text", "select doc_id, nullif(array_to_string(list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(13) || chr(9)), '[\r\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^[a-z][A-Z0-9_]{1,15}=')), ' '), '') human from documents")
 def human_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.human_text(F.replace("text", F.lit(". "), F.lit(".\r\t"))).alias("human"))
 
