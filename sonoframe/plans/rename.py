@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
-
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.order import natural_key
 
-#: Accented Latin letters and what stands for them.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽž"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZz"
+#: Latin letters with a stroke, without a dot or with one beside them, and what stands for them.
+STRUCK = {"Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l", "Ŀ": "L", "ŀ": "l", "Ø": "O", "ø": "o", "Ŧ": "T", "ŧ": "t"}
+#: Latin letters (U+00C0 to U+017F) and what stands for them: their base letter, where they are one with a mark.
+UNACCENTED = {c: d[0] for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) == 2} | STRUCK
 
 
 @dataclass(frozen=True)
@@ -42,19 +44,23 @@ class Rules:
     non_ascii: bool = False
     double_spaces: bool = False
     trim: bool = False
-    move: tuple[str, int, str, str] = ("", 0, "", "")  # first or last, n, start or end, mark
+    lead_dots: bool = False
+    move: tuple[str, int, str | int, str] = ("", 0, "", "")  # first, last, copy first or copy last, n, start, end or a place, mark
     word_space: bool = False
     insert: tuple[str, int] = ("", 0)
     insert_number: tuple[int, int, int, int] = (0, 0, 1, 0)  # place, from, step, digits
     prefix: str = ""
     suffix: str = ""
-    date: tuple[str, str, str] = ("", "", "_")  # prefix or suffix, pattern, mark; from column `recorded`
+    date: tuple[str, str, str] = ("", "", "_")  # prefix or suffix, pattern, mark
+    date_of: str = "recorded"  # the column of that date (recorded, modified, created), or now
+    or_modified: bool = False  # takes column `modified` where `recorded` is unknown
+    now: datetime | None = None  # the moment of `now`; that of the run if none is given
     folders: tuple[str, int, str] = ("", 1, "-")  # prefix or suffix, levels, mark
-    number: tuple[str, int, int, int, str] = ("", 1, 1, 0, "_")  # prefix or suffix, from, step, digits, mark
+    number: tuple[str | int, int, int, int, str] = ("", 1, 1, 0, "_")  # prefix, suffix, both or a place, from, step, digits, mark
     numerals: str = "decimal"  # decimal, letters, roman
     restart_after: int = 0  # a new number run where these first characters change
     restart_folder: bool = False
-    extension: str = "same"  # same, lower, upper, remove, fixed
+    extension: str = "same"  # same, lower, upper, title, remove, fixed, extra
     fixed_extension: str = ""
 
 
@@ -105,19 +111,23 @@ def _removed(s: Column, rules: Rules) -> Column:
     for on, pattern in ((rules.digits, "[0-9]"),):
         s = F.regexp_replace(s, pattern, "") if on else s
     if rules.accents:
-        s = F.translate(s, ACCENTED, PLAIN)
-    for on, pattern, put in ((rules.symbols, r"[^\p{L}\p{N}\s]", ""), (rules.non_ascii, r"[^\x00-\x7f]", ""), (rules.double_spaces, " {2,}", " "), (rules.trim, r"^\s+|\s+$", "")):
+        s = F.translate(s, "".join(UNACCENTED), "".join(UNACCENTED.values()))
+    for on, pattern, put in ((rules.symbols, r"[^\p{L}\p{N}\s]", ""), (rules.non_ascii, r"[^\x00-\x7f]", ""), (rules.double_spaces, " {2,}", " "), (rules.trim, r"(?U)^\s+|\s+\z", ""), (rules.lead_dots, r"^\.+", "")):
         s = F.regexp_replace(s, pattern, put) if on else s
     return s
 
 
 def _moved(s: Column, rules: Rules) -> Column:
     part, n, to, mark = rules.move
-    if part:
-        head, tail = F.substring(s, 1, n), F.substring(s, F.lit(n + 1), F.length(s))
-        if part == "last":
-            head, tail = F.right(s, F.lit(n)), F.substring(s, F.lit(1), F.greatest(F.length(s) - n, F.lit(0)))
-        s = T.beside(tail, head, mark) if to == "end" else T.beside(head, tail, mark)
+    if part and n > 0:
+        piece, rest = F.substring(s, 1, n), F.substring(s, F.lit(n + 1), F.length(s))
+        if part.endswith("last"):
+            piece, rest = F.right(s, F.lit(n)), F.substring(s, F.lit(1), F.greatest(F.length(s) - n, F.lit(0)))
+        rest, between = s if part.startswith("copy") else rest, F.lit(mark)
+        if isinstance(to, int):
+            s = T.inserted(rest, F.concat(between, piece, between), F.lit(max(to, 1)))
+        else:
+            s = F.concat(rest, between, piece) if to == "end" else F.concat(piece, between, rest)
     if rules.word_space:
         s = F.regexp_replace(s, r"(?<=[\p{Ll}0-9])(?=\p{Lu})", " ")
     if rules.insert[1]:
@@ -130,7 +140,7 @@ def _numeral(n: Column, kind: str, digits: int) -> Column:
 
 
 def plan(files: DataFrame, rules: Rules, batch: str = "batch") -> DataFrame:
-    """Of files (batch, place, folder, name, chosen, recorded): the new name of each chosen one, and what is wrong with it.
+    """Of files (batch, place, folder, name, chosen, and the dates that the rules name): the new name of each chosen one, and what is wrong with it.
 
     place orders a batch. Numbers run over a batch's chosen files; a run restarts where the first characters, or the
     folder, differ from the file before. Problems, the first that holds: no date, an invalid name, a name that two
@@ -145,8 +155,11 @@ def plan(files: DataFrame, rules: Rules, batch: str = "batch") -> DataFrame:
     put = lambda side, text, mark: T.beside(text, F.col("stem"), mark) if side == "prefix" else T.beside(F.col("stem"), text, mark)
     dated = F.lit(True)
     if rules.date[0]:
-        dated = F.col("recorded").isNotNull()
-        rows = rows.withColumn("stem", put(rules.date[0], F.coalesce(F.date_format("recorded", rules.date[1]), F.lit("")), rules.date[2]))
+        when = F.lit(rules.now or datetime.now()).cast("timestamp_ntz") if rules.date_of == "now" else F.col(rules.date_of)
+        if rules.or_modified and rules.date_of == "recorded":
+            when = F.coalesce(when, F.col("modified"))
+        dated = when.isNotNull()
+        rows = rows.withColumn("stem", put(rules.date[0], F.coalesce(F.date_format(when, rules.date[1]), F.lit("")), rules.date[2]))
     if rules.folders[0]:
         names = F.filter(F.split("folder", "/"), lambda x: x != "")
         levels = F.slice(names, -F.least(F.lit(rules.folders[1]), F.size(names)), F.lit(rules.folders[1]))
@@ -164,8 +177,16 @@ def plan(files: DataFrame, rules: Rules, batch: str = "batch") -> DataFrame:
         taken = taken.withColumn("fresh", F.coalesce(changes, F.lit(False)).cast("int")).withColumn("run", F.sum("fresh").over(order))
         k = F.row_number().over(Window.partitionBy(batch, "run").orderBy("place")) - 1
         number = _numeral(F.lit(first) + step * k, rules.numerals, digits)
-        rows = taken.withColumn("stem", put(side, number, mark)).drop("fresh", "run").unionByName(rows.where("not dated"))
-    ext = {"same": F.col("ext"), "lower": F.lower("ext"), "upper": F.upper("ext"), "remove": F.lit(""), "fixed": F.lit(rules.fixed_extension)}[rules.extension]
+        numbered = T.inserted(F.col("stem"), number, F.lit(max(side, 1))) if isinstance(side, int) else put(side, number, mark)
+        if side == "both":
+            ahead = T.beside(number, F.col("stem"), mark)
+            numbered = T.beside(ahead, number, mark)
+        rows = taken.withColumn("stem", numbered).drop("fresh", "run").unionByName(rows.where("not dated"))
+    own, given = F.col("ext"), F.lit(rules.fixed_extension.lstrip("."))
+    ext = {
+        "same": own, "lower": F.lower(own), "upper": F.upper(own), "title": F.concat(F.upper(F.substring(own, 1, 1)), F.lower(F.substring(own, F.lit(2), F.length(own)))),
+        "remove": F.lit(""), "fixed": given, "extra": F.when(own == "", given).otherwise(F.concat(own, F.lit("."), given)),
+    }[rules.extension]
     rows = rows.withColumn("new_name", F.concat("stem", F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))))
     return checked(rows.select(*files.columns, "new_name", "dated"), files, batch)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,24 @@ _simple("extension_rule", R.Rules(extension="lower"), "stem", "lower(ext)")
 _simple("add_date", R.Rules(date=("prefix", "yyyy-MM-dd", "_")), "case when recorded is null then stem else strftime(recorded, '%Y-%m-%d') || '_' || stem end")
 
 
+_simple("copy_place", R.Rules(move=("copy last", 3, 6, "+")), "left(stem, 5) || '+' || right(stem, 3) || '+' || substr(stem, 6)")
+_simple("extension_extra", R.Rules(extension="extra", fixed_extension=".bak"), "stem", "ext || '.bak'")
+_simple("extension_title", R.Rules(extension="title", lead_dots=True), "stem", "upper(left(ext, 1)) || lower(substr(ext, 2))")
+_simple("add_now", R.Rules(date=("suffix", "yyyyMMdd", "-"), date_of="now", now=datetime(2024, 5, 1, 21, 30)), "stem || '-20240501'")
+_simple("remove_accents", R.Rules(find="e", put="łé", accents=True), "replace(stem, 'e', 'le')")
+
+
+@query("number_both", f"with {_BATCHES}, n as (select *, row_number() over (partition by batch order by place) || '' num from batches where chosen) select place, num || '_' || stem || '_' || num || '.' || ext new_name from n")
+def number_both(spark: SparkSession, sf: str) -> DataFrame:
+    return R.plan(_batches(spark, sf), R.Rules(number=("both", 1, 1, 0, "_"))).select("place", "new_name")
+
+
+@query("add_modified", f"with {_BATCHES} select place, strftime(coalesce(recorded, timestamp '2020-02-03' + to_hours(place)), '%Y%m%d%H') || '_' || stem || '.' || ext new_name, null::varchar problem from batches where chosen")
+def add_modified(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _batches(spark, sf).withColumn("modified", F.lit("2020-02-03").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), c("place").cast("int")))
+    return R.plan(rows, R.Rules(date=("prefix", "yyyyMMddHH", "_"), or_modified=True)).select("place", "new_name", "problem")
+
+
 @query("number_running", f"""with {_BATCHES}, t as (select *, left(stem, 1) k from batches where chosen), f as (select *, case when k <> lag(k) over (partition by batch order by place) then 1 else 0 end fresh from t),
  g as (select *, sum(fresh) over (partition by batch order by place) run from f), n as (select *, 5 + 2 * (row_number() over (partition by batch, run order by place) - 1) num from g)
  select place, name, lpad(num::varchar, greatest(3, length(num::varchar))::int, '0') || '_' || stem || '.' || ext new_name from n""")

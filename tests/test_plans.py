@@ -29,6 +29,17 @@ def new(spark, names, rules, **more):
         (R.Rules(first=2, last=1, digits=True, accents=True, double_spaces=True, trim=True), "xxJõe  laht 12 z.wav", "Joe laht.wav"),
         (R.Rules(crop=("before", "DAWN")), "x dawn chorus.wav", "dawn chorus.wav"),
         (R.Rules(move=("first", 4, "end", "_")), "0714heron.wav", "heron_0714.wav"),
+        (R.Rules(move=("first", 9, "end", "_")), "abc.wav", "_abc.wav"),
+        (R.Rules(move=("copy first", 2, "end", "-")), "abc.wav", "abc-ab.wav"),
+        (R.Rules(move=("copy last", 2, 2, "-")), "abc.wav", "a-bc-bc.wav"),
+        (R.Rules(move=("last", 1, 99, "-")), "abc.wav", "ab-c-.wav"),
+        (R.Rules(lead_dots=True, trim=True), " ..a .wav", "a.wav"),
+        (R.Rules(accents=True), "ŁódźØĿÆß.wav", "LodzOLÆß.wav"),
+        (R.Rules(extension="extra", fixed_extension="..bak"), "a.WAV", "a.WAV.bak"),
+        (R.Rules(extension="extra", fixed_extension=".bak"), "a", "a.bak"),
+        (R.Rules(extension="title"), "a.WAV", "a.Wav"),
+        (R.Rules(number=("both", 1, 1, 2, "_")), "a.wav", "01_a_01.wav"),
+        (R.Rules(number=(2, 1, 1, 2, "_")), "abc.wav", "a01bc.wav"),
         (R.Rules(extension="lower"), "A.WAV", "A.wav"),
         (R.Rules(prefix="EE_", word_space=True, insert=("-", 5), suffix="_A"), "DawnChorus.wav", "EE_Dawn- Chorus_A.wav"),
     ],
