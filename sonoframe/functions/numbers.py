@@ -163,3 +163,43 @@ def size_text(size: Column) -> Column:
     """Megabytes with one decimal under 100, none from there on."""
     mb = size.cast("decimal(20,0)") / 1_000_000
     return F.when(size >= 100_000_000, F.concat(F.round(mb, 0).cast("decimal(20,0)").cast("string"), F.lit(" MB"))).otherwise(F.concat(F.round(mb, 1).cast("decimal(20,1)").cast("string"), F.lit(" MB")))
+
+
+def level_text(db: Column) -> Column:
+    """A level to one decimal; minus infinity at the floor and under it."""
+    return F.when(db <= QUIET, "-∞").otherwise(F.format_string("%.1f", db))
+
+
+#: The seconds that ticks of a time axis may be apart.
+TIME_STEPS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0, 900.0, 1800.0, 3600.0, 7200.0, 14400.0)
+LONGEST_STEP = 28800.0
+
+
+def time_step(seconds: Column, width: Column) -> Column:
+    """The least step that leaves each of an axis's labels 90 points of its width."""
+    fits = F.greatest(width / 90, F.lit(1.0))
+    return F.when(seconds.isNotNull() & width.isNotNull(), F.coalesce(*[F.when(seconds / s <= fits, s) for s in TIME_STEPS], F.lit(LONGEST_STEP)))
+
+
+def step_decimals(step: Column) -> Column:
+    """How many decimals tell ticks of a step apart."""
+    return F.when(step >= 1.0, 0).when(step >= 0.1, 1).when(step >= 0.01, 2).when(step.isNotNull(), 3)
+
+
+def linear_ticks(lo: Column, hi: Column, length: Column) -> Column:
+    """The frequencies of an axis's ticks, at least 55 points apart where it has room for two; none if hi is under lo."""
+    step = nice_step(hi - lo, F.greatest(length / 55, F.lit(2.0)))
+    first, last = F.ceil(lo / step), F.floor(hi / step)
+    return F.when(hi > lo, F.transform(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda i: i * step)).otherwise(F.array().cast("array<double>"))
+
+
+def log_ticks(lo: Column, hi: Column, length: Column, room: Column) -> Column:
+    """1, 2 and 5 of each decade from lo to hi, or the decades alone where so many labels have no room; null unless 0 < lo <= hi."""
+    decades = F.sequence(F.floor(F.log10(lo)), F.floor(F.log10(hi)))
+    at = lambda *leads: F.filter(F.flatten(F.transform(decades, lambda d: F.array(*[F.pow(F.lit(10.0), d) * x for x in leads]))), lambda f: (f >= lo) & (f <= hi))
+    return F.when((lo > 0) & (hi >= lo), F.when(F.size(at(1.0, 2.0, 5.0)) * room > length, at(1.0)).otherwise(at(1.0, 2.0, 5.0)))
+
+
+def export_stem(stem: Column, first: Column, last: Column, rate: Column) -> Column:
+    """The name of a picture of a stretch of frames, without its extension."""
+    return F.concat(stem, F.lit(" "), F.format_string("%.2f", first / rate), F.lit("-"), F.format_string("%.2f", last / rate), F.lit(" s"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +81,26 @@ def timeline(packets: DataFrame, most: int, key: str = "rec_id") -> DataFrame:
 
     A packet ahead of what is expected leaves a gap, unless it is more than `most` frames ahead: then it follows at
     once. Frames that overlap what is already placed are skipped. Each place depends on all before it, so a
-    recording's packets are placed in one pass, in order.
+    recording's packets pass one task in order, batch by batch; only the expected place is held. Packets with a null
+    are left out; packets of the same ordinal are placed by where they claim to be, then by length.
     """
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, expected = [], None
-        for at, frames in zip(pdf.sort_values("ord")["at"], pdf.sort_values("ord")["frames"]):
-            start = at if expected is None else expected
-            gap, skip = (at - start, 0) if 0 <= at - start <= most else (0, 0) if at > start else (0, min(start - at, frames))
-            out.append((start + gap, skip))
-            expected = start + gap + frames - skip
-        pdf = pdf.sort_values("ord")
-        return pd.DataFrame({"key": pdf[key], "ord": pdf["ord"], "placed": [x[0] for x in out], "skipped": [x[1] for x in out]})
-
-    return packets.groupBy(key).applyInPandas(place, "key long, ord long, placed long, skipped long")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, expected = None, None
+        for batch in batches:
+            placed, skipped = [], []
+            for rec, at, frames in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "frames"))):
+                start = expected if rec == current and expected is not None else at
+                gap = at - start if 0 <= at - start <= most else 0
+                skip = min(start - at, frames) if at < start else 0
+                placed.append(start + gap)
+                skipped.append(skip)
+                current, expected = rec, start + gap + frames - skip
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(placed, pa.int64()), pa.array(skipped, pa.int64())], ["key", "ord", "placed", "skipped"])
+
+    rows = packets.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("long").alias(c) for c in ("ord", "at", "frames")]).dropna()
+    rows = rows.repartition("key").sortWithinPartitions("key", "ord", "at", "frames")
+    return rows.mapInArrow(place, "key long, ord long, placed long, skipped long")
 
 
 def picture_size(length: Column, fft: int, bins: int, most_columns: int = 16384, most_pixels: int = 64_000_000, few: int = 4096) -> tuple[Column, int]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,27 +93,62 @@ def lost_markers(before: DataFrame, after: DataFrame, rate: int) -> DataFrame:
     return before.alias("b").join(after.alias("a"), near, "left_anti")
 
 
+#: The frames that a lossy format's decoder may give beyond those written.
+SLACK = {"mp3": 2 * 1152 + 1105, "webm": 4096}
+
+
+def verified(written: DataFrame, read: DataFrame) -> DataFrame:
+    """What is wrong with written files (rec_id, format, rate, channels, frames, hash) as read back (the same but format).
+
+    problem is unreadable (no row in read, or a null in it), format, audio (frames or hash of a file that has a hash),
+    length (of one that has none: fewer frames, or more than its decoder may give), or null. A row a row of written.
+    """
+    names = ["rate", "channels", "frames", "hash"]
+    both = written.join(read.select("rec_id", *[F.col(n).alias(f"now_{n}") for n in names]), "rec_id", "left")
+    now = {n: F.col(f"now_{n}") for n in names}
+    more = now["frames"] - F.col("frames")
+    problem = (
+        F.when(now["rate"].isNull() | now["channels"].isNull() | now["frames"].isNull(), "unreadable")
+        .when((now["rate"] != F.col("rate")) | (now["channels"] != F.col("channels")), "format")
+        .when(F.col("hash").isNotNull(), F.when((more != 0) | ~now["hash"].eqNullSafe(F.col("hash")), "audio"))
+        .when((more < 0) | (more > F.coalesce(_by(F.col("format"), SLACK), F.lit(0))), "length")
+    )
+    return both.select("rec_id", problem.alias("problem"))
+
+
 def free_names(wanted: DataFrame, taken: DataFrame, folder: str = "folder") -> DataFrame:
     """Of wanted (folder, place, stem, ext): names in order of place that neither a taken file nor an earlier one has.
 
-    `stem.ext`, then `stem 2.ext` and so on, in lower case. Each choice depends on those before, also of other stems,
-    so a folder's files are named one after another.
+    `stem.ext`, then `stem 2.ext` and so on, compared in lower case. Each choice depends on those before, also of other
+    stems, so a folder's rows pass one task in order, batch by batch; it holds the folder's names, not its rows. Folders
+    without taken names, and empty tables, are fine; a null stem or extension counts as empty.
     """
 
-    def name(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used, out, again = set(right["name"].str.lower()), [], {}
-        left = left.sort_values("place")
-        for stem, ext in zip(left["stem"], left["ext"]):
-            n = again.get((stem.lower(), ext.lower()), 1)
-            while (made := f"{stem}.{ext}" if n == 1 else f"{stem} {n}.{ext}").lower() in used:
-                n += 1
-            again[stem.lower(), ext.lower()] = n + 1
-            used.add(made.lower())
-            out.append(made)
-        return pd.DataFrame({"folder": left["folder"], "place": left["place"], "name": out})
-
-    a = wanted.select(F.col(folder).alias("folder"), "place", "stem", "ext")
-    return a.groupBy("folder").cogroup(taken.select(F.col(folder).alias("folder"), "name").groupBy("folder")).applyInPandas(name, "folder string, place long, name string")
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, again = None, set(), {}
+        for batch in batches:
+            folders, places, names = [], [], []
+            for at, place, stem, ext, has in zip(*(batch.column(c).to_pylist() for c in ("folder", "place", "stem", "ext", "name"))):
+                if at != current:
+                    current, used, again = at, set(), {}
+                if place is None:
+                    used.add(has.lower())
+                    continue
+                key = stem.lower(), ext.lower()
+                n = again.get(key, 1)
+                while (made := f"{stem}.{ext}" if n == 1 else f"{stem} {n}.{ext}").lower() in used:
+                    n += 1
+                again[key] = n + 1
+                used.add(made.lower())
+                folders.append(at), places.append(place), names.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(places, pa.int64()), pa.array(names, pa.string())], ["folder", "place", "name"])
+
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = wanted.select(F.col(folder).alias("folder"), F.col("place").cast("long").alias("place"), text("stem"), text("ext"), none("name", "string"))
+    held = taken.where("name is not null").select(F.col(folder).alias("folder"), none("place", "long"), none("stem", "string"), none("ext", "string"), "name")
+    rows = asked.unionByName(held).repartition("folder").sortWithinPartitions("folder", F.col("place").asc_nulls_first())
+    return rows.mapInArrow(name, "folder string, place long, name string")
 
 
 def sample_hash(recordings: DataFrame) -> DataFrame:

@@ -122,3 +122,24 @@ def first_markers(spark: SparkSession, sf: str) -> DataFrame:
 def next_marker_id(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey"), "left")
     return rows.groupBy("o_orderkey").agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + F.lit(1).cast("long")).alias("next_id"))
+
+
+@query("verify", """select o_orderkey rec_id, case when k = 0 then 'unreadable' when k = 1 then 'format' when f < 2 then case when k between 2 and 4 then 'audio' end
+ when k = 2 or (k = 3 and f < 4) or k = 5 then 'length' end problem from (select o_orderkey, o_orderkey % 7 k, o_orderkey // 7 % 5 f from orders)""")
+def verify(spark: SparkSession, sf: str) -> DataFrame:
+    k, f = c("rec_id") % 7, F.floor(c("rec_id") / 7) % 5  # two lossless formats, Ogg Vorbis, MP3 and WebM
+    lossy = F.when(f == 2, "ogg").when(f == 3, "mp3").when(f == 4, "webm")
+    digest = F.when(f < 2, F.md5(c("rec_id").cast("string")))
+    rows = table(spark, sf, "orders").select(c("o_orderkey").alias("rec_id"), "o_custkey")
+    written = rows.select("rec_id", F.coalesce(lossy, F.lit("wav")).alias("format"), F.lit(48000).alias("rate"), F.lit(2).alias("channels"), c("o_custkey").alias("frames"), digest.alias("hash"))
+    more = F.when(k == 2, -1).when(k == 3, 4000).when((k == 5) & (f >= 2), 4097).when((k == 6) & (f == 3), 3409).otherwise(0)
+    read = written.where(k != 0).select("rec_id", F.when(k == 1, 44100).otherwise(c("rate")).alias("rate"), "channels", (c("frames") + more).alias("frames"), F.when(k == 4, "other").otherwise(c("hash")).alias("hash"))
+    return V.verified(written, read)
+
+
+@query("export_name", """select folder, p_partkey place, case when k = 1 then stem || '.png' else stem || ' ' || k || '.png' end as name from (select *, row_number() over (partition by folder, stem order by p_partkey) k
+ from (select p_partkey, p_brand folder, lower(split_part(p_name, ' ', 1)) || ' 1.00-' || printf('%.2f', 1 + p_size / 10.0) || ' s' stem from part))""")
+def export_name(spark: SparkSession, sf: str) -> DataFrame:
+    stem = N.export_stem(F.lower(F.split("p_name", " ")[0]), F.lit(48000), 48000 + c("p_size") * 4800, F.lit(48000))
+    wanted = table(spark, sf, "part").select(c("p_brand").alias("folder"), c("p_partkey").alias("place"), stem.alias("stem"), F.lit("png").alias("ext"))
+    return V.free_names(wanted, files(spark, sf).select("folder", "name"))

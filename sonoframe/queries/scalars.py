@@ -211,3 +211,23 @@ def recorder_date(spark: SparkSession, sf: str) -> DataFrame:
 @query("speed_limits", "select p_partkey, round(4.8 / p_size * 1e9)::bigint slowest, round(1e7 / p_size * 1e3)::bigint fastest from part")
 def speed_limits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", _e(4.8 / c("p_size"), 1e9).alias("slowest"), _e(1e7 / c("p_size"), 1e3).alias("fastest"))
+
+
+@query("level_text", "select event_id, case when x <= -100 then '-∞' else printf('%.1f', x) end as level from (select event_id, event_id % 130 - 110 + event_id % 7 / 7.0::double x from events)")
+def level_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", N.level_text(c("event_id") % 130 - 110 + c("event_id") % 7 / 7.0).alias("level"))
+
+
+@query("time_ticks", """select o_orderkey, coalesce((select min(s) from (select unnest([0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 14400]::double[]) s) where seconds / s <= fits), 28800)::double step
+ from (select o_orderkey, o_totalprice * o_totalprice / 5000 as seconds, greatest((o_orderkey % 1300) / 90, 1) fits from orders)""")
+def time_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", N.time_step(c("o_totalprice") * c("o_totalprice") / 5000, c("o_orderkey") % 1300).alias("step"))
+
+
+@query("frequency_ticks", """with t as (select p_partkey, case when len(a) * 16 > p_partkey % 40 * 10 + 40 then list_filter(a, lambda f: log10(f) = floor(log10(f))) else a end t from (select p_partkey, list_filter(flatten(list_transform(range(0, 6),
+ lambda d: [pow(10.0, d), 2 * pow(10.0, d), 5 * pow(10.0, d)])), lambda f: f >= p_size and f <= p_retailprice * 10) a from part))
+ select p_partkey, len(t)::int n, round(coalesce(list_sum(t), 0))::bigint total from t""")
+def frequency_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = N.log_ticks(c("p_size").cast("double"), c("p_retailprice") * 10, c("p_partkey") % 40 * 10 + 40, F.lit(16))
+    rows = table(spark, sf, "part").select("p_partkey", ticks.alias("t"))
+    return rows.select("p_partkey", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"))

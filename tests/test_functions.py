@@ -97,3 +97,15 @@ def test_timeline(spark):
 
     packets = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 150, 100), (1, 2, 200, 100), (1, 3, 99999, 10), (1, 4, 5, 10)], "rec_id long, ord long, at long, frames long")
     assert [(r["placed"], r["skipped"]) for r in D.timeline(packets, 480).orderBy("ord").collect()] == [(0, 0), (150, 0), (250, 50), (300, 0), (310, 10)]
+
+
+def test_ticks(spark):
+    row = spark.range(1).select(
+        N.time_step(F.lit(0.5), F.lit(900)).alias("short"), N.step_decimals(F.lit(0.05)).alias("digits"), N.linear_ticks(F.lit(0.0), F.lit(24000.0), F.lit(275)).alias("linear"),
+        N.log_ticks(F.lit(20.0), F.lit(20000.0), F.lit(60), F.lit(16)).alias("decades"), N.log_ticks(F.lit(20.0), F.lit(20000.0), F.lit(600), F.lit(16)).alias("all"),
+        N.log_ticks(F.lit(0.0), F.lit(1.0), F.lit(60), F.lit(16)).alias("none"), N.linear_ticks(F.lit(5.0), F.lit(5.0), F.lit(275)).alias("empty"),
+        N.level_text(F.lit(-100.0)).alias("floor"), N.level_text(F.lit(-6.02)).alias("level"), N.export_stem(F.lit("take"), F.lit(24000), F.lit(60000), F.lit(48000)).alias("name"),
+    ).first()
+    assert (row["short"], row["digits"], row["linear"]) == (0.05, 2, [0.0, 5000.0, 10000.0, 15000.0, 20000.0])
+    assert (row["decades"], len(row["all"]), row["none"], row["empty"]) == ([100.0, 1000.0, 10000.0], 10, None, [])
+    assert (row["floor"], row["level"], row["name"]) == ("-∞", "-6.0", "take 0.50-1.25 s")

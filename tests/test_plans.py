@@ -109,3 +109,17 @@ def test_markers_and_regions(spark):
     jobs = spark.createDataFrame([(1, True, None), (1, False, 0.5), (1, False, None), (1, True, 0.25)], "batch_id int, finished boolean, partial double")
     assert tuple(M.batch_progress(jobs).first()) == (1, 2, 4, 0.625)
     assert M.batch_progress(jobs.limit(0)).count() == 0
+
+
+def test_free_names_without_taken_ones(spark):
+    wanted = spark.createDataFrame([("f", 0, "a", "wav"), ("g", 1, "A", "wav"), ("g", 2, "a", "WAV")], "folder string, place long, stem string, ext string")
+    none = spark.createDataFrame([], "folder string, name string")
+    assert sorted(r["name"] for r in V.free_names(wanted, none).collect()) == ["A.wav", "a 2.WAV", "a.wav"]
+    assert V.free_names(wanted.limit(0), none).collect() == []
+
+
+def test_verified(spark):
+    kind = "rec_id int, format string, rate int, channels int, frames long, hash string"
+    written = spark.createDataFrame([(1, "wav", 48000, 2, 10, "x"), (2, "mp3", 48000, 2, 10, None), (3, "ogg", 48000, 2, 10, None), (4, None, 48000, 2, 10, "x")], kind)
+    read = spark.createDataFrame([(1, "", 48000, 2, 10, None), (2, "", 48000, 2, 3419, None), (3, "", 48000, 2, 11, None)], kind).drop("format")
+    assert {r["rec_id"]: r["problem"] for r in V.verified(written, read).collect()} == {1: "audio", 2: None, 3: "length", 4: "unreadable"}
