@@ -7,12 +7,14 @@ from functools import wraps
 from .common import small_batches
 from .decontamination import op5_decontamination
 from .fingerprints import op8_fingerprints
+from .hard_negatives import op12_hard_negatives
 from .language_id import langid_pages, op6_language_id
 from .near_dedup import op7_near_dedup
 from .pii import op2_pii
 from .quality import op1_quality
 from .secret_scan import op3_secret_scan
 from .sentencepiece_bpe import op4_sentencepiece
+from .sharding import op13_sharding, op13_sql
 from .substring_dedup import op10_substring_dedup
 from .toxicity import op9_toxicity
 
@@ -27,7 +29,7 @@ def _begun(query):
 
 
 def queries() -> dict:
-    every = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "langid_pages": langid_pages}
+    every = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_sharding": op13_sharding, "langid_pages": langid_pages}
     return {name: _begun(query) for name, query in every.items()}
 
 
@@ -53,5 +55,13 @@ SUBSTRING_DEDUP = f"""with w as (select doc_id, {_WORDS.format(text="coalesce(te
  select w.doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id) left join gone using (doc_id)"""
 
 
+HARD_NEGATIVES = """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id anchor_id, b.vec_id other, a.l = b.l same, list_inner_product(a.v, b.v)::bigint score from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, other positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+ select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::integer rank, other negative_id, positive_score, score negative_score
+ from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": NEAR_DEDUP, "op10_substring_dedup": SUBSTRING_DEDUP}
+    return {"op7_near_dedup": NEAR_DEDUP, "op10_substring_dedup": SUBSTRING_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op13_sharding": op13_sql()}
