@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+from .alignment import op11_alignment
 from .common import small_batches
 from .decontamination import op5_decontamination
 from .fingerprints import op8_fingerprints
@@ -29,7 +30,7 @@ def _begun(query):
 
 
 def queries() -> dict:
-    every = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_sharding": op13_sharding, "langid_pages": langid_pages}
+    every = {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_secret_scan": op3_secret_scan, "op4_sentencepiece": op4_sentencepiece, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_substring_dedup": op10_substring_dedup, "op11_alignment": op11_alignment, "op12_hard_negatives": op12_hard_negatives, "op13_sharding": op13_sharding, "langid_pages": langid_pages}
     return {name: _begun(query) for name, query in every.items()}
 
 
