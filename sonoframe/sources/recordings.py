@@ -40,22 +40,47 @@ def decode_text(raw: bytes) -> str:
         return raw.decode("cp1252", "replace").strip()
 
 
-def chunks(data: bytes) -> tuple[str, list[tuple[bytes, int, int]]]:
-    """A RIFF file's container and chunks (id, start, end). 64-bit sizes come from ds64; a size past the end is cut."""
-    kind = data[:4]
-    if kind not in (b"RIFF", b"RF64", b"BW64") or data[8:12] != b"WAVE":
+class Held:
+    """Bytes in memory, read in ranges like a file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+
+class Opened:
+    """A seekable file, read in ranges: only what is asked for is fetched."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(max(0, min(n, self.size - at)))
+
+
+def chunks(file: Held | Opened) -> tuple[str, list[tuple[bytes, int, int]]]:
+    """A RIFF file's container and chunks (id, start, end), by their heads alone.
+
+    64-bit sizes come from ds64; data of size 0 goes to the end; a size past the end is cut.
+    """
+    head = file.read(0, 12)
+    kind = head[:4]
+    if kind not in (b"RIFF", b"RF64", b"BW64") or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    out, at, wide = [], 12, 0
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    out, at, wide = [], 12, None
+    while len(head := file.read(at, 8)) == 8:
+        name, size = head[:4], struct.unpack_from("<I", head, 4)[0]
         start = at + 8
-        if name == b"ds64" and size >= 16:
-            wide = struct.unpack_from("<Q", data, start + 8)[0]
+        if name == b"ds64" and len(sizes := file.read(start + 8, 8)) == 8 and size >= 16:
+            wide = struct.unpack("<Q", sizes)[0]
         if name == b"data":
-            size = wide if size == 0xFFFFFFFF and wide else len(data) - start if size == 0 else size
-        end = min(start + size, len(data))
+            size = wide if size == 0xFFFFFFFF and wide is not None else file.size - start if size == 0 else size
+        end = min(start + size, file.size)
         out.append((name, start, end))
-        at = start + size + size % 2
+        at = end + size % 2
     return kind.decode(), out
 
 
@@ -73,24 +98,32 @@ def samples(raw: bytes, bits: int, floating: bool) -> np.ndarray:
     return np.frombuffer(raw, f"<i{width}") / 2.0 ** (bits - 1)
 
 
-def parse(data: bytes) -> dict:
-    """A WAV file's header, texts and markers, and where its samples are."""
-    container, found = chunks(data)
+def parse(data: bytes | Held | Opened, texts: bool = True) -> dict:
+    """A WAV file's header and where its samples are; its texts and markers too, if asked for. Samples aren't read."""
+    file = Held(data) if isinstance(data, bytes) else data
+    container, found = chunks(file)
     first: dict[bytes, tuple[int, int]] = {}
     for name, a, b in found:
         first.setdefault(name, (a, b))
     if b"fmt " not in first or b"data" not in first:
         raise ValueError("no format or no data")
-    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, first[b"fmt "][0])
-    if tag == 0xFFFE and first[b"fmt "][1] - first[b"fmt "][0] >= 26:
-        tag = struct.unpack_from("<H", data, first[b"fmt "][0] + 24)[0]
+    body = lambda a, b: file.read(a, min(b - a, TEXT_LIMIT))
+    fmt = body(*first[b"fmt "])
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", fmt)
+    if tag == 0xFFFE and len(fmt) >= 26:
+        tag = struct.unpack_from("<H", fmt, 24)[0]
     if (tag, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not channels or not rate:
         raise ValueError("a coding that isn't read")
     a, b = first[b"data"]
     out = {"container": container, "sample_rate": rate, "channels": channels, "bits": bits, "floating": tag == 3, "frames": (b - a) // (channels * bits // 8), "data": (a, b)}
-    out |= bext(data[slice(*first[b"bext"])]) if b"bext" in first else {}
-    out["info"] = [(k.decode("latin-1"), decode_text(v)) for n, a, b in found if n == b"LIST" and data[a : a + 4] == b"INFO" for k, v in entries(data[a + 4 : min(b, a + TEXT_LIMIT)])]
-    out["markers"] = markers(data, found)
+    if not texts:
+        return out
+    out |= bext(body(*first[b"bext"])) if b"bext" in first else {}
+    for name, key in ((b"iXML", "ixml"), (b"guan", "guano")):
+        out |= {key: decode_text(body(*first[name]))} if name in first else {}
+    lists = [(n, body(a, b)) for n, a, b in found if n in (b"LIST", b"cue ")]
+    out["info"] = [(k.decode("latin-1"), decode_text(v)) for n, x in lists if n == b"LIST" and x[:4] == b"INFO" for k, v in entries(x[4:])]
+    out["markers"] = markers(lists)
     return out
 
 
@@ -110,15 +143,15 @@ def bext(body: bytes) -> dict:
     return {"description": text(0, 256), "originator": text(256, 288), "reference": text(288, 320), "date": text(320, 330), "time": text(330, 338), "time_reference": struct.unpack_from("<Q", body, 338)[0], "history": text(602, len(body))}
 
 
-def markers(data: bytes, found: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int, str | None, str | None]]:
+def markers(bodies: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int, str | None, str | None]]:
     """Cue points with their labels, notes and lengths, by frame and id; a text is used once, the last of an id wins."""
     points, label, note, extent, named = [], {}, {}, {}, {}
-    for name, a, b in found:
+    for name, x in bodies:
         if name == b"cue ":
-            n = struct.unpack_from("<I", data, a)[0] if b - a >= 4 else 0
-            points += [struct.unpack_from("<IIIIII", data, a + 4 + 24 * i) for i in range(min(n, (b - a - 4) // 24))]
-        elif name == b"LIST" and data[a : a + 4] == b"adtl":
-            for kind, body in entries(data[a + 4 : b]):
+            n = struct.unpack_from("<I", x)[0] if len(x) >= 4 else 0
+            points += [struct.unpack_from("<IIIIII", x, 4 + 24 * i) for i in range(min(n, (len(x) - 4) // 24))]
+        elif x[:4] == b"adtl":
+            for kind, body in entries(x[4:]):
                 if len(body) >= 4:
                     key = struct.unpack_from("<I", body)[0]
                     if kind == b"labl":
@@ -134,30 +167,37 @@ def markers(data: bytes, found: list[tuple[bytes, int, int]]) -> list[tuple[int,
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 
+#: The columns of a file's header row.
+KINDS = {
+    "path": pa.string(), "container": pa.string(), "sample_rate": pa.int64(), "channels": pa.int64(), "bits": pa.int64(), "floating": pa.bool_(), "frames": pa.int64(),
+    "description": pa.string(), "originator": pa.string(), "date": pa.string(), "time": pa.string(), "time_reference": pa.int64(), "ixml": pa.string(), "guano": pa.string(),
+    "info": pa.list_(pa.struct([("id", pa.string()), ("text", pa.string())])),
+    "markers": pa.list_(pa.struct([("id", pa.int64()), ("frame", pa.int64()), ("length", pa.int64()), ("label", pa.string()), ("note", pa.string())])), "error": pa.string(),
+}
+HEADERS = f"path string, {HEADER}, description string, originator string, date string, time string, time_reference long, ixml string, guano string, info array<struct<id:string,text:string>>, markers {MARKERS}, error string"
+
+
+def header_row(path: str, file: bytes | Held | Opened, texts: bool = True) -> dict:
+    """A file's row of HEADERS: what it holds, or why it can't be read."""
+    try:
+        row = parse(file, texts)
+    except (ValueError, struct.error, OSError) as e:
+        return dict.fromkeys(KINDS) | {"path": path, "error": str(e)}
+    if texts:
+        row["info"] = [{"id": k, "text": v} for k, v in row["info"]]
+        row["markers"] = [dict(zip(("id", "frame", "length", "label", "note"), m)) for m in row["markers"]]
+    return {k: row.get(k) for k in KINDS} | {"path": path}
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """Of (path, content): header, broadcast description, texts (INFO), markers and error of each file."""
-    kinds = {
-        "path": pa.string(), "container": pa.string(), "sample_rate": pa.int64(), "channels": pa.int64(), "bits": pa.int64(), "floating": pa.bool_(), "frames": pa.int64(),
-        "description": pa.string(), "originator": pa.string(), "date": pa.string(), "time": pa.string(), "time_reference": pa.int64(),
-        "info": pa.list_(pa.struct([("id", pa.string()), ("text", pa.string())])),
-        "markers": pa.list_(pa.struct([("id", pa.int64()), ("frame", pa.int64()), ("length", pa.int64()), ("label", pa.string()), ("note", pa.string())])), "error": pa.string(),
-    }
+    """Of (path, content): header, broadcast description, texts, markers and error of each file."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    row = parse(content.as_py())
-                    row["info"] = [{"id": k, "text": v} for k, v in row["info"]]
-                    row["markers"] = [dict(zip(("id", "frame", "length", "label", "note"), m)) for m in row["markers"]]
-                    rows.append({k: row.get(k) for k in kinds} | {"path": path})
-                except (ValueError, struct.error) as e:
-                    rows.append({"path": path, "error": str(e)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds.items()))
-
-    schema = f"path string, {HEADER}, description string, originator string, date string, time string, time_reference long, info array<struct<id:string,text:string>>, markers {MARKERS}, error string"
-    return files.select("path", "content").mapInArrow(work, schema)
+            rows = [header_row(path, content.as_py()) for path, content in zip(batch.column(0).to_pylist(), batch.column(1))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(KINDS.items()))
+
+    return files.select("path", "content").mapInArrow(work, HEADERS)
 
 
 def signal(files: DataFrame, block: int = 1 << 14) -> DataFrame:
