@@ -110,22 +110,69 @@ def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: in
     return rows.mapInPandas(work, "rec_id long, column long, levels array<double>")
 
 
-def average_spectrum(recordings: DataFrame, fft: int, windows: int = 8) -> DataFrame:
-    """Of (rec_id, samples, centre): the mean power of windows half a window apart around a centre, in dB by bin."""
+#: Windows that a spectrum around a frame averages, half a window apart.
+AROUND = 8
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for samples, centre in zip(pdf.samples, pdf.centre):
-                hop = fft // 2
-                first = max(int(centre) - hop * (windows - 1) // 2, 0)
-                padded = np.zeros(first + hop * (windows + 1))
-                n = min(len(samples), len(padded))
-                padded[:n] = samples[:n]
-                out.append(db(power(padded[first + np.arange(windows)[:, None] * hop + np.arange(fft)]).mean(0)))
-            yield pd.DataFrame({"rec_id": pdf.rec_id, "levels": out})
 
-    return recordings.select("rec_id", "samples", "centre").mapInPandas(work, "rec_id long, levels array<double>")
+def reach(fft: int) -> int:
+    """Frames on either side of a marker that its spectrum may read."""
+    return fft // 2 * (AROUND - 1) // 2 + fft // 2 + 1
+
+
+def around(signal: np.ndarray, centre: int, fft: int) -> np.ndarray:
+    """The mean power, in dB by bin, of AROUND windows half a window apart around signal[centre]; outside is silence."""
+    hop = fft // 2
+    first = max(centre - hop * (AROUND - 1) // 2, 0)
+    padded = np.zeros(max(len(signal) + fft, first + hop * AROUND + 2 * fft))
+    padded[hop : hop + len(signal)] = signal
+    return db(power(padded[first + np.arange(AROUND)[:, None] * hop + np.arange(fft)]).mean(0))
+
+
+def spectra_at(recordings: DataFrame, markers: DataFrame, lengths: DataFrame, fft: int, channels: str | int = "all") -> DataFrame:
+    """Of blocks (rec_id, channel, first_frame, samples), markers (rec_id, marker, frame) and lengths (rec_id, frames,
+    channels): rec_id, marker, target and levels (dB by bin) around every marker.
+
+    channels: "all" for a spectrum of each channel, "mix" for their mean (target null), or one channel's number; "all" of a
+    mono recording and a channel that it lacks are the mix. A frame past the end counts as the end. Blocks and
+    markers meet in buckets of frames, and only the samples that a marker reads go on to its group.
+
+    Defined results: a marker without a recording, a recording without frames, and null keys give no rows; frames that
+    no block holds are silent; markers of equal id and frame are each a row.
+    """
+    extent = reach(fft)
+    width = 2 * extent
+    known = lengths.where("frames > 0").select("rec_id", "frames", F.col("channels").alias("n"))
+    marks = markers.where("frame is not null").join(known, "rec_id").withColumn("centre", F.least("frame", "frames"))
+    marks = marks.withColumn("low", F.greatest(F.col("centre") - extent, F.lit(0))).withColumn("high", F.least(F.col("centre") + extent, "frames"))
+    marks = marks.groupBy("rec_id", "marker", "centre", "low", "high", "n").agg(F.count("*").cast("int").alias("copies"))
+    buckets = lambda low, high: F.sequence(F.floor(low / width), F.floor((high - 1) / width))
+    spread = marks.withColumn("bucket", F.explode(buckets(F.col("low"), F.greatest("high", F.col("low") + 1))))
+    end = F.col("first_frame") + F.size("samples")
+    blocks = recordings.where("size(samples) > 0").withColumn("bucket", F.explode(buckets(F.col("first_frame"), end)))
+    met = spread.join(blocks, ["rec_id", "bucket"]).where((F.col("first_frame") < F.col("high")) & (end > F.col("low")))
+    met = met.where(F.col("bucket") == F.greatest(F.floor(F.col("low") / width), F.floor(F.col("first_frame") / width)))  # once a pair
+    start = F.greatest("low", "first_frame")
+    part = F.slice("samples", (start - F.col("first_frame") + 1).cast("int"), (F.least("high", end) - start).cast("int"))
+    pieces = met.select("rec_id", "marker", "centre", "low", "high", "n", "copies", "channel", start.alias("start"), part.alias("part"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        low, n = int(one["low"]), int(one["n"])
+        signal = np.zeros((n, int(one["high"]) - low))
+        for channel, start, part in zip(pdf["channel"], pdf["start"], pdf["part"]):
+            signal[channel, start - low : start - low + len(part)] = part
+        if channels == "all" and n > 1:
+            targets = dict(enumerate(signal))
+        elif isinstance(channels, int) and channels < n:
+            targets = {channels: signal[channels]}
+        else:
+            targets = {None: signal.mean(0)}
+        levels = [around(x, int(one["centre"]) - low, fft) for x in targets.values()]
+        out = pd.DataFrame({"rec_id": one["rec_id"], "marker": one["marker"], "target": pd.array(list(targets), dtype="Int32"), "levels": levels})
+        return out.loc[out.index.repeat(one["copies"])]
+
+    kinds = dict(pieces.dtypes)
+    return pieces.groupBy("rec_id", "marker", "centre").applyInPandas(work, f"rec_id {kinds['rec_id']}, marker {kinds['marker']}, target int, levels array<double>")
 
 
 def dft_power(samples: Column, n: int) -> Column:
@@ -153,28 +200,3 @@ def gated(level: Column, floor: Column, soft: bool) -> Column:
         return F.when(level <= floor, 0.0).otherwise(1.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (level - floor) / 6))
     return t * t * (3 - 2 * t)
-
-
-def filtered(samples: np.ndarray, gains: np.ndarray) -> np.ndarray:
-    """A signal with each bin of its spectrum weighed: root-Hann windows a quarter apart on a grid fixed to frame 0."""
-    size = 2 * (len(gains) - 1)
-    hop, root = size // 4, np.sqrt(hann(size))
-    padded = np.concatenate([np.zeros(size), samples, np.zeros(2 * size)])
-    padded = padded[: len(padded) - (len(padded) - size) % hop]
-    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
-    shaped = np.fft.irfft(np.fft.rfft(frames * root) * gains, n=size) * root / 2
-    out = np.zeros(len(padded))
-    for i, frame in enumerate(shaped):
-        out[i * hop : i * hop + size] += frame
-    return out[size : size + len(samples)]
-
-
-def stft_filter(recordings: DataFrame, gains: list[float]) -> DataFrame:
-    """Of (rec_id, samples), each recording filtered by gains for each bin."""
-    g = np.asarray(gains)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"rec_id": pdf.rec_id, "samples": [filtered(np.asarray(x, dtype=float), g) for x in pdf.samples]})
-
-    return recordings.select("rec_id", "samples").mapInPandas(work, "rec_id long, samples array<double>")

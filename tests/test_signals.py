@@ -73,11 +73,6 @@ def test_full_scale_tone(spark):
         assert levels.argmax() == 100 and abs(levels[100]) < 0.1 and levels[140] < -80
 
 
-def test_filter_keeps_or_silences():
-    x = np.random.default_rng(1).normal(size=1000)
-    assert np.allclose(P.filtered(x, np.ones(65)), x) and np.allclose(P.filtered(x, np.zeros(65)), 0)
-
-
 def test_peak_hold_state_carries_over():
     levels = [(0.0, -10.0), (1.0, -50.0), (2.0, -50.0), (3.0, -50.0)]
     whole, _ = L.held(levels)
