@@ -141,28 +141,3 @@ def checksums(rows: DataFrame, key: str, content: str) -> DataFrame:
 
     kind = dict(rows.dtypes)[key]
     return rows.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(work, f"key {kind}, crc8 long, crc16 long")
-
-
-def rice_cost(residuals: Column, k: int) -> Column:
-    """The bits that a partition of residuals takes with Rice parameter k."""
-    folded = lambda x: F.when(x < 0, -2 * x - 1).otherwise(2 * x)
-    return F.aggregate(residuals, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftright(folded(x), k) + 1 + k)
-
-
-def best_rice(residuals: Column, most: int = 14) -> Column:
-    """(bits, parameter) of the cheapest Rice parameter."""
-    return F.array_min(F.array(*[F.struct(rice_cost(residuals, k).alias("bits"), F.lit(k).alias("parameter")) for k in range(most + 1)]))
-
-
-def linear_prediction(samples: np.ndarray, order: int) -> np.ndarray:
-    """The coefficients that predict a signal's next sample best, by Levinson-Durbin recursion on its autocorrelation."""
-    r = np.array([samples[: len(samples) - k] @ samples[k:] for k in range(order + 1)])
-    a, error = np.zeros(order), r[0]
-    for i in range(order):
-        if error <= 0:
-            break
-        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / error
-        a[:i] = a[:i] - k * a[:i][::-1]
-        a[i] = k
-        error *= 1 - k * k
-    return a

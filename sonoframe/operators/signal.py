@@ -89,25 +89,6 @@ def crossfaded(a: DataFrame, b: DataFrame, start: int, n: int) -> DataFrame:
     return both.select("rec_id", "frame", (F.col("a") * (1 - weight) + F.col("b") * weight).alias("x"))
 
 
-def taps(factor: int, beta: float = 8.6) -> list[float]:
-    """A Kaiser-windowed low-pass of 16 taps a kept frame and one, summing to one."""
-    import numpy as np
-
-    n = 16 * factor + 1
-    at = np.arange(n) - (n - 1) / 2
-    h = np.sinc(at / factor) * np.kaiser(n, beta)
-    return (h / h.sum()).tolist()
-
-
-def decimated(arrays: DataFrame, samples: str, factor: int) -> DataFrame:
-    """Each recording's array low-passed and every factor-th frame kept; before the first frame is silence."""
-    h = F.array(*map(F.lit, taps(factor)))
-    n = 16 * factor + 1
-    at = lambda i, k: F.coalesce(F.get(samples, (i * factor - k).cast("int")), F.lit(0.0))
-    one = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda acc, k: acc + F.get(h, k) * at(i, k))
-    return arrays.withColumn(samples, F.transform(F.sequence(F.lit(0), F.floor((F.size(samples) - 1) / factor).cast("int")), one))
-
-
 def mixdown(signal: DataFrame, gains: DataFrame) -> DataFrame:
     """Left and right of each frame, from gains (channel, left, right); channels without gains are silent."""
     return signal.join(gains, "channel").groupBy("rec_id", "frame").agg(F.sum(F.col("x") * F.col("left")).alias("left"), F.sum(F.col("x") * F.col("right")).alias("right"))

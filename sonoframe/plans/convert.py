@@ -165,37 +165,3 @@ def sample_hash(recordings: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rec_id": pdf.rec_id, "digest": out})
 
     return recordings.select("rec_id", "samples").mapInPandas(work, "rec_id long, digest string")
-
-
-def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """A signal at another rate by its spectrum; floor(n * to / rate) samples come out."""
-    n = len(samples) * to // rate
-    if not n:
-        return np.zeros(0)
-    spectrum = np.fft.rfft(samples)
-    out = np.zeros(n // 2 + 1, dtype=complex)
-    k = min(len(out), len(spectrum))
-    out[:k] = spectrum[:k]
-    return np.fft.irfft(out, n) * (n / len(samples))
-
-
-def dithered(samples: np.ndarray, bits: int, seed: int = 1) -> np.ndarray:
-    """Whole numbers of a depth, with triangular noise of one step to either side before rounding."""
-    rng, full = np.random.default_rng(seed), 2 ** (bits - 1)
-    x = np.asarray(samples) * full + rng.random(len(samples)) - rng.random(len(samples))
-    return np.clip(np.floor(x + 0.5), -full, full - 1).astype(np.int64)
-
-
-def converted(recordings: DataFrame, rate: int, to: int, bits: int) -> DataFrame:
-    """Of (rec_id, samples): each recording resampled, turned down if it peaks over full scale, dithered to a depth."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rec, samples in zip(pdf.rec_id, pdf.samples):
-                x = resampled(np.asarray(samples, dtype=float), rate, to)
-                peak = float(np.abs(x).max(initial=0))
-                out.append(dithered(x / peak if peak > 1 else x, bits, int(rec) & 0x7FFFFFFF))
-            yield pd.DataFrame({"rec_id": pdf.rec_id, "samples": out})
-
-    return recordings.select("rec_id", "samples").mapInPandas(work, "rec_id long, samples array<long>")

@@ -1,3 +1,3 @@
 """Importing this package registers every query of the reference's operators."""
 
-from . import catalog, convert, fields, markers, metadata, recordings, rename, scalars, signals, spectra, tags  # noqa: F401
+from . import catalog, coding, convert, fields, markers, metadata, recordings, rename, resampling, scalars, signals, spectra, tags  # noqa: F401

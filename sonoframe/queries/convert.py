@@ -97,11 +97,6 @@ def sample_hash(spark: SparkSession, sf: str) -> DataFrame:
     return V.sample_hash(_arrays(spark, sf))
 
 
-@query("resample_length", "select vec_id rec_id, (64 * 48000 // 44100)::int frames from embeddings")
-def resample_length(spark: SparkSession, sf: str) -> DataFrame:
-    return V.converted(_arrays(spark, sf), 44100, 48000, 16).select("rec_id", F.size("samples").alias("frames"))
-
-
 @query("nearest_preset", "select p_partkey, arg_min(speed, abs(ln(speed) - ln(p_size / 10))) speed from part, (select unnest([0.125, 0.25, 0.5, 1, 2, 4])::double speed) group by p_partkey, p_size")
 def nearest_preset(spark: SparkSession, sf: str) -> DataFrame:
     presets = F.array(*map(F.lit, (0.125, 0.25, 0.5, 1.0, 2.0, 4.0)))

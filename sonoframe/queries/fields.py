@@ -76,9 +76,3 @@ def picture_distinct(spark: SparkSession, sf: str) -> DataFrame:
 @query("checksums")
 def checksums(spark: SparkSession, sf: str) -> DataFrame:
     return D.checksums(table(spark, sf, "part").select("p_partkey", c("p_name").cast("binary").alias("content")), "p_partkey", "content")
-
-
-@query("rice_partition", "select vec_id, min(bits)::bigint bits, arg_min(k, bits * 100 + k)::int parameter from (select vec_id, k, list_sum(list_transform(embedding, lambda x: ((case when round(x::double * 128) < 0 then -2 * round(x::double * 128) - 1 else 2 * round(x::double * 128) end)::bigint >> k) + 1 + k)) bits from embeddings, (select unnest(generate_series(0, 14))::int k)) group by vec_id")
-def rice_partition(spark: SparkSession, sf: str) -> DataFrame:
-    whole = F.transform("embedding", lambda x: quantised(x.cast("double"), 8))
-    return table(spark, sf, "embeddings").select("vec_id", D.best_rice(whole).alias("x")).select("vec_id", "x.bits", "x.parameter")

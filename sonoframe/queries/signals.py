@@ -82,15 +82,6 @@ def crossfade_join(spark: SparkSession, sf: str) -> DataFrame:
     return S.crossfaded(a, a.withColumn("x", -c("x")), 20, 10).withColumn("x", _r(c("x")))
 
 
-_TAPS = "[" + ", ".join(f"{x!r}" for x in S.taps(2)) + "]"
-
-
-@query("fir_decimate", f"select vec_id rec_id, frame, round(list_sum(list_transform(generate_series(0, 32), lambda k: h[k + 1] * coalesce(case when frame * 2 - k >= 0 then embedding[frame * 2 - k + 1]::double end, 0))) * 1e6)::bigint x from (select vec_id, embedding, unnest(generate_series(0, 31))::int frame, {_TAPS} h from embeddings)")
-def fir_decimate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), c("embedding").cast("array<double>").alias("x"))
-    return S.decimated(rows, "x", 2).select("rec_id", F.posexplode("x").alias("frame", "x")).withColumn("x", _r(c("x")))
-
-
 @query("mixdown", f"with {SIGNAL} select rec_id // 4 rec_id, frame, round(sum(case rec_id % 4 when 0 then x * 0.5 when 2 then x * 0.5 else 0 end) * 1e6)::bigint as left, round(sum(case rec_id % 4 when 3 then x * 0.5 else 0 end) * 1e6)::bigint as right from signal group by all".replace("as left", 'as "left"').replace("as right", 'as "right"'))
 def mixdown(spark: SparkSession, sf: str) -> DataFrame:
     gains = spark.createDataFrame(S.speaker_gains(4, {1}, False), "channel long, left double, right double")

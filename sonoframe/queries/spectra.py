@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import shaping as H
 from ..operators import spectral as P
 from ..registry import query
-from ..views import signal, table
+from ..views import PAIRS, pairs, signal, table
 
 c = F.col
 _DFT = """(select vec_id rec_id, k, pow(list_sum(list_transform(generate_series(0, {n} - 1), lambda i: x[i + 1] * w[i + 1] * cos(2 * pi() / {n} * k * i))), 2) + pow(list_sum(list_transform(generate_series(0, {n} - 1), lambda i: x[i + 1] * w[i + 1] * sin(2 * pi() / {n} * k * i))), 2) p
@@ -28,18 +28,6 @@ def spectrum_dft(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rec_id", c("bin").cast("long").alias("bin"), F.round(c("p") * 1e9).cast("long").alias("power"))
 
 
-_PAIRS = """pairs as (select vec_id // 2 rec_id, (vec_id % 2)::int channel, unnest(generate_series(0, 63)) i, unnest(embedding)::double x from embeddings),
- heads as (select rec_id, 64 frames, count(distinct channel) channels from pairs group by rec_id)"""
-
-
-def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """embeddings as recordings of two channels and 64 frames, in blocks of 24; their lengths."""
-    rows = table(spark, sf, "embeddings").select(F.floor(c("vec_id") / 2).alias("rec_id"), (c("vec_id") % 2).cast("int").alias("channel"), c("embedding").cast("array<double>").alias("x"))
-    part = lambda first: F.struct(F.lit(first).cast("long").alias("first_frame"), F.slice("x", first + 1, 24).alias("samples"))
-    blocks = rows.withColumn("b", F.explode(F.array(part(0), part(24), part(48)))).select("rec_id", "channel", "b.*")
-    return blocks, rows.groupBy("rec_id").agg(F.lit(64).cast("long").alias("frames"), F.countDistinct("channel").alias("channels"))
-
-
 def _around(marks: str, signal: str, n: int) -> str:
     """Levels around marks (rec_id, marker, target, centre, frames) of signal (rec_id, target, i, x), windows of n frames."""
     extent = P.reach(n)
@@ -65,20 +53,20 @@ _MARKS = "marks as (select c_custkey % 300 rec_id, c_custkey marker, least(c_cus
 
 
 def _marker_spectra(spark: SparkSession, sf: str, channels: str) -> DataFrame:
-    blocks, lengths = _pairs(spark, sf)
+    blocks, lengths = pairs(spark, sf)
     marks = table(spark, sf, "customer").select((c("c_custkey") % 300).alias("rec_id"), c("c_custkey").alias("marker"), (c("c_custkey") * 7 % 80).alias("frame"))
     out = P.spectra_at(blocks, marks, lengths, 8, channels)
     out = out.select("rec_id", "marker", "target", F.posexplode("levels").alias("bin", "level"))
     return out.withColumn("bin", c("bin").cast("long")).withColumn("level", F.round(c("level") * 1e3).cast("long"))
 
 
-@query("marker_spectra", f"with {_PAIRS}, {_MARKS}, s as (select rec_id, case when channels > 1 then channel end target, i, x from pairs join heads using (rec_id)), m as (select distinct m.rec_id, marker, target, centre, frames from marks m join s using (rec_id)), {_around('m', 's', 8)}")
+@query("marker_spectra", f"with {PAIRS}, {_MARKS}, s as (select rec_id, case when channels > 1 then channel end target, i, x from pairs join heads using (rec_id)), m as (select distinct m.rec_id, marker, target, centre, frames from marks m join s using (rec_id)), {_around('m', 's', 8)}")
 def marker_spectra(spark: SparkSession, sf: str) -> DataFrame:
     """Of each channel, around customers' frames; some lie past the end."""
     return _marker_spectra(spark, sf, "all")
 
 
-@query("marker_spectra_mix", f"with {_PAIRS}, {_MARKS}, s as (select rec_id, null::int target, i, avg(x) x from pairs group by all), m as (select rec_id, marker, null::int target, centre, frames from marks), {_around('m', 's', 8)}")
+@query("marker_spectra_mix", f"with {PAIRS}, {_MARKS}, s as (select rec_id, null::int target, i, avg(x) x from pairs group by all), m as (select rec_id, marker, null::int target, centre, frames from marks), {_around('m', 's', 8)}")
 def marker_spectra_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _marker_spectra(spark, sf, "mix")
 
@@ -113,7 +101,7 @@ def _stft(apart: bool, soft: bool) -> str:
     gate = f"{t} * {t} * (3 - 2 * {t})" if soft else f"case when power > {10 ** (_FLOOR / 10) / _NORM} then 1 else 0 end"
     even = "0.25 * coalesce(lag(g) over w, g) + 0.5 * g + 0.25 * coalesce(lead(g) over w, g)" if soft else "g"
     by = "rec_id, channel, step" if apart else "rec_id, step"
-    return f"""with {_PAIRS}, regions as (select s_suppkey * 2 % 150 rec_id, s_nationkey * 2 lo, s_nationkey * 2 + 8 + s_suppkey % 16 hi, s_suppkey % 6 * 400 lo_hz, s_suppkey % 6 * 400 + 900 hi_hz from supplier),
+    return f"""with {PAIRS}, regions as (select s_suppkey * 2 % 150 rec_id, s_nationkey * 2 lo, s_nationkey * 2 + 8 + s_suppkey % 16 hi, s_suppkey % 6 * 400 lo_hz, s_suppkey % 6 * 400 + 900 hi_hz from supplier),
  steps as (select unnest(generate_series(-3, 15)) step), ks as (select unnest(generate_series(0, 8)) k),
  framed as (select rec_id, channel, step, i - 4 * step j, x * sin(pi() * (i - 4 * step) / {_N}) x from pairs join steps on i >= 4 * step and i < 4 * step + {_N}),
  spectra as (select rec_id, channel, step, k, sum(x * cos(2 * pi() / {_N} * k * j)) re, -sum(x * sin(2 * pi() / {_N} * k * j)) im from framed, ks group by all),
@@ -129,7 +117,7 @@ def _stft(apart: bool, soft: bool) -> str:
 
 
 def _shaped(spark: SparkSession, sf: str, apart: bool, soft: bool) -> DataFrame:
-    blocks, lengths = _pairs(spark, sf)
+    blocks, lengths = pairs(spark, sf)
     regions = table(spark, sf, "supplier").select((c("s_suppkey") * 2 % 150).alias("rec_id"), (c("s_nationkey") * 2).cast("long").alias("lo"), (c("s_nationkey") * 2 + 8 + c("s_suppkey") % 16).alias("hi"), (c("s_suppkey") % 6 * 400).alias("lo_hz"), (c("s_suppkey") % 6 * 400 + 900).alias("hi_hz"))
     rows = H.shaped(blocks, regions, lengths, _RATE, _N, H.Shown(_FLOOR, _BAND, soft, apart), frames=20)
     rows = rows.select("rec_id", "channel", "first_frame", F.posexplode("samples").alias("i", "x"))

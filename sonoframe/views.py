@@ -81,3 +81,15 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTERVALS = """intervals as (select l_orderkey rec_id, l_linenumber::bigint ord, l_partkey as key, (l_quantity * 100)::bigint lo, (l_quantity * 100)::bigint + l_partkey % 1500 + 1 hi,
  ((l_suppkey % 10) * 1000)::bigint lo_hz, ((l_suppkey % 10) * 1000 + 4000)::bigint hi_hz from lineitem)"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """embeddings as recordings of two channels (the last may have one) and 64 frames, in blocks of 24; their lengths."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("rec_id"), (F.col("vec_id") % 2).cast("int").alias("channel"), F.col("embedding").cast("array<double>").alias("x"))
+    part = lambda first: F.struct(F.lit(first).cast("long").alias("first_frame"), F.slice("x", first + 1, 24).alias("samples"))
+    blocks = rows.withColumn("b", F.explode(F.array(part(0), part(24), part(48)))).select("rec_id", "channel", "b.*")
+    return blocks, rows.groupBy("rec_id").agg(F.lit(64).cast("long").alias("frames"), F.countDistinct("channel").alias("channels"))
+
+
+PAIRS = """pairs as (select vec_id // 2 rec_id, (vec_id % 2)::int channel, unnest(generate_series(0, 63)) i, unnest(embedding)::double x from embeddings),
+ heads as (select rec_id, 64 frames, count(distinct channel) channels from pairs group by rec_id)"""
