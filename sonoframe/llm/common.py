@@ -53,19 +53,19 @@ def in_tasks(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """left joined with right on keys, with hot keys of left dealt over many tasks by the column `by`.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, with the rows of hot keys of left dealt over many tasks one by one.
 
     A key is hot if over 1,000 rows and over a thousandth of all have it, so at most 1,000 are; their rows of right are
-    repeated once for each part. Rows without a key are dealt likewise. left is counted first, so it should be a
-    written table.
+    repeated once for each part. Rows without a key are dealt likewise. left is counted first and its rows are dealt by
+    their place, so it should be a written table: equal rows and rows without an id are spread like any others.
     """
     most = max(1000, left.count() // 1000)
     hot = left.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > most)
     hot = F.broadcast(hot.withColumn("_parts", F.ceil(F.col("_parts") / most)))  # 1,000 rows at most
     missing = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     parts = F.when(missing, 1000).otherwise(F.coalesce("_parts", F.lit(1)))
-    left = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    left = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts)).drop("_parts")
     right = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 

@@ -86,6 +86,18 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
+def _reach_table(seeds: DataFrame) -> np.ndarray:
+    """For each of 2^22 slots, how many words around a seed (gram, reach) of that slot are read: the power of two that is
+    at least the reach of every item with such a seed, plus one in the exponent; 0 without a seed. 2^19 rows at most reach the driver."""
+    place = F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1))
+    slots = seeds.groupBy(place.alias("slot")).agg((F.ceil(F.log2(F.max("reach"))) + 1).cast("long").alias("power"))
+    words = slots.select(F.shiftright("slot", 3).alias("word"), F.expr("shiftleft(power, cast(slot & 7 as int) * 8)").alias("part")).groupBy("word").agg(F.bit_or("part").alias("parts"))
+    table = np.zeros(1 << (BITS - 3), dtype=np.int64)
+    found = words.toPandas()
+    table[found["word"].to_numpy()] = found["parts"].to_numpy()
+    return table.view(np.uint8)
+
+
 def _through(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table[(grams & np.uint64((1 << BITS) - 1)).astype(np.int64)])
 
@@ -107,25 +119,26 @@ def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return counts.join(grams.distinct(), "gram", "left_semi")
 
 
-def _passages(docs: DataFrame, table, reach: int) -> DataFrame:
-    """Runs of words around seeds, those within `reach` of each other together: doc_id, first word, word hashes, seeds."""
+def _passages(docs: DataFrame, table) -> DataFrame:
+    """Runs of words around seeds, each as far as its own items reach, those that overlap together: doc_id, first word, word hashes, seeds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table.value)
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 words = Words(data, offsets, fold=True, plain=False)
                 at, grams = _pairs(words.hashes, words.first)
-                hits = _through(bits, grams)
+                hits = _through(table.value, grams)
                 if not len(hits):
                     continue
                 places, grams = at[hits], grams[hits]
+                reach = np.int64(1) << (table.value[(grams & np.uint64((1 << BITS) - 1)).astype(np.int64)].astype(np.int64) - 1)
                 doc = np.searchsorted(words.first, places, "right") - 1
-                edge = np.flatnonzero((np.diff(places) > reach) | (np.diff(doc) != 0)) + 1
+                lo, hi = np.maximum(places - reach, words.first[doc]), np.minimum(places + max(APART) + 1 + reach, words.first[doc + 1])
+                # texts are disjoint, so that what an earlier text's seeds reach never passes a later one's first word
+                edge = np.flatnonzero((places[1:] > np.maximum.accumulate(hi)[:-1]) | (np.diff(doc) != 0)) + 1
                 begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(hits)]])
                 own = doc[begin]
-                lo = np.maximum(places[begin] - reach, words.first[own])
-                hi = np.minimum(places[end - 1] + max(APART) + 1 + reach, words.first[own + 1])
+                lo, hi = np.minimum.reduceat(lo, begin), np.maximum.reduceat(hi, begin)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(own)),
@@ -175,11 +188,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: s
     occur = known.groupBy("item", "places", "few").agg(F.sum("n").alias("occur"), F.collect_list(F.when(F.col("n") > 0, F.col("gram"))).alias("grams"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("occur", "places"))
     seeds = materialise(occur.withColumn("rank", rank).where("rank <= few").select("item", F.explode("grams").alias("gram")).distinct(), "seeds")
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    table = spark.sparkContext.broadcast(np.packbits(_bit_table(seeds)))
-    passages = materialise(_passages(docs, table, _reach(longest, score)).withColumn("place", F.monotonically_increasing_id()), "passages")
+    reach = F.ceil(F.lit(max(1.0, 3 - 2 * score)) * F.size("words")).cast("long").alias("reach")
+    table = spark.sparkContext.broadcast(_reach_table(seeds.join(items.select("item", reach), "item")))
+    passages = materialise(_passages(docs, table).withColumn("place", F.monotonically_increasing_id()), "passages")
     pairs = materialise(passages.select("place", F.explode("seeds").alias("gram")).join(seeds, "gram").select("place", "item").distinct(), "pairs")
-    pairs = spread_join(pairs, items.select("item", "item_id", "words"), ["item"], "place")  # an item that many hold is dealt to many tasks
+    pairs = spread_join(pairs, items.select("item", "item_id", "words"), ["item"])  # an item that many hold is dealt to many tasks
     pairs = pairs.join(passages.select("place", "doc_id", "first_word", "passage"), "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

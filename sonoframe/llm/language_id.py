@@ -8,8 +8,10 @@ the same for rows with the same host, declaration and shown language, so it is c
 and only small rows without text are joined with it, hot hosts dealt to many tasks.
 
 The trigram models are fitted on SAMPLE to 2 SAMPLE expected declared rows of each language (all, where it has
-fewer), taken by a hash of the id. A language is what LEAST rows of all declare, or LEAST_SHARE of them in a small
-table. A row is accepted if it has text, its best language's posterior is at least 0.6, and that language's model
+fewer), taken by a hash of the id. A language is what LEAST rows with text declare, or LEAST_SHARE of them in a small
+table; the LANGUAGES of most rows have a model, whatever other tags there are, so that models, tables and what
+reaches the driver are bounded. Rows of other declarations are judged like rows without one, but `keep_identified`
+never drops or renames them: nothing is known about their language. A row is accepted if it has text, its best language's posterior is at least 0.6, and that language's model
 explains the text better than equally likely trigrams do: a text in a language without a model is rejected.
 
 Defined results: null texts count as empty; empty texts have no language of their own, get the one the other
@@ -33,6 +35,8 @@ BINS = 1 << 15
 SAMPLE = 1000
 #: How many rows of all have to declare a language for it to count as one, or which share of them if that is less.
 LEAST, LEAST_SHARE = 5, 0.005
+#: Languages with a model, those that most rows declare.
+LANGUAGES = 64
 #: Overlapping trigrams repeat each other's evidence: each counts for a third.
 TEMPER = 1 / 3
 #: Pseudo-counts with which a host leans on its suffix, and a suffix on the corpus.
@@ -103,13 +107,19 @@ def _best(scores: str | Column, langs: list[str]) -> Column:
 
 def identify(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, text, declared, host, suffix): doc_id, lang, confidence, accepted, text_lang."""
+    return _identified(rows)[0]
+
+
+def _identified(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """identify(), and the languages that have a model."""
     rows = text_column(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    declared = rows.where("declared <> ''")
+    declared = rows.where("declared <> '' and octet_length(text) >= 3")
     told = declared.groupBy("declared").agg(F.count("*").alias("of_lang")).where(F.col("of_lang") >= min(LEAST, LEAST_SHARE * declared.count()))
+    told = told.orderBy(F.desc("of_lang"), "declared").limit(LANGUAGES)
     every = F.greatest(F.lit(1), F.floor(F.col("of_lang") / SAMPLE))
     langs, model = fit(declared.join(F.broadcast(told), "declared").where(F.pmod(F.xxhash64("doc_id"), every) == 0))
     if not langs:
-        return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang"))
+        return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang")), langs
     seen = _likelihoods(rows, model)
     chance = F.col("n_grams") * float(-np.log(BINS))  # of the text, were all trigrams equally likely
     shown = F.when(F.col("n_grams") > 0, _best("likelihoods", langs)).otherwise("")
@@ -138,13 +148,13 @@ def identify(rows: DataFrame) -> DataFrame:
     given = F.zip_with(others(F.col("of_declared")), others(every), lambda x, n: F.log((x + 1) / (n + len(langs))))
     given = F.when(F.col("of_declared").isNotNull(), given).otherwise(F.array(*[F.lit(0.0)] * len(langs)))
     combos = combos.select(*EVIDENCE, F.zip_with(given, "prior", lambda x, p: x + F.log(p)).alias("evidence"))
-    out = spread_join(seen, combos, EVIDENCE, "doc_id")  # a host of many rows is dealt to many tasks
+    out = spread_join(seen, combos, EVIDENCE)  # a host of many rows is dealt to many tasks
     score = F.zip_with("likelihoods", "evidence", lambda a, b: a * TEMPER + b)
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     confidence = 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     out = out.withColumn("confidence", confidence).withColumn("lang", _best("score", langs))
     explained = F.element_at("likelihoods", F.array_position("score", F.col("top")).cast("int")) >= chance
-    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0) & explained).alias("accepted"), F.nullif("text_lang", F.lit("")).alias("text_lang"))
+    return out.select("doc_id", "lang", "confidence", ((F.col("confidence") >= ACCEPT) & (F.col("n_grams") > 0) & explained).alias("accepted"), F.nullif("text_lang", F.lit("")).alias("text_lang")), langs
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -163,12 +173,16 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs whose language is identified, with that language as lang; rows without an id stay as they are.
 
-    Rows that repeat an id share one verdict, that of the most confident accepted row (ties: the last language).
+    Rows that declare a language without a model stay as they are too, if their text has a trigram: no model says
+    anything about them. Rows that repeat an id share one verdict, that of the most confident accepted row (ties: the
+    last language).
     """
-    found = identify(document_evidence(docs)).groupBy("doc_id").agg(F.max(F.struct("accepted", "confidence", "lang")).alias("x"))
+    found, langs = _identified(document_evidence(docs))
+    found = found.groupBy("doc_id").agg(F.max(F.struct("accepted", "confidence", "lang")).alias("x"))
     found = found.select("doc_id", F.when(F.col("x.accepted"), F.col("x.lang")).alias("_found_lang"))
-    out = docs.join(found.where("doc_id is not null"), "doc_id", "left").where("doc_id is null or _found_lang is not null")
-    return out.withColumn("lang", F.coalesce("_found_lang", "lang")).select(*docs.columns)
+    unknown = F.coalesce((F.col("lang") != "") & ~F.col("lang").isin(langs) & (F.octet_length("text") >= 3), F.lit(False))
+    out = docs.withColumn("_unknown", unknown).join(found.where("doc_id is not null"), "doc_id", "left").where("doc_id is null or _unknown or _found_lang is not null")
+    return out.withColumn("lang", F.when(F.col("_unknown"), F.col("lang")).otherwise(F.coalesce("_found_lang", "lang"))).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
     def of(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         named = lambda side: table.toDF(side, *[f"{c}_{side}" for c in columns])
-        return spread_join(pairs, named("a"), ["a"], "b").join(named("b"), "b")  # a pivot has many pairs, another class one a band
+        return spread_join(pairs, named("a"), ["a"]).join(named("b"), "b")  # a pivot has many pairs, another class one a band
 
     some = of(pairs, classes.select("rep", "sketch", "n_shingles"), ["s", "n"])
     pairs = materialise(some.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(likely, "a long, b long"), "likely")
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if rest.limit(1).count():
         joined = components(links.union(rest))
     label = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = spread_join(rows, label, ["class"], "doc_id", "left")
+    out = spread_join(rows, label, ["class"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.hex("class").alias("class_id"))
 

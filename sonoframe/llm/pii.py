@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -322,6 +323,24 @@ def samples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return both[:, :WINDOW], both[:, WINDOW:].astype(np.int64)
 
 
+def _union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends, in order, of the stretches that spans (kind, start, end) cover together."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(covered: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether a stretch has a character of a to b: the last that starts before b ends after a."""
+    at = bisect_left(covered[0], b) - 1
+    return a < b and at >= 0 and covered[1][at] > a
+
+
 def spans(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base counts by kind, n_model, base_sha256 and spans (kind:start:end by kind, then start) of each row."""
     docs = text_column(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
@@ -344,10 +363,12 @@ def spans(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id",
                 marked = np.concatenate([[0], np.cumsum(marks[data])])
                 busy = np.flatnonzero(np.diff(marked[offsets]))
                 found: list[list] = [[] for _ in range(part.num_rows)]
+                covered: dict[int, tuple[list[int], list[int]]] = {}
                 base, texts, parts, whose = [[]] * part.num_rows, {}, [], []
                 for i in busy.tolist():
                     texts[i] = text = part.column(1)[i].as_py()
                     base[i] = base_spans(text)
+                    covered[i] = _union(base[i])
                     code = codes(text)
                     for start, n in regions(code):
                         parts.append((code, start, n))
@@ -355,7 +376,7 @@ def spans(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id",
                 for i, (_, start, _), tags in zip(whose, parts, own.tag(parts)):
                     for kind, a, b in tagged(tags) if tags.any() else ():
                         a, b = max(start + a, 0), min(start + b, len(texts[i]))
-                        if _plausible(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
+                        if _plausible(kind, texts[i][a:b]) and not _meets(covered[i], a, b):
                             found[i].append((kind, a, b))
                 counts = np.zeros((len(KINDS), part.num_rows), dtype=np.int64)
                 for i in busy.tolist():

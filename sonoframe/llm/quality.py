@@ -13,7 +13,9 @@ thresholds aren't those of text the model has seen. A document is kept if its pe
 language's quantile among trusted documents (trusted text is a sample: other clean text is a little further from the
 model, junk many times further); short texts lean on their language's mean, as if PRIOR more bytes had it.
 
-Languages of little trusted text share one model, so any number of languages has one. Shards' questions are salted by
+Languages of little trusted text share one model, so any number of languages has one; each of them has a threshold of
+its own, its quantile leaning on that of all of them as if LEAN more documents had it. The TAGS of most trusted text
+are told apart; if there are more, all other tags share the model and the pooled threshold. Shards' questions are salted by
 the number of slices, so no task grows with the input.
 
 Defined results: null and empty texts have no perplexity of their own, get their language's mean and are kept;
@@ -38,11 +40,13 @@ BEGIN = 2
 PRIOR = 40
 QUANTILE = 0.995
 SLACK = 1.25
-#: Language tags of trusted rows that are told apart, those of most text; no world has more languages.
+#: Language tags of trusted rows that are told apart, those of most text.
 TAGS = 10_000
+#: Trusted documents that the pooled threshold counts for beside those of a language that shares the model.
+LEAN = 20
 HELD = 5
 #: Languages with a model of their own: those of most trusted text, FEW trusted documents at least. Others share one.
-LANGUAGES, FEW, SHARED = 64, 20, "*"
+LANGUAGES, FEW, SHARED, UNJUDGED = 64, 20, "*", "\0"
 #: Text bytes whose distinct n-grams are asked for together.
 SLICE = 8 << 20
 #: A shard's questions from so many slices, about, meet in one task with the shard's counts.
@@ -153,7 +157,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
 def _asked(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, names: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """For each model: the rows of a slice (doc_id, text, lang) that take it, all their 5-grams, and the distinct ones."""
     keys, place = grams(data, offsets), {x: i for i, x in enumerate(names)} | {None: -1}
-    lang = np.array([place.get(x, -2) for x in part.column(2).to_pylist()])
+    lang = np.array([place.get(SHARED if x and x[0] == SHARED else x, -2) for x in part.column(2).to_pylist()])
     for i, name in enumerate(names):
         takes = (lang == -1) | (lang == i)
         own = keys[np.repeat(takes, np.diff(offsets))]
@@ -227,7 +231,7 @@ def _answers(docs: DataFrame, five: DataFrame, small: dict, n_bytes: int) -> Dat
 
 
 def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
-    """(doc_id, model_lang, n, logp) of every row of (doc_id, text, lang); n: bytes."""
+    """(doc_id, model_lang, tag, n, logp) of every row of (doc_id, text, lang); n: bytes. A lang that shares the model is SHARED and its tag."""
     names = sorted(small)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -266,9 +270,10 @@ def _scored(docs: DataFrame, five: DataFrame, small: dict) -> DataFrame:
                     total[takes] = sums[edges[1:]] - sums[edges[:-1]]
                     better = total > best
                     best[better], name_of[better] = total[better], name
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name_of.tolist(), pa.string()), pa.array(np.diff(offsets)), pa.array(best, mask=np.isinf(best))], ["doc_id", "model_lang", "n", "logp"])
+                tags = [x[1:] if x and x[0] == SHARED else None for x in langs]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name_of.tolist(), pa.string()), pa.array(tags, pa.string()), pa.array(np.diff(offsets)), pa.array(best, mask=np.isinf(best))], ["doc_id", "model_lang", "tag", "n", "logp"])
 
-    return both.mapInArrow(work, "doc_id long, model_lang string, n long, logp double")
+    return both.mapInArrow(work, "doc_id long, model_lang string, tag string, n long, logp double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -277,11 +282,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("held", F.xxhash64("doc_id") % HELD == 0)
     # the ids grow with the corpus: they are never broadcast, so that the plan is the same at every size
     told = docs.where("said is not null").select("doc_id", "said", F.octet_length("text").alias("size")).join(trusted.hint("merge"), "doc_id", "left_semi").groupBy("said").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    told = [(r["said"], r["n"]) for r in told.orderBy(F.desc("size"), "said").limit(TAGS).collect()]
-    own = [name for name, n in told if n >= FEW][:LANGUAGES]
-    shared = F.col("said").isin([name for name, _ in told if name not in own])
-    docs = docs.select("doc_id", "text", F.when(shared, F.lit(SHARED)).otherwise(F.col("said")).alias("lang"))
-    five, small = fit(docs.where(F.col("lang").isin([*own, SHARED])).join(trusted.where("not held").hint("merge"), "doc_id", "left_semi"))
+    told = [(r["said"], r["n"]) for r in told.orderBy(F.desc("size"), "said").limit(TAGS + 1).collect()]
+    more, told = told[TAGS:], told[:TAGS]
+    own = [name for name, n in told if n >= FEW and name[:1] not in (SHARED, UNJUDGED)][:LANGUAGES]
+    shared = [name for name, _ in told if name not in own]
+    # a language among the first TAGS is known by its tag; of further ones only that they are further
+    lang = F.when(F.col("said").isin(own), F.col("said")).when(F.col("said").isin(shared), F.concat(F.lit(SHARED), "said"))
+    lang = lang.when(F.col("said").isNotNull() & F.lit(bool(more)), F.lit(SHARED))
+    docs = docs.select("doc_id", "text", lang.otherwise(F.when(F.col("said").isNotNull(), F.lit(UNJUDGED))).alias("lang"))
+    models = F.when(F.col("lang").startswith(SHARED), F.lit(SHARED)).otherwise(F.col("lang"))
+    five, small = fit(docs.where(F.col("lang") != UNJUDGED).withColumn("lang", models).join(trusted.where("not held").hint("merge"), "doc_id", "left_semi"))
     if not small:
         return docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     rows = materialise(_scored(docs, five, small), "scores")
@@ -295,8 +305,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     logs = -(F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     # seen texts would have had the mean difference more, as far as they don't lean on the mean
     fair = F.exp(logs + F.when(F.col("held"), 0.0).otherwise(F.col("gap") * F.col("n") / (F.col("n") + PRIOR)))
-    level = known.join(means, "model_lang").groupBy("model_lang").agg((F.percentile_approx(fair, quantile, 10000) * slack).alias("threshold"))
-    rows = rows.join(means, "model_lang", "left").join(F.broadcast(level), "model_lang", "left").withColumn("perplexity", F.exp(logs))
+    level = known.join(means, "model_lang").withColumn("fair", fair)
+    at = F.percentile_approx("fair", quantile, 10000)
+    pooled = level.groupBy("model_lang").agg(at.alias("pooled"))
+    by_tag = level.where("tag is not null").groupBy("model_lang", "tag").agg(at.alias("own"), F.count("*").alias("of_tag"))  # TAGS rows at most
+    rows = rows.join(means, "model_lang", "left").join(F.broadcast(pooled), "model_lang", "left").join(F.broadcast(by_tag), ["model_lang", "tag"], "left").withColumn("perplexity", F.exp(logs))
+    # a language's own quantile and the pooled one, by their logarithms, in proportion to the documents behind them
+    leaned = F.exp((F.log("own") * F.col("of_tag") + F.log("pooled") * LEAN) / (F.col("of_tag") + LEAN))
+    rows = rows.withColumn("threshold", F.coalesce(leaned, "pooled") * slack)
     keep = (F.col("n") == 0) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return rows.select("doc_id", F.col("model_lang").alias("lang"), F.col("n").alias("n_bytes"), "perplexity", "threshold", keep.alias("keep"))
 

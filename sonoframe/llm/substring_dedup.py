@@ -168,7 +168,7 @@ def repeated_passages(docs: DataFrame, levels: tuple[int, ...] = LEVELS, id_col:
     done = left.join(lone, "key", "left").select("key", "text", "starts", "lone").mapInArrow(cut, "key long, n_removed long, kept_text string")
     done = done.select("key", F.col("n_removed").alias("cut"), F.sha2("kept_text", 256).alias("cut_sha256"), *(["kept_text"] if keep_text else []))
     fate = classes.select("key", "sha256", "copies").join(done, "key", "left").where("copies > 1 or cut > 0").drop("key")
-    out = spread_join(rows.drop("named", "text_hash"), fate, ["sha256"], "doc_id", "left")  # a text of many copies is dealt to many tasks
+    out = spread_join(rows.drop("named", "text_hash"), fate, ["sha256"], "left")  # a text of many copies is dealt to many tasks
     all_ = F.col("copies") > 1
     columns = [F.when(all_, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"), F.when(all_, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256")]
     return out.select("doc_id", "n_words", *columns, *([F.when(all_, "").otherwise(F.col("kept_text")).alias("kept_text")] if keep_text else []))

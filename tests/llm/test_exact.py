@@ -336,3 +336,35 @@ def test_blocks_are_counted(spark, monkeypatch):
     for d, after in zip(ids, ids[1:]):
         t = texts[d]
         assert rows[d]["edited_sha256"] == sha(t[: len(t) - len(t) // 2] + texts[after][: len(t) // 2])
+
+
+@pytest.mark.parametrize("key", ["hot", None])
+def test_rows_of_a_hot_key_are_spread_though_they_are_equal(spark, tmp_path, key):
+    from sonoframe.llm.common import spread_join
+
+    spark.range(60_000).selectExpr(f"cast({'null' if key is None else repr(key)} as string) k", "cast(null as long) doc_id").unionByName(spark.range(500).selectExpr("cast(id as string) k", "id doc_id")).write.parquet(str(tmp_path / "left"))
+    left, right = spark.read.parquet(str(tmp_path / "left")), spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = spread_join(left, right, ["k"], "left")
+        by = {r[0]: r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()}
+        assert sum(by.values()) == 60_500 and max(by.values()) < 2 * 60_500 / 8
+        assert out.where("v = 1").count() == (60_000 if key else 0) and out.where("v = 2").count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_spans_that_meet_base_spans():
+    rng = random.Random(2)
+    for _ in range(300):
+        base = [(0, a, a + rng.randint(1, 6)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6)))]
+        covered = pii._union(base)
+        assert all(x < y for x, y in zip(covered[1], covered[0][1:]))
+        for _ in range(20):
+            a = rng.randint(0, 45)
+            b = a + rng.randint(1, 5)
+            assert pii._meets(covered, a, b) == any(x < b and a < y for _, x, y in base)

@@ -151,14 +151,30 @@ def test_language_from_other_evidence(spark):
 
 
 def test_small_languages(spark):
-    """A language of a few rows in a large table is one; a text of a language without a model is rejected, not relabelled."""
+    """A language of a few rows in a large table is one; a text of a language without a model isn't relabelled, and keeps its declaration."""
     small, other = ("kuid", "haigur", "roos", "tuul", "koit", "soo"), ("żółw", "trzcina", "świt", "wiatr", "błoto", "łąka")
     rows = [(i, prose(i, 30), "en", "h") for i in range(3000)] + [(5000 + i, prose(i, 60, small), "et", "h") for i in range(10)] + [(6000 + i, " ".join(other[i:] + other) + " ", "pl", "h") for i in range(2)]
     docs = frame(spark, rows)
     found = {r["doc_id"]: (r["lang"], r["accepted"]) for r in language_id.identify(language_id.document_evidence(docs)).collect()}
     assert all(found[5000 + i] == ("et", True) for i in range(10)) and not any(found[6000 + i][1] for i in range(2))
     assert sum(found[i] == ("en", True) for i in range(3000)) == 3000
-    assert language_id.keep_identified(docs).where("doc_id >= 5000").select("lang").distinct().collect() == [("et",)]
+    assert language_id.keep_identified(docs).where("doc_id >= 5000").groupBy("lang").count().orderBy("lang").collect() == [("et", 10), ("pl", 2)]
+
+
+def test_declarations_without_a_model_stay(spark):
+    """Four documents of a language beside 1,200 of two others, and one without text."""
+    german, dutch = ("und", "der", "die", "schilf", "reiher", "wind", "nicht", "feld"), ("en", "het", "de", "riet", "reiger", "wind", "niet", "veld")
+    rows = [(i, prose(i, 40), "en", "h") for i in range(600)] + [(1000 + i, prose(i, 40, german), "de", "h") for i in range(600)]
+    rows += [(2000 + i, prose(i, 40, dutch), "nl", "h") for i in range(4)] + [(3000, "", "nl", "h"), (3001, None, "nl", "h")]
+    kept = language_id.keep_identified(frame(spark, rows)).where("doc_id >= 2000").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(2000 + i, "nl") for i in range(4)]
+
+
+def test_languages_are_bounded_whatever_the_tags(spark):
+    rows = [(i, prose(i, 30), "en", "h") for i in range(600)] + [(10_000 + 5 * k + j, prose(k, 4), f"junk{k}", "h") for k in range(2000) for j in range(5)]
+    found, langs = language_id._identified(language_id.document_evidence(frame(spark, rows)))
+    assert len(langs) == language_id.LANGUAGES and "en" in langs
+    assert found.where("doc_id < 600").count() == 600 and found.count() == len(rows)
 
 
 def test_pages(spark, sf):
@@ -292,3 +308,26 @@ def test_what_counts_as_personal_data():
 
     assert not any(_plausible(1, x) for x in ("10001.2.3.4", "1.2.3.99990001", "1.2.3", "1.2.3.256", "1[.]2[.]3")) and _plausible(1, "1[.]2 . 3(.)255")
     assert _plausible(0, "marshfield.observer @ example.org") and not _plausible(0, "a @ b") and _plausible(2, "4111.1111.1111.1111") and not _plausible(3, "123")
+
+
+def test_languages_that_share_a_model_have_thresholds_of_their_own(spark):
+    """One language repeats few words, one is of letters in any order: neither admits or refuses the other's documents."""
+    rng, rows, trusted = random.Random(6), [], []
+    plain = ("der", "schilf", "wind")
+    odd = lambda: " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщ") for _ in range(7)) for _ in range(40))
+    for i in range(60):
+        rows += [(i, prose(i, 60, plain), "aa", "h"), (1000 + i, odd(), "bb", "h")]
+        trusted += [i, 1000 + i] if i % 4 < 1 else []
+    rows += [(2000 + i, "".join(rng.choice("qxzj#$%0") for _ in range(300)), "aa", "h") for i in range(10)]
+    found = {r["doc_id"]: r for r in quality.perplexities(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    assert {r["lang"] for r in found.values()} == {quality.SHARED}
+    assert found[0]["threshold"] < 0.8 * found[1000]["threshold"]
+    assert sum(found[i]["keep"] for i in range(60)) >= 57 and sum(found[1000 + i]["keep"] for i in range(60)) >= 57
+    assert not any(found[2000 + i]["keep"] for i in range(10))
+
+
+def test_more_tags_than_are_told_apart_share_the_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TAGS", 5)
+    rows = [(i, prose(i, 60), f"t{i % 9}", "h") for i in range(180)] + [(500, prose(7, 60), "new", "h"), (501, prose(8, 60), "*", "h"), (502, prose(9, 60), None, "h")]
+    found = {r["doc_id"]: r for r in quality.perplexities(frame(spark, rows), spark.createDataFrame([(i,) for i in range(0, 180, 4)] + [(501,)], "doc_id long")).collect()}
+    assert all(r["perplexity"] is not None and r["lang"] == quality.SHARED for r in found.values()) and sum(r["keep"] for r in found.values()) > 170
