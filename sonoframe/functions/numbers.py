@@ -57,23 +57,43 @@ def hz_text(hz: Column) -> Column:
     return F.when(hz < 1e3, fixed(hz, 0)).when(hz >= 1e6, mega).when(whole, F.concat(fixed(k, 0), F.lit("k"))).otherwise(F.concat(fixed(k, 1), F.lit("k")))
 
 
+def _decimals(x: Column, n: int) -> Column:
+    return F.bround(x, n).cast(f"decimal(20,{n})").cast("string")
+
+
 def hz_field(hz: Column) -> Column:
-    """hz_text with a unit: `440 Hz`, `12.3 kHz`, `1 MHz`."""
-    return F.regexp_replace(hz_text(hz), r"^([0-9.]+)([kM]?)$", "$1 $2Hz")
+    """As a slider shows it: `440 Hz`, `2.50 kHz`, `12.0 kHz`, and megahertz with three decimals at most."""
+    mega = F.regexp_replace(_decimals(hz / 1e6, 3), r"\.?0+$", "")
+    return F.when(hz >= 1e6, F.concat(mega, F.lit(" MHz"))).when(hz >= 1e4, F.concat(_decimals(hz / 1e3, 1), F.lit(" kHz"))).when(hz >= 1e3, F.concat(_decimals(hz / 1e3, 2), F.lit(" kHz"))).otherwise(F.concat(_decimals(hz, 0), F.lit(" Hz")))
+
+
+def hz_exact(hz: Column) -> Column:
+    """To the resolution of a spectrum's bins: `440.0 Hz`, `2.500 kHz`, `12.00 kHz`."""
+    return F.when(hz >= 1e4, F.concat(_decimals(hz / 1e3, 2), F.lit(" kHz"))).when(hz >= 1e3, F.concat(_decimals(hz / 1e3, 3), F.lit(" kHz"))).otherwise(F.concat(_decimals(hz, 1), F.lit(" Hz")))
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
 
 
-def clock(seconds: Column) -> Column:
-    """`m:ss`, or `h:mm:ss` from an hour on; whole seconds."""
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
-    return F.when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(s))).otherwise(F.concat_ws(":", m.cast("string"), two(s)))
+def _fraction(ticks: Column, decimals: int) -> Column:
+    return F.concat(F.lit("."), F.lpad((ticks % 10**decimals).cast("string"), decimals, "0")) if decimals else F.lit("")
 
 
-def wall(seconds: Column) -> Column:
-    """The time of day, `hh:mm:ss`, of seconds since a midnight."""
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    day = F.pmod(seconds, F.lit(86400))
-    return F.concat_ws(":", two(F.floor(day / 3600)), two(F.floor(day / 60) % 60), two(day % 60))
+def clock(seconds: Column, decimals: int = 0) -> Column:
+    """`m:ss`, or `h:mm:ss` from an hour on, rounded to so many decimals of a second; no time is under 0."""
+    ticks = F.round(F.greatest(seconds, F.lit(0.0)) * 10**decimals).cast("long")
+    whole = F.floor(ticks / 10**decimals)
+    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
+    text = F.when(h > 0, F.concat_ws(":", h.cast("string"), _two(m), _two(s))).otherwise(F.concat_ws(":", m.cast("string"), _two(s)))
+    return F.when(seconds.isNotNull(), F.concat(text, _fraction(ticks, decimals)))
+
+
+def wall(seconds: Column, decimals: int = 0) -> Column:
+    """The time of day, `hh:mm:ss`, of seconds since a midnight, rounded; what rounds up to midnight is 00:00:00."""
+    ticks = F.round(F.pmod(seconds.cast("double"), F.lit(86400.0)) * 10**decimals).cast("long") % (86400 * 10**decimals)
+    whole = F.floor(ticks / 10**decimals)
+    return F.concat(F.concat_ws(":", _two(F.floor(whole / 3600)), _two(F.floor(whole / 60) % 60), _two(whole % 60)), _fraction(ticks, decimals))
 
 
 def sample_time(samples: Column, rate: Column) -> Column:
@@ -91,12 +111,23 @@ def clock_seconds(text: Column) -> Column:
 
 
 def parse_speed(text: Column) -> Column:
-    """`2`, `1/8`, `0.125x` as a positive factor; null for anything else."""
-    s = F.regexp_replace(F.trim(text), "[xX]$", "")
+    """`2`, `1/8`, `0.125x`, `×2` as a positive factor; null for anything else."""
+    s = F.regexp_replace(F.trim(text), "^[xX×]+|[xX×]+$", "")
     parts = F.split(s, "/")
     number = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("double")
     value = F.when(F.size(parts) == 2, F.try_divide(number(0), number(1))).when(F.size(parts) == 1, number(0))
-    return F.when(value > 0, value)
+    return F.when((value > 0) & (value < float("inf")), value)
+
+
+def speed_text(speed: Column) -> Column:
+    """A speed as a label shows it: a whole number of times slower as a fraction, else four significant digits."""
+    over = 1 / speed
+    slower = (speed < 1) & (F.abs(over - F.round(over)) < 1e-6)
+    places = F.greatest(3 - F.floor(F.log10(speed)), F.lit(0)).cast("int")
+    shown = F.lit(None).cast("string")
+    for n in range(12):
+        shown = F.when(places == n, F.regexp_replace(_decimals(speed, n), r"\.0*$|(\.[0-9]*?)0+$", "$1") if n else _decimals(speed, 0)).otherwise(shown)
+    return F.when(slower, F.concat(F.lit("1/"), F.round(over).cast("long").cast("string"), F.lit("×"))).otherwise(F.concat(shown, F.lit("×")))
 
 
 def nanoseconds(frame: Column, rate: Column) -> Column:
@@ -144,13 +175,18 @@ def animal_change(hz: Column) -> Column:
 
 
 def nearest_bin(hz: Column, bin_hz: Column, bins: int) -> Column:
-    """The bin of a frequency; null past the last."""
-    return F.when(hz <= bin_hz * (bins - 1) + bin_hz / 2, F.least(F.round(hz / bin_hz), F.lit(bins - 1.0)).cast("long"))
+    """The bin of a frequency; null past the last one's own, which is all that the file holds."""
+    return F.when(hz <= bin_hz * (bins - 1), F.least(F.round(hz / bin_hz), F.lit(bins - 1.0)).cast("long"))
 
 
 def packed(seek: Column, frame: Column) -> Column:
-    """A seek number in the high 16 bits and a frame in the low 48."""
-    return F.shiftleft(seek.cast("long") % 32768, 48).bitwiseOR(frame.bitwiseAND(F.lit((1 << 48) - 1)))
+    """A seek number in the high 16 bits and a frame in the low 48; the upper half of the seeks gives negative numbers."""
+    return F.shiftleft(F.pmod(seek.cast("long"), F.lit(65536)), 48).bitwiseOR(frame.bitwiseAND(F.lit((1 << 48) - 1)))
+
+
+def unpacked(position: Column) -> tuple[Column, Column]:
+    """The seek number and the frame of a packed position."""
+    return F.shiftrightunsigned(position, 48), position.bitwiseAND(F.lit((1 << 48) - 1))
 
 
 def view(start: Column, length: Column, frames: Column, rate: int) -> tuple[Column, Column]:

@@ -128,6 +128,48 @@ def padded(n: Column, width: int) -> Column:
     return F.concat(F.when(n < 0, "-").otherwise(""), digits)
 
 
+def sign_padded(n: Column, width: int) -> Column:
+    """A number of at least `width` characters, its sign counted."""
+    digits = F.abs(n).cast("string")
+    room = F.lit(width) - F.when(n < 0, 1).otherwise(0)
+    return F.concat(F.when(n < 0, "-").otherwise(""), F.repeat(F.lit("0"), F.greatest(room - F.length(digits), F.lit(0))), digits)
+
+
+#: Fields of strftime as patterns of date_format, and fields made of others.
+_FIELDS = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "j": "DDD", "b": "MMM", "h": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "3f": "SSS", "6f": "SSSSSS", "9f": "SSSSSSSSS", "f": "SSSSSSSSS"}
+_WHOLE = {"F": "%Y-%m-%d", "T": "%H:%M:%S", "X": "%H:%M:%S", "R": "%H:%M", "D": "%m/%d/%y", "x": "%m/%d/%y", "r": "%I:%M:%S %p", ".3f": ".%3f", ".6f": ".%6f", ".9f": ".%9f"}
+_NUMBERS = "YymdHIMSjek"
+
+
+def strftime(when: Column, form: str) -> Column | None:
+    """A date by a format of strftime; None if it isn't one. `-` and `_` before a number's field leave its zeros out, or put spaces."""
+    import re
+
+    for key, whole in _WHOLE.items():
+        form = re.sub(rf"(?<!%)((?:%%)*)%{re.escape(key)}", lambda m, w=whole: m[1] + w, form)
+    parts: list[Column] = []
+    for text, field in re.findall(r"([^%]+)|%([-_0]?(?:[369]f|[A-Za-z%]))|%", form):
+        if text:
+            parts.append(F.lit(text))
+            continue
+        mode, name = (field[0], field[1:]) if field[:1] in ("-", "_", "0") else ("", field)
+        if mode and name not in _NUMBERS:
+            return None
+        if name in ("%", "n", "t"):
+            parts.append(F.lit({"%": "%", "n": "\n", "t": "\t"}[name]))
+            continue
+        if name in ("e", "k"):
+            name, mode = {"e": "d", "k": "H"}[name], mode or "_"
+        if name not in _FIELDS:
+            return None
+        value = F.date_format(when, _FIELDS[name])
+        if mode in ("-", "_"):
+            bare = F.regexp_replace(value, "^0+(?=.)", "")
+            value = bare if mode == "-" else F.lpad(bare, len(_FIELDS[name]), " ")
+        parts.append(value)
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def title_words(text: Column) -> Column:
     """Each run of letters, digits and apostrophes with its first letter upper, the rest lower."""
     parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}']+|[^\p{L}\p{N}']+"), F.lit(0))
@@ -148,17 +190,17 @@ def inserted(text: Column, piece: Column, place: Column) -> Column:
 def name_problem(name: Column) -> Column:
     """The first rule that a file name breaks; null for a good one."""
     return (
-        F.when(F.trim(name) == "", "empty").when(name.rlike(r"^\s|\s$"), "edge space").when(name.startswith("."), "leading dot")
-        .when(name.rlike(r"[/\\:\x00-\x1f\x7f]"), "reserved").when(F.octet_length(name) > 255, "too long")
+        F.when(name.rlike(r"(?U)^\s*\z"), "empty").when(name.rlike(r"(?U)^\s|\s\z"), "edge space").when(name.startswith("."), "leading dot")
+        .when(name.rlike(r"[/\\:\x00-\x1f\x7f-\x9f]"), "reserved").when(F.octet_length(name) > 255, "too long")
     )
 
 
 def mask_pattern(masks: str) -> str:
-    """Masks with * and ?, separated by semicolons, as one anchored pattern."""
+    """Masks with * and ?, separated by semicolons, as one anchored pattern, in any case."""
     import re
 
     one = lambda m: "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in m)
-    return "(?s)^(?:" + "|".join(one(m.strip()) for m in masks.split(";") if m.strip()) + ")$"
+    return "(?isu)^(?:" + "|".join(one(m.strip()) for m in masks.split(";") if m.strip()) + ")$"
 
 
 def chapter_key(key: Column) -> tuple[Column, Column]:
@@ -173,14 +215,23 @@ def comment_key(key: Column) -> Column:
 
 
 def number_split(text: Column) -> tuple[Column, Column]:
-    """`3/12` as number and total."""
-    p = r"^\s*([^/]*?)\s*(?:/\s*(.*?)\s*)?$"
-    return F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.nullif(F.regexp_extract(text, p, 2), F.lit(""))
+    """`3/12` as number and total, where both are digits; any other text is a number without a total."""
+    p = r"(?U)^\s*([0-9]+)\s*/\s*([0-9]+)\s*$"
+    both = text.rlike(p)
+    return F.when(both, F.regexp_extract(text, p, 1)).otherwise(text), F.when(both, F.regexp_extract(text, p, 2))
 
 
 def query_words(text: str) -> list[str]:
-    """The words of a search: split at white space, quotes hold words together, leading stars go, lower case."""
+    """The words of a search: split at white space, quotes that lead a word hold it together as it is, leading stars go,
+    lower case; blank words are none."""
     import re
 
-    found = [a if q else b for q, a, b in re.findall(r'(")([^"]*)"?|([^\s"]+)', text)]
-    return [w for w in (x.strip().lstrip("*").lower() for x in found) if w]
+    found = [a if q else b for q, a, b in re.findall(r'(")([^"]*)"?|(\S+)', text)]
+    return [w for w in (x.lstrip("*").lower() for x in found) if w.strip()]
+
+
+def words_of(text: Column) -> Column:
+    """query_words of a column of searches, as an array."""
+    found = F.regexp_extract_all(text, F.lit(r'(?U)"[^"]*"?|\S+'), F.lit(0))
+    bare = F.transform(found, lambda w: F.lower(F.regexp_replace(F.regexp_replace(w, r'^"([^"]*)"?$', "$1"), r"^\*+", "")))
+    return F.filter(bare, lambda w: ~w.rlike(r"(?U)^\s*$"))

@@ -103,10 +103,21 @@ def timeline(packets: DataFrame, most: int, key: str = "rec_id") -> DataFrame:
     return rows.mapInArrow(place, "key long, ord long, placed long, skipped long")
 
 
-def picture_size(length: Column, fft: int, bins: int, most_columns: int = 16384, most_pixels: int = 64_000_000, few: int = 4096) -> tuple[Column, int]:
-    """Columns and rows of an exported picture: a column a quarter window, a row a bin."""
-    columns = F.greatest(F.ceil(length / max(fft // 4, 1)), F.least(length, F.lit(few)))
-    return F.greatest(F.least(columns, F.lit(most_columns), F.lit(most_pixels // bins)), F.lit(1)), bins
+#: The fewest and most columns and rows of a picture, and the most pixels of all its lanes.
+FEWEST_COLUMNS, MOST_COLUMNS, FEWEST_ROWS, MOST_ROWS, MOST_PIXELS = 4096, 16384, 2048, 8192, 64_000_000
+
+
+def picture_size(length: Column, fft: int, bins: Column, share: Column, lanes: Column) -> tuple[Column, Column]:
+    """Columns and rows of each lane of an exported picture, of `length` frames.
+
+    A column is a quarter window. The file holds `bins` bins in the lowest `share` of a lane: a row a bin there, and
+    the rest of the lane in proportion. Both stay between the fewest and the most, and all lanes within the pixels.
+    """
+    held = F.greatest(bins, F.lit(FEWEST_ROWS))
+    rows = F.when(share > 0, F.least(F.greatest(F.ceil(held / share), F.least(held, F.lit(MOST_ROWS))), F.lit(MOST_ROWS))).otherwise(F.lit(FEWEST_ROWS)).cast("long")
+    columns = F.greatest(F.ceil(length / max(fft // 4, 1)), F.least(length, F.lit(FEWEST_COLUMNS)))
+    room = F.floor(MOST_PIXELS / (rows * F.greatest(lanes, F.lit(1))))
+    return F.greatest(F.least(columns, F.lit(MOST_COLUMNS), room), F.lit(1)).cast("long"), rows
 
 
 def distinct_pictures(pictures: DataFrame, key: str = "rec_id") -> DataFrame:

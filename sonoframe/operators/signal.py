@@ -95,9 +95,10 @@ def mixdown(signal: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def speaker_gains(channels: int, muted: set[int], both: bool) -> list[tuple[int, float, float]]:
-    """(channel, left, right): mono and `both` go to both sides, shared among those heard; else even channels left, odd right."""
+    """(channel, left, right): mono goes to both sides, and so, shared among those heard, do channels with `both` where
+    one is muted; else even channels go left, odd right."""
     heard = [c for c in range(channels) if c not in muted]
-    if both or channels == 1:
+    if channels == 1 or both and len(heard) < channels:
         return [(c, 1 / len(heard), 1 / len(heard)) if c in heard else (c, 0.0, 0.0) for c in range(channels)] if heard else [(c, 0.0, 0.0) for c in range(channels)]
     sides = ((channels + 1) // 2, channels // 2)
     return [(c, 0.0, 0.0) if c in muted else (c, 1 / sides[0] if c % 2 == 0 else 0.0, 1 / sides[1] if c % 2 else 0.0) for c in range(channels)]

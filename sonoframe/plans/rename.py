@@ -7,7 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,13 +51,13 @@ class Rules:
     insert_number: tuple[int, int, int, int] = (0, 0, 1, 0)  # place, from, step, digits
     prefix: str = ""
     suffix: str = ""
-    date: tuple[str, str, str] = ("", "", "_")  # prefix or suffix, pattern, mark
+    date: tuple[str, str, str] = ("", "", "_")  # prefix or suffix, format as of strftime, mark
     date_of: str = "recorded"  # the column of that date (recorded, modified, created), or now
     or_modified: bool = False  # takes column `modified` where `recorded` is unknown
     now: datetime | None = None  # the moment of `now`; that of the run if none is given
     folders: tuple[str, int, str] = ("", 1, "-")  # prefix or suffix, levels, mark
     number: tuple[str | int, int, int, int, str] = ("", 1, 1, 0, "_")  # prefix, suffix, both or a place, from, step, digits, mark
-    numerals: str = "decimal"  # decimal, letters, roman
+    numerals: str = "decimal"  # decimal, letters, upper (letters), roman
     restart_after: int = 0  # a new number run where these first characters change
     restart_folder: bool = False
     extension: str = "same"  # same, lower, upper, title, remove, fixed, extra
@@ -74,6 +74,23 @@ def group_references(replacement: str, groups: int) -> str:
     return "".join([*out, replacement[at:].replace("\\", "\\\\").replace("$", "\\$")])
 
 
+def groups(pattern: str) -> int:
+    """How many groups of a pattern capture."""
+    bare = re.sub(r"\\Q.*?(?:\\E|$)|\\.|\[(?:\\.|[^\]\\])*\]", "", pattern, flags=re.S)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
+
+
+def broken(spark: SparkSession, rules: Rules) -> bool:
+    """Whether rules can't be followed: a pattern that isn't one, or a date's format."""
+    if rules.date[0] and T.strftime(F.lit(None).cast("timestamp_ntz"), rules.date[1]) is None:
+        return True
+    try:
+        spark.range(1).select(F.regexp_replace(F.lit("x"), F.lit("(?U)" + rules.pattern), F.lit(""))).collect()
+    except Exception:
+        return True
+    return False
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
@@ -82,7 +99,7 @@ def renamed(stem: Column, rules: Rules) -> Column:
     """The rules that need nothing but the stem, in order."""
     s = stem
     if rules.pattern:
-        s = F.regexp_replace(s, F.lit("(?U)" + rules.pattern), F.lit(group_references(rules.replacement, re.compile(rules.pattern).groups)))
+        s = F.regexp_replace(s, F.lit("(?U)" + rules.pattern), F.lit(group_references(rules.replacement, groups(rules.pattern))))
     s = {"keep": s, "remove": F.lit(""), "fixed": F.lit(rules.fixed), "reverse": F.reverse(s)}[rules.name]
     if rules.find:
         s = F.regexp_replace(s, F.lit(("(?iu)" if rules.any_case else "") + _quoted(rules.find)), F.lit(rules.put.replace("\\", "\\\\").replace("$", "\\$")))
@@ -98,7 +115,7 @@ def _removed(s: Column, rules: Rules) -> Column:
         s = F.substring(s, F.lit(rules.first + 1), F.length(s))
     if rules.last:
         s = F.substring(s, F.lit(1), F.greatest(F.length(s) - rules.last, F.lit(0)))
-    if rules.cut[0]:
+    if 0 < rules.cut[0] <= rules.cut[1]:
         s = F.concat(F.substring(s, F.lit(1), F.lit(rules.cut[0] - 1)), F.substring(s, F.lit(rules.cut[1] + 1), F.length(s)))
     if rules.chars:
         s = F.translate(s, rules.chars, "")
@@ -112,7 +129,7 @@ def _removed(s: Column, rules: Rules) -> Column:
         s = F.regexp_replace(s, pattern, "") if on else s
     if rules.accents:
         s = F.translate(s, "".join(UNACCENTED), "".join(UNACCENTED.values()))
-    for on, pattern, put in ((rules.symbols, r"[^\p{L}\p{N}\s]", ""), (rules.non_ascii, r"[^\x00-\x7f]", ""), (rules.double_spaces, " {2,}", " "), (rules.trim, r"(?U)^\s+|\s+\z", ""), (rules.lead_dots, r"^\.+", "")):
+    for on, pattern, put in ((rules.symbols, r"[^\p{IsAlphabetic}\p{N} _-]", ""), (rules.non_ascii, r"[^\x00-\x7f]", ""), (rules.double_spaces, " {2,}", " "), (rules.trim, r"(?U)^\s+|\s+\z", ""), (rules.lead_dots, r"^\.+", "")):
         s = F.regexp_replace(s, pattern, put) if on else s
     return s
 
@@ -136,21 +153,28 @@ def _moved(s: Column, rules: Rules) -> Column:
 
 
 def _numeral(n: Column, kind: str, digits: int) -> Column:
-    return {"decimal": lambda: T.padded(n, digits), "letters": lambda: T.letters(n), "roman": lambda: T.roman(n)}[kind]()
+    """A number with its sign: padded digits, letters as of spreadsheet columns, or Roman numerals."""
+    if kind == "decimal":
+        return T.padded(n, digits)
+    text = {"letters": T.letters, "upper": lambda x: F.upper(T.letters(x)), "roman": T.roman}[kind](F.abs(n))
+    return F.concat(F.when(n < 0, "-").otherwise(""), text)
 
 
 def plan(files: DataFrame, rules: Rules, batch: str = "batch") -> DataFrame:
     """Of files (batch, place, folder, name, chosen, and the dates that the rules name): the new name of each chosen one, and what is wrong with it.
 
     place orders a batch. Numbers run over a batch's chosen files; a run restarts where the first characters, or the
-    folder, differ from the file before. Problems, the first that holds: no date, an invalid name, a name that two
+    folder, differ from the file before. Rules with a pattern or a date's format that isn't one change nothing, and are
+    each file's problem. Problems, the first that holds: the rules, no date, an invalid name, a name that two
     changing files share, a name that a file which stays has. Names compare in lower case, with their folders.
     """
+    if broken(files.sparkSession, rules):
+        return files.where("chosen").withColumn("new_name", F.col("name")).withColumn("changing", F.lit(False)).withColumn("problem", F.lit("rules"))
     order = Window.partitionBy(batch).orderBy("place")
     rows = files.where("chosen").withColumn("stem", renamed(T.stem(F.col("name")), rules)).withColumn("ext", T.extension(F.col("name")))
     place, first, step, digits = rules.insert_number
     if place:
-        rows = rows.withColumn("stem", T.inserted(F.col("stem"), T.padded(F.lit(first) + step * (F.row_number().over(order) - 1), digits), F.lit(place)))
+        rows = rows.withColumn("stem", T.inserted(F.col("stem"), T.sign_padded(F.lit(first) + step * (F.row_number().over(order) - 1), digits), F.lit(place)))
     rows = rows.withColumn("stem", F.concat(F.lit(rules.prefix), "stem", F.lit(rules.suffix)))
     put = lambda side, text, mark: T.beside(text, F.col("stem"), mark) if side == "prefix" else T.beside(F.col("stem"), text, mark)
     dated = F.lit(True)
@@ -159,7 +183,7 @@ def plan(files: DataFrame, rules: Rules, batch: str = "batch") -> DataFrame:
         if rules.or_modified and rules.date_of == "recorded":
             when = F.coalesce(when, F.col("modified"))
         dated = when.isNotNull()
-        rows = rows.withColumn("stem", put(rules.date[0], F.coalesce(F.date_format(when, rules.date[1]), F.lit("")), rules.date[2]))
+        rows = rows.withColumn("stem", put(rules.date[0], F.coalesce(T.strftime(when, rules.date[1]), F.lit("")), rules.date[2]))
     if rules.folders[0]:
         names = F.filter(F.split("folder", "/"), lambda x: x != "")
         levels = F.slice(names, -F.least(F.lit(rules.folders[1]), F.size(names)), F.lit(rules.folders[1]))

@@ -84,10 +84,12 @@ def matched_in(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("rec_id", F.array_join(C.matched_in("brass ECO", {"Name": "name", "Folder": "folder", "Title": "title"}), ",").alias("labels"))
 
 
-@query("tokenize_query", "select conv_id, turn, array_to_string(list_filter(list_transform(string_split_regex(trim(lower(text)), '[ \\n\\t]+'), lambda x: ltrim(x, '*')), lambda x: x <> ''), '|') as words from conversations")
+@query("tokenize_query", """select conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all('"' || left(text, 12) || '"' || substr(text, 13) || ' **.WAV ab"Cd ef" "  " " x"' , '"[^"]*"?|\\S+'),
+ lambda w: lower(regexp_replace(regexp_replace(w, '^"([^"]*)"?$', '\\1'), '^[*]+', ''))), lambda w: trim(w) <> ''), '|') as words from conversations""")
 def tokenize_query(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.filter(F.transform(F.split(F.trim(F.lower("text")), r"[ \n\t]+"), lambda x: F.regexp_replace(x, r"^\*+", "")), lambda x: x != "")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(words, "|").alias("words"))
+    """Turns as searches, with a phrase in quotes at their head, and quotes inside a word and around blanks at their end."""
+    text = F.concat(F.lit('"'), F.substring("text", 1, 12), F.lit('"'), F.substring(F.col("text"), F.lit(13), F.length("text")), F.lit(' **.WAV ab"Cd ef" "  " " x"'))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.words_of(text), "|").alias("words"))
 
 
 @query("dates_offered", "select 'recorded' kind, count(*)::bigint n from orders union all select 'shipped', count(*)::bigint from lineitem where l_returnflag = 'R' having count(*) > 0 union all select 'modified', 0 union all select 'created', 0")
@@ -115,7 +117,7 @@ def search_status(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).agg(F.count_if(F.col("extension") == "wav").alias("matched"), F.count("*").alias("total"), F.count_if(F.col("seconds").isNull()).alias("unreadable"))
 
 
-@query("filter_mask", f"with {FILES} select rec_id, name from files where name similar to '(.*\\.wav|s.*1.*)' and extension <> 'txt'")
+@query("filter_mask", f"with {FILES} select rec_id, name from files where regexp_matches(name, '^(?:.*[.]wav|s.*1.*)$', 'i') and extension <> 'txt'")
 def filter_mask(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).where(F.col("name").rlike(T.mask_pattern("*.wav; s*1*")) & C.is_audio(F.col("extension"))).select("rec_id", "name")
 

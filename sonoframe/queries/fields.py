@@ -61,10 +61,12 @@ def timeline_place(spark: SparkSession, sf: str) -> DataFrame:
     return D.timeline(rows, 480)
 
 
-@query("export_size", "select o_orderkey, greatest(least(greatest(ceil(n / 512)::bigint, least(n, 4096)), 16384, 64000000 // 1025), 1)::bigint as \"columns\" from (select o_orderkey, (o_totalprice * 100)::bigint n from orders)")
+@query("export_size", """select o_orderkey, greatest(least(greatest(ceil(n / 512)::bigint, least(n, 4096)), 16384, 64000000 // ("rows" * lanes)), 1)::bigint as "columns", "rows"
+ from (select *, case when share > 0 then least(greatest(ceil(greatest(bins, 2048) / share)::bigint, least(greatest(bins, 2048), 8192)), 8192) else 2048 end "rows"
+ from (select o_orderkey, (o_totalprice * 100)::bigint n, o_custkey * 7 % 9000 bins, o_orderkey % 5 / 4.0::double share, 1 + o_orderkey % 8 lanes from orders))""")
 def export_size(spark: SparkSession, sf: str) -> DataFrame:
-    columns, _ = D.picture_size(F.round(c("o_totalprice") * 100).cast("long"), 2048, 1025)
-    return table(spark, sf, "orders").select("o_orderkey", columns.cast("long").alias("columns"))
+    columns, rows = D.picture_size(F.round(c("o_totalprice") * 100).cast("long"), 2048, c("o_custkey") * 7 % 9000, c("o_orderkey") % 5 / 4, 1 + c("o_orderkey") % 8)
+    return table(spark, sf, "orders").select("o_orderkey", columns.alias("columns"), rows.alias("rows"))
 
 
 @query("picture_distinct", "select user_id rec_id, min(event_id) ord from events group by user_id, event_type")

@@ -43,16 +43,33 @@ _simple("move_copy", R.Rules(move=("first", 4, "end", "_")), "substr(stem, 5) ||
 _simple("add_text", R.Rules(word_space=True, prefix="EE_", insert=("-", 5), suffix="_A"), "'EE_' || left(stem, 4) || '-' || substr(stem, 5) || '_A'")
 _simple("add_folder", R.Rules(folders=("prefix", 2, "-")), "'lib-' || split_part(folder, '/', 3) || '-' || stem")
 _simple("extension_rule", R.Rules(extension="lower"), "stem", "lower(ext)")
-_simple("add_date", R.Rules(date=("prefix", "yyyy-MM-dd", "_")), "case when recorded is null then stem else strftime(recorded, '%Y-%m-%d') || '_' || stem end")
+_simple("add_date", R.Rules(date=("prefix", "%Y-%m-%d", "_")), "case when recorded is null then stem else strftime(recorded, '%Y-%m-%d') || '_' || stem end")
 
 
 _simple("copy_place", R.Rules(move=("copy last", 3, 6, "+")), "left(stem, 5) || '+' || right(stem, 3) || '+' || substr(stem, 6)")
 _simple("extension_extra", R.Rules(extension="extra", fixed_extension=".bak"), "stem", "ext || '.bak'")
 _simple("extension_title", R.Rules(extension="title", lead_dots=True), "stem", "upper(left(ext, 1)) || lower(substr(ext, 2))")
-_simple("add_now", R.Rules(date=("suffix", "yyyyMMdd", "-"), date_of="now", now=datetime(2024, 5, 1, 21, 30)), "stem || '-20240501'")
+_simple("add_now", R.Rules(date=("suffix", "%Y%m%d", "-"), date_of="now", now=datetime(2024, 5, 1, 21, 30)), "stem || '-20240501'")
 _simple("remove_accents", R.Rules(find="e", put="łé", accents=True), "replace(stem, 'e', 'le')")
 
 
+_simple("remove_symbols", R.Rules(find="s", put="-s_(é)\t!", symbols=True, cut=(5, 2)), "replace(stem, 's', '-s_é')")
+_simple("remove_cut", R.Rules(cut=(3, 6)), "left(stem, 2) || substr(stem, 7)")
+_simple("date_formats", R.Rules(date=("suffix", "%d.%-m.%y %I%p %j %b %a%%", "_")), "case when recorded is null then stem else stem || '_' || strftime(recorded, '%d.%-m.%y %I%p %j %b %a%%') end")
+
+
+@query("bad_rules", f"with {_BATCHES} select place, name new_name, 'rules' problem, false changing from batches where chosen")
+def bad_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A pattern that isn't one is every file's problem."""
+    return R.plan(_batches(spark, sf), R.Rules(pattern="(", replacement="x")).select("place", "new_name", "problem", "changing")
+
+
+@query("number_signed", f"""with {_BATCHES}, n as (select *, 3 - 2 * (row_number() over (partition by batch order by place) - 1) num from batches where chosen),
+ t as (select *, abs(num) k from n) select place, case when num < 0 then '-' else '' end || case when k = 0 then '' when k <= 26 then chr(64 + k::int) else chr((64 + (k - 1) // 26)::int) || chr((65 + (k - 1) % 26)::int) end || case when k = 0 then '' else '.' end || stem || '.' || ext new_name from t""")
+def number_signed(spark: SparkSession, sf: str) -> DataFrame:
+    return R.plan(_batches(spark, sf), R.Rules(number=("prefix", 3, -2, 0, "."), numerals="upper")).select("place", "new_name")
+
+
 @query("number_both", f"with {_BATCHES}, n as (select *, row_number() over (partition by batch order by place) || '' num from batches where chosen) select place, num || '_' || stem || '_' || num || '.' || ext new_name from n")
 def number_both(spark: SparkSession, sf: str) -> DataFrame:
     return R.plan(_batches(spark, sf), R.Rules(number=("both", 1, 1, 0, "_"))).select("place", "new_name")
@@ -61,7 +78,7 @@ def number_both(spark: SparkSession, sf: str) -> DataFrame:
 @query("add_modified", f"with {_BATCHES} select place, strftime(coalesce(recorded, timestamp '2020-02-03' + to_hours(place)), '%Y%m%d%H') || '_' || stem || '.' || ext new_name, null::varchar problem from batches where chosen")
 def add_modified(spark: SparkSession, sf: str) -> DataFrame:
     rows = _batches(spark, sf).withColumn("modified", F.lit("2020-02-03").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), c("place").cast("int")))
-    return R.plan(rows, R.Rules(date=("prefix", "yyyyMMddHH", "_"), or_modified=True)).select("place", "new_name", "problem")
+    return R.plan(rows, R.Rules(date=("prefix", "%Y%m%d%H", "_"), or_modified=True)).select("place", "new_name", "problem")
 
 
 @query("number_running", f"""with {_BATCHES}, t as (select *, left(stem, 1) k from batches where chosen), f as (select *, case when k <> lag(k) over (partition by batch order by place) then 1 else 0 end fresh from t),
@@ -72,9 +89,9 @@ def number_running(spark: SparkSession, sf: str) -> DataFrame:
     return R.plan(_batches(spark, sf), rules).select("place", "name", "new_name")
 
 
-@query("insert_number", f"with {_BATCHES}, n as (select *, (7 + 5 * (row_number() over (partition by batch order by place) - 1))::varchar num from batches where chosen) select place, left(stem, 1) || lpad(num, greatest(2, length(num))::int, '0') || substr(stem, 2) || '.' || ext new_name from n")
+@query("insert_number", f"with {_BATCHES}, n as (select *, -7 + 5 * (row_number() over (partition by batch order by place) - 1) num from batches where chosen) select place, left(stem, 1) || case when num < 0 then '-' || lpad((-num)::varchar, greatest(3, length((-num)::varchar))::int, '0') else lpad(num::varchar, greatest(4, length(num::varchar))::int, '0') end || substr(stem, 2) || '.' || ext new_name from n")
 def insert_number(spark: SparkSession, sf: str) -> DataFrame:
-    return R.plan(_batches(spark, sf), R.Rules(insert_number=(2, 7, 5, 2))).select("place", "new_name")
+    return R.plan(_batches(spark, sf), R.Rules(insert_number=(2, -7, 5, 4))).select("place", "new_name")
 
 
 @query("rename_collisions", f"""with {_BATCHES}, p as (select *, regexp_replace(stem, '[0-9]', '', 'g') || '.' || ext new_name from batches where chosen),
@@ -87,7 +104,7 @@ def rename_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rename_counts", f"with {_BATCHES}, p as (select *, case when recorded is null then null else 1 end ok from batches where chosen) select batch, count(*)::bigint chosen, count(ok)::bigint changing, (count(*) - count(ok))::bigint problems from p group by batch")
 def rename_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return R.counts(R.plan(_batches(spark, sf), R.Rules(date=("suffix", "yyyyMMdd", "_"))))
+    return R.counts(R.plan(_batches(spark, sf), R.Rules(date=("suffix", "%Y%m%d", "_"))))
 
 
 _KEY = natural_key_sql("lower(name)")

@@ -38,28 +38,45 @@ _HZ = """case when hz < 1000 then round_even(hz, 0)::bigint::varchar when hz >=
  when abs(hz / 1000 - round(hz / 1000)) < 0.05 then round_even(hz / 1000, 0)::bigint || 'k' else round_even(hz / 1000, 1)::decimal(18,1) || 'k' end"""
 
 
-@query("hz_text", f"""select l_orderkey, l_linenumber, label, regexp_extract(label, '^[0-9.]+') || ' ' || regexp_extract(label, '[kM]?$') || 'Hz' field
- from (select l_orderkey, l_linenumber, {_HZ} as label from (select *, (l_partkey * case l_linenumber % 3 when 0 then 0.5 when 1 then 37.0 else 4321.0 end)::double hz from lineitem))""")
+@query("hz_text", f"""select l_orderkey, l_linenumber, {_HZ} as label,
+ case when hz >= 1000000 then regexp_replace(round_even(hz / 1000000, 3)::decimal(18,3)::varchar, '[.]?0+$', '') || ' MHz' when hz >= 10000 then round_even(hz / 1000, 1)::decimal(18,1) || ' kHz' when hz >= 1000 then round_even(hz / 1000, 2)::decimal(18,2) || ' kHz' else round_even(hz, 0)::bigint || ' Hz' end field,
+ case when hz >= 10000 then round_even(hz / 1000, 2)::decimal(18,2) || ' kHz' when hz >= 1000 then round_even(hz / 1000, 3)::decimal(18,3) || ' kHz' else round_even(hz, 1)::decimal(18,1) || ' Hz' end exact
+ from (select *, (l_partkey * case l_linenumber % 3 when 0 then 0.5 when 1 then 37.0 else 4321.0 end)::double hz from lineitem)""")
 def hz_text(spark: SparkSession, sf: str) -> DataFrame:
     hz = c("l_partkey") * F.when(c("l_linenumber") % 3 == 0, 0.5).when(c("l_linenumber") % 3 == 1, 37.0).otherwise(4321.0)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.hz_text(hz).alias("label"), N.hz_field(hz).alias("field"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.hz_text(hz).alias("label"), N.hz_field(hz).alias("field"), N.hz_exact(hz).alias("exact"))
 
 
-@query("parse_speed", "select p_partkey, case p_partkey % 3 when 0 then p_size when 1 then 1 / p_size::double end::double speed from part")
+@query("parse_speed", "select p_partkey, case p_partkey % 4 when 0 then p_size when 1 then 1 / p_size::double when 2 then p_size end::double speed from part")
 def parse_speed(spark: SparkSession, sf: str) -> DataFrame:
-    s = c("p_size").cast("string")
-    txt = F.when(c("p_partkey") % 3 == 0, F.concat(s, F.lit("x"))).when(c("p_partkey") % 3 == 1, F.concat(F.lit("1/"), s)).otherwise("fast")
+    s, k = c("p_size").cast("string"), c("p_partkey") % 4
+    txt = F.when(k == 0, F.concat(s, F.lit("x"))).when(k == 1, F.concat(F.lit(" 1 / "), s)).when(k == 2, F.concat(F.lit("× "), s, F.lit(" ×"))).when(c("p_partkey") % 8 == 3, "1/0").otherwise("fast")
     return table(spark, sf, "part").select("p_partkey", N.parse_speed(txt).alias("speed"))
 
 
-@query("clock", "select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad((s // 60 % 60)::varchar, 2, '0') else (s // 60)::varchar end || ':' || lpad((s % 60)::varchar, 2, '0') elapsed from (select event_id, floor(value * 50)::bigint s from events)")
+@query("speed_text", """select p_partkey, case when v < 1 and abs(1 / v - round(1 / v)) < 1e-6 then '1/' || round(1 / v)::bigint || '×'
+ else regexp_replace(regexp_replace(round_even(v, greatest(3 - floor(log10(v)), 0)::int)::decimal(18, 8)::varchar, '0+$', ''), '[.]$', '') || '×' end label
+ from (select p_partkey, case p_partkey % 3 when 0 then 1 / p_size::double when 1 then p_size * 1.23457::double else p_size / 7.0::double end v from part)""")
+def speed_text(spark: SparkSession, sf: str) -> DataFrame:
+    k = c("p_partkey") % 3
+    v = F.when(k == 0, 1 / c("p_size")).when(k == 1, c("p_size") * 1.23457).otherwise(c("p_size") / 7)
+    return table(spark, sf, "part").select("p_partkey", N.speed_text(v).alias("label"))
+
+
+@query("clock", """select event_id, case when a >= 3600 then (a // 3600) || ':' || lpad((a // 60 % 60)::varchar, 2, '0') else (a // 60)::varchar end || ':' || lpad((a % 60)::varchar, 2, '0') elapsed,
+ case when b >= 360000 then (b // 360000) || ':' || lpad((b // 6000 % 60)::varchar, 2, '0') else (b // 6000)::varchar end || ':' || lpad((b // 100 % 60)::varchar, 2, '0') || '.' || lpad((b % 100)::varchar, 2, '0') fine
+ from (select event_id, round(greatest(value * 50 - 100, 0))::bigint a, round(greatest(value * 50 - 100, 0) * 100)::bigint b from events)""")
 def clock(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", N.clock(F.floor(c("value") * 50)).alias("elapsed"))
+    x = c("value") * 50 - 100
+    return table(spark, sf, "events").select("event_id", N.clock(x).alias("elapsed"), N.clock(x, 2).alias("fine"))
 
 
-@query("wall", "select event_id, strftime(timestamp '2024-01-01' + to_seconds(s % 86400), '%H:%M:%S') at_time from (select event_id, floor(value * 500)::bigint s from events)")
+@query("wall", """select event_id, strftime(timestamp '2024-01-01' + to_seconds(round(m)::bigint), '%H:%M:%S') at_time, strftime(timestamp '2024-01-01' + to_milliseconds(round(m * 1000)::bigint), '%H:%M:%S.%g') fine
+ from (select event_id, x - 86400 * floor(x / 86400) m from (select event_id, case when event_id % 50 = 0 then -0.0001 else value * 500 - 40000 end x from events))""")
 def wall(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", N.wall(F.floor(c("value") * 500)).alias("at_time"))
+    """Also before midnight, and what rounds up to it."""
+    x = F.when(c("event_id") % 50 == 0, -0.0001).otherwise(c("value") * 500 - 40000)
+    return table(spark, sf, "events").select("event_id", N.wall(x).alias("at_time"), N.wall(x, 3).alias("fine"))
 
 
 @query("time_of_day", "select l_orderkey, l_linenumber, lpad((ms // 3600000)::varchar, 2, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') shown from (select *, floor(l_extendedprice * 10)::bigint * 1000 // 48000 ms from lineitem)")
@@ -118,12 +135,13 @@ def split_ext(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("numerals", """select p_partkey, case when k = 0 then '' when k <= 26 then chr(96 + k::int) else chr((96 + (k - 1) // 26)::int) || chr((97 + (k - 1) % 26)::int) end letters,
  case when k = 0 then '' else repeat('C', (k // 100)::int) || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][k // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][k % 10 + 1] end roman,
- case when p_partkey % 2 = 1 then '-' else '' end || case when k < 100 then lpad(k::varchar, 3, '0') else k::varchar end padded from (select p_partkey, p_partkey % 300 k from part)""")
+ case when p_partkey % 2 = 1 then '-' else '' end || case when k < 100 then lpad(k::varchar, 3, '0') else k::varchar end padded,
+ case when p_partkey % 2 = 1 and k > 0 then '-' || lpad(k::varchar, greatest(4, length(k::varchar))::int, '0') else lpad(k::varchar, greatest(5, length(k::varchar))::int, '0') end signed from (select p_partkey, p_partkey % 300 k from part)""")
 def numerals(spark: SparkSession, sf: str) -> DataFrame:
     k = c("p_partkey") % 300
     minus = F.when(c("p_partkey") % 2 == 1, -k).otherwise(k)
     sign = F.when((k == 0) & (c("p_partkey") % 2 == 1), "-").otherwise("")
-    return table(spark, sf, "part").select("p_partkey", T.letters(k).alias("letters"), T.roman(k).alias("roman"), F.concat(sign, T.padded(minus, 3)).alias("padded"))
+    return table(spark, sf, "part").select("p_partkey", T.letters(k).alias("letters"), T.roman(k).alias("roman"), F.concat(sign, T.padded(minus, 3)).alias("padded"), T.sign_padded(minus, 5).alias("signed"))
 
 
 @query("title_words", "select p_partkey, array_to_string(list_transform(regexp_extract_all(upper(p_name) || ' o''neil-' || p_type, '[A-Za-z0-9'']+|[^A-Za-z0-9'']+'), lambda x: upper(x[1]) || lower(x[2:])), '') title from part")
@@ -136,10 +154,11 @@ def insert_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.inserted(c("p_name"), F.lit("-"), c("p_size")).alias("put"), T.beside(c("p_name"), F.when(c("p_size") % 2 == 0, c("p_brand")).otherwise(""), "_").alias("beside"))
 
 
-@query("valid_name", "select p_partkey, case p_partkey % 6 when 0 then 'empty' when 1 then 'edge space' when 2 then 'leading dot' when 3 then 'reserved' when 4 then case when strlen(p_name) * 30 > 255 then 'too long' end end problem from part")
+@query("valid_name", "select p_partkey, case p_partkey % 8 when 0 then 'empty' when 1 then 'edge space' when 2 then 'leading dot' when 3 then 'reserved' when 4 then case when strlen(p_name) * 30 > 255 then 'too long' end when 5 then 'edge space' when 6 then 'reserved' end problem from part")
 def valid_name(spark: SparkSession, sf: str) -> DataFrame:
-    k, n = c("p_partkey") % 6, c("p_name")
-    name = F.when(k == 0, "  ").when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, F.concat(F.lit("."), n)).when(k == 3, F.concat(n, F.lit(":x"))).when(k == 4, F.repeat(F.replace(n, F.lit(" "), F.lit("_")), F.lit(30))).otherwise(n)
+    """Blanks and control characters beyond ASCII count too."""
+    k, n = c("p_partkey") % 8, c("p_name")
+    name = F.when(k == 0, " \u2003").when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, F.concat(F.lit("."), n)).when(k == 3, F.concat(n, F.lit(":x"))).when(k == 4, F.repeat(F.replace(n, F.lit(" "), F.lit("_")), F.lit(30))).when(k == 5, F.concat(F.lit("\u00a0"), n)).when(k == 6, F.concat(n, F.lit("\u0085x"))).otherwise(n)
     return table(spark, sf, "part").select("p_partkey", T.name_problem(name).alias("problem"))
 
 
@@ -162,10 +181,10 @@ def comment_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.comment_key(c("text")).alias("key"))
 
 
-@query("number_split", "select p_partkey, p_size::varchar number, case when p_partkey % 2 = 0 then (p_size + 3)::varchar end total from part")
+@query("number_split", """select p_partkey, case p_partkey % 5 when 0 then p_size::varchar when 1 then p_size::varchar when 2 then 'AC/' || p_size when 3 then p_size || '/' else p_size || '/2/3' end number, case when p_partkey % 5 = 0 then (p_size + 3)::varchar end total from part""")
 def number_split(spark: SparkSession, sf: str) -> DataFrame:
-    s = c("p_size").cast("string")
-    txt = F.when(c("p_partkey") % 2 == 0, F.concat(s, F.lit(" / "), (c("p_size") + 3).cast("string"))).otherwise(s)
+    s, k = c("p_size").cast("string"), c("p_partkey") % 5
+    txt = F.when(k == 0, F.concat(F.lit(" "), s, F.lit(" / "), (c("p_size") + 3).cast("string"))).when(k == 1, s).when(k == 2, F.concat(F.lit("AC/"), s)).when(k == 3, F.concat(s, F.lit("/"))).otherwise(F.concat(s, F.lit("/2/3")))
     n, total = T.number_split(txt)
     return table(spark, sf, "part").select("p_partkey", n.alias("number"), total.alias("total"))
 
@@ -181,14 +200,18 @@ def animal_change(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", _e(N.animal_change(hz)).alias("change"))
 
 
-@query("nearest_bin", "select o_orderkey, case when hz <= 23.4375 * 1024.5 then least(round(hz / 23.4375), 1024)::bigint end bin from (select o_orderkey, o_totalprice / 10 hz from orders)")
+@query("nearest_bin", "select o_orderkey, case when hz <= 24000 then least(round(hz / 23.4375), 1024)::bigint end bin from (select o_orderkey, case when o_orderkey % 9 = 0 then 23990 + o_orderkey % 25 else o_totalprice / 10 end hz from orders)")
 def nearest_bin(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", N.nearest_bin(c("o_totalprice") / 10, F.lit(23.4375), 1025).alias("bin"))
+    """Some are just under what the file holds, at it and just past it."""
+    hz = F.when(c("o_orderkey") % 9 == 0, 23990 + c("o_orderkey") % 25).otherwise(c("o_totalprice") / 10)
+    return table(spark, sf, "orders").select("o_orderkey", N.nearest_bin(hz, F.lit(23.4375), 1025).alias("bin"))
 
 
-@query("pack_position", "select l_orderkey, l_linenumber, (l_linenumber::bigint << 48) | l_partkey packed from lineitem")
+@query("pack_position", "select l_orderkey, l_linenumber, ((s::hugeint << 48) + l_partkey - case when s >= 32768 then 18446744073709551616::hugeint else 0 end)::bigint packed, s::bigint seek, l_partkey frame from (select *, l_linenumber * 9001 % 65536 s from lineitem)")
 def pack_position(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.packed(c("l_linenumber"), c("l_partkey")).alias("packed"))
+    packed = N.packed(c("l_linenumber") * 9001, c("l_partkey"))
+    seek, frame = N.unpacked(packed)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", packed.alias("packed"), seek.alias("seek"), frame.alias("frame"))
 
 
 @query("clamp_view", "select l_orderkey, l_linenumber, greatest(0, least(s, 10000 - n))::bigint as start, n::bigint as length from (select l_orderkey, l_linenumber, l_partkey * 40 - 500 s, least(greatest((l_quantity * 3)::bigint, 64), 10000) n from lineitem)")

@@ -35,7 +35,16 @@ def test_lengths_and_frequencies(spark):
     assert many(spark, T.parse_length, ["90", "1:30", "1:02:03", "2 m", "2min", "1,5 h", "45s", "long", "-3", "", None]) == [90, 90, 3723, 120, 120, 5400, 45, None, None, None, None]
     assert many(spark, T.parse_hz, ["12000", "12k", " 12.5 kHz ", "440 Hz", "1,5k", "1 MHz", "0.5m", "loud", "-3"]) == [12000, 12000, 12500, 440, 1500, 1e6, 5e5, None, None]
     assert many(spark, N.hz_text, [440.0, 2500.0, 192000.0, 1e6, 1.25e6], "double") == ["440", "2.5k", "192k", "1M", "1.25M"]
-    assert many(spark, N.hz_field, [12345.0, 440.0, 1e6, 999.6, 2960.0, None], "double") == ["12.3 kHz", "440 Hz", "1 MHz", "1000 Hz", "3 kHz", None]
+    assert many(spark, N.hz_field, [12345.0, 440.0, 1e6, 999.6, 2500.0, 12000.0, 1.2345e6, None], "double") == ["12.3 kHz", "440 Hz", "1 MHz", "1000 Hz", "2.50 kHz", "12.0 kHz", "1.234 MHz", None]
+    assert many(spark, N.hz_exact, [440.0, 2500.0, 12345.6], "double") == ["440.0 Hz", "2.500 kHz", "12.35 kHz"]
+    assert many(spark, N.speed_text, [0.125, 1.0, 2.5, 1000.0, 0.3, 12345.0, 1 / 1000], "double") == ["1/8×", "1×", "2.5×", "1000×", "0.3×", "12345×", "1/1000×"]
+    assert many(spark, N.parse_speed, ["2", "×2.5×", " 1 / 8 x", "1/0", "0", "inf", "fast", None]) == [2, 2.5, 0.125, None, None, None, None, None]
+    assert many(spark, lambda x: N.clock(x, 2), [59.994, 59.996, -3.0, 3725.5], "double") == ["0:59.99", "1:00.00", "0:00.00", "1:02:05.50"]
+    assert many(spark, lambda x: N.wall(x, 3), [86399.9996, 61454.0 + 86400, -1.0], "double") == ["00:00:00.000", "17:04:14.000", "23:59:59.000"]
+    assert many(spark, lambda x: N.nearest_bin(x, F.lit(23.4375), 1025), [24000.0, 24005.0, 11.0, 12.0], "double") == [1024, None, 0, 1]
+    assert many(spark, lambda x: N.unpacked(N.packed(x, F.lit(7).cast("long")))[0], [0, 7, 32768, 40000, 65535, 65536], "long") == [0, 7, 32768, 40000, 65535, 0]
+    assert many(spark, lambda x: T.number_split(x)[1], ["3/12", " 3 / 12 ", "AC/DC", "3/", "/3", "1/2/3", "٣/4"]) == ["12", "12", None, None, None, None, None]
+    assert many(spark, T.name_problem, ["a", "a\u0085", "\u00a0a", "\u2003", "a\u009bb", "a/b", ".a"]) == [None, "edge space", "edge space", "empty", "reserved", "reserved", "leading dot"]
     assert many(spark, T.parse_length, ["1:30.5", "2 hours", "3 sec", "1:-2", "1::2", ".5h", "1e2", " 1 : 2 ", "min"]) == [90.5, None, None, None, None, 1800, 100, 62, None]
     assert many(spark, N.clock_seconds, ["25:61:99", "21:30:05.5", "21-30.05", " 1 : 2 : 3 ", "21:30", "", None]) == [None, 77405, 77405, 3723, None, None, None]
     assert many(spark, N.mp3_rate, [88200, 176400, 96000, 44100, 5000, 48001], "long") == [44100, 44100, 48000, 44100, 8000, 48000]
@@ -48,6 +57,33 @@ def test_lengths_and_frequencies(spark):
 def test_words():
     assert T.query_words('Heron "dawn chorus"  *.WAV') == ["heron", "dawn chorus", ".wav"]
     assert T.query_words('open "to the end') == ["open", "to the end"]
+    assert T.query_words('ab"cd ef" "  " " x" ""') == ['ab"cd', 'ef"', " x"]
+    assert T.query_words('**.wav * "*a b"') == [".wav", "a b"]
+
+
+def test_words_of_a_column(spark):
+    asks = ['Heron "dawn chorus"  *.WAV', 'open "to the end', 'ab"cd ef" "  " " x" ""', '**.wav * "*a b"', "", None]
+    assert many(spark, T.words_of, asks) == [T.query_words(x) if x is not None else None for x in asks]
+
+
+def test_picture_sizes(spark):
+    from sonoframe.operators import fields as D
+
+    cases = [(4000, 2048, 1025, 1.0, 1), (480_000, 2048, 1025, 1.0, 1), (60 * 48_000, 2048, 1025, 1.0, 1), (60 * 48_000, 8192, 4097, 1.0, 1), (60 * 48_000, 2048, 90, 1.0, 1), (48_000, 2048, 1025, 0.5, 1), (48_000, 2048, 1025, 0.001, 1), (48_000, 2048, 0, 0.0, 1)]
+    want = [(4000, 2048), (4096, 2048), (5625, 2048), (None, 4097), (None, 2048), (None, 4096), (None, 8192), (None, 2048)]
+    for (n, fft, bins, share, lanes), (columns, rows) in zip(cases, want):
+        got = tuple(spark.range(1).select(*D.picture_size(F.lit(n), fft, F.lit(bins), F.lit(share), F.lit(lanes))).first())
+        assert got[1] == rows and columns in (None, got[0])
+    columns, rows = spark.range(1).select(*D.picture_size(F.lit(3600 * 48_000), 8192, F.lit(4097), F.lit(1.0), F.lit(8))).first()
+    assert columns * rows * 8 <= 64_000_000 and columns > 1000
+
+
+def test_speakers():
+    from sonoframe.operators.signal import speaker_gains
+
+    assert speaker_gains(2, set(), True) == [(0, 1.0, 0.0), (1, 0.0, 1.0)]
+    assert speaker_gains(2, {1}, True) == [(0, 1.0, 1.0), (1, 0.0, 0.0)] and speaker_gains(1, set(), False) == [(0, 1.0, 1.0)]
+    assert speaker_gains(3, {0}, False) == [(0, 0.0, 0.0), (1, 0.0, 1.0), (2, 0.5, 0.0)] and speaker_gains(2, {0, 1}, True) == [(0, 0.0, 0.0), (1, 0.0, 0.0)]
 
 
 def test_natural_order(spark):

@@ -41,6 +41,14 @@ def new(spark, names, rules, **more):
         (R.Rules(number=("both", 1, 1, 2, "_")), "a.wav", "01_a_01.wav"),
         (R.Rules(number=(2, 1, 1, 2, "_")), "abc.wav", "a01bc.wav"),
         (R.Rules(extension="lower"), "A.WAV", "A.wav"),
+        (R.Rules(symbols=True), "take_one-two\t(é).wav", "take_one-twoé.wav"),
+        (R.Rules(cut=(5, 2)), "abcdefgh.wav", "abcdefgh.wav"),
+        (R.Rules(cut=(2, 3)), "abcdefgh.wav", "adefgh.wav"),
+        (R.Rules(cut=(9, 12)), "abcdefgh.wav", "abcdefgh.wav"),
+        (R.Rules(insert_number=(1, -3, 1, 5)), "a.wav", "-0003a.wav"),
+        (R.Rules(number=("prefix", 28, 1, 0, "_"), numerals="upper"), "a.wav", "AB_a.wav"),
+        (R.Rules(number=("prefix", -4, 1, 3, "_"), numerals="roman"), "a.wav", "-IV_a.wav"),
+        (R.Rules(pattern=r"(?<day>\d+)(?:x)([a-z)]+)", replacement=r"\2\1"), "12xab.wav", "ab12.wav"),
         (R.Rules(prefix="EE_", word_space=True, insert=("-", 5), suffix="_A"), "DawnChorus.wav", "EE_Dawn- Chorus_A.wav"),
     ],
 )
@@ -64,7 +72,8 @@ def test_collisions(spark):
     assert problems(["keep.wav", "a.wav"], fixed, unchosen=("keep.wav",)) == ["exists"]
     assert problems(["keep.wav", "a.wav", "b.wav"], fixed, unchosen=("keep.wav",)) == ["duplicate", "duplicate"]
     assert problems(["a.wav", "b.wav"], R.Rules(pattern="^(a|b)$", replacement="x$1")) == [None, None]
-    assert problems(["a.wav"], R.Rules(date=("prefix", "yyyy", "_"))) == ["no date"]
+    assert problems(["a.wav"], R.Rules(date=("prefix", "%Y", "_"))) == ["no date"]
+    assert problems(["a.wav"], R.Rules(date=("prefix", "%Q", "_"))) == problems(["a.wav"], R.Rules(pattern="[")) == ["rules"]
 
 
 def test_free_names_meet_other_stems(spark):
