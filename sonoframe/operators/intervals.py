@@ -28,12 +28,18 @@ def covering(points: DataFrame, regions: DataFrame, width: int, key: str = "rec_
 
 
 def into_stretches(points: DataFrame, stretches: DataFrame, key: str = "rec_id") -> DataFrame:
-    """Each point's frame moved into the first stretch that ends after it; past the last, to the first stretch's start."""
-    pairs = points.join(stretches, key)
-    first = F.min("lo").alias("start")
-    ahead = F.min(F.when(F.col("frame") < F.col("hi"), F.struct("lo", "hi"))).alias("next")
-    rows = pairs.groupBy(key, "frame").agg(first, ahead)
-    return rows.select(key, "frame", F.when(F.col("next").isNull(), F.col("start")).otherwise(F.greatest(F.col("frame"), F.col("next.lo"))).alias("moved"))
+    """Each point's frame moved into the first stretch (lo, hi; disjoint) that ends after it; past the last, to the first
+    stretch's start; without stretches it stays.
+
+    An as-of join: points and ends in one order from the last frame back, each point taking the stretch seen last. A
+    recording's rows stream by in one pass; no point meets any other stretch.
+    """
+    first = F.min("lo").over(Window.partitionBy(key))
+    ends = stretches.where("lo < hi").select(key, F.col("hi").alias("pos"), F.lit(0).alias("point"), "lo")
+    rows = points.where("frame is not null").select(key, F.col("frame").cast("long").alias("pos"), F.lit(1).alias("point"), F.lit(None).cast("long").alias("lo")).unionByName(ends)
+    back = Window.partitionBy(key).orderBy(F.desc("pos"), F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("next", F.last("lo", ignorenulls=True).over(back)).withColumn("first", first).where("point = 1")
+    return rows.select(key, F.col("pos").alias("frame"), F.when(F.col("next").isNull(), F.coalesce("first", "pos")).otherwise(F.greatest("pos", "next")).alias("moved"))
 
 
 def topmost(points: DataFrame, regions: DataFrame, width: int, key: str = "rec_id") -> DataFrame:
@@ -54,10 +60,18 @@ def extent(regions: DataFrame, frames: int, key: str = "rec_id") -> DataFrame:
     return rows.select(key, F.greatest(F.col("lo") - F.col("pad"), F.lit(0)).alias("lo"), F.least(F.col("hi") + F.col("pad"), F.lit(frames)).alias("hi"))
 
 
-def level_lookup(points: DataFrame, blocks: DataFrame, block: int, last: int, key: str = "rec_id") -> DataFrame:
-    """points (key, frame) with the levels of the block they stand in, the last block's beyond the end."""
-    at = F.least(F.floor(F.col("frame") / block), F.lit(last))
-    return points.withColumn("block", at).join(blocks, [key, "block"])
+def level_lookup(points: DataFrame, blocks: DataFrame, block: int, span: int = 1, key: str = "rec_id") -> DataFrame:
+    """points (key, frame, ...) with `block`, peak and rms over the `span` frames that end there: those of its block and of
+    the blocks before it, as many as the span holds whole, one at least. Past the end is the last block.
+
+    Blocks (key, block, peak, mean_square) weigh alike however many frames they have; missing ones count for nothing.
+    """
+    many = max(span // block, 1)
+    trail = Window.partitionBy(key).orderBy("block").rangeBetween(-(many - 1), 0)
+    levels = blocks.select(key, "block", F.max("peak").over(trail).alias("peak"), F.sqrt(F.avg("mean_square").over(trail)).alias("rms"))
+    last = blocks.groupBy(key).agg(F.max("block").alias("last"))
+    at = points.join(last, key).withColumn("block", F.least(F.expr(f"cast(frame as long) div {block}L"), "last")).drop("last")
+    return at.join(levels, [key, "block"])
 
 
 def cue_texts(points: DataFrame, texts: DataFrame, key: str = "rec_id") -> DataFrame:

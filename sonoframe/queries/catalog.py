@@ -11,6 +11,8 @@ from ..operators import catalog as C
 from ..registry import query
 from ..views import FILES, STAMPS, files, stamps, table
 
+c = F.col
+
 _KEY = natural_key_sql("lower(name)")
 
 
@@ -154,3 +156,23 @@ def xml_escape(spark: SparkSession, sf: str) -> DataFrame:
 @query("crlf", "select doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) as lines from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') text from (select doc_id, replace(text, '. ', '.' || chr(13)) text from documents))")
 def crlf(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(T.crlf(F.replace("text", F.lit(". "), F.lit(".\r")))).alias("lines"))
+
+
+@query("incremental_search", f"""with {FILES}, scans as (select folder root, g generation, path, extension, seconds from files, (select unnest([1, 2, 3]) g) where rec_id % (g + 1) > 0),
+ shows as (select distinct folder root, case right(folder, 1)::int % 3 when 0 then 1 when 1 then 2 else 3 end generation from files)
+ select root, generation, path from scans join shows using (root, generation) where seconds >= 10 and extension in ('wav', 'flac')""")
+def incremental_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Three scans of every folder, streamed in files of their own order; in a third of the folders none ends, in a third two do."""
+    from ..sources.dataset import shared_folder
+    from ..streaming import searching as W
+
+    rows = files(spark, sf).withColumn("generation", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(c("rec_id") % (c("generation") + 1) > 0)
+    rows = rows.select(c("folder").alias("root"), "generation", F.lit(False).alias("done"), "path", "extension", "seconds")
+    many = F.substring("folder", -1, 1).cast("int") % 3
+    ends = files(spark, sf).select("folder").distinct().withColumn("generation", F.explode(F.sequence(F.lit(1), F.lit(3)))).where((many == 1) & (c("generation") <= 2) | (many == 2))
+    ends = ends.select(c("folder").alias("root"), "generation", F.lit(True).alias("done"), *[F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("extension", "string"), ("seconds", "double"))])
+    folder = shared_folder(spark, "scans")
+    rows.unionByName(ends).repartition(6, "path").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    W.start(stream, f"{folder}/out", lambda: C.Search(format="wav", shortest=10.0).condition() | C.Search(format="flac", shortest=10.0).condition()).awaitTermination()
+    return W.shown(spark, f"{folder}/out").select("root", "generation", "path")

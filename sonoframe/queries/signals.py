@@ -43,11 +43,14 @@ def level_at(spark: SparkSession, sf: str) -> DataFrame:
     return S.levels_at(S.level_blocks(series(spark, sf), 10), 3).withColumn("peak", _r(c("peak"))).withColumn("rms", _r(c("rms")))
 
 
-@query("level_lookup", f"with {SERIES}, b as (select rec_id, frame // 10 as block, max(abs(x)) p from series group by all) select s.rec_id, s.frame, least((s.frame * 3) // 10, 5) as block, round(p * 1e6)::bigint peak from series s join b on s.rec_id = b.rec_id and b.block = least((s.frame * 3) // 10, 5)")
+@query("level_lookup", f"""with {SERIES}, b as (select rec_id, frame // 10 as block, max(abs(x)) p, sum(x * x) / count(*) m from series group by all), n as (select rec_id, max(block) last from b group by rec_id),
+ s as (select rec_id, frame, least(frame * 3 // 10, last) pos from series join n using (rec_id))
+ select s.rec_id, s.frame, pos as block, round(max(p) * 1e6)::bigint peak, round(sqrt(avg(m)) * 1e6)::bigint rms from s join b on s.rec_id = b.rec_id and b.block between pos - 2 and pos group by s.rec_id, s.frame, pos""")
 def level_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels over 35 frames, of blocks of 10; two thirds of the points lie past the end."""
     rows = series(spark, sf)
     points = rows.select("rec_id", c("frame").alias("at"), (c("frame") * 3).alias("frame"))
-    return I.level_lookup(points, S.level_blocks(rows, 10), 10, 5).select("rec_id", c("at").alias("frame"), "block", _r(c("peak")).alias("peak"))
+    return I.level_lookup(points, S.level_blocks(rows, 10), 10, 35).select("rec_id", c("at").alias("frame"), "block", _r(c("peak")).alias("peak"), _r(c("rms")).alias("rms"))
 
 
 @query("envelope", f"with {SIGNAL}, f as (select rec_id, least(floor(frame / 6.4), 9)::bigint col, min(x) lo, max(x) hi from signal group by all) select rec_id, col as \"column\", round(lo * 1e6)::bigint lo, round(hi * 1e6)::bigint hi from f")
@@ -121,7 +124,8 @@ def segments_merge(spark: SparkSession, sf: str) -> DataFrame:
     return I.merged(intervals(spark, sf), 6000, 64)
 
 
-@query("into_stretches", f"with {INTERVALS}, {_MERGED}, p as (select distinct rec_id, (key * 37) % 7000 frame from intervals) select p.rec_id, p.frame, coalesce(greatest(p.frame, min(case when p.frame < hi then lo end)), min(lo)) moved from p join stretches s using (rec_id) group by p.rec_id, p.frame".replace("coalesce(greatest(p.frame, min(case when p.frame < hi then lo end)), min(lo))", "case when count(case when p.frame < hi then 1 end) > 0 then greatest(p.frame, min(case when p.frame < hi then lo end)) else min(lo) end"))
+@query("into_stretches", f"""with {INTERVALS}, {_MERGED}, p as (select distinct rec_id, (key * 37) % 7000 frame from intervals)
+ select p.rec_id, p.frame, case when min(hi) is null then p.frame when count(case when p.frame < hi then 1 end) > 0 then greatest(p.frame, min(case when p.frame < hi then lo end)) else min(lo) end moved from p left join stretches s using (rec_id) group by p.rec_id, p.frame""")
 def into_stretches(spark: SparkSession, sf: str) -> DataFrame:
     rows = intervals(spark, sf)
     points = rows.select("rec_id", (c("key") * 37 % 7000).alias("frame")).distinct()

@@ -1,8 +1,8 @@
-"""Streams of samples: level blocks by event time, held peaks, and a catalog that keeps itself up to date."""
+"""Streams of samples: level blocks by event time, and held peaks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,12 +58,3 @@ def peak_hold_batch(levels: DataFrame, key: str = "user_id") -> DataFrame:
 
     rows = levels.select(F.col(key).cast("long").alias("key"), "at", "level").where("key is not null and at is not null and level is not null")
     return rows.repartition("key").sortWithinPartitions("key", "at", "level").mapInPandas(work, "key long, at double, shown double")
-
-
-def refreshed(target: str, condition: Callable[[], object]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the filter is tried on new rows only, and what passes is added to the table at `target`."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.where(condition()).write.mode("append").parquet(target)
-
-    return write
