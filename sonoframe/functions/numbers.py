@@ -195,6 +195,65 @@ def view(start: Column, length: Column, frames: Column, rate: int) -> tuple[Colu
     return F.greatest(F.lit(0).cast("long"), F.least(start, frames - length)), length
 
 
+def zoomed(start: Column, length: Column, anchor: Column, factor: Column, frames: Column, rate: int) -> tuple[Column, Column]:
+    """A view zoomed by a factor, with the anchor staying where it is on screen, within the file."""
+    new = length * factor
+    return view(anchor - (anchor - start) / length * new, new, frames, rate)
+
+
+def paged(start: Column, length: Column, playhead: Column, frames: Column, rate: int) -> Column:
+    """A view's start as the playhead moves: past nine tenths, unless the view ends where the file does, or before the start, it moves back to one tenth."""
+    past = (playhead > start + 0.9 * length) & (start + length < frames)
+    return F.when(past | (playhead < start), view(playhead - 0.1 * length, length, frames, rate)[0]).otherwise(start)
+
+
+#: The highest frequency that a band is set to.
+HIGHEST_HZ = 1_000_000.0
+
+
+def band(lo: Column, hi: Column, rate: Column, fft: int, logarithmic: bool) -> tuple[Column, Column]:
+    """The band drawn of one asked for: two bins up at least and at most a megahertz, or what the file holds; never down to 0 on a log axis."""
+    nyquist, one = rate / 2, rate / fft
+    top = F.greatest(F.least(hi, F.greatest(F.lit(HIGHEST_HZ), nyquist)), one * 2)
+    return F.least(F.greatest(lo, one if logarithmic else F.lit(0.0)), top - one), top
+
+
+def held_band(lo: Column, hi: Column, rate: Column, fft: int, logarithmic: bool) -> tuple[Column, Column]:
+    """The part of a band that the file holds, up to half its rate; nulls where the band starts above that."""
+    low, high = band(lo, hi, rate, fft, logarithmic)
+    some = low < rate / 2
+    return F.when(some, low), F.when(some, F.least(high, rate / 2))
+
+
+#: For each setting the least and most it may be, and what it is without a number; transform sizes and speeds to choose from.
+BOUNDS = {"brightness": (-20.0, 80.0, 0.0), "contrast": (20.0, 160.0, 90.0), "gain": (-60.0, 60.0, 0.0), "pitch": (-48.0, 48.0, 0.0), "band_low": (0.0, HIGHEST_HZ, 0.0), "area_width": (1.0, 8.0, 3.0), "area_fill": (0.0, 0.6, 0.18)}
+FFT_SIZES, USUAL_FFT = (512, 1024, 2048, 4096, 8192), 2048
+SLOW_SPEEDS, FAST_SPEEDS = (0.1, 0.125, 0.25, 0.5), (1.0, 2.0, 4.0, 8.0)
+
+
+def setting(name: str, value: Column) -> Column:
+    """A setting within its bounds; what isn't a finite number is its usual value. Pitches are whole."""
+    least, most, usual = BOUNDS[name]
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    kept = F.when(finite, F.greatest(F.lit(least), F.least(F.lit(most), value))).otherwise(usual)
+    return F.round(kept) if name == "pitch" else kept
+
+
+def fft_setting(size: Column) -> Column:
+    return F.when(size.isin(*FFT_SIZES), size).otherwise(USUAL_FFT)
+
+
+def speed_setting(speed: Column, slow: bool) -> Column:
+    """The preset that a speed is; slow ones only where they are on offer, else normal."""
+    presets = (*(SLOW_SPEEDS if slow else ()), *FAST_SPEEDS)
+    return F.coalesce(*[F.when(F.abs(speed - x) < 1e-9, F.lit(x)) for x in presets], F.lit(1.0))
+
+
+def band_high_setting(hz: Column) -> Column:
+    """The upper end of a band, at most a megahertz; null for none."""
+    return F.when((hz > 0) & (hz < float("inf")), F.least(hz, F.lit(HIGHEST_HZ)))
+
+
 def size_text(size: Column) -> Column:
     """Megabytes with one decimal under 100, none from there on."""
     mb = size.cast("decimal(20,0)") / 1_000_000

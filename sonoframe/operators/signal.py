@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def given_channels(signal: DataFrame, channels: int) -> DataFrame:
+    """Rows (rec_id, channel, frame, x) with `channels` channels: further ones are left out, missing ones repeat the last there is."""
+    last = signal.groupBy("rec_id").agg(F.max("channel").alias("last"))
+    wanted = last.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1)))).withColumn("of", F.least("channel", "last"))
+    return wanted.select("rec_id", F.col("channel").cast("int").alias("channel"), "of").join(signal.withColumnRenamed("channel", "of"), ["rec_id", "of"]).drop("of")
+
+
 def read_frames(signal: DataFrame, first: int, count: int) -> DataFrame:
     """Frames first to first + count - 1 of every recording, zeros where it has none, and how many there are."""
     wanted = signal.select("rec_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)).cast("array<bigint>")))
@@ -109,6 +116,29 @@ def colour_index(level: Column, brightness: float, contrast: float) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (level + brightness) / contrast + 1)) * 255).cast("long")
 
 
+def between_bins(levels: Column, bin_: Column, bins: int) -> Column:
+    """The level at a place between two bins, by a line between theirs; the outermost two go on."""
+    below = F.least(F.greatest(F.floor(bin_), F.lit(0)), F.lit(bins - 2)).cast("int")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), bin_ - below))
+    a, b = F.get(levels, below), F.get(levels, below + 1)
+    return a + (b - a) * t
+
+
+def picture_rows(levels: Column, bins: int, bin_hz: float, lo: float, hi: float, logarithmic: bool, rows: int, brightness: float, contrast: float) -> Column:
+    """A column of a picture, `rows` colours from the highest frequency down: a row that is a bin tall or more shows the
+    loudest bin it covers, a shorter one the level between the two bins nearest its middle."""
+    at = lambda t: lo * F.pow(F.lit(hi / lo), t) if logarithmic else lo + (hi - lo) * t
+
+    def one(row: Column) -> Column:
+        top, bottom, middle = at(1 - row / rows), at(1 - (row + 1) / rows), at(1 - (row + 0.5) / rows)
+        first = F.least(F.floor(bottom / bin_hz), F.lit(bins - 1)).cast("int")
+        last = F.least(F.greatest(F.ceil(top / bin_hz).cast("int"), first + 1), F.lit(bins))
+        loudest = F.greatest(F.array_max(F.slice(levels, first + 1, last - first)), F.lit(-200.0))
+        return colour_index(F.when(top - bottom < bin_hz, between_bins(levels, middle / bin_hz, bins)).otherwise(loudest), brightness, contrast)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), one)
+
+
 def pcm_md5(samples: Column, bits: int) -> Column:
     """The MD5 of whole samples as little-endian signed numbers of as many bytes as `bits` take."""
     byte = lambda x, i: F.substring(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) + F.lit(256)), 2, 2)

@@ -40,9 +40,11 @@ def decode_pcm(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", (c("first_frame") + c("i")).alias("frame"), F.round(c("x") * 32768).cast("long").alias("sample"))
 
 
-@query("key_values", "select event_id as key, 0::bigint ord, event_type as name, value::varchar || ':x' as value from events where value = floor(value) or true")
+@query("key_values", "select event_id as key, 1::bigint ord, event_type as name, value::varchar || ':x' || chr(10) || 'y' as value from events union all select event_id, 3, 'Note', '' from events where event_id % 3 = 0")
 def key_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit(":  "), c("value").cast("string"), F.lit(":x\nno pair")).alias("text"))
+    """A version line, a pair with a colon and an escape in its value, a line without a pair, and a third of the times an empty value."""
+    note = F.when(c("event_id") % 3 == 0, "\r\nNote:").otherwise("")
+    rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("GUANO|Version: 1.0\n "), "event_type", F.lit(" :  "), c("value").cast("string"), F.lit(":x\\ny\nno pair"), note).alias("text"))
     return M.key_values(rows, "event_id", "text")
 
 
@@ -52,6 +54,56 @@ def xml_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return M.xml_rows(table(spark, sf, "orders").select("o_orderkey", xml.alias("xml")), "o_orderkey", "xml")
 
 
+@query("xml_numbered", "select o_orderkey as key, o::bigint ord, ['ORDER / STATUS', 'ORDER / LINE 1 / PRIORITY', 'ORDER / LINE 2 / PRIORITY', 'ORDER / LINE 3', 'ORDER / DATE'][o + 1] path, [o_orderstatus, o_orderpriority, '2 ' || o_orderpriority, 'x', strftime(o_orderdate, '%Y')][o + 1] as value from orders, (select unnest(generate_series(0, 4)) o)")
+def xml_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Siblings of one name have numbers, an empty one too."""
+    p = c("o_orderpriority")
+    xml = F.concat(F.lit("<ORDER><STATUS>"), "o_orderstatus", F.lit("</STATUS><LINE><PRIORITY>"), p, F.lit("</PRIORITY></LINE><LINE><PRIORITY>2 "), p, F.lit("</LINE><LINE>x</LINE><DATE>"), F.date_format("o_orderdate", "yyyy"), F.lit("</DATE></ORDER>"))
+    return M.xml_rows(table(spark, sf, "orders").select("o_orderkey", xml.alias("xml")), "o_orderkey", "xml", numbered=True)
+
+
+@query("track_rows", """select o_orderkey as key, o::bigint ord, ['PROJECT', 'Track 1', 'Track 2', 'SPEED / NOTE'][o + 1] path, ['p ' || o_orderkey, o_orderpriority || case when o_orderkey % 2 = 0 then ', ' || o_orderstatus else '' end, 'M/S', 'n'][o + 1] as value
+ from orders, (select unnest(generate_series(0, 3)) o)""")
+def track_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks by their channel, with name and function, either of which may lack; other elements by their path."""
+    function = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("<FUNCTION>"), "o_orderstatus", F.lit("</FUNCTION>"))).otherwise("")
+    xml = F.concat(F.lit("<BWFXML><PROJECT>p "), c("o_orderkey").cast("string"), F.lit("</PROJECT><TRACK_LIST><TRACK_COUNT>2</TRACK_COUNT><TRACK><CHANNEL_INDEX>1</CHANNEL_INDEX><NAME>"), "o_orderpriority", F.lit("</NAME>"), function, F.lit("</TRACK><TRACK><CHANNEL_INDEX>2</CHANNEL_INDEX><NAME/><FUNCTION>M/S</FUNCTION></TRACK></TRACK_LIST><SPEED><NOTE>n</NOTE><EMPTY/></SPEED></BWFXML>"))
+    return M.detail_rows(table(spark, sf, "orders").select("o_orderkey", xml.alias("xml")), "o_orderkey", "xml")
+
+
+@query("chapter_markers", """select l_orderkey rec_id, l_linenumber::bigint id, round((60 * l_linenumber + l_partkey % 60 + 0.25) * 48000)::bigint frame, case when l_partkey % 3 = 0 then 0 when l_partkey % 3 = 1 then greatest(round(l_quantity * 48000)::bigint - 12000, 0) else 0 end::bigint length,
+ case when l_partkey % 2 = 0 then l_returnflag else '' end label, l_linestatus note from (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) = 1)""")
+def chapter_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as chapters: some without a name or an end, some that end before they start."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, sf, "lineitem").withColumn("n", first).where("n = 1")
+    key = F.format_string("CHAPTER%03d", c("l_linenumber"))
+    clock = lambda s: F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.format_string("%06.3f", s % 60))
+    start = 60 * c("l_linenumber") + c("l_partkey") % 60 + F.lit(0.25)
+    stop = F.when(c("l_partkey") % 3 == 1, start + c("l_quantity") - 0.25).when(c("l_partkey") % 3 == 2, F.greatest(start - 20, F.lit(0.0)))
+    parts = [(key, clock(start)), (F.lower(F.concat(key, F.lit("NAME"))), F.when(c("l_partkey") % 2 == 0, c("l_returnflag"))), (F.concat(key, F.lit("Note")), c("l_linestatus")), (F.concat(key, F.lit("END")), clock(stop))]
+    fields = rows.select(c("l_orderkey").alias("rec_id"), F.explode(F.array(*[F.struct(k.alias("name"), v.alias("value")) for k, v in parts])).alias("x")).select("rec_id", "x.*").where("value is not null")
+    return M.chapter_markers(fields, 48000)
+
+
+@query("mark_bodies", """with m as (select c_custkey, vec_id, (c_custkey * 37 % 64)::bigint frame, case when c_custkey % 3 = 0 then c_custkey % 9 else 0 end::bigint length, case when c_custkey % 4 = 0 then null else c_mktsegment end label, case when c_custkey % 5 = 0 then c_name end note from customer join embeddings on vec_id = c_custkey % 700)
+ select vec_id || '.wav' path, c_custkey::bigint id, frame, length, label, note, 'T' || vec_id title from m""")
+def mark_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as markers of WAV files, and a title, written to bytes and read again."""
+    from ..sources import patches as B
+
+    marks = table(spark, sf, "customer").select((c("c_custkey") % 700).alias("vec_id"), F.struct(
+        c("c_custkey").alias("id"), (c("c_custkey") * 37 % 64).alias("frame"), F.when(c("c_custkey") % 3 == 0, c("c_custkey") % 9).otherwise(0).alias("length"),
+        F.when(c("c_custkey") % 4 > 0, c("c_mktsegment")).alias("label"), F.when(c("c_custkey") % 5 == 0, c("c_name")).alias("note")).alias("m"))
+    marks = marks.groupBy("vec_id").agg(F.collect_list("m").alias("markers")).withColumn("path", F.concat(c("vec_id").cast("string"), F.lit(".wav")))
+    info = F.array(F.struct(F.lit("INAM").alias("id"), F.concat(F.lit("T"), c("vec_id").cast("string")).alias("text")))
+    rows = _wavs(spark, sf).join(marks, "path").select("path", "content", "markers", info.alias("info"))
+    found = R.headers(B.patched(rows))
+    return found.select("path", F.element_at("info", 1)["text"].alias("title"), F.explode("markers").alias("m")).select("path", "m.*", "title")
+
+
 @query("chapters", "select o_orderkey rec_id, 1::bigint n, o_orderdate::date::varchar as start, o_orderpriority title, null::varchar note, case when o_orderkey % 2 = 0 then o_orderstatus end stop from orders")
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(c("o_orderkey").alias("rec_id"), F.explode(F.array(

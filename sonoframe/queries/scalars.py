@@ -254,3 +254,37 @@ def frequency_ticks(spark: SparkSession, sf: str) -> DataFrame:
     ticks = N.log_ticks(c("p_size").cast("double"), c("p_retailprice") * 10, c("p_partkey") % 40 * 10 + 40, F.lit(16))
     rows = table(spark, sf, "part").select("p_partkey", ticks.alias("t"))
     return rows.select("p_partkey", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"))
+
+
+@query("zoom_view", """with v as (select l_orderkey, l_linenumber, (l_quantity * 100)::double s, (l_partkey % 4000 + 100)::double n, case l_linenumber % 3 when 0 then 0.5 when 1 then 2 else 0.001 end f, (l_quantity * 100 + l_suppkey)::double a from lineitem),
+ z as (select *, least(greatest(n * f, 64), 10000) m from v) select l_orderkey, l_linenumber, round(greatest(0, least(a - (a - s) / n * (n * f), 10000 - m)) * 1e3)::bigint as start, round(m * 1e3)::bigint as length,
+ round(case when a > s + 0.9 * n and s + n < 10000 or a < s then greatest(0, least(a - 0.1 * n, 10000 - least(greatest(n, 64), 10000))) else s end * 1e3)::bigint page from z""")
+def zoom_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Views zoomed around an anchor, and paged by a playhead there."""
+    s, n, a = (c("l_quantity") * 100).cast("double"), (c("l_partkey") % 4000 + 100).cast("double"), (c("l_quantity") * 100 + c("l_suppkey")).cast("double")
+    f = F.when(c("l_linenumber") % 3 == 0, 0.5).when(c("l_linenumber") % 3 == 1, 2.0).otherwise(0.001)
+    start, length = N.zoomed(s, n, a, f, F.lit(10000.0), 48000)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _e(start, 1e3).alias("start"), _e(length, 1e3).alias("length"), _e(N.paged(s, n, a, F.lit(10000.0), 48000), 1e3).alias("page"))
+
+
+@query("band_limits", """with b as (select p_partkey, p_size * 1000.0::double lo, p_retailprice * 37.0::double hi, case p_partkey % 3 when 0 then 8000 when 1 then 48000 else 4000000 end::double rate from part), t as (select *, rate / 2048 bin, greatest(least(hi, greatest(1e6, rate / 2)), rate / 2048 * 2) top from b),
+ l as (select *, least(greatest(lo, bin), top - bin) low from t) select p_partkey, round(low * 1e3)::bigint low, round(top * 1e3)::bigint high, round(case when low < rate / 2 then low end * 1e3)::bigint held_low, round(case when low < rate / 2 then least(top, rate / 2) end * 1e3)::bigint held_high from l""")
+def band_limits(spark: SparkSession, sf: str) -> DataFrame:
+    lo, hi = c("p_size") * 1000.0, c("p_retailprice") * 37.0
+    rate = F.when(c("p_partkey") % 3 == 0, 8000.0).when(c("p_partkey") % 3 == 1, 48000.0).otherwise(4000000.0)
+    low, high = N.band(lo, hi, rate, 2048, True)
+    held_low, held_high = N.held_band(lo, hi, rate, 2048, True)
+    return table(spark, sf, "part").select("p_partkey", _e(low, 1e3).alias("low"), _e(high, 1e3).alias("high"), _e(held_low, 1e3).alias("held_low"), _e(held_high, 1e3).alias("held_high"))
+
+
+@query("sane_settings", """select p_partkey, case when p_partkey % 7 = 0 then 0 else greatest(-20, least(80, v)) end brightness, case when p_partkey % 7 = 0 then 90 else greatest(20, least(160, v)) end contrast, case when p_partkey % 7 = 0 then 0 else round(greatest(-48, least(48, v / 3))) end pitch,
+ case when f in (512, 1024, 2048, 4096, 8192) then f else 2048 end::int fft, case when s in (1, 2, 4, 8) then s else 1 end::double speed, case when s in (0.1, 0.125, 0.25, 0.5, 1, 2, 4, 8) then s else 1 end::double slow_speed, case when v > 0 then least(v * 20000, 1e6) end band_high
+ from (select p_partkey, (p_retailprice - 1000)::double v, 256 << (p_partkey % 8)::int f, [0.1, 0.125, 0.5, 1, 2, 3, 8, 16][p_partkey % 8 + 1]::double s from part)""")
+def sane_settings(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.when(c("p_partkey") % 7 == 0, F.when(c("p_partkey") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(None).cast("double"))).otherwise(c("p_retailprice") - 1000)
+    f = F.expr("shiftleft(256L, cast(p_partkey % 8 as int))")
+    s = F.element_at(F.array(*map(F.lit, (0.1, 0.125, 0.5, 1.0, 2.0, 3.0, 8.0, 16.0))), (c("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        "p_partkey", N.setting("brightness", v).alias("brightness"), N.setting("contrast", v).alias("contrast"), N.setting("pitch", v / 3).alias("pitch"), N.fft_setting(f).cast("int").alias("fft"),
+        N.speed_setting(s, False).alias("speed"), N.speed_setting(s, True).alias("slow_speed"), N.band_high_setting((c("p_retailprice") - 1000) * 20000).alias("band_high"),
+    )

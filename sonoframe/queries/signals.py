@@ -97,10 +97,33 @@ def colour_index(spark: SparkSession, sf: str) -> DataFrame:
     return signal(spark, sf).select("rec_id", "frame", S.colour_index(c("x") * 200 - 60, 10.0, 90.0).alias("colour"))
 
 
-@query("level_interp", "select vec_id rec_id, round((embedding[11]::double * 0.75 + embedding[12]::double * 0.25) * 1e6)::bigint x from embeddings")
+@query("level_interp", "select vec_id rec_id, round((embedding[b + 1]::double + (embedding[b + 2]::double - embedding[b + 1]::double) * least(1, greatest(0, p - b))) * 1e6)::bigint x from (select *, least(greatest(floor(p), 0), 62)::int b from (select vec_id, embedding, vec_id % 131 / 2.0::double - 0.75 p from embeddings))")
 def level_interp(spark: SparkSession, sf: str) -> DataFrame:
-    a = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), _r(a(10) + (a(11) - a(10)) * 0.25).alias("x"))
+    """At places from before the first bin to past the last."""
+    at = (c("vec_id") % 131) / 2 - 0.75
+    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), _r(S.between_bins(c("embedding").cast("array<double>"), at, 64)).alias("x"))
+
+
+_ROWS = 9
+_AT = lambda t: f"(40 * pow(4000 / 40.0, {t}))"
+
+
+@query("picture_rows", f"""with r as (select r, {_AT(f"1 - r / {_ROWS}.0")} top, {_AT(f"1 - (r + 1) / {_ROWS}.0")} bottom, {_AT(f"1 - (r + 0.5) / {_ROWS}.0")} / 62.5 mid from (select unnest(generate_series(0, {_ROWS - 1})) r)),
+ b as (select *, least(floor(bottom / 62.5), 63)::int first, least(greatest(ceil(top / 62.5)::int, least(floor(bottom / 62.5), 63)::int + 1), 64) last, least(greatest(floor(mid), 0), 62)::int below from r),
+ l as (select vec_id rec_id, r, case when top - bottom < 62.5 then x[below + 1] + (x[below + 2] - x[below + 1]) * least(1, greatest(0, mid - below)) else greatest(list_max(x[first + 1:last]), -200) end as level from b, (select vec_id, list_transform(embedding, lambda v: v::double * 300 - 60) x from embeddings))
+ select rec_id, r::int as "row", floor(greatest(0, least(1, (level + 10) / 90 + 1)) * 255)::bigint colour from l""")
+def picture_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A log axis from 40 to 4000 Hz in nine rows: the low ones are less than a bin tall, the high ones many."""
+    levels = F.transform("embedding", lambda v: v.cast("double") * 300 - 60)
+    rows = S.picture_rows(levels, 64, 62.5, 40.0, 4000.0, True, _ROWS, 10.0, 90.0)
+    return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), F.posexplode(rows).alias("row", "colour"))
+
+
+@query("given_channels", "with p as (select vec_id // 2 rec_id, (vec_id % 2)::int channel, unnest(generate_series(0, 63))::bigint frame, unnest(embedding)::double x from embeddings), n as (select rec_id, max(channel) last from p group by rec_id), w as (select unnest([0, 1, 2])::int c) select rec_id, c channel, frame, round(x * 1e6)::bigint x from p join n using (rec_id) join w on p.channel = least(c, last)")
+def given_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Three channels of recordings of two, or one."""
+    rows = signal(spark, sf).withColumn("channel", (c("rec_id") % 2).cast("int")).withColumn("rec_id", F.floor(c("rec_id") / 2))
+    return S.given_channels(rows, 3).select("rec_id", "channel", "frame", _r(c("x")).alias("x"))
 
 
 _PCM = "md5(unhex(array_to_string(list_transform(embedding, lambda x: {bytes}), '')))"

@@ -163,7 +163,7 @@ def markers(bodies: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int, str
     out = []
     for key, *_, frame in points:
         text = named.pop(key, None)
-        out.append((key, frame, extent.pop(key, 0), label.pop(key, None) or text, note.pop(key, None)))
+        out.append((key, frame, extent.pop(key, 0), label.pop(key, None) or text or None, note.pop(key, None)))
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 
