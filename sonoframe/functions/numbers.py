@@ -255,9 +255,9 @@ def band_high_setting(hz: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Megabytes with one decimal under 100, none from there on."""
+    """Megabytes with one decimal under 100, none from there on; halves go to even."""
     mb = size.cast("decimal(20,0)") / 1_000_000
-    return F.when(size >= 100_000_000, F.concat(F.round(mb, 0).cast("decimal(20,0)").cast("string"), F.lit(" MB"))).otherwise(F.concat(F.round(mb, 1).cast("decimal(20,1)").cast("string"), F.lit(" MB")))
+    return F.when(size >= 100_000_000, F.concat(F.bround(mb, 0).cast("decimal(20,0)").cast("string"), F.lit(" MB"))).otherwise(F.concat(F.bround(mb, 1).cast("decimal(20,1)").cast("string"), F.lit(" MB")))
 
 
 def level_text(db: Column) -> Column:

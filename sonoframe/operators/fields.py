@@ -10,32 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The names of RIFF INFO fields.
-INFO = {
-    "INAM": "Title", "IART": "Artist", "ICMT": "Comment", "ISBJ": "Subject", "IKEY": "Keywords", "ICRD": "Date", "IGNR": "Genre",
-    "ICOP": "Copyright", "IENG": "Engineer", "ITCH": "Technician", "ISRC": "Source", "IPRD": "Product", "ISFT": "Software",
-}
-
-
-def info_name(key: Column) -> Column:
-    """A field's name, or its key where it has none."""
-    out = key
-    for k, v in INFO.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
-
-
-def key_allowed(kind: Column, key: Column) -> Column:
-    """Whether a key can stand in a tag of a kind: id3v2, vorbis or ape."""
-    frame = key.rlike("^[TW][A-Z0-9]{3}$|^COMM$|^USLT$") & ~key.isin("TXXX", "WXXX")
-    named = key.rlike("(?s)^(TXXX|WXXX|COMM|USLT):")
-    return (
-        F.when(kind == "id3v2", F.when(key.contains(":"), named).otherwise(frame))
-        .when(kind == "vorbis", key.rlike("^[ -<>-}]+$"))
-        .when(kind == "ape", key.rlike(r"(?s)^[\x00-\x7f]{2,255}$"))
-    )
-
-
 def description(*candidates: Column) -> Column:
     """The first of several texts that people wrote."""
     from ..functions.text import human_text

@@ -1,6 +1,6 @@
 """Tags of files: what their fields are called, which keys a kind takes, and the dates and texts that a search reads.
 
-Kinds are id3v2, id3v1, mp4, aiff, vorbis, ape and guano. Defined results: a null kind or key has a null name and is not
+Kinds are id3v2, id3v1, mp4, aiff, vorbis, ape, guano and info (RIFF). Defined results: a null kind or key has a null name and is not
 allowed; a null value is no date and no text; empty tables give empty tables; rows may repeat and keep their order by ord.
 """
 
@@ -33,6 +33,11 @@ MP4 = {
 #: The names of AIFF's text chunks, and all fields of ID3v1.
 AIFF = {"NAME": "Name", "AUTH": "Author", "(c) ": "Copyright", "ANNO": "Annotation", "COMT": "Comment"}
 ID3V1 = ("Title", "Artist", "Album", "Year", "Comment", "Track")
+#: The names of RIFF INFO fields.
+INFO = {
+    "INAM": "Title", "IART": "Artist", "ICMT": "Comment", "ISBJ": "Subject", "IKEY": "Keywords", "ICRD": "Date", "IGNR": "Genre",
+    "ICOP": "Copyright", "IENG": "Engineer", "ITCH": "Technician", "ISRC": "Source", "IPRD": "Product", "ISFT": "Software",
+}
 #: The bytes that a Broadcast WAV field holds.
 BEXT_BYTES = {"Description": 256, "Originator": 32, "Reference": 32, "Date": 10, "Time": 8}
 #: Which field of a kind names which date; vorbis and ape keys in any case.
@@ -56,6 +61,7 @@ def label(kind: Column, key: Column) -> Column:
         F.when(kind == "id3v2", F.coalesce(_named(ID3V2, frame), bare, described, key))
         .when(kind == "mp4", F.coalesce(_named(MP4, key), F.substring_index(key, ":", -1)))
         .when(kind == "aiff", F.coalesce(_named(AIFF, key), key))
+        .when(kind == "info", F.coalesce(_named(INFO, key), key))
         .when(kind == "vorbis", F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words))))
         .when(kind.isNotNull(), key)
     )

@@ -137,10 +137,10 @@ def parse_stamp(spark: SparkSession, sf: str) -> DataFrame:
     return stamps(spark, sf).withColumn("x", T.parse_stamp(F.col("stamp"))).select("rec_id", "stamp", "x.start", F.col("x.end").alias("stop"))
 
 
-@query("stamp_text", f"with {_PARSED} select rec_id, case p when 'year' then strftime(moment, '%Y') when 'month' then strftime(moment, '%Y-%m') when 'day' then strftime(moment, '%Y-%m-%d') when 'minute' then strftime(moment, '%Y-%m-%d %H:%M') else strftime(moment, '%Y-%m-%d %H:%M:%S') end as shown from parsed where p is not null")
+@query("stamp_text", f"with {_PARSED} select rec_id, case p when 'year' then strftime(moment, '%Y') when 'month' then strftime(moment, '%Y-%m') when 'day' then strftime(moment, '%Y-%m-%d') when 'minute' then strftime(moment, '%Y-%m-%d %H:%M') when 'second' then strftime(moment, '%Y-%m-%d %H:%M:%S') end as shown from parsed")
 def stamp_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stamps(spark, sf).withColumn("x", T.parse_stamp(F.col("stamp"))).where("x.start is not null")
-    return rows.select("rec_id", T.stamp_text(F.col("x.start"), F.col("x.end")).alias("shown"))
+    rows = stamps(spark, sf).withColumn("x", T.parse_stamp(F.col("stamp")))
+    return rows.select("rec_id", F.when(F.col("x.start").isNotNull(), T.stamp_text(F.col("x.start"), F.col("x.end"))).alias("shown"))
 
 
 @query("human_text", "select doc_id, nullif(array_to_string(list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(13) || chr(9)), '[\r\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^[a-z][A-Z0-9_]{1,15}=')), ' '), '') human from documents")

@@ -81,18 +81,30 @@ def carry_check(spark: SparkSession, sf: str) -> DataFrame:
     return V.lost_markers(before, after, 48000)
 
 
-@query("next_free_name", f"with {FILES}, w as (select folder, rec_id place, lower(split_part(name, ' ', 1)) stem from files), n as (select *, row_number() over (partition by folder, stem order by place) k from w) select folder, place, case when k = 1 then stem else stem || ' ' || k end || '.flac' as name from n")
+@query("next_free_name", f"""with {FILES}, w as (select folder, rec_id place, lower(split_part(name, ' ', 1)) stem from files), k as (select *, row_number() over (partition by folder, stem order by place) k from w),
+ taken as (select folder, lower(split_part(name, ' ', 1)) stem, case rec_id % 6 when 0 then 1 when 1 then 2 else 4 end n from files where rec_id % 6 < 3),
+ free as (select s.folder, s.stem, n, row_number() over (partition by s.folder, s.stem order by n) k from (select distinct folder, stem from w) s, (select unnest(generate_series(1, (select max(k) + 3 from k))) n) where (s.folder, s.stem, n) not in (select (folder, stem, n) from taken))
+ select k.folder, k.place, case when n = 1 then stem else stem || ' ' || n end || '.flac' as name from k join free using (folder, stem, k)""")
 def next_free_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files have taken a name that others would get: the first, the second or the fourth, in capitals."""
     rows = files(spark, sf)
-    wanted = rows.select("folder", c("rec_id").alias("place"), F.lower(F.split("name", " ")[0]).alias("stem"), F.lit("flac").alias("ext"))
-    return V.free_names(wanted, rows.select("folder", "name"))
+    stem = F.lower(F.split("name", " ")[0])
+    wanted = rows.select("folder", c("rec_id").alias("place"), stem.alias("stem"), F.lit("flac").alias("ext"))
+    number = F.when(c("rec_id") % 6 == 0, "").when(c("rec_id") % 6 == 1, " 2").when(c("rec_id") % 6 == 2, " 4")
+    return V.free_names(wanted, rows.select("folder", F.upper(F.concat(stem, number, F.lit(".flac"))).alias("name")))
 
 
 def _arrays(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(c("vec_id").alias("rec_id"), c("embedding").cast("array<double>").alias("samples"))
 
 
-@query("sample_hash")
+#: A 64-bit number v times the hash's factor, modulo 2^64, in parts that 128 bits hold.
+_STAR = 0x517CC1B727220A95
+_MULTIPLIED = f"((({{v}} & 4294967295) * {_STAR} + (((({{v}} >> 32) * {_STAR & 0xFFFFFFFF}) & 4294967295) << 32)) & {(1 << 64) - 1})"
+
+
+@query("sample_hash", """with b as (select vec_id, list_transform(embedding, lambda x: case when x = 0 then 0 else case when x < 0 then 2147483648 else 0 end + ((floor(log2(abs(x::double)))::bigint + 127) << 23) + ((abs(x::double) / pow(2, floor(log2(abs(x::double)))) - 1) * 8388608)::bigint end::hugeint) bits from embeddings),
+ h as (select vec_id, list_reduce(bits, lambda h, x: {mul}, 14695981039346656037::hugeint) h from b) select vec_id rec_id, lpad(lower(to_hex(h::ubigint)), 16, '0') digest from h""".replace("{mul}", _MULTIPLIED.format(v=f"xor(((h << 5) & {(1 << 64) - 1}) | (h >> 59), x)")))
 def sample_hash(spark: SparkSession, sf: str) -> DataFrame:
     return V.sample_hash(_arrays(spark, sf))
 
@@ -132,9 +144,11 @@ def verify(spark: SparkSession, sf: str) -> DataFrame:
     return V.verified(written, read)
 
 
-@query("export_name", """select folder, p_partkey place, case when k = 1 then stem || '.png' else stem || ' ' || k || '.png' end as name from (select *, row_number() over (partition by folder, stem order by p_partkey) k
- from (select p_partkey, p_brand folder, lower(split_part(p_name, ' ', 1)) || ' 1.00-' || printf('%.2f', 1 + p_size / 10.0) || ' s' stem from part))""")
+@query("export_name", """with w as (select p_partkey, p_brand folder, p_size, lower(split_part(p_name, ' ', 1)) || ' 1.00-' || printf('%.2f', 1 + p_size / 10.0) || ' s' stem from part), k as (select *, row_number() over (partition by folder, stem order by p_partkey) k from w),
+ taken as (select distinct folder, stem from w where p_size % 2 = 0)
+ select folder, p_partkey place, case when k + t = 1 then stem || '.png' else stem || ' ' || (k + t) || '.png' end as name from (select k.*, case when t.stem is null then 0 else 1 end t from k left join taken t using (folder, stem))""")
 def export_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of even sizes stand there already."""
     stem = N.export_stem(F.lower(F.split("p_name", " ")[0]), F.lit(48000), 48000 + c("p_size") * 4800, F.lit(48000))
-    wanted = table(spark, sf, "part").select(c("p_brand").alias("folder"), c("p_partkey").alias("place"), stem.alias("stem"), F.lit("png").alias("ext"))
-    return V.free_names(wanted, files(spark, sf).select("folder", "name"))
+    wanted = table(spark, sf, "part").select(c("p_brand").alias("folder"), c("p_partkey").alias("place"), stem.alias("stem"), F.lit("png").alias("ext"), "p_size")
+    return V.free_names(wanted.drop("p_size"), wanted.where("p_size % 2 = 0").select("folder", F.concat("stem", F.lit(".PNG")).alias("name")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields as D
+from ..operators import tags as G
 from ..operators.signal import quantised
 from ..registry import query
 from ..views import table
@@ -13,17 +14,24 @@ from ..views import table
 c = F.col
 
 
-@query("label_map", "select p_partkey, ['Title', 'Artist', 'Comment', 'Engineer', 'IXYZ'][p_partkey % 5 + 1] label from part")
+@query("label_map", "select p_partkey, ['Title', 'Artist', 'Comment', 'Subject', 'Keywords', 'Date', 'Genre', 'Copyright', 'Engineer', 'Technician', 'Source', 'Product', 'Software', 'IXYZ', 'inam'][p_partkey % 15 + 1] label from part")
 def label_map(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.element_at(F.array(*map(F.lit, ("INAM", "IART", "ICMT", "IENG", "IXYZ"))), (c("p_partkey") % 5).cast("int") + 1)
-    return table(spark, sf, "part").select("p_partkey", D.info_name(key).alias("label"))
+    """RIFF INFO fields, one without a name, and one in another case."""
+    key = F.element_at(F.array(*map(F.lit, (*G.INFO, "IXYZ", "inam"))), (c("p_partkey") % 15).cast("int") + 1)
+    return table(spark, sf, "part").select("p_partkey", G.label(F.lit("info"), key).alias("label"))
 
 
-@query("check_key", "select p_partkey, case p_partkey % 3 when 0 then p_size % 2 = 0 when 1 then p_size % 2 = 0 else p_size % 2 = 0 end allowed from part")
+@query("check_key", """select p_partkey, case k when 0 then p_size % 4 <> 3 when 1 then p_size % 4 in (0, 1) when 2 then p_size % 4 in (0, 1) when 3 then p_size % 4 in (0, 1) when 4 then p_size % 4 = 0 when 5 then p_size % 4 = 0 else false end allowed from (select *, p_partkey % 7 k from part)""")
 def check_key(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(c("p_partkey") % 3 == 0, "id3v2").when(c("p_partkey") % 3 == 1, "vorbis").otherwise("ape")
-    key = F.when(c("p_size") % 2 == 0, F.when(kind == "id3v2", F.when(c("p_size") % 4 == 0, "TIT2").otherwise("TXXX:mood")).otherwise(c("p_name"))).otherwise(F.when(kind == "id3v2", "TXXX").when(kind == "vorbis", "a=b").otherwise("x"))
-    return table(spark, sf, "part").select("p_partkey", D.key_allowed(kind, key).alias("allowed"))
+    """Four keys for each of six kinds and an unknown one."""
+    kinds = {
+        "id3v2": ("TIT2", "TXXX:mood", "COMM", "TXXX"), "vorbis": ("TITLE", "a b}", "a=b", "caf\u00e9"), "ape": ("Record Date", "ab", "x", "\u00e9\u00e9"),
+        "mp4": ("\u00a9nam", "----:com.x:y", "----:y", "abc"), "id3v1": ("Title", "title", "TIT2", ""), "guano": ("Loc Position", "a:b", "GUANO|Version", ""),
+    }
+    every = [*kinds.items(), ("none", ("a", "b", "c", "d"))]
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in every]), (c("p_partkey") % 7).cast("int") + 1)
+    keys = F.element_at(F.array(*[F.array(*map(F.lit, x)) for _, x in every]), (c("p_partkey") % 7).cast("int") + 1)
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(G.key_allowed(kind, F.element_at(keys, c("p_size") % 4 + 1)), F.lit(False)).alias("allowed"))
 
 
 @query("description", "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderpriority when o_orderkey % 3 = 1 then o_orderstatus end as said from orders")
@@ -55,7 +63,10 @@ def advance_wrap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", D.advanced(at, F.lit(700), [(0, 1000), (3000, 4000)]).alias("moved"))
 
 
-@query("timeline_place")
+@query("timeline_place", """with recursive e as (select user_id k, event_id ord, event_id * 40 pos, floor(value * 4)::bigint f from events), n as (select *, row_number() over (partition by k order by ord, pos, f) i from e),
+ t as (select k, i, ord, pos placed, 0::bigint skipped, pos + f expected from n where i = 1
+ union all select n.k, n.i, n.ord, g.start, g.skip, g.start + n.f - g.skip from t join n on n.k = t.k and n.i = t.i + 1, lateral (select t.expected + case when n.pos - t.expected between 0 and 480 then n.pos - t.expected else 0 end as start, case when n.pos < t.expected then least(t.expected - n.pos, n.f) else 0 end skip) g)
+ select k as key, ord, placed, skipped from t""")
 def timeline_place(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(c("user_id").alias("rec_id"), c("event_id").alias("ord"), (c("event_id") * 40).alias("at"), F.floor(c("value") * 4).alias("frames"))
     return D.timeline(rows, 480)
@@ -75,6 +86,7 @@ def picture_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return D.distinct_pictures(rows).select("rec_id", "ord")
 
 
-@query("checksums")
+@query("checksums", """with t as (select list(list_reduce(range(8), lambda a, _: case when a & 128 > 0 then xor((a << 1) & 255, 7) else a << 1 end, i::bigint) order by i) s, list(list_reduce(range(8), lambda a, _: case when a & 32768 > 0 then xor((a << 1) & 65535, 32773) else a << 1 end, i::bigint << 8) order by i) l from range(256) r(i))
+ select p_partkey as key, list_reduce(b, lambda a, x: s[xor(a, x) + 1], 0::bigint) crc8, list_reduce(b, lambda a, x: xor((a << 8) & 65535, l[xor(a >> 8, x) + 1]), 0::bigint) crc16 from (select p_partkey, list_transform(string_split(p_name, ''), lambda x: ord(x)::bigint) b from part), t""")
 def checksums(spark: SparkSession, sf: str) -> DataFrame:
     return D.checksums(table(spark, sf, "part").select("p_partkey", c("p_name").cast("binary").alias("content")), "p_partkey", "content")

@@ -162,10 +162,10 @@ def valid_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.name_problem(name).alias("problem"))
 
 
-@query("size_text", "select o_orderkey, case when b >= 100000000 then round(b::decimal(20,0) / 1000000)::bigint || ' MB' else (b // 100000 // 10) || '.' || (b // 100000 % 10) || ' MB' end as shown from (select o_orderkey, floor(o_totalprice)::bigint * 1000 // 100000 * 100000 b from orders) where b % 1000000 <> 500000 or b < 100000000")
+@query("size_text", "select o_orderkey, case when b >= 100000000 then round_even(b / 1000000.0::double, 0)::bigint || ' MB' else round_even(b / 1000000.0::double, 1)::decimal(20,1) || ' MB' end as shown from (select o_orderkey, floor(o_totalprice)::bigint * 1000 // 100000 * 100000 b from orders)")
 def size_text(spark: SparkSession, sf: str) -> DataFrame:
     b = F.expr("floor(o_totalprice) * 1000 div 100000 * 100000")
-    return table(spark, sf, "orders").select("o_orderkey", b.alias("b")).where("b % 1000000 <> 500000 or b < 100000000").select("o_orderkey", N.size_text(c("b")).alias("shown"))
+    return table(spark, sf, "orders").select("o_orderkey", N.size_text(b).alias("shown"))
 
 
 @query("chapter_key", "select o_orderkey, case when o_orderkey % 4 < 3 then o_orderkey % 100 end::bigint n, case o_orderkey % 4 when 0 then '' when 1 then 'NAME' when 2 then 'END' end part from orders")
@@ -249,11 +249,10 @@ def time_ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("frequency_ticks", """with t as (select p_partkey, case when len(a) * 16 > p_partkey % 40 * 10 + 40 then list_filter(a, lambda f: log10(f) = floor(log10(f))) else a end t from (select p_partkey, list_filter(flatten(list_transform(range(0, 6),
  lambda d: [pow(10.0, d), 2 * pow(10.0, d), 5 * pow(10.0, d)])), lambda f: f >= p_size and f <= p_retailprice * 10) a from part))
- select p_partkey, len(t)::int n, round(coalesce(list_sum(t), 0))::bigint total from t""")
+ select p_partkey, array_to_string(list_transform(t, lambda f: round(f)::bigint), ' ') ticks from t""")
 def frequency_ticks(spark: SparkSession, sf: str) -> DataFrame:
     ticks = N.log_ticks(c("p_size").cast("double"), c("p_retailprice") * 10, c("p_partkey") % 40 * 10 + 40, F.lit(16))
-    rows = table(spark, sf, "part").select("p_partkey", ticks.alias("t"))
-    return rows.select("p_partkey", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(ticks, lambda f: F.round(f).cast("long")), " ").alias("ticks"))
 
 
 @query("zoom_view", """with v as (select l_orderkey, l_linenumber, (l_quantity * 100)::double s, (l_partkey % 4000 + 100)::double n, case l_linenumber % 3 when 0 then 0.5 when 1 then 2 else 0.001 end f, (l_quantity * 100 + l_suppkey)::double a from lineitem),
