@@ -57,25 +57,34 @@ def blocks(signal: DataFrame, size: int) -> DataFrame:
     return rows.mapInPandas(dense, f"rec_id {dict(signal.dtypes)['rec_id']}, first_frame long, samples array<double>")
 
 
+#: Frames that the columns of one task span, about, and samples of windows that are transformed at once.
+HELD, AT_ONCE = 1 << 22, 1 << 22
+
+
 def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: int, group: int = 64) -> DataFrame:
     """Of blocks (rec_id, first_frame, samples) and lengths (rec_id, frames): rec_id, column, levels (dB by bin).
 
-    A column's level is the greatest of its windows'. `group` columns make one task's work, with a halo of half a
-    window on both sides; a group gets only blocks that it reads.
+    A column's level is the greatest of its windows'. `group` columns at most, fewer where they are long, make one
+    task's work, with a halo of half a window on both sides; a group gets only blocks that it reads.
+
+    Defined results: null keys and recordings without a length give no rows; missing frames are silent, and so is a column
+    of a recording that no block reaches, which has no row.
     """
     size = F.size("samples")
     rows = recordings.join(lengths, "rec_id")
     n = F.greatest(F.lit(1), F.least(F.lit(columns), F.greatest(F.col("frames"), F.lit(1))))
     span = F.col("frames") / n
-    low = F.floor((F.col("first_frame") - fft // 2) / span / group)
-    high = F.floor((F.col("first_frame") + size + fft // 2) / span / group)
-    last = F.floor((n - 1) / group)
+    many = F.greatest(F.lit(1), F.least(F.lit(group), F.floor(HELD / F.greatest(span, F.lit(1.0)))))
+    low = F.floor((F.col("first_frame") - fft // 2) / span / many)
+    high = F.floor((F.col("first_frame") + size + fft // 2) / span / many)
+    last = F.floor((n - 1) / many)
     rows = rows.withColumn("part", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(F.least(high, last), F.lit(0)))))
 
     def levels(part: int, frames: int, held: list) -> tuple[np.ndarray, list]:
         """A group's columns, and their levels from its blocks (first_frame, samples)."""
         count, per, windows = layout(frames, columns, fft)
-        own = np.arange(part * group, min((part + 1) * group, count))
+        many = max(1, min(group, math.floor(HELD / max(per, 1.0))))
+        own = np.arange(part * many, min((part + 1) * many, count))
         if not len(own):
             return own, []
         centres = ((own[:, None] + (np.arange(windows)[None, :] + 0.5) / windows) * per).astype(np.int64)
@@ -85,8 +94,14 @@ def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: in
             a, b = max(first, start, 0), min(first + len(samples), stop, frames)
             if b > a:
                 signal[a - start : b - start] = samples[a - first : b - first]
-        at = centres.ravel()[:, None] - fft // 2 - start + np.arange(fft)
-        return own, list(db(power(signal[at]).reshape(len(own), windows, -1).max(1)))
+        out = []
+        for column in centres - fft // 2 - start:  # one at a time: its windows overlap, and would take twice its frames
+            most = np.zeros(fft // 2 + 1)
+            for first in range(0, windows, max(1, AT_ONCE // fft)):
+                at = column[first : first + max(1, AT_ONCE // fft), None] + np.arange(fft)
+                np.maximum(most, power(signal[at]).max(0), out=most)
+            out.append(db(most))
+        return own, out
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups stream by, their rows together: only one group's blocks are held."""
@@ -103,7 +118,8 @@ def spectrogram(recordings: DataFrame, lengths: DataFrame, columns: int, fft: in
                         out["levels"] += made
                     key, frames, held = (rec, part), int(n), []
                 held.append((first, samples))
-            yield pd.DataFrame(out)
+            if out["rec_id"]:  # a batch may end within a group
+                yield pd.DataFrame(out)
 
     rows = rows.where("rec_id is not null").select("rec_id", "part", "frames", "first_frame", "samples")
     rows = rows.repartition("rec_id", "part").sortWithinPartitions("rec_id", "part", "first_frame")

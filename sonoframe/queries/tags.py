@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import carrying as Y
 from ..operators import tags as G
 from ..operators.catalog import Search, search
 from ..registry import query
@@ -111,3 +112,33 @@ def search_parsed(spark: SparkSession, sf: str) -> DataFrame:
     catalog = G.catalogued(files, texts, G.dates_of(*_dated(spark, sf)))
     ask = lambda word: search(catalog, Search(words=word, since="1995-01-01", until="1997-01-01", text_columns=("text",)))
     return ask("urgent").select("rec_id").unionByName(ask("high").select("rec_id"))
+
+
+# kind and key of a field, and the key that it has in vorbis, id3v2 and mp4
+_CARRIED = (
+    ("id3v2", "TIT2", "TITLE", "TIT2", "\u00a9nam"), ("id3v2", "TXXX:my=key", "my_key", "TXXX:my=key", "----:com.apple.iTunes:my=key"), ("id3v2", "TSRC", "ISRC", "TSRC", "----:com.apple.iTunes:ISRC"),
+    ("mp4", "----:com.x:Note", "Note", "TXXX:Note", "----:com.x:Note"), ("mp4", "\u00a9too", "ENCODER", "TSSE", "\u00a9too"), ("vorbis", "albumartist", "ALBUMARTIST", "TPE2", "aART"),
+    ("vorbis", "caf\u00e9", "caf_", "TXXX:caf\u00e9", "----:com.apple.iTunes:caf\u00e9"), ("ape", "album artist", "ALBUMARTIST", "TPE2", "aART"), ("ape", "Record Date", "Record Date", "TXXX:Record Date", "----:com.apple.iTunes:Record Date"),
+    ("id3v2", "WOAR", "WOAR", "WOAR", "----:com.apple.iTunes:WOAR"), ("mp4", "----:com.apple.iTunes:iTunSMPB", None, None, None),
+)
+
+
+def _carried_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """A field of each part, twice in every third; a number with a total in half of them."""
+    k = c("p_partkey") % len(_CARRIED)
+    one = F.struct(F.lit(1).alias("ord"), _pick(tuple(x[0] for x in _CARRIED), k).alias("kind"), _pick(tuple(x[1] for x in _CARRIED), k).alias("key"), F.concat("p_name", F.lit("\0")).alias("value"))
+    again = F.struct(F.lit(2).alias("ord"), one["kind"].alias("kind"), one["key"].alias("key"), c("p_name").alias("value"))
+    number = F.struct(F.lit(3).alias("ord"), F.lit("vorbis").alias("kind"), F.lit("TrackNumber").alias("key"), F.concat(F.lit(" "), c("p_size").cast("string"), F.lit(" / 60")).alias("value"))
+    blank = F.struct(F.lit(4).alias("ord"), F.lit("ape").alias("kind"), F.lit("Title").alias("key"), F.lit(" \0").alias("value"))
+    none = F.lit(None).cast("struct<ord:int,kind:string,key:string,value:string>")
+    rows = table(spark, sf, "part").select(c("p_partkey").alias("rec_id"), F.explode(F.array(one, F.when(c("p_partkey") % 3 == 0, again).otherwise(none), F.when(c("p_partkey") % 2 == 0, number).otherwise(none), blank)).alias("x"))
+    return rows.where("x is not null").select("rec_id", "x.*")
+
+
+for _to, _at, _track, _total in (("vorbis", 2, "TRACKNUMBER", "TRACKTOTAL"), ("id3v2", 3, "TRCK", None), ("mp4", 4, "----:com.apple.iTunes:TRACKNUMBER", "----:com.apple.iTunes:TRACKTOTAL")):
+    _own = "[" + ", ".join("null" if x[_at] is None else f"'{x[_at]}'" for x in _CARRIED) + "]"
+    _numbers = f"select p_partkey, 3, 0, '{_track}', p_size::varchar from part where p_partkey % 2 = 0 union all select p_partkey, 3, 1, '{_total}', '60' from part where p_partkey % 2 = 0" if _total else f"select p_partkey, 3, 0, '{_track}', p_size || '/60' from part where p_partkey % 2 = 0"
+
+    @query(f"carry_to_{_to}", f"select * from (select p_partkey rec_id, 1 ord, 0 part, {_own}[p_partkey % {len(_CARRIED)} + 1] as key, p_name as value from part) where key is not null union all {_numbers}")
+    def _carry(spark: SparkSession, sf: str, to: str = _to) -> DataFrame:
+        return Y.carried(_carried_fields(spark, sf), to)

@@ -101,3 +101,16 @@ def test_spectra_at_markers(spark):
     assert mixed["b"]["target"] is None and abs(max(mixed["b"]["levels"]) + 6.02) < 0.1
     one = P.spectra_at(blocks, markers, lengths, 2048, 1)
     assert {r["target"] for r in one.collect()} == {1} and P.spectra_at(blocks, markers, lengths, 2048, 7).where(F.col("target").isNull()).count() == 4
+
+
+def test_spectrogram_does_not_depend_on_groups(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=5000)
+    blocks = spark.createDataFrame([(1, first, x[first : first + 300].tolist()) for first in range(0, 5000, 300)], "rec_id long, first_frame long, samples array<double>")
+    lengths = spark.createDataFrame([(1, 5000)], "rec_id long, frames long")
+    found = []
+    for group, held in ((64, 1 << 22), (3, 1 << 22), (64, 2000), (64, 1)):
+        monkeypatch.setattr(P, "HELD", held)
+        rows = sorted(P.spectrogram(blocks, lengths, 20, 64, group=group).collect(), key=lambda r: r["column"])
+        assert [r["column"] for r in rows] == list(range(20))
+        found.append(np.array([r["levels"] for r in rows]))
+    assert all(np.allclose(f, found[0]) for f in found)
