@@ -97,12 +97,29 @@ def wall(seconds: Column, decimals: int = 0) -> Column:
 
 
 def sample_time(samples: Column, rate: Column) -> Column:
-    """`hh:mm:ss.sss` of a sample count, milliseconds cut off."""
-    ms = F.floor(samples * 1000 / rate)
+    """The time of day, `hh:mm:ss.sss`, of a count of samples since midnight, milliseconds cut off; past midnight it begins again."""
+    ms = F.floor(samples * 1000 / rate) % 86_400_000
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     return F.concat(F.concat_ws(":", pad(F.floor(ms / 3600000), 2), pad(F.floor(ms / 60000) % 60, 2), pad(F.floor(ms / 1000) % 60, 2)), F.lit("."), pad(ms % 1000, 3))
 
 
+def time_samples(text: Column, rate: Column) -> tuple[Column, Column]:
+    """Samples since midnight of `hh:mm:ss`, with or without a fraction, 0 for none; and what is wrong with another text."""
+    p = r"(?U)^\s*\+?([0-9]+):\+?([0-9]+):(\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*\z"
+    h, m, s = (F.regexp_extract(text, p, i).try_cast("double") for i in (1, 2, 3))
+    none = text.rlike(r"(?U)^\s*\z")
+    good = text.rlike(p) & (h < 24) & (m < 60) & (s < 60)
+    samples = F.when(none, F.lit(0).cast("long")).when(good, F.round((h * 3600 + m * 60) * rate + s * rate).cast("long"))
+    wrong = F.concat(F.lit("Start "), F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""), F.lit(" is not a time of day like 13:45:10.250"))
+    return samples, F.when(text.isNotNull() & samples.isNull(), wrong)
+
+
+def nearest_preset(speed: Column, slow: bool) -> Column:
+    """The preset nearest a speed by their logarithms, among those on offer; of equals the slower."""
+    presets = F.array(*map(F.lit, (*(SLOW_SPEEDS if slow else ()), *FAST_SPEEDS)))
+    return F.array_min(F.transform(presets, lambda x: F.struct(F.abs(F.ln(x) - F.ln(speed)).alias("off"), x.alias("speed"))))["speed"]
+
+
 def clock_seconds(text: Column) -> Column:
     """Seconds since midnight of `hh:mm:ss`, also with - or . between; more parts don't matter. Null for anything else."""
     part = lambda i: F.regexp_extract(F.trim(F.get(F.split(text, "[:.-]"), F.lit(i))), r"^\+?([0-9]+)$", 1).try_cast("long")

@@ -75,8 +75,9 @@ def human_text(text: Column) -> Column:
 
 
 def recorder_date(comment: Column) -> Column:
-    """The date a recorder's comment names as `Recorded at HH:MM:SS DD/MM/YYYY`, as text that parse_stamp reads."""
-    p = r"Recorded at ([0-9]{2}:[0-9]{2}:[0-9]{2}) ([0-9]{2})/([0-9]{2})/([0-9]{4})"
+    """The time and date that a recorder's comment first names as `Recorded at 21:30:00 01/05/2024`, day first, in any
+    number of digits and precision of time, as text that parse_stamp reads or refuses."""
+    p = r"(?sU)^.*?Recorded at \s*(\S+)\s+([^/\s]+)/([^/\s]+)/([^/\s]+)"
     g = lambda i: F.regexp_extract(comment, p, i)
     return F.when(comment.rlike(p), F.concat(g(4), F.lit("-"), g(3), F.lit("-"), g(2), F.lit(" "), g(1)))
 

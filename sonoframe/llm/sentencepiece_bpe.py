@@ -26,7 +26,7 @@ from .common import read_table, text_column
 
 SPACE = "▁"
 #: Entries that a generation of a worker's memo may hold, and the characters or ids of the longest.
-MEMO, LONGEST = 400_000, 64
+MEMO, LONGEST = 300_000, 64
 
 
 class _Memo(dict):
@@ -112,22 +112,34 @@ class Codec:
             at -= widths[token]
         return array("I", ids[::-1]).tobytes()
 
-    def _both(self, segment: str) -> tuple[bytes, str]:
+    def _both(self, segment: str) -> bytes | tuple[bytes, str]:
+        """A segment's ids; and what they decode to, where that isn't the segment again."""
         ids = self._segment(segment)
-        return ids, self._text(ids)
+        text = self._text(ids)
+        return ids if text == segment.replace(SPACE, " ") else (ids, text)
 
-    def segments(self, text: str) -> list[tuple[bytes, str]]:
-        """The ids of each segment of a text, and what they decode to."""
+    def segments(self, text: str) -> list[bytes | tuple[bytes, str]]:
+        """Of each segment of a text what _both says."""
+        return [*map(self.segment.__getitem__, self._parts(text))]
+
+    def _parts(self, text: str) -> list[str]:
         if not text:
             return []
         if self.lines and "  " not in text and SPACE not in text and text[0] != " ":  # no run of spaces: plain splits do
-            parts = (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n")).split(" ")
-        else:
-            parts = self.split(SPACE + text.replace(" ", SPACE))
-        return [*map(self.segment.__getitem__, parts)]
+            return (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n")).split(" ")
+        return self.split(SPACE + text.replace(" ", SPACE))
 
     def encode(self, text: str) -> list[int]:
-        return [self.begin, *array("I", b"".join(ids for ids, _ in self.segments(text))), self.end]
+        return [self.begin, *array("I", self.joined(text, self.segments(text))[0]), self.end]
+
+    def joined(self, text: str, segments: list[bytes | tuple[bytes, str]]) -> tuple[bytes, str]:
+        """The ids of a text's segments, and what they decode to, as decode() would: no character's bytes cross a border,
+        so each segment was decoded alone, and most gave themselves again."""
+        try:
+            return b"".join(segments), text.replace(SPACE, " ")
+        except TypeError:
+            told = [(x, part.replace(SPACE, " ")) if isinstance(x, bytes) else x for x, part in zip(segments, self._parts(text))]
+            return b"".join([ids for ids, _ in told]), "".join([own for _, own in told])[1:]
 
     def _text(self, ids: bytes) -> str:
         out, held = [], bytearray()
@@ -146,10 +158,6 @@ class Codec:
         text = self._text(array("I", ids).tobytes())
         return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
 
-    def decode_segments(self, segments: list[tuple[bytes, str]]) -> str:
-        """decode() of the ids of whole segments: as no character's bytes cross a border, each is decoded alone."""
-        return "".join([text for _, text in segments])[1:]
-
 
 def _utf8(raw: bytes) -> str:
     """As the library does: each byte that begins no valid character becomes U+FFFD."""
@@ -208,11 +216,12 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
                 part = batch.slice(first, 500)
                 n, all_ids, sha, back = [], [], [], []
                 for text in part.column(1):
-                    segments = codec.segments(text.as_py())
-                    raw = b"".join((head, *[own for own, _ in segments], tail))
+                    text = text.as_py()
+                    own, decoded = codec.joined(text, codec.segments(text))
+                    raw = b"".join((head, own, tail))
                     n.append(len(raw) // 4)
                     sha.append(hashlib.sha256(raw).hexdigest())
-                    back.append(hashlib.sha256(codec.decode_segments(segments).encode()).hexdigest())
+                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if ids:
                         all_ids.append(array("i", raw))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)] + ([pa.array(all_ids, pa.list_(pa.int32()))] if ids else [])

@@ -21,6 +21,17 @@ def marker_order(markers: DataFrame, file: str = "rec_id") -> DataFrame:
     return markers.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy("frame", "id")))
 
 
+def first_markers(markers: DataFrame, most: int, file: str = "rec_id") -> DataFrame:
+    """The first `most` markers of each file, with their place."""
+    return marker_order(markers, file).where(F.col("place") <= most)
+
+
+def next_marker_ids(files: DataFrame, markers: DataFrame, file: str = "rec_id") -> DataFrame:
+    """files (file) with next_id: one more than the greatest id of a file's markers, 1 where it has none."""
+    greatest = markers.groupBy(file).agg(F.max("id").alias("_most"))
+    return files.join(greatest, file, "left").withColumn("next_id", F.coalesce("_most", F.lit(0)).cast("long") + 1).drop("_most")
+
+
 def drawn_region(x0: Column, y0: Column, x1: Column, y1: Column, nyquist: Column, whole_band: Column) -> tuple[Column, Column, Column, Column]:
     """Frames and band of a region drawn between two corners in any order, no higher than nyquist; whole_band: 0 to nyquist."""
     lo, hi = F.least(y0, y1, nyquist), F.least(F.greatest(y0, y1), nyquist)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..operators.markers import marker_order
 
 #: The most channels that a format holds.
 MOST_CHANNELS = {"wav": 65535, "aiff": 65535, "caf": 65535, "flac": 8, "m4a": 8, "mka": 8, "mp3": 2, "ogg": 255, "webm": 255}
@@ -93,6 +94,42 @@ def lost_markers(before: DataFrame, after: DataFrame, rate: int) -> DataFrame:
     return before.alias("b").join(after.alias("a"), near, "left_anti")
 
 
+def carry_problems(files: DataFrame, fields: DataFrame, pictures: DataFrame, markers: DataFrame, read_fields: DataFrame, read_pictures: DataFrame, read_markers: DataFrame) -> DataFrame:
+    """What a written file lacks of what it should hold: rec_id and problem (null where it holds all) of files (rec_id, format, rate).
+
+    fields: (rec_id, ord, key, name, value), name the known name, if any; pictures: (rec_id, ord, kind, content); markers:
+    (rec_id, id, frame, label). The first that holds: a field whose value isn't among those read (numbers without leading
+    zeros; CAF keeps several values as one), a picture in a format that keeps them, another count of markers (M4A
+    keeps the first 255), a marker that is more than a millisecond away from its place or has lost its name.
+
+    Defined results: rows of files that aren't in `files` are ignored, nulls are values like others, repeated values need be read once.
+    """
+    number = F.col("name").isin("TRACKNUMBER", "TRACKTOTAL", "DISCNUMBER", "DISCTOTAL") & F.col("value").rlike(r"^\s*[0-9]+\s*$")
+    value = F.when(F.coalesce(number, F.lit(False)), F.regexp_replace(F.trim("value"), "^0+", "")).otherwise(F.coalesce("value", F.lit("")))
+    known = files.select("rec_id", "format")
+    back = read_fields.join(known, "rec_id").select("rec_id", "format", value.alias("v"))
+    apart = back.where("format = 'caf'").select("rec_id", F.explode(F.split("v", "; ")).alias("v"))
+    there = back.select("rec_id", "v").unionByName(apart).distinct()
+    gone = fields.select("rec_id", "ord", "key", value.alias("v")).join(there, ["rec_id", "v"], "left_anti").groupBy("rec_id").agg(F.min_by("key", "ord").alias("key"))
+    kept = files.where(~F.array_contains(lost(F.col("format"), F.array(F.lit("pictures"))), "pictures")).select("rec_id")
+    unseen = pictures.join(kept, "rec_id").join(read_pictures.select("rec_id", "content").distinct(), ["rec_id", "content"], "left_anti").groupBy("rec_id").agg(F.min_by("kind", "ord").alias("picture"))
+    wanted = marker_order(markers).join(files, "rec_id").where((F.col("format") != "m4a") | (F.col("place") <= M4A_MARKERS))
+    found = marker_order(read_markers).select("rec_id", "place", F.col("frame").alias("now"), F.col("label").alias("now_label"))
+    counts = lambda df, name: df.groupBy("rec_id").agg(F.count("*").alias(name))
+    moved = (F.abs(F.col("now") - F.col("frame")) * 1000 > F.greatest("rate", F.lit(1))) | ~F.col("label").eqNullSafe(F.col("now_label"))
+    astray = wanted.join(found, ["rec_id", "place"]).where(moved).groupBy("rec_id").agg(F.min_by("label", "place").alias("astray"), F.lit(True).alias("some"))
+    rows = files.select("rec_id")
+    for more in (gone, unseen, counts(wanted, "n_wanted"), counts(found, "n_found"), astray):
+        rows = rows.join(more, "rec_id", "left")
+    n_found, n_wanted = F.coalesce("n_found", F.lit(0)), F.coalesce("n_wanted", F.lit(0))
+    problem = (
+        F.when(F.col("key").isNotNull(), F.concat(F.lit("tag "), "key", F.lit(" is missing"))).when(F.col("picture").isNotNull(), F.concat("picture", F.lit(" picture is missing")))
+        .when(n_found != n_wanted, F.concat(n_found.cast("string"), F.lit(" markers came back of "), n_wanted.cast("string")))
+        .when(F.col("some"), F.concat(F.lit('marker "'), F.coalesce("astray", F.lit("")), F.lit('" moved or lost its name')))
+    )
+    return rows.select("rec_id", problem.alias("problem"))
+
+
 #: The frames that a lossy format's decoder may give beyond those written.
 SLACK = {"mp3": 2 * 1152 + 1105, "webm": 4096}
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..operators import markers as K
 from ..plans import convert as V
 from ..registry import query
 from ..views import FILES, files, table
@@ -81,6 +82,27 @@ def carry_check(spark: SparkSession, sf: str) -> DataFrame:
     return V.lost_markers(before, after, 48000)
 
 
+@query("carry_problems", """select o_orderkey rec_id, case when k = 0 then 'tag ARTIST is missing' when k = 1 and o_orderkey % 3 < 2 then 'front picture is missing' when k = 2 then (n - 1) || ' markers came back of ' || n when k in (3, 4) then 'marker "m' || least_ || '" moved or lost its name' end problem
+ from (select o_orderkey, o_orderkey % 8 k, n, least_ from orders join (select l_orderkey, count(distinct l_linenumber) n, min(l_linenumber) least_ from lineitem group by all) on l_orderkey = o_orderkey)""")
+def carry_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as files, in three formats, their lines as markers: one loses a field, one a picture (which CAF has no
+    place for), one a marker; one marker moves too far, one changes its name, one moves a little; numbers lose zeros."""
+    marks = table(spark, sf, "lineitem").select(c("l_orderkey").alias("rec_id"), c("l_linenumber").alias("id")).distinct().select("rec_id", "id", (c("id") * 48000).cast("long").alias("frame"), F.concat(F.lit("m"), c("id").cast("string")).alias("label"))
+    form = F.element_at(F.array(F.lit("wav"), F.lit("flac"), F.lit("caf")), (c("o_orderkey") % 3 + 1).cast("int"))
+    orders = table(spark, sf, "orders").join(marks.select(c("rec_id").alias("o_orderkey")).distinct(), "o_orderkey")
+    files = orders.select(c("o_orderkey").alias("rec_id"), form.alias("format"), F.lit(48000).alias("rate"))
+    k, first = c("rec_id") % 8, c("id") == F.min("id").over(Window.partitionBy("rec_id"))
+    field = lambda i, key, value: F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(key).alias("name"), value.alias("value"))
+    fields = orders.select(c("o_orderkey").alias("rec_id"), F.explode(F.array(field(1, "TITLE", c("o_orderpriority")), field(2, "ARTIST", F.concat(F.lit("by "), c("o_orderstatus"))), field(3, "TRACKNUMBER", F.lit("03")))).alias("x")).select("rec_id", "x.*")
+    joined = F.array_join(F.array_sort(F.collect_list(F.when(~((k == 0) & (c("name") == "ARTIST")), F.when(c("name") == "TRACKNUMBER", "3").otherwise(c("value"))))), "; ")
+    back = fields.where(~((k == 0) & (c("name") == "ARTIST"))).withColumn("value", F.when(c("name") == "TRACKNUMBER", "3").otherwise(c("value")))
+    caf = files.where("format = 'caf'").select("rec_id")
+    together = fields.join(caf, "rec_id").groupBy("rec_id").agg(joined.alias("value")).select("rec_id", F.lit(1).alias("ord"), F.lit("all").alias("key"), F.lit(None).cast("string").alias("name"), "value")
+    pictures = files.select("rec_id", F.lit(1).alias("ord"), F.lit("front").alias("kind"), F.encode(c("rec_id").cast("string"), "utf-8").alias("content"))
+    after = marks.withColumn("first", first).where(~(c("first") & (k == 2))).withColumn("frame", c("frame") + F.when(c("first"), F.when(k == 3, 49).when(k == 5, 48).otherwise(0)).otherwise(0)).withColumn("label", F.when(c("first") & (k == 4), "x").otherwise(c("label"))).drop("first")
+    return V.carry_problems(files, fields, pictures, marks, back.join(caf, "rec_id", "left_anti").unionByName(together), pictures.where(k != 1), after)
+
+
 @query("next_free_name", f"""with {FILES}, w as (select folder, rec_id place, lower(split_part(name, ' ', 1)) stem from files), k as (select *, row_number() over (partition by folder, stem order by place) k from w),
  taken as (select folder, lower(split_part(name, ' ', 1)) stem, case rec_id % 6 when 0 then 1 when 1 then 2 else 4 end n from files where rec_id % 6 < 3),
  free as (select s.folder, s.stem, n, row_number() over (partition by s.folder, s.stem order by n) k from (select distinct folder, stem from w) s, (select unnest(generate_series(1, (select max(k) + 3 from k))) n) where (s.folder, s.stem, n) not in (select (folder, stem, n) from taken))
@@ -109,26 +131,22 @@ def sample_hash(spark: SparkSession, sf: str) -> DataFrame:
     return V.sample_hash(_arrays(spark, sf))
 
 
-@query("nearest_preset", "select p_partkey, arg_min(speed, abs(ln(speed) - ln(p_size / 10))) speed from part, (select unnest([0.125, 0.25, 0.5, 1, 2, 4])::double speed) group by p_partkey, p_size")
+@query("nearest_preset", """select p_partkey, arg_min(v, [abs(ln(v) - ln(p_size / 10)), v]) filter (where v >= 1) speed, arg_min(v, [abs(ln(v) - ln(p_size / 10)), v]) slow_speed from part, (select unnest([0.1, 0.125, 0.25, 0.5, 1, 2, 4, 8])::double v) group by p_partkey, p_size""")
 def nearest_preset(spark: SparkSession, sf: str) -> DataFrame:
-    presets = F.array(*map(F.lit, (0.125, 0.25, 0.5, 1.0, 2.0, 4.0)))
-    near = F.array_min(F.transform(presets, lambda x: F.struct(F.abs(F.ln(x) - F.ln(c("p_size") / 10)).alias("off"), x.alias("speed"))))
-    return table(spark, sf, "part").select("p_partkey", near["speed"].alias("speed"))
+    return table(spark, sf, "part").select("p_partkey", N.nearest_preset(c("p_size") / 10, False).alias("speed"), N.nearest_preset(c("p_size") / 10, True).alias("slow_speed"))
 
 
-@query("first_markers", "select l_orderkey, frame, row_number() over (partition by l_orderkey order by frame, l_linenumber, l_partkey)::bigint id from (select *, (l_quantity * 100)::bigint frame from lineitem) qualify id <= 3")
+@query("first_markers", "select l_orderkey rec_id, id, frame, row_number() over (partition by l_orderkey order by frame, id)::int place from (select l_orderkey, l_linenumber * 1000000 + l_partkey id, (l_quantity * 100)::bigint frame from lineitem) qualify place <= 3")
 def first_markers(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("frame", "l_linenumber", "l_partkey")
-    rows = table(spark, sf, "lineitem").withColumn("frame", (c("l_quantity") * 100).cast("long"))
-    return rows.select("l_orderkey", "frame", F.row_number().over(order).cast("long").alias("id")).where("id <= 3")
+    rows = table(spark, sf, "lineitem").select(c("l_orderkey").alias("rec_id"), (c("l_linenumber") * 1000000 + c("l_partkey")).alias("id"), (c("l_quantity") * 100).cast("long").alias("frame"))
+    return K.first_markers(rows, 3)
 
 
-@query("next_marker_id", "select o_orderkey, coalesce(max(l_linenumber), 0)::bigint + 1 next_id from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+@query("next_marker_id", "select o_orderkey rec_id, coalesce(max(l_linenumber), 0)::bigint + 1 next_id from orders left join lineitem on o_orderkey = l_orderkey and l_shipdate < timestamp '1997-01-01' group by o_orderkey")
 def next_marker_id(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey"), "left")
-    return rows.groupBy("o_orderkey").agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + F.lit(1).cast("long")).alias("next_id"))
+    """Of markers before a date, so that some files have none."""
+    marks = table(spark, sf, "lineitem").where("l_shipdate < timestamp_ntz '1997-01-01'").select(c("l_orderkey").alias("rec_id"), c("l_linenumber").alias("id"))
+    return K.next_marker_ids(table(spark, sf, "orders").select(c("o_orderkey").alias("rec_id")), marks)
 
 
 @query("verify", """select o_orderkey rec_id, case when k = 0 then 'unreadable' when k = 1 then 'format' when f < 2 then case when k between 2 and 4 then 'audio' end

@@ -79,9 +79,15 @@ def wall(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", N.wall(x).alias("at_time"), N.wall(x, 3).alias("fine"))
 
 
-@query("time_of_day", "select l_orderkey, l_linenumber, lpad((ms // 3600000)::varchar, 2, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') shown from (select *, floor(l_extendedprice * 10)::bigint * 1000 // 48000 ms from lineitem)")
+@query("time_of_day", """select l_orderkey, l_linenumber, lpad((ms // 3600000)::varchar, 2, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') shown,
+ case when l_linenumber % 5 = 0 then null when l_linenumber % 5 = 1 then 0 else ms * 48 end::bigint back, case when l_linenumber % 5 = 0 then 'Start 24:00:' || l_partkey % 60 || ' is not a time of day like 13:45:10.250' end problem
+ from (select *, floor(l_extendedprice * 100000)::bigint * 1000 // 48000 % 86400000 ms from lineitem)""")
 def time_of_day(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.sample_time(F.floor(c("l_extendedprice") * 10), F.lit(48000)).alias("shown"))
+    """Counts of samples, some past midnight, as times, and those read again; a fifth of the times is none, a fifth blank."""
+    shown, k = N.sample_time(F.floor(c("l_extendedprice") * 100000), F.lit(48000)), c("l_linenumber") % 5
+    typed = F.when(k == 0, F.concat(F.lit("24:00:"), (c("l_partkey") % 60).cast("string"))).when(k == 1, "  ").otherwise(F.concat(F.lit(" "), shown))
+    back, problem = N.time_samples(typed, F.lit(48000))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"), back.alias("back"), problem.alias("problem"))
 
 
 @query("clock_seconds", "select event_id, case when event_id % 5 < 4 then hour(ts) * 3600 + minute(ts) * 60 + second(ts) end as seconds from events")
@@ -225,9 +231,12 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.concat_ws(" · ", "p_brand", F.when(c("p_size") % 2 == 0, c("p_type")), F.concat(c("p_size").cast("string"), F.lit(" s"))).alias("line"))
 
 
-@query("recorder_date", "select o_orderkey, case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%d') || ' 21:30:00' end as found from orders")
+@query("recorder_date", "select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') || ' 21:30:00' when 1 then year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) || ' 21:30' when 2 then '24-13-' || o_orderstatus || ' 9' end as found from orders")
 def recorder_date(spark: SparkSession, sf: str) -> DataFrame:
-    comment = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("Recorded at 21:30:00 "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" (UTC+1) by a recorder"))).otherwise("none")
+    """Dates of two and of few digits, one that is none, and other comments."""
+    k, of = c("o_orderkey") % 4, lambda p: F.date_format("o_orderdate", p)
+    comment = F.when(k == 0, F.concat(F.lit("Recorded at 21:30:00 "), of("dd/MM/yyyy"), F.lit(" (UTC+1) by a recorder. Recorded at 1 2/3/4"))).when(k == 1, F.concat(F.lit("It was Recorded at 21:30\t"), of("d/M/yyyy"), F.lit("/x")))
+    comment = comment.when(k == 2, F.concat(F.lit("Recorded at 9 "), "o_orderstatus", F.lit("/13/24"))).otherwise("Recorded at dusk")
     return table(spark, sf, "orders").select("o_orderkey", T.recorder_date(comment).alias("found"))
 
 
