@@ -331,3 +331,44 @@ def test_more_tags_than_are_told_apart_share_the_model(spark, monkeypatch):
     rows = [(i, prose(i, 60), f"t{i % 9}", "h") for i in range(180)] + [(500, prose(7, 60), "new", "h"), (501, prose(8, 60), "*", "h"), (502, prose(9, 60), None, "h")]
     found = {r["doc_id"]: r for r in quality.perplexities(frame(spark, rows), spark.createDataFrame([(i,) for i in range(0, 180, 4)] + [(501,)], "doc_id long")).collect()}
     assert all(r["perplexity"] is not None and r["lang"] == quality.SHARED for r in found.values()) and sum(r["keep"] for r in found.values()) > 170
+
+
+def test_toxicity_by_brute_force(spark):
+    """Features by plain sets of each text's words, log-odds by plain sums, each category fed the ones before."""
+    import math
+    import re
+
+    from sonoframe.llm.common import Words
+
+    rng, vocabulary = random.Random(12), ("grumbo", "vexxar", "heron", "dawn", "reeds", "marshes", "é", "x1", "plodding", "windy")
+    texts = {i: " ".join(rng.choice(vocabulary) + rng.choice(("", "s", "ly")) for _ in range(rng.randint(0, 25))) + rng.choice((".", " ?! ", "\n")) for i in range(300)}
+    texts[7], texts[8] = "", None
+    labels = [(i, int("grumbo" in (texts[i] or "")), int("vexxar" in (texts[i] or "")) if i % 9 else 0) for i in range(0, 300, 2)]
+    known = spark.createDataFrame(labels, "doc_id long, rude int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score(frame(spark, list(texts.items())), known, ["rude", "toxic"]).collect()}
+
+    def bins(text):
+        out = set()
+        for word in re.findall(rb"[A-Za-z0-9\x80-\xff]+", (text or "").encode()):
+            word = bytes(b + 32 if 65 <= b <= 90 else b for b in word)
+            data = np.frombuffer(word, dtype=np.uint8)
+            hashes = [int(Words(data, np.array([0, len(data)]), fold=True, plain=False).hashes[0])]
+            for n in toxicity.BEGINNINGS:
+                if len(word) > n:
+                    h = n
+                    for b in word[:n]:
+                        h = (h + b) * int(toxicity._TIMES) % 2**64
+                    hashes.append(int(toxicity.mix(np.array([h], dtype=np.uint64))[0]))
+            out |= {h >> (64 - toxicity.BITS) for h in hashes}
+        return sorted(out)
+
+    rows = [bins(texts[i]) for i, *_ in labels]
+    models, thresholds = toxicity.fit_chain(np.array([b for r in rows for b in r], dtype=np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.array([x[1:] for x in labels]))
+    for i, text in texts.items():
+        earlier = []
+        for category, model, threshold in zip(("rude", "toxic"), models, thresholds):
+            odds = sum(float(model.w[b]) for b in bins(text)) + sum(a * b for a, b in zip(earlier, model.extra)) + model.bias
+            assert abs(found[i][f"p_{category}"] - 1 / (1 + math.exp(-max(min(odds, 30), -30)))) < 1e-4
+            assert found[i][category] == (odds >= threshold) or abs(odds - threshold) < 1e-3
+            earlier.append(max(min(odds, 8), -8))
+    assert models[1].extra[0] != 0  # the second model hears the first
