@@ -48,9 +48,14 @@ def frequency_at(place: Column, lo: float, hi: float, logarithmic: bool) -> Colu
     return lo * F.pow(F.lit(hi / lo), place) if logarithmic else lo + place * (hi - lo)
 
 
+def _half_even(x: Column, n: int) -> Column:
+    """A double rounded to n decimals: halves of the scaled double (x * 10^n, not x's shortest decimal form) go to even."""
+    return F.rint(x * 10.0**n) / 10.0**n if n else F.rint(x)
+
+
 def hz_text(hz: Column) -> Column:
     """`440`, `2.5k`, `192k`, `1.25M`: whole below 1 kHz, one decimal at most for k, two for M."""
-    fixed = lambda x, n: F.bround(x, n).cast(f"decimal(18,{n})").cast("string")
+    fixed = lambda x, n: _half_even(x, n).cast(f"decimal(18,{n})").cast("string")
     k = hz / 1e3
     mega = F.concat(F.regexp_replace(fixed(hz / 1e6, 2), r"\.?0+$", ""), F.lit("M"))
     whole = F.abs(k - F.round(k)) < 0.05
@@ -58,7 +63,7 @@ def hz_text(hz: Column) -> Column:
 
 
 def _decimals(x: Column, n: int) -> Column:
-    return F.bround(x, n).cast(f"decimal(20,{n})").cast("string")
+    return _half_even(x, n).cast(f"decimal(20,{n})").cast("string")
 
 
 def hz_field(hz: Column) -> Column:

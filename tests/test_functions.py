@@ -37,6 +37,8 @@ def test_lengths_and_frequencies(spark):
     assert many(spark, N.hz_text, [440.0, 2500.0, 192000.0, 1e6, 1.25e6], "double") == ["440", "2.5k", "192k", "1M", "1.25M"]
     assert many(spark, N.hz_field, [12345.0, 440.0, 1e6, 999.6, 2500.0, 12000.0, 1.2345e6, None], "double") == ["12.3 kHz", "440 Hz", "1 MHz", "1000 Hz", "2.50 kHz", "12.0 kHz", "1.234 MHz", None]
     assert many(spark, N.hz_exact, [440.0, 2500.0, 12345.6], "double") == ["440.0 Hz", "2.500 kHz", "12.35 kHz"]
+    assert many(spark, N.hz_field, [8915.0, 9995.0, 8005.0, 2125.0], "double") == ["8.91 kHz", "9.99 kHz", "8.01 kHz", "2.12 kHz"]  # 8.915 * 100 is under 891.5
+    assert many(spark, N.hz_exact, [545565.0, 307655.0, 8154.5], "double") == ["545.57 kHz", "307.65 kHz", "8.155 kHz"]
     assert many(spark, N.speed_text, [0.125, 1.0, 2.5, 1000.0, 0.3, 12345.0, 1 / 1000], "double") == ["1/8×", "1×", "2.5×", "1000×", "0.3×", "12345×", "1/1000×"]
     assert many(spark, N.parse_speed, ["2", "×2.5×", " 1 / 8 x", "1/0", "0", "inf", "fast", None]) == [2, 2.5, 0.125, None, None, None, None, None]
     assert many(spark, lambda x: N.clock(x, 2), [59.994, 59.996, -3.0, 3725.5], "double") == ["0:59.99", "1:00.00", "0:00.00", "1:02:05.50"]
