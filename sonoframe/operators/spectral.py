@@ -144,51 +144,103 @@ def around(signal: np.ndarray, centre: int, fft: int) -> np.ndarray:
     return db(power(padded[first + np.arange(AROUND)[:, None] * hop + np.arange(fft)]).mean(0))
 
 
-def spectra_at(recordings: DataFrame, markers: DataFrame, lengths: DataFrame, fft: int, channels: str | int = "all") -> DataFrame:
+def around_each(signals: np.ndarray, low: int, centres: np.ndarray, frames: int, fft: int) -> np.ndarray:
+    """The same for many centres of signals (a row a target) that begin at frame low: by target, centre and bin. What is out
+    of a centre's reach or past the frames is silence."""
+    hop, extent = fft // 2, reach(fft)
+    first = np.maximum(centres - hop * (AROUND - 1) // 2, 0)
+    at = first[:, None, None] + (np.arange(AROUND)[:, None] - 1) * hop + np.arange(fft)
+    ends = np.maximum(centres - extent, 0)[:, None, None], np.minimum(centres + extent, frames)[:, None, None]
+    read = signals[:, np.clip(at - low, 0, signals.shape[1] - 1)] * ((at >= ends[0]) & (at < ends[1]))
+    return db(power(read).mean(-2))
+
+
+def spectra_at(recordings: DataFrame, markers: DataFrame, lengths: DataFrame, fft: int, channels: str | int = "all", width: int = 1 << 12) -> DataFrame:
     """Of blocks (rec_id, channel, first_frame, samples), markers (rec_id, marker, frame) and lengths (rec_id, frames,
     channels): rec_id, marker, target and levels (dB by bin) around every marker.
 
     channels: "all" for a spectrum of each channel, "mix" for their mean (target null), or one channel's number; "all" of a
     mono recording and a channel that it lacks are the mix. A frame past the end counts as the end. Blocks and
-    markers meet in buckets of frames, and only the samples that a marker reads go on to its group.
+    centres meet in buckets of `width` frames with a halo on both sides; a bucket gets only the samples that its centres may
+    read, once, and each distinct centre is worked out once, however many markers stand there. They join their levels after.
 
     Defined results: a marker without a recording, a recording without frames, and null keys give no rows; frames that
     no block holds are silent; markers of equal id and frame are each a row.
     """
     extent = reach(fft)
-    width = 2 * extent
     known = lengths.where("frames > 0").select("rec_id", "frames", F.col("channels").alias("n"))
-    marks = markers.where("frame is not null").join(known, "rec_id").withColumn("centre", F.least("frame", "frames"))
-    marks = marks.withColumn("low", F.greatest(F.col("centre") - extent, F.lit(0))).withColumn("high", F.least(F.col("centre") + extent, "frames"))
-    marks = marks.groupBy("rec_id", "marker", "centre", "low", "high", "n").agg(F.count("*").cast("int").alias("copies"))
-    buckets = lambda low, high: F.sequence(F.floor(low / width), F.floor((high - 1) / width))
-    spread = marks.withColumn("bucket", F.explode(buckets(F.col("low"), F.greatest("high", F.col("low") + 1))))
+    marks = markers.where("frame is not null").join(known, "rec_id").withColumn("centre", F.least("frame", "frames").cast("long"))
+    centres = marks.select("rec_id", F.floor(F.greatest("centre", F.lit(0)) / width).alias("bucket"), "centre", "frames", "n").distinct()
     end = F.col("first_frame") + F.size("samples")
-    blocks = recordings.where("size(samples) > 0").withColumn("bucket", F.explode(buckets(F.col("first_frame"), end)))
-    met = spread.join(blocks, ["rec_id", "bucket"]).where((F.col("first_frame") < F.col("high")) & (end > F.col("low")))
-    met = met.where(F.col("bucket") == F.greatest(F.floor(F.col("low") / width), F.floor(F.col("first_frame") / width)))  # once a pair
-    start = F.greatest("low", "first_frame")
-    part = F.slice("samples", (start - F.col("first_frame") + 1).cast("int"), (F.least("high", end) - start).cast("int"))
-    pieces = met.select("rec_id", "marker", "centre", "low", "high", "n", "copies", "channel", start.alias("start"), part.alias("part"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        low, n = int(one["low"]), int(one["n"])
-        signal = np.zeros((n, int(one["high"]) - low))
-        for channel, start, part in zip(pdf["channel"], pdf["start"], pdf["part"]):
+    reached = F.sequence(F.greatest(F.floor((F.col("first_frame") - extent) / width), F.lit(0)), F.floor((end - 1 + extent) / width))
+    blocks = recordings.where("size(samples) > 0").where(end > 0).withColumn("bucket", F.explode(reached))
+    blocks = blocks.join(centres.select("rec_id", "bucket").distinct(), ["rec_id", "bucket"], "left_semi")
+    low = lambda bucket: F.greatest(bucket * width - extent, F.lit(0))
+    start = F.greatest(low(F.col("bucket")), "first_frame")
+    part = F.slice("samples", (start - F.col("first_frame") + 1).cast("int"), (F.least((F.col("bucket") + 1) * width + extent, end) - start).cast("int"))
+    pieces = blocks.select("rec_id", "bucket", "channel", start.alias("start"), part.alias("part"))
+    rows = centres.unionByName(pieces, allowMissingColumns=True)
+
+    def levels(bucket: int, frames: int, n: int, asked: list, held: list) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+        """A bucket's centres in runs, with the targets and their levels (target, centre, bin)."""
+        low = max(bucket * width - extent, 0)
+        signal = np.zeros((n, (bucket + 1) * width + extent - low))
+        known = np.zeros(signal.shape[1], bool)
+        for channel, start, part in held:
             signal[channel, start - low : start - low + len(part)] = part
+            known[start - low : start - low + len(part)] = True
         if channels == "all" and n > 1:
-            targets = dict(enumerate(signal))
+            targets, heard = list(range(n)), signal
         elif isinstance(channels, int) and channels < n:
-            targets = {channels: signal[channels]}
+            targets, heard = [channels], signal[channels : channels + 1]
         else:
-            targets = {None: signal.mean(0)}
-        levels = [around(x, int(one["centre"]) - low, fft) for x in targets.values()]
-        out = pd.DataFrame({"rec_id": one["rec_id"], "marker": one["marker"], "target": pd.array(list(targets), dtype="Int32"), "levels": levels})
-        return out.loc[out.index.repeat(one["copies"])]
+            targets, heard = [None], signal.mean(0, keepdims=True)
+        own = np.array(asked)
+        before = np.concatenate([[0], np.cumsum(known)])
+        ends = [before[np.clip(x - low, 0, len(known))] for x in (np.maximum(own - extent, 0), np.minimum(own + extent, frames))]
+        own = own[ends[1] > ends[0]]  # a block reaches them
+        run = max(1, AT_ONCE // (AROUND * fft * len(targets)))
+        for i in range(0, len(own), run):
+            yield own[i : i + run], targets, around_each(heard, low, own[i : i + run], frames, fft)
 
-    kinds = dict(pieces.dtypes)
-    return pieces.groupBy("rec_id", "marker", "centre").applyInPandas(work, f"rec_id {kinds['rec_id']}, marker {kinds['marker']}, target int, levels array<double>")
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Buckets stream by, their rows together, centres first: only one bucket's samples are held."""
+        out: dict[str, list] = {"rec_id": [], "centre": [], "target": [], "levels": []}
+
+        def made() -> pd.DataFrame:
+            pdf = pd.DataFrame(out | {"target": pd.array(out["target"], dtype="Int32")})
+            for column in out.values():
+                column.clear()
+            return pdf
+
+        def bucket(key, head, asked, held) -> Iterator[pd.DataFrame]:
+            for own, targets, found in levels(int(key[1]), *head, asked, held) if asked and held else ():
+                for target, of in zip(targets, found):
+                    out["rec_id"] += [key[0]] * len(own)
+                    out["centre"] += own.tolist()
+                    out["target"] += [target] * len(own)
+                    out["levels"] += list(of)
+                if len(out["rec_id"]) * (fft // 2 + 1) >= AT_ONCE:
+                    yield made()
+
+        key, head, asked, held = None, (0, 0), [], []
+        for pdf in batches:
+            for rec, at, centre, frames, n, channel, start, part in zip(*(pdf[c] for c in ("rec_id", "bucket", "centre", "frames", "n", "channel", "start", "part"))):
+                if (rec, at) != key:
+                    yield from bucket(key, head, asked, held)
+                    key, asked, held = (rec, at), [], []
+                if part is None:
+                    head = int(frames), int(n)
+                    asked.append(int(centre))
+                else:
+                    held.append((int(channel), int(start), part))
+        yield from bucket(key, head, asked, held)
+        if out["rec_id"]:
+            yield made()
+
+    rows = rows.where("rec_id is not null").repartition("rec_id", "bucket").sortWithinPartitions("rec_id", "bucket", F.col("centre").asc_nulls_last())
+    found = rows.mapInPandas(work, f"rec_id {dict(rows.dtypes)['rec_id']}, centre long, target int, levels array<double>")
+    return marks.select("rec_id", "marker", "centre").join(found, ["rec_id", "centre"]).select("rec_id", "marker", "target", "levels")
 
 
 def dft_power(samples: Column, n: int) -> Column:

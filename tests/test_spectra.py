@@ -103,6 +103,29 @@ def test_spectra_at_markers(spark):
     assert {r["target"] for r in one.collect()} == {1} and P.spectra_at(blocks, markers, lengths, 2048, 7).where(F.col("target").isNull()).count() == 4
 
 
+def test_spectra_at_markers_do_not_depend_on_buckets(spark):
+    """Centres before, at and past both ends and around buckets' borders, in blocks with gaps, many markers on one centre."""
+    n, rng = 400, np.random.default_rng(8)
+    x = rng.normal(size=(2, n))
+    x[:, 200:300] = 0  # no block holds these
+    rows = [(1, c, first, x[c, first : first + 30].tolist()) for c in (0, 1) for first in (*range(0, 200, 30), *range(300, n, 30))]
+    rows = [(r, c, first, s[: 200 - first] if first < 200 else s) for r, c, first, s in rows]
+    blocks = spark.createDataFrame(rows, "rec_id long, channel int, first_frame long, samples array<double>")
+    lengths = spark.createDataFrame([(1, n, 2)], "rec_id long, frames long, channels long")
+    at = {i: f for i, f in enumerate([-60, -5, 0, 3, 31, 32, 33, 63, 64, 150, 199, 219, 225, 250, 281, 299, 380, 399, 400, 999, 150, 150])}
+    markers = spark.createDataFrame([(1, i, f) for i, f in at.items()], "rec_id long, marker int, frame long")
+    extent, expected = P.reach(16), {}
+    for i, f in at.items():
+        low, high = max(min(f, n) - extent, 0), min(f + extent, n)
+        if high > low and not 200 <= low < high <= 300:  # else no block reaches it
+            expected |= {(i, c): P.around(x[c, low:high], min(f, n) - low, 16) for c in (0, 1)}
+    for width in (32, 100, 4096):
+        frame = P.spectra_at(blocks, markers, lengths, 16, width=width)
+        assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()  # no call a marker
+        found = {(r["marker"], r["target"]): r["levels"] for r in frame.collect()}
+        assert found.keys() == expected.keys() and all(np.allclose(found[k], expected[k]) for k in expected)
+
+
 def test_spectrogram_does_not_depend_on_groups(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=5000)
     blocks = spark.createDataFrame([(1, first, x[first : first + 300].tolist()) for first in range(0, 5000, 300)], "rec_id long, first_frame long, samples array<double>")
