@@ -21,7 +21,8 @@ def parse_stamp(text: Column) -> Column:
 
     def fields(s: Column) -> Column:
         parts = F.split(F.substring(s, 2, 100), r"\|", -1)
-        of = lambda p: F.struct(*[F.get(p, F.lit(i)).try_cast("int").alias(n) for i, n in enumerate("ymdhns")])
+        number = lambda x: F.when(x != "", x.try_cast("int"))  # empty parts are many, and a cast that fails is slow
+        of = lambda p: F.struct(*[number(F.get(p, F.lit(i))).alias(n) for i, n in enumerate("ymdhns")])
         return F.when(s.startswith(mark), let(parts, of))
 
     def matched(s: Column) -> Column:
@@ -34,12 +35,12 @@ def parse_stamp(text: Column) -> Column:
         known = f["y"].isNotNull() & (f["h"].isNull() | (f["d"].isNotNull() & (f["h"] < 24))) & (zero("n") < 60) & (zero("s") < 60)
         day = F.concat_ws("-", F.lpad(f["y"].cast("string"), 4, "0"), one("m"), one("d")).try_cast("date").cast("timestamp_ntz")
         start = F.when(known, day) + F.make_dt_interval(F.lit(0), zero("h"), zero("n"), zero("s").cast("decimal(18,6)"))
-        plus = lambda x: start + F.expr(f"interval 1 {x}")
-        end = F.when(f["m"].isNull(), plus("year")).when(f["d"].isNull(), plus("month")).when(f["h"].isNull(), plus("day")).when(f["n"].isNull(), plus("hour")).when(f["s"].isNull(), plus("minute")).otherwise(plus("second"))
-        return F.struct(start.alias("start"), end.alias("end"))
+        plus = lambda start, x: start + F.expr(f"interval 1 {x}")
+        end = lambda start: F.when(f["m"].isNull(), plus(start, "year")).when(f["d"].isNull(), plus(start, "month")).when(f["h"].isNull(), plus(start, "day")).when(f["n"].isNull(), plus(start, "hour")).when(f["s"].isNull(), plus(start, "minute")).otherwise(plus(start, "second"))
+        return let(start, lambda x: F.struct(x.alias("start"), end(x).alias("end")))
 
-    typed = F.trim(text)
-    return let(let(matched(F.when(~typed.startswith(mark), typed)), fields), interval)
+    typed = let(F.trim(text), lambda x: F.when(~x.startswith(mark), x))
+    return let(let(let(typed, matched), fields), interval)
 
 
 def stamp_text(start: Column, end: Column) -> Column:

@@ -107,17 +107,20 @@ def dates_of(fields: DataFrame, starts: DataFrame) -> DataFrame:
         same = F.lower(key) == name if source in ("vorbis", "ape") else key == {"icrd": "ICRD", "timestamp": "Timestamp", "year": "Year"}.get(name, name if source == "mp4" else name.upper())
         kind = F.when((F.col("source") == source) & same, what).otherwise(kind)
     comment = (F.col("source") == "info") & (key == "ICMT")
-    tagged = fields.select("rec_id", F.when(comment, "recorded").otherwise(kind).alias("kind"), parse_stamp(F.when(comment, recorder_date(F.col("value"))).otherwise(F.col("value"))).alias("x"))
-    begun = starts.select("rec_id", F.date_trunc("day", parse_stamp(F.col("date"))["start"]).cast("timestamp_ntz").alias("day"), F.floor(F.pmod("seconds", F.lit(86400.0))).alias("s")).where("day is not null")
+    once = lambda stamp: F.inline(F.array(stamp))  # start and end of a text that is read once, whatever filters and fields follow
+    tagged = fields.withColumn("kind", F.when(comment, "recorded").otherwise(kind)).where("kind is not null")
+    tagged = tagged.select("rec_id", "kind", once(parse_stamp(F.when(comment, recorder_date(F.col("value"))).otherwise(F.col("value")))))
+    begun = starts.select("rec_id", F.floor(F.pmod("seconds", F.lit(86400.0))).alias("s"), once(parse_stamp(F.col("date"))))
+    begun = begun.select("rec_id", F.date_trunc("day", "start").cast("timestamp_ntz").alias("day"), "s").where("day is not null")
     second = F.col("day") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce("s", F.lit(0)).cast("decimal(18,6)"))
-    begun = begun.select("rec_id", F.lit("recorded").alias("kind"), F.struct(second.alias("start"), (second + F.expr("interval 1 second")).alias("end")).alias("x"))
+    begun = begun.select("rec_id", F.lit("recorded").alias("kind"), second.alias("start"), (second + F.expr("interval 1 second")).alias("end"))
     copy = fields.where("source = 'ixml' and trim(value) <> ''").join(begun.select("rec_id"), "rec_id", "left_anti")
     first = lambda name: F.min_by(F.when(key.endswith(name), F.trim("value")), F.when(key.endswith(name), F.col("ord")))
     copy = copy.groupBy("rec_id").agg(first("BWF_ORIGINATION_DATE").alias("date"), first("BWF_ORIGINATION_TIME").alias("time"))
-    whole, day = parse_stamp(F.concat_ws(" ", "date", "time")), parse_stamp(F.col("date"))
-    copy = copy.where("date is not null").select("rec_id", F.lit("recorded").alias("kind"), F.when(whole["start"].isNotNull(), whole).otherwise(day).alias("x"))
-    found = tagged.where("kind is not null").unionByName(begun).unionByName(copy)
-    return found.select("rec_id", "kind", "x.start", "x.end").where("start is not null")
+    copy = copy.where("date is not null").select("rec_id", "date", once(parse_stamp(F.concat_ws(" ", "date", "time"))))
+    whole = F.struct("start", "end")
+    copy = copy.select("rec_id", F.lit("recorded").alias("kind"), once(F.when(F.col("start").isNotNull(), whole).otherwise(parse_stamp(F.col("date")))))
+    return tagged.unionByName(begun).unionByName(copy).where("start is not null")
 
 
 def fields_of(details: DataFrame, tags: DataFrame, markers: DataFrame) -> DataFrame:

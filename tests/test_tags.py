@@ -39,6 +39,13 @@ def test_dates(spark):
     }
 
 
+def test_a_date_is_read_once(spark):
+    """Filters and fields of a read date don't read it again: two patterns for each of four texts, and for starts again."""
+    ids = spark.range(5)
+    fields, starts = ids.selectExpr("id rec_id", "0 ord", "'ixml' || id source", "'a' || id key", "'b' || id value"), ids.selectExpr("id rec_id", "'2024' || id date", "cast(id as double) seconds")
+    assert G.dates_of(fields, starts)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 10
+
+
 def test_empty_tables(spark):
     assert G.dates_of(spark.createDataFrame([], FIELDS), spark.createDataFrame([], STARTS)).collect() == []
 
