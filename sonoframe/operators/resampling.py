@@ -162,15 +162,32 @@ def jumped(steps: np.ndarray) -> np.ndarray:
     return states
 
 
-def noise(first: int, n: int) -> np.ndarray:
-    """Triangular noise of samples first to first + n: each the difference of two draws."""
-    each = -(-n // LANES)
-    states = jumped(2 * (first + each * np.arange(LANES, dtype=np.int64)))
-    draws = np.empty((LANES, 2 * each))
+#: Samples of blocks whose noise is drawn together.
+TOGETHER = 1 << 20
+
+
+def noises(firsts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Triangular noise of samples first to first + size of many blocks: each sample's is the difference of two draws.
+
+    Blocks are cut into lanes of one length that are jumped to at once and drawn side by side.
+    """
+    firsts, sizes = np.asarray(firsts, dtype=np.int64), np.asarray(sizes, dtype=np.int64)
+    each = max(1, min(int(sizes.max(initial=0)), -(-int(sizes.sum()) // LANES), max(1, TOGETHER // max(1, len(sizes)))))
+    many = -(-sizes // each)
+    ends = np.cumsum(many)
+    within = np.arange(int(many.sum()), dtype=np.int64) - np.repeat(ends - many, many)
+    states = jumped(2 * (np.repeat(firsts, many) + each * within))
+    draws = np.empty((len(states), 2 * each))
     for i in range(2 * each):
         states = _step(states)
         draws[:, i] = ((states * np.uint64(STAR)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-    return (draws[:, ::2] - draws[:, 1::2]).ravel()[:n]
+    made = draws[:, ::2] - draws[:, 1::2]
+    return [made[end - n : end].ravel()[:size] for end, n, size in zip(ends, many, sizes)]
+
+
+def noise(first: int, n: int) -> np.ndarray:
+    """The same of one block."""
+    return noises(np.array([first]), np.array([n]))[0]
 
 
 def rounded(x: np.ndarray, bits: int) -> np.ndarray:
@@ -192,9 +209,14 @@ def dithered(recordings: DataFrame, lengths: DataFrame, bits: int) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for channel, first, samples, channels, gain in zip(pdf["channel"], pdf["first_frame"], pdf["samples"], pdf["channels"], pdf["gain"]):
-                own = noise(int(first * channels), len(samples) * channels)[channel::channels]
-                out.append(rounded(np.asarray(samples) * gain * 2.0 ** (bits - 1) + own, bits))
+            of = [(int(first * channels), len(samples) * int(channels)) for first, samples, channels in zip(pdf["first_frame"], pdf["samples"], pdf["channels"])]
+            run = np.cumsum([n for _, n in of]) // TOGETHER
+            for _, part in pdf.groupby(run):
+                spans = [of[i] for i in pdf.index.get_indexer(part.index)]
+                known = list(dict.fromkeys(spans))  # blocks that begin alike share their noise
+                drawn = dict(zip(known, noises(*np.array(known, dtype=np.int64).T)))
+                for span, channel, samples, channels, gain in zip(spans, part["channel"], part["samples"], part["channels"], part["gain"]):
+                    out.append(rounded(np.asarray(samples) * gain * 2.0 ** (bits - 1) + drawn[span][channel::channels], bits))
             yield pdf[["rec_id", "channel", "first_frame"]].assign(samples=out)
 
     kinds = dict(rows.dtypes)

@@ -83,6 +83,16 @@ def test_decimation_equals_one_pass(spark, factor):
     assert np.allclose(y, whole[factor - 1 :: factor][: math.ceil(500 / factor)], atol=1e-12)
 
 
+def test_noise_of_many_blocks_is_that_of_each():
+    """Whatever blocks are drawn together: short and long ones, empty ones, far ones."""
+    whole = np.concatenate([R.noise(i, 1) for i in range(40)])
+    firsts, sizes = [0, 5, 39, 7, 0, 10**9, 3], [40, 3, 1, 0, 5000, 70, 37]
+    found = R.noises(np.array(firsts), np.array(sizes))
+    assert [len(x) for x in found] == sizes
+    assert all(np.array_equal(x, R.noise(f, n)) for x, f, n in zip(found, firsts, sizes))
+    assert np.array_equal(found[0], whole) and np.array_equal(found[1], whole[5:8]) and np.array_equal(found[4][:40], whole)
+
+
 def test_a_conversion_is_turned_down_and_dithered(spark):
     x = 1.5 * np.sin(2 * np.pi * 440 * np.arange(4000) / 8000)[None]
     lengths = spark.createDataFrame([(1, 4000, 1)], "rec_id long, frames long, channels long")
