@@ -54,7 +54,8 @@ _WHOLE = "greatest(-(2 ** (bits - 1)), least(2 ** (bits - 1) - 1, round(x * 2 **
  select name, (i % channels)::int channel, (i // channels)::bigint frame, round(case when bits = 64 then x when floating then x::float::double else {_WHOLE} end * 1e9)::bigint x
  from s where i // channels between 3 and 52""")
 def recording_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames 3 to 52 in blocks of 16 frames, from partitions of 5,000 bytes."""
+    """Frames 3 to 52 in blocks of 16 frames, from partitions of 5,000 bytes, or more where that would make too many; a
+    block's name is taken from its path before its samples become rows."""
     rows = D.read_blocks(spark, _written(spark, sf), first="3", count="50", block="16", partitionBytes="5000")
-    rows = rows.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "channel", "first_frame", F.posexplode("samples").alias("i", "x"))
+    rows = rows.withColumn("name", F.substring_index("path", "/", -1)).select("name", "channel", "first_frame", F.posexplode("samples").alias("i", "x"))
     return rows.select("name", "channel", (c("first_frame") + c("i")).alias("frame"), F.round(c("x") * 1e9).cast("long").alias("x"))

@@ -3,8 +3,10 @@
 Reading. Headers come by ranged reads of the chunks' heads and of the small chunks that the schema asks for, so a file of
 any size costs a few kilobytes; give a schema of fewer columns to read less. With option `samples` true, rows are
 blocks of samples: files are cut into ranges of `partitionBytes` bytes, a task reads the blocks that begin in its
-ranges, and `first` and `count` leave all other frames unread. Nothing of a file but its name and size passes the
-driver. Paths are what pyarrow's file systems open: local or mounted folders, and object stores by their URI.
+ranges, and `first` and `count` leave all other frames unread. Where so small ranges would make more than about
+`partitions` tasks (512), ranges grow with the bytes in all, to 64 MB at most: a task costs as much as hundreds of small
+files. Blocks pass in batches of up to about 1 MB. Nothing of a file but its name and size passes the driver. Paths are
+what pyarrow's file systems open: local or mounted folders, and object stores by their URI.
 
 Folders are walked by canonical name, each once, so that links don't lead in circles; hidden names are left out, and
 folders that can't be read are skipped.
@@ -37,6 +39,8 @@ from .recordings import HEADERS, KINDS, Opened, header_row, parse, samples
 
 AUDIO = "wav"
 BLOCKS = "path string, channel int, first_frame long, samples array<double>"
+#: Bytes that a task's ranges have at most where they grow to keep tasks few, and numbers that a batch of blocks holds, besides its last block's.
+_RANGE, _NUMBERS = 64 << 20, 1 << 17
 _TEXTS = {"description", "originator", "date", "time", "time_reference", "ixml", "guano", "info", "markers"}
 
 
@@ -90,6 +94,7 @@ class _Reader(DataSourceReader):
         self.blocks = options.get("samples", "false").lower() == "true"
         self.bytes = int(options.get("partitionbytes", 64 << 20))
         self.files = int(options.get("partitionfiles", 256))
+        self.tasks = int(options.get("partitions", 512))
         self.block = int(options.get("block", 1 << 14))
         self.first = int(options.get("first", 0))
         self.end = self.first + int(options["count"]) if "count" in options else None
@@ -99,17 +104,18 @@ class _Reader(DataSourceReader):
             raise ValueError(f"recordings have no columns {sorted(unknown)}")
 
     def partitions(self) -> list[Ranges]:
-        out, held, room = [], [], self.bytes
-        for root in self.roots:
-            for path, size in walked(root):
-                for a in range(0, max(size, 1), self.bytes) if self.blocks else (0,):
-                    b = min(a + self.bytes, size)
-                    cost = b - a if self.blocks else self.bytes // self.files
-                    if held and cost > room:
-                        out.append(Ranges(held))
-                        held, room = [], self.bytes
-                    held.append((path, a, b))
-                    room -= cost
+        files = [x for root in self.roots for x in walked(root)]
+        most = max(self.bytes, min(_RANGE, sum(size for _, size in files) // self.tasks)) if self.blocks else self.bytes
+        out, held, room = [], [], most
+        for path, size in files:
+            for a in range(0, max(size, 1), most) if self.blocks else (0,):
+                b = min(a + most, size)
+                cost = b - a if self.blocks else most // self.files
+                if held and cost > room:
+                    out.append(Ranges(held))
+                    held, room = [], most
+                held.append((path, a, b))
+                room -= cost
         return [*out, Ranges(held)] if held or not out else out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
@@ -121,8 +127,28 @@ class _Reader(DataSourceReader):
                 rows.append({c: row[c] for c in self.columns})
             yield pa.RecordBatch.from_pylist(rows, schema)
             return
+        held, numbers = [], 0
         for path, a, b in partition.files:
-            yield from self._samples(path, a, b)
+            for first, x in self._samples(path, a, b):
+                held.append((path, first, x))
+                numbers += x.size
+                if numbers >= _NUMBERS:
+                    yield self._batch(held)
+                    held, numbers = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, blocks: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+        """Blocks (path, first frame, samples by frame and channel) as rows, one a channel."""
+        channels = np.array([x.shape[1] for _, _, x in blocks])
+        each = np.repeat(np.arange(len(blocks)), channels)
+        made = {
+            "path": lambda: pa.array([blocks[i][0] for i in each], pa.string()),
+            "channel": lambda: pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in channels])),
+            "first_frame": lambda: pa.array(np.array([first for _, first, _ in blocks], dtype=np.int64)[each]),
+            "samples": lambda: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(blocks[i][2]) for i in each])]).astype(np.int32)), pa.array(np.concatenate([x.T.ravel() for _, _, x in blocks]))),
+        }
+        return pa.RecordBatch.from_arrays([made[c]() for c in self.columns], self.columns)
 
     def _header(self, path: str, texts: bool) -> dict:
         system, name = opened(path)
@@ -132,9 +158,8 @@ class _Reader(DataSourceReader):
         except OSError as e:
             return dict.fromkeys(KINDS) | {"path": path, "error": str(e)}
 
-    def _samples(self, path: str, a: int, b: int) -> Iterator[pa.RecordBatch]:
-        """The blocks whose first byte is in the range; the range that begins the file has those before it too."""
-        kinds = {"path": pa.string(), "channel": pa.int32(), "first_frame": pa.int64(), "samples": pa.list_(pa.float64())}
+    def _samples(self, path: str, a: int, b: int) -> Iterator[tuple[int, np.ndarray]]:
+        """First frame and samples of the blocks whose first byte is in the range; the range that begins the file has those before it too."""
         system, name = opened(path)
         try:
             file = system.open_input_file(name)
@@ -152,10 +177,7 @@ class _Reader(DataSourceReader):
             while block * self.block < stop and (start + block * size < b):
                 first, last = max(block * self.block, self.first), min((block + 1) * self.block, stop)
                 if last > first:
-                    x = samples(source.read(start + first * step, (last - first) * step), info["bits"], info["floating"]).reshape(-1, info["channels"])
-                    offsets = np.arange(info["channels"] + 1, dtype=np.int32) * len(x)
-                    made = {"path": pa.array([path] * info["channels"]), "channel": pa.array(np.arange(info["channels"], dtype=np.int32)), "first_frame": pa.array(np.full(info["channels"], first)), "samples": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x.T).ravel()))}
-                    yield pa.RecordBatch.from_arrays([made[c].cast(kinds[c]) for c in self.columns], self.columns)
+                    yield first, samples(source.read(start + first * step, (last - first) * step), info["bits"], info["floating"]).reshape(-1, info["channels"])
                 block += 1
 
 
@@ -264,19 +286,18 @@ class _Writer(DataSourceArrowWriter):
         done: list[_File] = []
         try:
             for batch in iterator:
-                get = lambda c, row: batch.column(self.at[c])[row].as_py() if c in self.at else None  # noqa: B023, E731
-                lists = batch.column(self.at["samples"])
-                for row in range(batch.num_rows):
-                    name = get("name", row)
-                    if name is None or not lists[row].is_valid:
+                lists, none = batch.column(self.at["samples"]), [None] * batch.num_rows
+                columns = [batch.column(self.at[c]).to_pylist() if c in self.at else none for c in ("name", "first_frame", "channels", "sample_rate", "bits", "floating")]
+                for x, name, first, *kind, floating in zip(lists, *columns):
+                    if name is None or not x.is_valid:
                         continue
                     if not done or done[-1].name != name:
                         if done:
                             done[-1].close()
                         if os.path.basename(name) != name or name.startswith("."):
                             raise ValueError(f"{name!r} isn't a name for a recording")
-                        done.append(_File(self.folder, name, self.job, get("channels", row), get("sample_rate", row), get("bits", row), bool(get("floating", row)), self.limit))
-                    done[-1].add(get("first_frame", row) or 0, np.asarray(lists[row].values.to_numpy(zero_copy_only=False), dtype=np.float64))
+                        done.append(_File(self.folder, name, self.job, *kind, bool(floating), self.limit))
+                    done[-1].add(first or 0, np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.float64))
             if done:
                 done[-1].close()
         except BaseException:
@@ -288,7 +309,8 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         files = [x for m in messages if m is not None for x in m.files]
         names = [name for _, name in files]
-        taken = [n for n in names if os.path.exists(f"{self.folder}/{n}")] if not self.overwrite else []
+        there = set() if self.overwrite else set(os.listdir(self.folder))
+        taken = [n for n in names if n in there]
         if len(set(names)) < len(names) or taken:
             self.abort(messages)
             raise ValueError(f"a recording's blocks were in two tasks, or its name is taken: {sorted({n for n in names if names.count(n) > 1} | set(taken))[:5]}")
@@ -332,7 +354,7 @@ def read_headers(spark: SparkSession, root: str, schema: str | None = None, **op
 
 
 def read_blocks(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """path, channel, first_frame, samples; options first, count, block, partitionBytes."""
+    """path, channel, first_frame, samples; options first, count, block, partitionBytes, partitions."""
     register(spark)
     return spark.read.format("recordings").options(samples="true", **options).load(root)
 

@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql.types import StructType
 
 from sonoframe.sources import dataset as D
 from sonoframe.sources import recordings as R
@@ -122,3 +123,19 @@ def test_a_narrow_schema_and_an_unknown_column(spark, tmp_path):
     assert D.read_headers(spark, str(tmp_path / "none" if (tmp_path / "none").mkdir() is None else "")).count() == 0
     with pytest.raises(Exception, match="no columns"):
         D.read_headers(spark, str(tmp_path), "colour string").collect()
+
+
+def test_many_small_files_pass_in_few_tasks_and_batches(spark, tmp_path):
+    x = np.arange(40)[:, None] * np.array([[1, 2]])
+    for i in range(3000):
+        (tmp_path / f"{i}.wav").write_bytes(R.wav_bytes(x[:, : 1 + i % 2], 48000))
+    found = D._Reader({"path": str(tmp_path), "samples": "true", "block": "16", "partitionbytes": "200", "partitions": "20"}, StructType.fromDDL(D.BLOCKS))
+    tasks = found.partitions()
+    assert 10 <= len(tasks) <= 40 and len({path for t in tasks for path, _, _ in t.files}) == 3000
+    batches = [b for t in tasks for b in found.read(t)]
+    assert len(batches) == len(tasks)
+    rows = D.read_blocks(spark, str(tmp_path), block="16", partitionBytes="200", partitions="20")
+    whole = sorted((os.path.basename(r["path"]), r["channel"], r["first_frame"], r["samples"]) for r in rows.collect())
+    assert len(whole) == 3000 // 2 * 3 * 3
+    assert whole == sorted((os.path.basename(r["path"]), r["channel"], r["first_frame"], r["samples"]) for b in batches for r in b.to_pylist())
+    assert all(values == (x[first : first + 16, k] / 32768).tolist() for _, k, first, values in whole)
