@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators.markers import marker_order
 
 #: The most channels that a format holds.
 MOST_CHANNELS = {"wav": 65535, "aiff": 65535, "caf": 65535, "flac": 8, "m4a": 8, "mka": 8, "mp3": 2, "ogg": 255, "webm": 255}
@@ -103,29 +102,42 @@ def carry_problems(files: DataFrame, fields: DataFrame, pictures: DataFrame, mar
     keeps the first 255), a marker that is more than a millisecond away from its place or has lost its name.
 
     Defined results: rows of files that aren't in `files` are ignored, nulls are values like others, repeated values need be read once.
+
+    Rows are dealt by file, once; there, what is wanted and what was read meet in groups of equal values or places.
     """
     number = F.col("name").isin("TRACKNUMBER", "TRACKTOTAL", "DISCNUMBER", "DISCTOTAL") & F.col("value").rlike(r"^\s*[0-9]+\s*$")
     value = F.when(F.coalesce(number, F.lit(False)), F.regexp_replace(F.trim("value"), "^0+", "")).otherwise(F.coalesce("value", F.lit("")))
-    known = files.select("rec_id", "format")
-    back = read_fields.join(known, "rec_id").select("rec_id", "format", value.alias("v"))
-    apart = back.where("format = 'caf'").select("rec_id", F.explode(F.split("v", "; ")).alias("v"))
-    there = back.select("rec_id", "v").unionByName(apart).distinct()
-    gone = fields.select("rec_id", "ord", "key", value.alias("v")).join(there, ["rec_id", "v"], "left_anti").groupBy("rec_id").agg(F.min_by("key", "ord").alias("key"))
-    kept = files.where(~F.array_contains(lost(F.col("format"), F.array(F.lit("pictures"))), "pictures")).select("rec_id")
-    unseen = pictures.join(kept, "rec_id").join(read_pictures.select("rec_id", "content").distinct(), ["rec_id", "content"], "left_anti").groupBy("rec_id").agg(F.min_by("kind", "ord").alias("picture"))
-    wanted = marker_order(markers).join(files, "rec_id").where((F.col("format") != "m4a") | (F.col("place") <= M4A_MARKERS))
-    found = marker_order(read_markers).select("rec_id", "place", F.col("frame").alias("now"), F.col("label").alias("now_label"))
-    counts = lambda df, name: df.groupBy("rec_id").agg(F.count("*").alias(name))
-    moved = (F.abs(F.col("now") - F.col("frame")) * 1000 > F.greatest("rate", F.lit(1))) | ~F.col("label").eqNullSafe(F.col("now_label"))
-    astray = wanted.join(found, ["rec_id", "place"]).where(moved).groupBy("rec_id").agg(F.min_by("label", "place").alias("astray"), F.lit(True).alias("some"))
-    rows = files.select("rec_id")
-    for more in (gone, unseen, counts(wanted, "n_wanted"), counts(found, "n_found"), astray):
+    dealt = lambda df: df.where("rec_id is not null").repartition("rec_id")
+    at = lambda name: F.when(F.col("ord").isNotNull(), F.struct("ord", F.col(name).alias("what"))).alias("at")
+    # found: 0 not at all, 1 as a part of a value, which counts in CAF, 2 as a value
+    parts = F.when(F.contains("v", F.lit("; ")), F.concat(F.array("v"), F.split("v", "; "))).otherwise(F.array("v"))
+    back = read_fields.select("rec_id", value.alias("v")).select("rec_id", F.posexplode(parts).alias("n", "v")).select("rec_id", "v", F.when(F.col("n") == 0, 2).otherwise(1).alias("found"))
+    values = dealt(fields.select("rec_id", value.alias("v"), F.lit(0).alias("found"), at("key")).unionByName(back, allowMissingColumns=True))
+    values = values.groupBy("rec_id", "v").agg(F.min("at").alias("at"), F.max("found").alias("found")).where("found < 2 and at is not null")
+    gone = values.groupBy("rec_id").agg(F.min(F.when(F.col("found") == 0, F.col("at"))).alias("gone"), F.min("at").alias("not_whole"))
+    seen = pictures.select("rec_id", "content", F.lit(0).alias("found"), at("kind")).unionByName(read_pictures.select("rec_id", "content", F.lit(1).alias("found")), allowMissingColumns=True)
+    seen = dealt(seen).groupBy("rec_id", "content").agg(F.min("at").alias("at"), F.max("found").alias("found")).where("found = 0 and at is not null")
+    unseen = seen.groupBy("rec_id").agg(F.min("at").alias("unseen"))
+    both = dealt(markers.select("rec_id", F.lit(0).alias("side"), "frame", "id", "label").unionByName(read_markers.select("rec_id", F.lit(1).alias("side"), "frame", "id", "label")))
+    placed = both.withColumn("place", F.row_number().over(Window.partitionBy("rec_id", "side").orderBy("frame", "id")))
+    listed = files.select("rec_id", "format", "rate").repartition("rec_id")
+    counted = (F.col("side") == 1) | (F.col("format") != "m4a") | (F.col("place") <= M4A_MARKERS)
+    frame = lambda n: F.max(F.when(F.col("side") == n, F.col("frame")))
+    # places have no gaps, so where counts are equal each wanted one has its other: by its name, or it has lost it
+    named = placed.join(listed, "rec_id").where(counted).groupBy("rec_id", "place", "label").agg(F.count_if(F.col("side") == 0).alias("was"), F.count_if(F.col("side") == 1).alias("now"), (F.abs(frame(1) - frame(0)) * 1000 > F.max(F.greatest("rate", F.lit(1)))).alias("far"))
+    named = named.withColumn("bad", (F.col("was") > 0) & ((F.col("now") == 0) | F.coalesce("far", F.lit(False))))
+    marks = named.groupBy("rec_id", "bad", F.when(F.col("bad"), F.col("label")).alias("label")).agg(F.sum("was").alias("was"), F.sum("now").alias("now"), F.min("place").alias("place"))
+    marks = marks.groupBy("rec_id").agg(F.sum("was").alias("n_wanted"), F.sum("now").alias("n_found"), F.min(F.when(F.col("bad"), F.struct("place", "label"))).alias("astray"))
+    rows = listed
+    for more in (gone, unseen, marks):
         rows = rows.join(more, "rec_id", "left")
+    key = F.when(F.col("format") == "caf", F.col("gone.what")).otherwise(F.col("not_whole.what"))
+    picture = F.when(~F.array_contains(lost(F.col("format"), F.array(F.lit("pictures"))), "pictures"), F.col("unseen.what"))
     n_found, n_wanted = F.coalesce("n_found", F.lit(0)), F.coalesce("n_wanted", F.lit(0))
     problem = (
-        F.when(F.col("key").isNotNull(), F.concat(F.lit("tag "), "key", F.lit(" is missing"))).when(F.col("picture").isNotNull(), F.concat("picture", F.lit(" picture is missing")))
+        F.when(key.isNotNull(), F.concat(F.lit("tag "), key, F.lit(" is missing"))).when(picture.isNotNull(), F.concat(picture, F.lit(" picture is missing")))
         .when(n_found != n_wanted, F.concat(n_found.cast("string"), F.lit(" markers came back of "), n_wanted.cast("string")))
-        .when(F.col("some"), F.concat(F.lit('marker "'), F.coalesce("astray", F.lit("")), F.lit('" moved or lost its name')))
+        .when(F.col("astray").isNotNull(), F.concat(F.lit('marker "'), F.coalesce("astray.label", F.lit("")), F.lit('" moved or lost its name')))
     )
     return rows.select("rec_id", problem.alias("problem"))
 

@@ -87,20 +87,22 @@ def carry_check(spark: SparkSession, sf: str) -> DataFrame:
 def carry_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as files, in three formats, their lines as markers: one loses a field, one a picture (which CAF has no
     place for), one a marker; one marker moves too far, one changes its name, one moves a little; numbers lose zeros."""
-    marks = table(spark, sf, "lineitem").select(c("l_orderkey").alias("rec_id"), c("l_linenumber").alias("id")).distinct().select("rec_id", "id", (c("id") * 48000).cast("long").alias("frame"), F.concat(F.lit("m"), c("id").cast("string")).alias("label"))
-    form = F.element_at(F.array(F.lit("wav"), F.lit("flac"), F.lit("caf")), (c("o_orderkey") % 3 + 1).cast("int"))
-    orders = table(spark, sf, "orders").join(marks.select(c("rec_id").alias("o_orderkey")).distinct(), "o_orderkey")
-    files = orders.select(c("o_orderkey").alias("rec_id"), form.alias("format"), F.lit(48000).alias("rate"))
-    k, first = c("rec_id") % 8, c("id") == F.min("id").over(Window.partitionBy("rec_id"))
+    lines = table(spark, sf, "lineitem").select(c("l_orderkey").alias("rec_id"), c("l_linenumber").alias("id")).repartition("rec_id").distinct()
+    marks = lines.select("rec_id", "id", (c("id") * 48000).cast("long").alias("frame"), F.concat(F.lit("m"), c("id").cast("string")).alias("label"))
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "rec_id")
+    k, form = c("rec_id") % 8, F.element_at(F.array(F.lit("wav"), F.lit("flac"), F.lit("caf")), (c("rec_id") % 3 + 1).cast("int"))
+    files = orders.select("rec_id", form.alias("format"), F.lit(48000).alias("rate")).join(lines, "rec_id", "left_semi")
+    # fields and pictures of orders without lines are left to carry_problems, which ignores them
     field = lambda i, key, value: F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(key).alias("name"), value.alias("value"))
-    fields = orders.select(c("o_orderkey").alias("rec_id"), F.explode(F.array(field(1, "TITLE", c("o_orderpriority")), field(2, "ARTIST", F.concat(F.lit("by "), c("o_orderstatus"))), field(3, "TRACKNUMBER", F.lit("03")))).alias("x")).select("rec_id", "x.*")
-    joined = F.array_join(F.array_sort(F.collect_list(F.when(~((k == 0) & (c("name") == "ARTIST")), F.when(c("name") == "TRACKNUMBER", "3").otherwise(c("value"))))), "; ")
+    artist = F.concat(F.lit("by "), c("o_orderstatus"))
+    fields = orders.select("rec_id", F.explode(F.array(field(1, "TITLE", c("o_orderpriority")), field(2, "ARTIST", artist), field(3, "TRACKNUMBER", F.lit("03")))).alias("x")).select("rec_id", "x.*")
     back = fields.where(~((k == 0) & (c("name") == "ARTIST"))).withColumn("value", F.when(c("name") == "TRACKNUMBER", "3").otherwise(c("value")))
-    caf = files.where("format = 'caf'").select("rec_id")
-    together = fields.join(caf, "rec_id").groupBy("rec_id").agg(joined.alias("value")).select("rec_id", F.lit(1).alias("ord"), F.lit("all").alias("key"), F.lit(None).cast("string").alias("name"), "value")
-    pictures = files.select("rec_id", F.lit(1).alias("ord"), F.lit("front").alias("kind"), F.encode(c("rec_id").cast("string"), "utf-8").alias("content"))
+    joined = F.array_join(F.array_sort(F.array_compact(F.array("o_orderpriority", F.when(k != 0, artist), F.lit("3")))), "; ")
+    together = orders.where(form == "caf").select("rec_id", F.lit(1).alias("ord"), F.lit("all").alias("key"), F.lit(None).cast("string").alias("name"), joined.alias("value"))
+    pictures = orders.select("rec_id", F.lit(1).alias("ord"), F.lit("front").alias("kind"), F.encode(c("rec_id").cast("string"), "utf-8").alias("content"))
+    first = c("id") == F.min("id").over(Window.partitionBy("rec_id"))
     after = marks.withColumn("first", first).where(~(c("first") & (k == 2))).withColumn("frame", c("frame") + F.when(c("first"), F.when(k == 3, 49).when(k == 5, 48).otherwise(0)).otherwise(0)).withColumn("label", F.when(c("first") & (k == 4), "x").otherwise(c("label"))).drop("first")
-    return V.carry_problems(files, fields, pictures, marks, back.join(caf, "rec_id", "left_anti").unionByName(together), pictures.where(k != 1), after)
+    return V.carry_problems(files, fields, pictures, marks, back.where(form != "caf").unionByName(together), pictures.where(k != 1), after)
 
 
 @query("next_free_name", f"""with {FILES}, w as (select folder, rec_id place, lower(split_part(name, ' ', 1)) stem from files), k as (select *, row_number() over (partition by folder, stem order by place) k from w),

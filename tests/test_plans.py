@@ -132,3 +132,32 @@ def test_verified(spark):
     written = spark.createDataFrame([(1, "wav", 48000, 2, 10, "x"), (2, "mp3", 48000, 2, 10, None), (3, "ogg", 48000, 2, 10, None), (4, None, 48000, 2, 10, "x")], kind)
     read = spark.createDataFrame([(1, "", 48000, 2, 10, None), (2, "", 48000, 2, 3419, None), (3, "", 48000, 2, 11, None)], kind).drop("format")
     assert {r["rec_id"]: r["problem"] for r in V.verified(written, read).collect()} == {1: "audio", 2: None, 3: "length", 4: "unreadable"}
+
+
+def test_carry_problems(spark):
+    files = spark.createDataFrame([(i, f, 48000) for i, f in enumerate(("wav", "caf", "m4a", "wav", "wav", "caf", "webm", "m4a", "wav", "wav"))] + [(10, None, None)], "rec_id long, format string, rate int")
+    fields = spark.createDataFrame([(0, 2, "B", None, "b"), (0, 1, "A", None, "a"), (1, 1, "A", None, "a"), (1, 2, "T", "TRACKNUMBER", " 03"), (3, 1, "A", None, None), (4, 1, "A", None, "a"), (5, 1, "A", None, "x; y"), (99, 1, "A", None, "lost"), (None, 1, "A", None, "lost")], "rec_id long, ord int, key string, name string, value string")
+    read = spark.createDataFrame([(0, "A", None, "a; b"), (1, "all", None, "a; 3"), (3, "A", None, ""), (4, "A", None, "a"), (4, "A", None, "a"), (5, "A", None, "y; x; y")], "rec_id long, key string, name string, value string")
+    pictures = spark.createDataFrame([(4, 2, "back", b"2"), (4, 1, "front", b"1"), (6, 1, "front", b"1"), (1, 1, "front", b"1"), (3, 1, "front", None)], "rec_id long, ord int, kind string, content binary")
+    shown = spark.createDataFrame([(4, b"2"), (4, b"2"), (3, None)], "rec_id long, content binary")
+    marks = [(2, i, i * 10, f"m{i}") for i in range(300)] + [(7, i, i * 100, f"m{i}") for i in range(300)] + [(8, 1, 5, "a"), (8, 2, 5, "b"), (8, 3, 900, None), (9, 1, 1, "a"), (9, 2, 100, "b"), (9, 3, 200, "c"), (10, 1, 10, "a")]
+    now = [(2, i, i * 10, f"m{i}") for i in range(255)] + [(7, i, i * 100 + 48, f"m{i}") for i in range(254)] + [(7, 254, 25400, "x")] + [(8, 1, 5, "b"), (8, 2, 5, "a"), (8, 3, 900, None), (9, 1, 0, "a"), (9, 2, 149, "b"), (9, 3, 200, "x"), (10, 1, 11, "a")]
+    kind = "rec_id long, id int, frame long, label string"
+    got = V.carry_problems(files, fields, pictures, spark.createDataFrame(marks, kind), read, shown, spark.createDataFrame(now, kind))
+    assert {r["rec_id"]: r["problem"] for r in got.collect()} == {
+        0: "tag A is missing", 1: None, 2: None, 3: None, 4: "front picture is missing", 5: "tag A is missing", 6: None, 7: 'marker "m254" moved or lost its name',
+        8: 'marker "a" moved or lost its name', 9: 'marker "b" moved or lost its name', 10: 'marker "a" moved or lost its name',
+    }
+    assert V.carry_problems(files, fields, pictures, spark.createDataFrame(marks, kind), read, shown, spark.createDataFrame(now[1:], kind)).where("rec_id = 2").first()["problem"] == "254 markers came back of 255"
+
+
+def test_carry_problems_deals_rows_by_file_once(spark, sf):
+    from sonoframe.queries import convert as Q
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.carry_problems(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning(rec_id") == plan.count("Exchange ") <= 9
